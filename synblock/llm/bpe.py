@@ -23,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,15 +229,19 @@ class Encoder:
         for into, x, found in split:
             into[x] = b"".join(map(words.__getitem__, found))
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text, packed as little-endian unsigned 32-bit integers."""
+    def learn(self, split: list[list[str]]) -> None:
+        """Encodes what of the pieces of some texts isn't known yet."""
         if len(self.words) + len(self.first) + len(self.later) > REMEMBERED:
             self.words, self.first, self.later = {}, {}, {}
-        split = [pieces(t) for t in texts]
         first, later = {s[0] for s in split}, set()
         for s in split:
             later.update(s[1:])
         self._learn(first - self.first.keys(), later - self.later.keys())
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text, packed as little-endian unsigned 32-bit integers."""
+        split = [pieces(t) for t in texts]
+        self.learn(split)
         return [self.first[s[0]] + b"".join(map(self.later.__getitem__, s[1:])) for s in split]
 
 
@@ -258,15 +263,27 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have about ``most`` bytes, or one row."""
+    size, start = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(start, i - start)
+            size, start = 0, i
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_tokens, ids)`` for every row; ``ids`` are packed little-endian unsigned 32-bit integers."""
-    data = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # one vocabulary file
+    ranks = read_ranks(path)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(parse_ranks(ranks))))  # one vocabulary
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_ranks(data.value), pattern)
+        encoder = Encoder(parse_ranks(sent.value[0]), pattern, sent.value[1])
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
+            for b in portions(batch, 1):
                 ids = encoder.encode(t.as_py() or "" for t in b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synblock.llm import bpe, html, mixing, quality, sharding, simhash, topk, warc
+from synblock.llm import bpe, edits, hmm, html, mixing, quality, sharding, simhash, topk, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -42,6 +42,17 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens before and after three edits that its id decides, and the characters encoded anew."""
+    docs = _table(spark, sf_dir, "documents").withColumn("edits", edits.sample_edits())
+    out = edits.edited(edits.trees(docs, RANKS, PATTERN, keep=("edits",)), RANKS, PATTERN)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+
+
 def op9_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -50,5 +61,5 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_html_text, op3_mix_sources, op4_quality_rules, op5_kd_shards, op6_bpe_codec, op9_kd_topk, op10_warc_archive)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_html_text, op3_mix_sources, op4_quality_rules, op5_kd_shards, op6_bpe_codec, op7_hmm_score, op8_edit_counts, op9_kd_topk, op10_warc_archive)}
 ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op9_kd_topk": topk.ORACLE, "op10_warc_archive": warc.ORACLE}
