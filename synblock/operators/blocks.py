@@ -12,7 +12,7 @@ from synblock.operators import ranks, spatial
 def coordinates(hits: DataFrame, mirror: bool = False) -> DataFrame:
     """A row per block: bounds on both genomes, first and last genes, orientation.
 
-    The orientation is the sign of the correlation of the two ranks, ``+`` where it is undefined; on blocks
+    The orientation is the sign of the covariance (and so of the correlation) of the two ranks, ``+`` where it is undefined; on blocks
     with ``-`` start and end of the second genome change places.
     """
     h = hits.where("blkID is not null").dropna(subset=["ofID1", "ofID2"])
@@ -24,7 +24,7 @@ def coordinates(hits: DataFrame, mirror: bool = False) -> DataFrame:
         F.min_by("ofID1", F.struct("ord1", "ofID1")).alias("firstGene1"), F.max_by("ofID1", F.struct("ord1", "ofID1")).alias("lastGene1"), F.count_distinct("ofID1").alias("nHits1"),
         F.min("start2").alias("minBp2"), F.max("end2").alias("maxBp2"), F.min("ord2").alias("minOrd2"), F.max("ord2").alias("maxOrd2"),
         F.min_by("ofID2", F.struct("ord2", "ofID2")).alias("minGene2"), F.max_by("ofID2", F.struct("ord2", "ofID2")).alias("maxGene2"), F.count_distinct("ofID2").alias("nHits2"),
-        F.corr(F.col("ord1").cast("double"), F.col("ord2").cast("double")).alias("_r"),
+        F.covar_pop(F.col("ord1").cast("double"), F.col("ord2").cast("double")).alias("_r"),
     )
     minus = F.coalesce((F.col("_r") < 0) & ~F.isnan("_r"), F.lit(False))
     turn = lambda a, b: F.when(minus, F.col(b)).otherwise(F.col(a))

@@ -165,7 +165,7 @@ def ag11_boolean_sum(t: Tables) -> DataFrame:
 
 @query("SELECT genome1, genome2, chr1, chr2, n, CASE WHEN r < 0 THEN '-' ELSE '+' END AS orient FROM (SELECT genome1, genome2, chr1, chr2, count(*) AS n, corr(CAST(ord1 AS DOUBLE), CAST(ord2 AS DOUBLE)) AS r FROM hits GROUP BY ALL) WHERE n >= 20", "hits")
 def ag12_orientation(t: Tables) -> DataFrame:
-    g = t.hits.groupBy("genome1", "genome2", "chr1", "chr2").agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("ord1").cast("double"), F.col("ord2").cast("double")).alias("r"))
+    g = t.hits.groupBy("genome1", "genome2", "chr1", "chr2").agg(F.count(F.lit(1)).alias("n"), F.covar_pop(F.col("ord1").cast("double"), F.col("ord2").cast("double")).alias("r"))
     return g.where("n >= 20").withColumn("orient", F.when(F.col("r") < 0, "-").otherwise("+")).drop("r")
 
 
