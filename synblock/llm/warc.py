@@ -181,7 +181,9 @@ class _Reader(DataSourceReader):
                 payload = None
         return (*(_value(head, c) for c in HEADERS), length, payload)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark makes of an archive without files
+            return
         fs, _ = _open(self.path)
         with fs.open_input_file(partition.path) as f:
             yield from self._members(f) if f.read(2) == b"\x1f\x8b" else self._plain(f)
