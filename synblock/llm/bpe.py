@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -41,6 +41,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 NONE = 1 << 30
+FEW = 64  # words for which laying out a corpus costs more than it saves
 
 
 def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +103,8 @@ class Encoder:
         a lower rank than its own, or in which pairs of one rank overlap, depend on the order
         within the word; those go through a queue of their own.
         """
-        if not words:
-            return []
+        if len(words) < FEW:
+            return [np.array(_alone(w, self.ranks), "<u4").tobytes() for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.byte[flat].astype(np.int32)
@@ -118,7 +119,7 @@ class Encoder:
             byte_pairs = self._ranks(np.repeat(self.byte, 256), np.tile(self.byte, 256)).astype(np.int32)
             inner = np.flatnonzero(right >= 0)
             rank[inner] = byte_pairs[flat[inner].astype(np.int32) * 256 + flat[inner + 1]]
-        odd = np.zeros(len(words), bool)
+        odd, chosen = np.zeros(len(words), bool), np.zeros(n, bool)
         alive = np.flatnonzero(rank < NONE).astype(np.int32)
         low = 0
         while len(alive):
@@ -143,7 +144,9 @@ class Encoder:
                     continue
                 other = right[at]
                 if len(at) > 1:
-                    twice = np.isin(other, at, assume_unique=True) if len(at) < 64 else np.isin(other, at)
+                    chosen[at] = True
+                    twice = chosen[other]
+                    chosen[at] = False
                     if twice.any():
                         odd[word[at[twice]]] = True
                 after = right[other]
@@ -197,46 +200,46 @@ class Encoder:
             out[i] = np.array(_alone(words[i], self.ranks), "<u4").tobytes()
         return out
 
-    def _encode_words(self, new: list[str]) -> None:
-        rest = []
-        for w in new:
-            whole = self.ranks.get(b := w.encode())
-            if whole is not None:
-                self.words[w] = whole.to_bytes(4, "little")
+    def _encode_words(self, keys: list[str], words: list[bytes], into: dict[str, bytes]) -> None:
+        """Ids of whole pre-tokens, put under ``keys``."""
+        rest, names, ranks = [], [], self.ranks
+        for k, w in zip(keys, words, strict=True):
+            if (whole := ranks.get(w)) is not None:
+                into[k] = whole.to_bytes(4, "little")
             else:
-                rest.append((w, b))
-        for (w, _), ids in zip(rest, self.replay([b for _, b in rest]), strict=True):
-            self.words[w] = ids
-
-    def _learn(self, first: set[str], later: set[str]) -> None:
-        find, simple, split = self.find, [], []
-        for x in later:
+                names.append(k)
+                rest.append(w)
+        into.update(zip(names, self.replay(rest), strict=True))
+
+    def _learn(self, first: set[str], new: set[str]) -> None:
+        find, words, later = self.find, self.words, self.later
+        whole, ended, split = [], [], []
+        for x in new:  # letters, or letters and a mark, need no pattern
             if x.isalpha():
-                simple.append((x, " " + x, ""))
-            elif x[:-1].isalpha() and x[-1] in ".,":
-                simple.append((x, " " + x[:-1], x[-1]))
+                whole.append(x)
+            elif x[-1:] in (".", ",") and x[:-1].isalpha():
+                ended.append(x)
             else:
-                split.append((self.later, x, find(" " + x)))
+                split.append((later, x, find(" " + x)))
         split += [(self.first, x, find(x)) for x in first]
-        words = self.words
-        new = {w for _, w, _ in simple if w not in words}
-        new.update(w for _, _, found in split for w in found if w not in words)
-        new.update(w for w in (".", ",") if w not in words)
-        self._encode_words(list(new))
-        later = self.later
-        for x, w, end in simple:
-            later[x] = words[w] + words[end] if end else words[w]
-        for into, x, found in split:
-            into[x] = b"".join(map(words.__getitem__, found))
-
-    def learn(self, split: list[list[str]]) -> None:
+        whole += {y for x in ended if (y := x[:-1]) not in later and y not in new}
+        self._encode_words(whole, [b" " + x.encode() for x in whole], later)
+        found = {w for _, _, parts in split for w in parts if w not in words} | {w for w in (".", ",") if w not in words}
+        self._encode_words(list(found), [w.encode() for w in found], words)
+        marks = {m: words[m] for m in (".", ",")}
+        for x in ended:
+            later[x] = later[x[:-1]] + marks[x[-1]]
+        for into, x, parts in split:
+            into[x] = b"".join(map(words.__getitem__, parts))
+
+    def learn(self, split: list[list[str]], forget: bool = True) -> None:
         """Encodes what of the pieces of some texts isn't known yet."""
-        if len(self.words) + len(self.first) + len(self.later) > REMEMBERED:
+        if forget and len(self.words) + len(self.first) + len(self.later) > REMEMBERED:
             self.words, self.first, self.later = {}, {}, {}
         first, later = {s[0] for s in split}, set()
         for s in split:
             later.update(s[1:])
-        self._learn(first - self.first.keys(), later - self.later.keys())
+        self._learn({x for x in first if x not in self.first}, {x for x in later if x not in self.later})
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
@@ -263,7 +266,7 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def portions(batch: pa.RecordBatch, column: int, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices whose texts have about ``most`` bytes, or one row."""
     size, start = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
@@ -275,35 +278,46 @@ def portions(batch: pa.RecordBatch, column: int, most: int = 24 << 20) -> Iterat
         yield batch.slice(start)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens, ids)`` for every row; ``ids`` are packed little-endian unsigned 32-bit integers."""
+def decoder(ranks: dict[bytes, int]):
+    """A function from packed ids to the bytes that they stand for."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        table[i] = t
+    return lambda ids: b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """``(id_col, n_tokens, ids)`` for every row; ``ids`` are packed little-endian unsigned 32-bit integers.
+
+    With ``decode`` also ``decoded``, the bytes that the ids decode to, made in the same pass.
+    """
     ranks = read_ranks(path)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(parse_ranks(ranks))))  # one vocabulary
+    names = [id_col, "n_tokens", "ids"] + ["decoded"] * decode
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_ranks(sent.value[0]), pattern, sent.value[1])
+        ranks = parse_ranks(sent.value[0])
+        encoder, bytes_of = Encoder(ranks, pattern, sent.value[1]), decoder(ranks)
         for batch in batches:
             for b in portions(batch, 1):
                 ids = encoder.encode(t.as_py() or "" for t in b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+                out = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(map(bytes_of, ids), pa.binary())] * decode, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_t"))
-    return rows.mapInArrow(of, f"`{id_col}` long, n_tokens long, ids binary")
+    return rows.mapInArrow(of, f"`{id_col}` long, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def decoded(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``tokens`` with the bytes that the packed ids stand for in place of the ids' column, which gives way to its SHA-256."""
+    """``tokens`` with the bytes that the packed ids stand for."""
     data = tokens.sparkSession.sparkContext.broadcast(read_ranks(path))
     at, names = tokens.columns.index(ids_col), tokens.columns
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = parse_ranks(data.value)
-        table = [b""] * (max(ranks.values()) + 1)
-        for t, i in ranks.items():
-            table[i] = t
-        for b in batches:
-            text = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*names, out_col])
+        bytes_of = decoder(parse_ranks(data.value))
+        for batch in batches:
+            for b in portions(batch, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bytes_of(x.as_py()) for x in b.column(at)], pa.binary())], [*names, out_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
     return tokens.mapInArrow(of, f"{kinds}, `{out_col}` binary")

@@ -37,8 +37,7 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encoded(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    out = bpe.decoded(ids, RANKS)
+    out = bpe.encoded(_table(spark, sf_dir, "documents"), RANKS, PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
