@@ -11,6 +11,7 @@ from synblock.plans import layout
 from synblock.plans import query as Q
 from synblock.plans.catalogue import query
 from synblock.plans.workload import Tables
+from synblock.sources import tables
 
 FEATURES = """f AS (SELECT genome, chr, 1 + (k * 7919) % 480000 AS fs, 1 + (k * 7919) % 480000 + k % 3000 AS fe, k AS fid FROM (
   SELECT o_orderkey AS k, concat('G', CAST(o_custkey % 3 AS VARCHAR)) AS genome, concat('chr', CAST(o_custkey % 5 AS VARCHAR)) AS chr FROM orders WHERE o_orderkey % 7 = 0))"""
@@ -44,6 +45,49 @@ def lengths(t: Tables) -> DataFrame:
     return features(t).select("genome", "chr").distinct().withColumn("length", F.lit(500000).cast("long"))
 
 
+# Files, written and read again
+
+
+@query("SELECT chr, start, \"end\", id FROM genes WHERE genome = 'G0'", "genes")
+def src01_bed(t: Tables) -> DataFrame:
+    tables.write_bed(t.genes.where("genome = 'G0'"), path := scratch.new_path(t.spark, "bed"))
+    return tables.read_bed(t.spark, path).select("chr", "start", "end", "id")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, upper(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) AS seq, CAST(length(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) AS BIGINT) AS n FROM part WHERE length(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) >= 5")
+def src02_fasta(t: Tables) -> DataFrame:
+    seqs = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.upper(F.regexp_replace("p_type", "[^A-Za-z]+", "")).alias("seq"))
+    tables.write_fasta(seqs, path := scratch.new_path(t.spark, "fasta"), least=5)
+    return tables.read_fasta(t.spark, path).select("id", "seq", F.length("seq").cast("long").alias("n"))
+
+
+@query("SELECT ofID1, ofID2, bitScore, CAST(NULL AS BIGINT) AS length FROM hits", "hits")
+def src07_blast(t: Tables) -> DataFrame:
+    have = {"ofID1", "ofID2", "bitScore"}
+    cols = [p.rsplit(" ", 1)[0] for p in tables.BLAST.split(", ")]
+    raw = t.hits.select(*(F.col(c).cast("string").alias(c) if c in have else F.lit("NA").alias(c) for c in cols))
+    raw.write.csv(path := scratch.new_path(t.spark, "blast"), sep="\t", compression="gzip")
+    return tables.read_blast(t.spark, path).select("ofID1", "ofID2", "bitScore", "length")
+
+
+@query("SELECT og, genome, id FROM genes", "genes")
+def src10_orthogroups(t: Tables) -> DataFrame:
+    wide = t.genes.groupBy("og").pivot("genome", ["G0", "G1", "G2"]).agg(F.array_join(F.collect_list("id"), ", "))
+    wide.write.csv(path := scratch.new_path(t.spark, "orthogroups"), sep="\t", header=True)
+    return tables.read_orthogroups(t.spark, path).select("og", "genome", "id")
+
+
+@query("SELECT blkID, genome1, genome2, ofID1, ofID2, CAST(ord1 AS DOUBLE) AS ord1, CAST(ord2 AS DOUBLE) + 0.5 AS ord2 FROM blocks", "blocks")
+def src17_positions(t: Tables) -> DataFrame:
+    tables.write_table(t.blocks.withColumn("ord2", F.col("ord2") + F.lit(0.5).cast("double")), path := scratch.new_path(t.spark, "positions"), tables.POSITIONS)
+    return tables.read_table(t.spark, path, tables.POSITIONS).drop("chr1", "chr2")
+
+
+@query("SELECT ofID1, ofID2, bitScore FROM hits WHERE genome1 = 'G1' UNION ALL SELECT ofID2, ofID1, bitScore FROM hits WHERE genome2 = 'G1'", "hits")
+def src19_reference_view(t: Tables) -> DataFrame:
+    return hits.reference_view(t.hits, "G1").select("ofID1", "ofID2", "bitScore")
+
+
 # Range joins
 
 
@@ -331,6 +375,11 @@ def sy19_syntenic_orthogroups(t: Tables) -> DataFrame:
     return orthogroups.syntenic_orthogroups(*found(t)).select("ofID", "genome", "og")
 
 
+@query()
+def sy20_region_orthologues(t: Tables) -> DataFrame:
+    return orthogroups.region_orthologues(found(t)[1], 10).select("ofID1", "ofID2", "sameOG")
+
+
 @query("""SELECT *, CASE WHEN orient = '-' THEN maxBp2 ELSE minBp2 END AS startBp2, CASE WHEN orient = '-' THEN minBp2 ELSE maxBp2 END AS endBp2, CASE WHEN orient = '-' THEN maxOrd2 ELSE minOrd2 END AS startOrd2, CASE WHEN orient = '-' THEN minOrd2 ELSE maxOrd2 END AS endOrd2,
 CASE WHEN orient = '-' THEN maxGene2 ELSE minGene2 END AS firstGene2, CASE WHEN orient = '-' THEN minGene2 ELSE maxGene2 END AS lastGene2 FROM (
 SELECT blkID, genome1, genome2, chr1, chr2, min(start1) AS startBp1, max(end1) AS endBp1, min(ord1) AS startOrd1, max(ord1) AS endOrd1, arg_min(ofID1, (ord1, ofID1)) AS firstGene1, arg_max(ofID1, (ord1, ofID1)) AS lastGene1, count(DISTINCT ofID1) AS nHits1,

@@ -23,7 +23,7 @@ PAF = "windowName string, windowLength long, windowStart long, windowEnd long, w
 
 def _stem(c: Column | None = None) -> Column:
     """The file's name without folder and endings."""
-    return F.regexp_extract(c if c is not None else F.col("_metadata.file_name"), r"^([^/]*?)(?:\.(?:bed|txt|tsv|fa|faa|fasta|gff3?|gz|paf))+$", 1)
+    return F.regexp_extract(c if c is not None else F.col("_metadata.file_name"), r"^([^/]*?)(?:\.(?:bed|txt|tsv|csv|fa|faa|fasta|gff3?|gz|paf))+$", 1)
 
 
 def _typed(df: DataFrame, schema: str) -> DataFrame:
