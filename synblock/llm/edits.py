@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synblock.llm.bpe import Encoder, merge_table, parse_ranks, pieces, read_ranks
+from synblock.llm.bpe import Encoder, merge_table, parse_ranks, pieces, portions, read_ranks
 
 LEAF = 256
 EDITS = "array<struct<at:long,delete:long,insert:string>>"
@@ -32,11 +32,12 @@ class Counter:
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.letter = len(encoder.encode(["x"])[0]) // 4
 
-    def runs(self, texts: list[str], leaf: int = LEAF) -> list[tuple[np.ndarray, np.ndarray]]:
+    def runs(self, texts: list[str], leaf: int = LEAF, forget: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the characters and tokens of its runs; one empty run for an empty text."""
         split = [pieces(t) for t in texts]
-        self.encoder.learn(split)
+        self.encoder.learn(split, forget)
         first, later, out = self.encoder.first, self.encoder.later, []
         for parts in split:
             n = len(parts)
@@ -51,11 +52,11 @@ class Counter:
     def runs_within(self, region: str, spaced: bool, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
         """Runs of a part of a text; ``spaced`` if it starts with the space of a cut."""
         if not spaced:
-            return self.runs([region], leaf)[0]
+            return self.runs([region], leaf, False)[0]
         # a letter before the space, so that the part is cut as it is within its text
-        chars, tokens = self.runs(["x" + region], leaf)[0]
+        chars, tokens = self.runs(["x" + region], leaf, False)[0]
         chars[0] -= 1
-        tokens[0] -= len(self.encoder.encode(["x"])[0]) // 4
+        tokens[0] -= self.letter
         return chars, tokens
 
 
@@ -136,7 +137,7 @@ def trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table = sent.value
         counter = Counter(Encoder(parse_ranks(ranks), pattern, table))
-        for b in batches:
+        for b in (part for batch in batches for part in portions(batch, 1)):
             found = counter.runs([t.as_py() or "" for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([Tree(*f).pack() for f in found], pa.binary()), *b.columns[2:]], [id_col, "text", "tree", *keep])
 
@@ -178,6 +179,33 @@ def edited(state: DataFrame, path: str, pattern: str, id_col: str = "doc_id") ->
     return state.select(id_col, "text", "tree", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(of, f"`{id_col}` long, text string, tree binary, n_tokens_before long, n_tokens long, n_encoded long")
 
 
+def followed(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """``trees`` and ``edited`` in one pass, for documents that come with their edits: ``(id_col, n_tokens_before, n_tokens, n_encoded, tree)``."""
+    sc = docs.sparkSession.sparkContext
+    data = read_ranks(path)
+    sent = sc.broadcast((data, merge_table(parse_ranks(data))))
+    names = [id_col, "n_tokens_before", "n_tokens", "n_encoded", "tree"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, table = sent.value
+        counter = Counter(Encoder(parse_ranks(ranks), pattern, table))
+        for b in (part for batch in batches for part in portions(batch, 1)):
+            texts, out = [t.as_py() or "" for t in b.column(1)], ([], [], [], [])
+            for text, runs, edits in zip(texts, counter.runs(texts), b.column(2).to_pylist(), strict=True):
+                tree, anew = Tree(*runs), 0
+                out[0].append(tree.n_tokens())
+                for e in edits or ():
+                    text, tree, n = apply_edit(text, tree, counter, e["at"], e["delete"], e["insert"])
+                    anew += n
+                for col, v in zip(out[1:], (tree.n_tokens(), anew, tree.pack()), strict=True):
+                    col.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_t"), F.col(edits_col).cast(EDITS).alias("_e"))
+    return rows.mapInArrow(of, f"`{id_col}` long, n_tokens_before long, n_tokens long, n_encoded long, tree binary")
+
+
 def sample_edits(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
     """Three edits of a document that its id decides: an insertion, a deletion and a replacement."""
     key, n = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.length(F.coalesce(F.col(text_col), F.lit("")))

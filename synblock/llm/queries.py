@@ -48,8 +48,7 @@ def op7_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens before and after three edits that its id decides, and the characters encoded anew."""
     docs = _table(spark, sf_dir, "documents").withColumn("edits", edits.sample_edits())
-    out = edits.edited(edits.trees(docs, RANKS, PATTERN, keep=("edits",)), RANKS, PATTERN)
-    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+    return edits.followed(docs, RANKS, PATTERN).select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
 
 
 def op9_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
