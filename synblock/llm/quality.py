@@ -86,7 +86,7 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     for bad, good in RULES.values():
         b = bad(x)
         out = out * 3 + np.where(b, 1, np.where(good(x), 2, 0))
-    return out
+    return out.astype(np.int32)
 
 
 def votes(pattern: np.ndarray) -> np.ndarray:
