@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import colorsys
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,17 +97,10 @@ def scale_bar(lengths: DataFrame, share: float = 0.3) -> DataFrame:
     return least.select((F.bround(F.col("x") / unit) * unit).alias("bar"))
 
 
-PALETTE = ("#C4645C", "#F5915C", "#FFC765", "#FCF8D5", "#BEF3F9", "#66B8FF", "#6666FF", "#9C63E1", "#F4BDFF")
-
-
 def colours(n: int) -> list[str]:
-    """``n`` colours along the palette."""
-    if n <= 0:
-        return []
-    rgb = np.array([[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in PALETTE], float)
-    at = np.linspace(0, len(PALETTE) - 1, n) if n > 1 else np.array([0.0])
-    mixed = np.stack([np.interp(at, range(len(PALETTE)), rgb[:, k]) for k in range(3)], axis=1).round().astype(int)
-    return ["#{:02X}{:02X}{:02X}".format(*c) for c in mixed]
+    """``n`` colours of one strength, from red over green and blue to violet."""
+    hues = np.linspace(0.0, 0.8, n) if n > 1 else np.zeros(max(n, 0))
+    return ["#{:02X}{:02X}{:02X}".format(*(round(255 * c) for c in colorsys.hsv_to_rgb(h, 0.55, 0.9))) for h in hues]
 
 
 def with_alpha(colour: str, alpha: float) -> str:
