@@ -197,6 +197,24 @@ def iv08_classify(t: Tables) -> DataFrame:
     return parts.groupBy("genome", "chr", "class").agg(F.sum(F.col("end") - F.col("start") + 1).cast("long").alias("bp"))
 
 
+@query(f"""WITH {FEATURES}, u AS (SELECT genome, chr, fs AS s, fe AS e FROM f UNION ALL SELECT genome, chr, start, "end" FROM genes)
+SELECT genome, chr, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(j) OVER (PARTITION BY genome, chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM (
+  SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY genome, chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 >= 1 THEN 1 ELSE 0 END AS j FROM u)) GROUP BY genome, chr, i""", "genes")
+def jn19_union(t: Tables) -> DataFrame:
+    return intervals.merged(intervals_of(t).unionByName(t.genes.select("genome", "chr", "start", "end")), BOTH)
+
+
+@query("SELECT p_partkey, 'chr' || p_size AS chr FROM part")
+def iv09_chromosome_names(t: Tables) -> DataFrame:
+    headers = t.part.select("p_partkey", F.concat(F.lit("NC_"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("NC_1 Zea chromosome "), F.col("p_size").cast("string"), F.lit(", whole")).alias("header"))
+    return tables.chromosome_names(headers).select("p_partkey", "chr")
+
+
+@query("WITH p AS (SELECT genome, id FROM genes WHERE CAST(substr(id, 2) AS BIGINT) % 50 <> 0) SELECT genome, count(*) AS nBed, count(p.id) AS nPep, count(p.id) AS nBoth, count(*) FILTER (g.id LIKE '%:%') AS nColon, count(p.id) >= 0.95 * count(*) AS ok, count(p.id) < 100 AS few FROM genes g LEFT JOIN p USING (genome, id) GROUP BY 1", "genes")
+def qc01_agreement(t: Tables) -> DataFrame:
+    return tables.agreement(t.genes, t.genes.where(F.substring("id", 2, 20).cast("long") % 50 != 0))
+
+
 SEQS = "s AS (SELECT CAST(doc_id AS VARCHAR) AS chr, text AS seq FROM documents)"
 
 

@@ -421,3 +421,44 @@ def sf07_justify(t: Tables) -> DataFrame:
     m = t.nation.agg(F.max(F.length("n_name")).alias("m"))
     n = t.nation.join(F.broadcast(m), F.lit(True))
     return n.select("n_nationkey", F.lpad("n_name", F.col("m"), F.lit(" ")).alias("a"), F.rpad("n_name", F.col("m"), F.lit(" ")).alias("b"))
+
+
+@query("SELECT ofID AS ofID1, genome AS genome1, chr AS chr1, ord AS ord1 FROM ranked", "ranked")
+def prj03_suffix(t: Tables) -> DataFrame:
+    return t.ranked.select(*(F.col(c).alias(f"{c}1") for c in ("ofID", "genome", "chr", "ord")))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, nullif(lang, 'en') AS l FROM documents) d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT nullif(lang, 'en') AS l FROM documents WHERE lang IN ('en', 'de')) s WHERE s.l IS NOT DISTINCT FROM d.l)")
+def flt03_null_safe_membership(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", "lang", F.nullif(F.col("lang"), F.lit("en")).alias("l"))
+    s = d.where("lang in ('en', 'de')").select(F.col("l").alias("k")).distinct()
+    return d.join(s, F.col("l").eqNullSafe(F.col("k")), "left_semi").select("doc_id", "source")
+
+
+@query("SELECT ofID1, ofID2, row_number() OVER (PARTITION BY genome1, genome2, ofID1 ORDER BY bitScore DESC, ord2, ofID2) AS r FROM hits", "hits")
+def wn04_rank_first(t: Tables) -> DataFrame:
+    return t.hits.select("ofID1", "ofID2", F.row_number().over(over("genome1", "genome2", "ofID1", order=[F.desc("bitScore"), "ord2", "ofID2"])).cast("long").alias("r"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY nullif(lang, 'en') ASC NULLS FIRST, n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY nullif(lang, 'en') ASC NULLS LAST, doc_id) AS b FROM documents")
+def so01_null_order(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", "n_chars", F.nullif(F.col("lang"), F.lit("en")).alias("l"))
+    row = lambda *o: F.row_number().over(over("source", order=list(o))).cast("long")
+    return d.select("doc_id", row(F.col("l").asc_nulls_first(), F.desc("n_chars"), "doc_id").alias("a"), row(F.col("l").asc_nulls_last(), "doc_id").alias("b"))
+
+
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY genome1, genome2, ofID1 ORDER BY bitScore DESC, ofID2) AS r FROM hits), b AS (SELECT *, row_number() OVER (PARTITION BY genome1, genome2, ofID2 ORDER BY bitScore DESC, ofID1) AS q FROM a WHERE r = 1) SELECT ofID1, ofID2, bitScore FROM b WHERE q = 1", "hits")
+def so07_best_in_two_passes(t: Tables) -> DataFrame:
+    once = ranks.keep_first(t.hits.select("genome1", "genome2", "ofID1", "ofID2", "bitScore"), ["genome1", "genome2", "ofID1"], [F.desc("bitScore"), "ofID2"])
+    return ranks.keep_first(once, ["genome1", "genome2", "ofID2"], [F.desc("bitScore"), "ofID1"]).drop("genome1", "genome2")
+
+
+@query("SELECT genome, chr, max(e) AS hi FROM (SELECT genome1 AS genome, chr1 AS chr, end1 AS e FROM hits UNION ALL SELECT genome2, chr2, end2 FROM hits) GROUP BY 1, 2", "hits")
+def ag19_stacked_extent(t: Tables) -> DataFrame:
+    ends = lambda n: t.hits.select(F.col(f"genome{n}").alias("genome"), F.col(f"chr{n}").alias("chr"), F.col(f"end{n}").alias("e"))
+    return ends(1).unionByName(ends(2)).groupBy("genome", "chr").agg(F.max("e").alias("hi"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INTEGER) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ag24_cube(t: Tables) -> DataFrame:
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping("l_returnflag").cast("int").alias("g"))
