@@ -15,6 +15,7 @@ Repeated rows keep trees of their own; without edits a document stays as it is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ class Counter:
             n = len(parts)
             chars = np.fromiter(map(len, parts), np.int64, n)
             chars[1:] += 1  # the space before
-            tokens = np.fromiter((len(first[parts[0]]), *(len(later[p]) for p in parts[1:])), np.int64, n) // 4
+            tokens = np.fromiter(chain((len(first[parts[0]]),), map(len, map(later.__getitem__, parts[1:]))), np.int64, n) // 4
             ends = np.cumsum(chars)
             starts = np.flatnonzero(np.r_[True, (ends[:-1] // leaf)[1:] != (ends[:-1] // leaf)[:-1], False][:n]) if n > 1 else np.zeros(1, np.int64)
             out.append((np.add.reduceat(chars, starts), np.add.reduceat(tokens, starts)))

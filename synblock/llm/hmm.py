@@ -7,9 +7,10 @@ scaled forward recursion over the whole token sequence, so a score is the exact
 probability of the text under the model.
 
 The states emit symbols: the most frequent words (at most ``SYMBOLS``), and classes of all other
-words by their last three bytes. A word of a class then has the probability (c + 0.1)/(C +
-0.1*(V + 1)) within it, where c, C and V are the counts of the word, of the class and of its distinct words
-over the whole training corpus; one share is left for words never seen. The tables sent to executors
+words by their last three bytes. What a class keeps
+for words never seen is the Good-Turing share of its words that occur once, (n1 + 0.5)/(C + 1); a word that
+occurs c times has c/C of the rest, all counted over the whole training corpus. Where every word has a symbol, a class stands for
+unseen words alone, and its emissions in a state are those of the words of that ending that occur once. The tables sent to executors
 are bounded by ``SYMBOLS``, ``CLASSES`` and ``DICTIONARY``; counts of words beyond the dictionary
 are looked up by a join, so the vocabulary may grow without bound.
 
@@ -24,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,7 @@ class Lexicon:
     total: int
     distinct: int
     class_total: np.ndarray  # over words without a symbol of their own
-    class_distinct: np.ndarray
+    unseen: np.ndarray  # share of each class that is left to words never seen
     mass: np.ndarray  # count per symbol
 
 
@@ -112,9 +114,10 @@ def lexicon(counts: DataFrame, symbols: int = SYMBOLS, dictionary: int = DICTION
     top, known = least(symbols - 1), least(dictionary)
     rest = counts.where((_bucket() < top) & (F.length("word") > 0))
     tail = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % CLASSES
-    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in rest.groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        class_total[r["k"]], class_distinct[r["k"]] = r["c"], r["v"]
+    class_total, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in rest.groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("v")).collect():
+        class_total[r["k"]], once[r["k"]] = r["c"], r["v"]
+    unseen = np.where(class_total > 0, np.minimum((once + 0.5) / (class_total + 1), 0.95), 1.0)
     table = counts.where((_bucket() >= known) | (F.length("word") == 0)).toArrow()
     words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
     bucket = np.floor(np.log2(np.maximum(c, 1)) * 16)
@@ -123,28 +126,29 @@ def lexicon(counts: DataFrame, symbols: int = SYMBOLS, dictionary: int = DICTION
     words, c, n = [words[i] for i in order], c[order] if len(c) else c, int(own.sum())
     symbol = np.array([i if i < n else n + class_of(w) for i, w in enumerate(words)], np.int64)
     mass = np.concatenate([c[:n].astype(float), class_total])
-    return Lexicon(words, c, n, symbol, total, distinct, class_total, class_distinct, mass)
+    return Lexicon(words, c, n, symbol, total, distinct, class_total, unseen, mass)
 
 
 def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: symbols packed as 16-bit integers, what the dictionary tells of both scores, words beyond it."""
-    sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.counts, lex.symbols, lex.symbol, lex.total, lex.distinct, lex.class_total, lex.class_distinct))
+    sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.counts, lex.symbols, lex.symbol, lex.total, lex.distinct, lex.class_total, lex.unseen))
     schema = f"`{id_col}` long, held_out boolean, row long, n_tokens long, n_known long, symbols binary, base double, within double, beyond array<binary>"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, counts, n, symbol, total, distinct, ct, cv = sent.value
+        blob, counts, n, symbol, total, distinct, ct, unseen = sent.value
         words = blob.split(b"\n") if len(counts) else []
         place = {w: i for i, w in enumerate(words)}
         base = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
         k = np.maximum(symbol - n, 0)
-        within = np.where(symbol < n, 0.0, np.log10((counts + ADD) / (ct[k] + ADD * (cv[k] + 1))))
+        with np.errstate(divide="ignore"):
+            within = np.where(symbol < n, 0.0, np.log10((1 - unseen[k]) * counts / np.maximum(ct[k], 1)))
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         end = place.get(END, -1)
         for b in batches:
             out: list[tuple] = []
             for i, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 tokens = words_of(text.as_py())
-                at = np.array([place.get(w, -1) for w in tokens] + [end], np.int64)
+                at = np.fromiter(chain(map(place.get, tokens, repeat(-1)), (end,)), np.int64, len(tokens) + 1)
                 known = at >= 0
                 beyond = [tokens[j] for j in np.flatnonzero(~known[:-1]).tolist()]
                 s = symbol[at] if len(symbol) else at
@@ -234,9 +238,18 @@ def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH) ->
         yield flush()
 
 
-def fit(train: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> Model:
-    """Baum-Welch over the column ``symbols`` of all rows."""
+def once_seen(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of words that occur once, and the symbols of their classes."""
+    at = np.flatnonzero(np.asarray(lex.counts[: lex.symbols]) == 1)
+    return at, np.array([lex.symbols + class_of(lex.words[i]) for i in at.tolist()], np.int64)
+
+
+def fit(train: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0, once: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Baum-Welch over the column ``symbols`` of all rows; ``once`` as from ``once_seen``."""
     spark, m = train.sparkSession, len(mass)
+    if once is not None and len(once[0]):
+        mass = mass.copy()
+        np.add.at(mass, once[1], 1.0)
     model = first_model(mass, states)
     prior = (mass + ADD) / (mass.sum() + ADD * m)
     for _ in range(rounds):
@@ -269,6 +282,8 @@ def fit(train: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int =
             break
         last = max(rows)
         counts, tail = np.concatenate([rows[k] for k in range(last)]), rows[last]
+        if once is not None and len(once[0]):
+            np.add.at(counts, once[1], counts[once[0]])
         counts = counts + back_off * prior[:, None]
         moves, begins = tail[:states] + 1.0, tail[states] + 1.0
         model = Model(begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), counts / counts.sum(axis=0))
@@ -304,13 +319,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     counts = scratch.materialize(word_counts(docs.where(~held_out(id_col)), text_col), "counts")
     lex = lexicon(counts, symbols, dictionary)
     rows = scratch.materialize(encoded(docs, lex, id_col, text_col), "symbols")
-    model = fit(rows.where("not held_out"), np.append(lex.mass, 0.0), states, rounds)
+    model = fit(rows.where("not held_out"), np.append(lex.mass, 0.0), states, rounds, once=once_seen(lex))
     # words beyond the dictionary: their counts come by a join
-    denominator = (lex.class_total + ADD * (lex.class_distinct + 1)).tolist()
+    seen = np.log10(np.maximum((1 - lex.unseen) / np.maximum(lex.class_total, 1), 1e-300)).tolist()
+    unseen = np.log10(lex.unseen).tolist()
     beyond = rows.select("row", F.explode("beyond").alias("word")).join(counts, "word", "left")
     k = (F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % CLASSES + 1).cast("int")
     base = F.log10((F.coalesce("c", F.lit(0)) + ADD) / (lex.total + ADD * (lex.distinct + 1)))
-    inside = F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.element_at(F.array(*map(F.lit, denominator)), k))
+    of_class = lambda x: F.element_at(F.array(*map(F.lit, x)), k)
+    inside = F.when(F.col("c").isNull(), of_class(unseen)).otherwise(F.log10(F.col("c").cast("double")) + of_class(seen))
     extra = beyond.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(inside).alias("more_within"), F.count("c").alias("more_known"))
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
 
