@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2
 SEED = "mix"
+FEW = 50_000
 SIZE, KEY = "__mix_size", "__mix_key"
 SOURCE_SIZE, TARGET, TAKEN = "__mix_source_size", "__mix_target", "__mix_taken"
 
@@ -64,6 +65,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, total
     return out
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A table with a row per source, broadcast if it has no more than ``FEW`` rows; the texts are then not shuffled."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def plan(rows: DataFrame, source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
     """A row per source: its size, target, complete epochs and the key at which its fraction ends.
 
@@ -75,7 +81,7 @@ def plan(rows: DataFrame, source_col: str = "source", weights: tuple = WEIGHTS,
     goal = targets(sizes, weights, total, most)
     epochs = [int(t // s) if s else 0 for t, (_, s) in zip(goal, sizes, strict=True)]
     dealt = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sizes)], "g int, s string")
-    numbered = rows.join(dealt, F.col(source_col).eqNullSafe(F.col("s"))).select("g", KEY, SIZE)
+    numbered = rows.join(sized(dealt), F.col(source_col).eqNullSafe(F.col("s"))).select("g", KEY, SIZE)
     rest = {i: goal[i] - epochs[i] * s for i, (_, s) in enumerate(sizes)}
     cuts = weighted_cuts(numbered, "g", KEY, SIZE, rest)
     table = [(s, n, goal[i], epochs[i], cuts[i]) for i, (s, n) in enumerate(sizes)]
@@ -85,7 +91,7 @@ def plan(rows: DataFrame, source_col: str = "source", weights: tuple = WEIGHTS,
 def decided(rows: DataFrame, table: DataFrame, source_col: str = "source") -> DataFrame:
     """``rows`` with source size, target and words taken."""
     times = F.col("__mix_epochs") + (F.col(KEY) < F.col("__mix_cut")).cast("int")
-    joined = rows.join(table, rows[source_col].eqNullSafe(F.col("__mix_source")))
+    joined = rows.join(sized(table), rows[source_col].eqNullSafe(F.col("__mix_source")))
     return joined.withColumn(TAKEN, F.col(SIZE) * times).withColumn("__mix_times", times).drop("__mix_source", "__mix_epochs", "__mix_cut", KEY)
 
 
