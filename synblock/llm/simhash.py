@@ -139,7 +139,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
         if kept is not None and len(kept[0]):
             yield flush(kept, np.array([0]), np.array([len(kept[0])]))
 
-    return pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "src long, dst long").distinct()
+    return pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
