@@ -16,6 +16,9 @@ Null texts count as empty and have no tokens. Repeated rows are encoded alike.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
+import gc
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -278,6 +281,14 @@ def portions(batch: pa.RecordBatch, column: int, most: int = 6 << 20) -> Iterato
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system; workers that wait for their next task would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def decoder(ranks: dict[bytes, int]):
     """A function from packed ids to the bytes that they stand for."""
     table = [b""] * (max(ranks.values()) + 1)
@@ -303,6 +314,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 ids = encoder.encode(t.as_py() or "" for t in b.column(1))
                 out = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(map(bytes_of, ids), pa.binary())] * decode, names)
+                del ids, out
+        del encoder, bytes_of, ranks
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_t"))
     return rows.mapInArrow(of, f"`{id_col}` long, n_tokens long, ids binary" + ", decoded binary" * decode)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synblock.llm.bpe import Encoder, merge_table, parse_ranks, pieces, portions, read_ranks
+from synblock.llm.bpe import Encoder, give_back, merge_table, parse_ranks, pieces, portions, read_ranks
 
 LEAF = 256
 EDITS = "array<struct<at:long,delete:long,insert:string>>"
@@ -202,6 +202,9 @@ def followed(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
+            del texts, out
+        del counter, ranks, table
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_t"), F.col(edits_col).cast(EDITS).alias("_e"))
     return rows.mapInArrow(of, f"`{id_col}` long, n_tokens_before long, n_tokens long, n_encoded long, tree binary")
