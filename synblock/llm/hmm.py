@@ -6,13 +6,12 @@ All training tokens take part in each round, in segments of ``SEGMENT`` tokens.
 scaled forward recursion over the whole token sequence, so a score is the exact log
 probability of the text under the model.
 
-The states emit symbols: the most frequent words (at most ``SYMBOLS``), and classes of all other
-words by their last three bytes. What a class keeps
-for words never seen is the Good-Turing share of its words that occur once, (n1 + 0.5)/(C + 1); a word that
-occurs c times has c/C of the rest, all counted over the whole training corpus. Where every word has a symbol, a class stands for
-unseen words alone, and its emissions in a state are those of the words of that ending that occur once. The tables sent to executors
-are bounded by ``SYMBOLS``, ``CLASSES`` and ``DICTIONARY``; counts of words beyond the dictionary
-are looked up by a join, so the vocabulary may grow without bound.
+The states emit every training word, each with expected counts of its own, however many there are. The
+most frequent words (about ``SYMBOLS``) are symbols whose counts are sent to all executors; those of all other words are a
+table by bucket of a hash and by portion of the corpus: a portion gets the emissions of its own words, adds up what it
+expects, and buckets sum that over portions. ``SYMBOLS`` and ``DICTIONARY`` (other words of a portion) thus decide
+where a count lies and no result. Words never seen are in classes by their last three bytes; a class has in a state
+what the training words of that ending that occur once are expected to count there.
 
 A null text is empty and consists of the end token alone. Words are lower-cased in A-Z. A null id counts as the empty
 string in the split. Repeated rows are scored alike, and counted as often as they occur. Without training texts
@@ -29,6 +28,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,10 @@ ROUNDS = 5
 SYMBOLS = 60_000
 CLASSES = 1_024
 DICTIONARY = 400_000
+PORTION = 4_000_000
+BUCKET = 50_000
+LEAST_BUCKETS = 64
+SEED = 7
 SEGMENT = 256
 BATCH = 2_000
 ADD = 0.1
@@ -86,81 +90,103 @@ def _bucket() -> F.Column:
 
 @dataclass
 class Lexicon:
-    """Bounded tables about the training words, and the totals over all of them."""
+    """The frequent words, and the totals over all training words."""
 
-    words: list[bytes]  # the dictionary, symbols first
+    words: list[bytes]
     counts: np.ndarray
-    symbols: int  # how many words have a symbol of their own
-    symbol: np.ndarray  # symbol of each word of the dictionary
     total: int
     distinct: int
-    class_total: np.ndarray  # over words without a symbol of their own
-    unseen: np.ndarray  # share of each class that is left to words never seen
-    mass: np.ndarray  # count per symbol
+    mass: np.ndarray  # count per symbol: the words, the classes (their words that occur once), an end token never seen
 
+    @property
+    def symbols(self) -> int:
+        return len(self.words)
 
-def lexicon(counts: DataFrame, symbols: int = SYMBOLS, dictionary: int = DICTIONARY) -> Lexicon:
-    """From ``(word, c)``; what is collected is bounded by the two sizes, a thousand count buckets and the classes."""
-    sizes = sorted(counts.groupBy(_bucket().alias("b")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
-    total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
+    def buckets(self) -> int:
+        return max(LEAST_BUCKETS, -(-self.distinct // BUCKET))
 
-    def least(most: int) -> int:
-        n = 0
-        for b, k, _ in sizes:
-            if (n := n + k) > most:
-                return b + 1
-        return -1
 
-    top, known = least(symbols - 1), least(dictionary)
-    rest = counts.where((_bucket() < top) & (F.length("word") > 0))
+def lexicon(counts: DataFrame, symbols: int = SYMBOLS) -> Lexicon:
+    """From ``(word, c)``; what is collected is bounded by ``symbols``, a thousand count buckets and the classes."""
+    sizes = sorted(counts.groupBy(_bucket().alias("b")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
+    total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
+    top, n = -1, 0
+    for b, k, _ in sizes:
+        if (n := n + k) > symbols - 1:
+            top = b + 1
+            break
     tail = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % CLASSES
-    class_total, once = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in rest.groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("v")).collect():
-        class_total[r["k"]], once[r["k"]] = r["c"], r["v"]
-    unseen = np.where(class_total > 0, np.minimum((once + 0.5) / (class_total + 1), 0.95), 1.0)
-    table = counts.where((_bucket() >= known) | (F.length("word") == 0)).toArrow()
+    once = np.zeros(CLASSES)
+    for r in counts.where((F.col("c") == 1) & (F.length("word") > 0)).groupBy(tail.alias("k")).agg(F.count("*").alias("v")).collect():
+        once[r["k"]] = r["v"]
+    table = counts.where((_bucket() >= top) | (F.length("word") == 0)).toArrow()
     words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
-    bucket = np.floor(np.log2(np.maximum(c, 1)) * 16)
-    own = np.array([w == END for w in words], bool) | (bucket >= top) if len(words) else np.zeros(0, bool)
-    order = sorted(range(len(words)), key=lambda i: (not own[i], words[i]))
-    words, c, n = [words[i] for i in order], c[order] if len(c) else c, int(own.sum())
-    symbol = np.array([i if i < n else n + class_of(w) for i, w in enumerate(words)], np.int64)
-    mass = np.concatenate([c[:n].astype(float), class_total])
-    return Lexicon(words, c, n, symbol, total, distinct, class_total, unseen, mass)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    words, c = [words[i] for i in order], np.asarray(c[order] if len(c) else c, np.int64)
+    return Lexicon(words, c, total, distinct, np.concatenate([c.astype(float), once, [0.0]]))
 
 
-def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: symbols packed as 16-bit integers, what the dictionary tells of both scores, words beyond it."""
-    sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.counts, lex.symbols, lex.symbol, lex.total, lex.distinct, lex.class_total, lex.unseen))
-    schema = f"`{id_col}` long, held_out boolean, row long, n_tokens long, n_known long, symbols binary, base double, within double, beyond array<binary>"
+def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
+    """Portions of the documents: a row per document, and a row per portion and bucket of its other words.
+
+    Symbols are 32-bit integers. Those from ``len(lex.mass)`` on are the portion's other words, sorted by bucket;
+    ``words`` has them, ``seen`` their counts in the portion's training texts. A portion ends with the document that
+    brings it to ``dictionary`` other words or to ``tokens``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.symbols))
+    first, buckets = len(lex.mass), lex.buckets()
+    schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, bucket int, words binary, seen binary"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{j}" for j in range(len(kinds))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, counts, n, symbol, total, distinct, ct, unseen = sent.value
-        words = blob.split(b"\n") if len(counts) else []
-        place = {w: i for i, w in enumerate(words)}
-        base = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
-        k = np.maximum(symbol - n, 0)
-        with np.errstate(divide="ignore"):
-            within = np.where(symbol < n, 0.0, np.log10((1 - unseen[k]) * counts / np.maximum(ct[k], 1)))
-        row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
-        end = place.get(END, -1)
+        blob, n = sent.value
+        place = {w: i for i, w in enumerate(blob.split(b"\n"))} if n else {}
+        end = place.get(END, n + CLASSES)
+        portion = (TaskContext.get().partitionId() << 24) if TaskContext.get() else 0
+        local: dict[bytes, int] = {}
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(local)
+            at = np.fromiter(map(hash_of, words), np.uint64, len(words)) % np.uint64(buckets)
+            order = np.argsort(at, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            seen, some = np.zeros(len(words), np.int64), []
+            for i, h, s in held:
+                rare = s >= first
+                s[rare] = first + (ranked := rank[s[rare] - first])
+                if not h:
+                    np.add.at(seen, ranked, 1)
+                some.append((portion, i, h, len(s), s.astype("<u4").tobytes(), None, None, None))
+                if len(some) == 256:
+                    yield batch(some)
+                    some = []
+            found, starts = np.unique(at[order], return_index=True)
+            for k, x, y in zip(found.tolist(), starts.tolist(), np.append(starts, len(words))[1:].tolist(), strict=True):
+                some.append((portion, None, None, None, None, k, b"\n".join(words[j] for j in order[x:y].tolist()), seen[x:y].astype("<i4").tobytes()))
+            if some:
+                yield batch(some)
+
         for b in batches:
-            out: list[tuple] = []
-            for i, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                tokens = words_of(text.as_py())
-                at = np.fromiter(chain(map(place.get, tokens, repeat(-1)), (end,)), np.int64, len(tokens) + 1)
-                known = at >= 0
-                beyond = [tokens[j] for j in np.flatnonzero(~known[:-1]).tolist()]
-                s = symbol[at] if len(symbol) else at
-                if len(beyond):
-                    s[np.flatnonzero(~known[:-1])] = [n + class_of(w) for w in beyond]
-                if end < 0:
-                    s[-1] = n + CLASSES  # an end token never seen
-                got = at[known]
-                out.append((i, held, row, len(at), len(got), s.astype("<u2").tobytes(), float(base[got].sum()), float(within[got].sum()), beyond))
-                row += 1
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], [f"c{j}" for j in range(9)])
+            for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                found = words_of(text.as_py())
+                s = np.fromiter(chain(map(place.get, found, repeat(-1)), (end,)), np.int32, len(found) + 1)
+                other = np.flatnonzero(s < 0)
+                s[other] = [first + local.setdefault(found[j], len(local)) for j in other.tolist()]
+                held.append((i, h, s))
+                size += len(s)
+                if size >= tokens or len(local) >= dictionary:
+                    yield from flush()
+                    local.clear()
+                    held.clear()
+                    size, portion = 0, portion + 1
+        if held:
+            yield from flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     return rows.mapInArrow(of, schema)
@@ -173,11 +199,27 @@ class Model:
     emit: np.ndarray  # (symbols, states)
 
 
-def first_model(mass: np.ndarray, states: int = STATES) -> Model:
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def noise_of(hashes: np.ndarray, states: int) -> np.ndarray:
+    """Weights of a word by state: gamma(1/2) numbers that its hash alone decides, and a floor."""
+    x = hashes.astype(np.uint64)[:, None] + np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+    return -np.log(u[:, :states]) * np.cos(2 * np.pi * u[:, states:]) ** 2 + 0.05
+
+
+def first_weights(mass: np.ndarray, states: int = STATES, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Counts under pseudo-random weights: the first emissions, not yet divided by their sum."""
+    return (mass + ADD)[:, None] * noise_of(np.arange(len(mass)) if hashes is None else hashes, states)
+
+
+def first_model(mass: np.ndarray, states: int = STATES, hashes: np.ndarray | None = None) -> Model:
     """Sticky states whose emissions are the words' counts under pseudo-random weights."""
-    p = (mass + ADD) / (mass.sum() + ADD * len(mass))
-    noise = np.random.default_rng(7).gamma(0.5, size=(len(mass), states)) + 0.05
-    emit = p[:, None] * noise
+    emit = first_weights(mass, states, hashes)
     move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
@@ -216,7 +258,7 @@ def expected(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.nda
     return loglik
 
 
-def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH, kind: str = "<u2") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Token sequences cut into segments, some thousand at a time."""
     held, n = [], 0
     starts, lengths = [], []
@@ -225,7 +267,7 @@ def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH) ->
         return np.concatenate(held).astype(np.int64), np.array(starts), np.array(lengths)
 
     for blob in blobs:
-        x = np.frombuffer(blob, "<u2")
+        x = np.frombuffer(blob, kind)
         for at in range(0, len(x), size):
             starts.append(n + at)
             lengths.append(min(size, len(x) - at))
@@ -240,61 +282,163 @@ def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH) ->
 
 def once_seen(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of words that occur once, and the symbols of their classes."""
-    at = np.flatnonzero(np.asarray(lex.counts[: lex.symbols]) == 1)
+    at = np.flatnonzero(lex.counts == 1)
     return at, np.array([lex.symbols + class_of(lex.words[i]) for i in at.tolist()], np.int64)
 
 
-def fit(train: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0, once: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """Baum-Welch over the column ``symbols`` of all rows; ``once`` as from ``once_seen``."""
-    spark, m = train.sparkSession, len(mass)
-    if once is not None and len(once[0]):
-        mass = mass.copy()
-        np.add.at(mass, once[1], 1.0)
-    model = first_model(mass, states)
-    prior = (mass + ADD) / (mass.sum() + ADD * m)
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
-
-        def gather(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            now = Model(*sent.value)
-            counts, moves, begins = np.zeros((m, states)), np.zeros((states, states)), np.zeros(states)
-            some = False
-            for flat, starts, lengths in segments(x.as_py() for b in batches for x in b.column(0)):
-                expected(now, flat, starts, lengths, counts, moves, begins)
-                some = True
-            if some:
-                parts = [counts[at : at + CHUNK].astype("<f4").tobytes() for at in range(0, m, CHUNK)] + [np.concatenate([moves, begins[None, :]]).astype("<f4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
+WEIGHTS = "bucket int, portion long, c binary, k binary, n binary"  # a word's count, class and expected counts, as the portion lists its words
 
+
+def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[x for x, _ in schema])
+
+
+_UP = [("bucket", pa.int32()), ("portion", pa.int64()), ("n", pa.binary())]
+_WEIGHTS = [("bucket", pa.int32()), ("portion", pa.int64()), ("c", pa.binary()), ("k", pa.binary()), ("n", pa.binary())]
+
+
+def _sums(n: np.ndarray, c: np.ndarray, k: np.ndarray) -> bytes:
+    """By state, the sum over a bucket's words, and below it the sums over words that occur once, by class."""
+    out = np.zeros((1 + CLASSES, n.shape[1]))
+    out[0] = n.sum(axis=0)
+    np.add.at(out, 1 + k[c == 1], n[c == 1])
+    return out.tobytes()
+
+
+def placed(portions: DataFrame, states: int) -> DataFrame:
+    """``WEIGHTS`` at the start, with ``at``: the numbers that a bucket gives its words, and hashes in the place of expected counts. Portion -1 has a bucket's sums."""
+
+    def number(t: pa.Table) -> pa.Table:
+        ids: dict[bytes, int] = {}
+        at = [np.array([ids.setdefault(w, len(ids)) for w in x.as_py().split(b"\n")], np.int32) for x in t.column("words")]
+        c = np.zeros(len(ids), np.int64)
+        for i, x in zip(at, t.column("seen"), strict=True):
+            c[i] += np.frombuffer(x.as_py(), "<i4")
+        k = np.array([class_of(w) for w in ids], np.int64)
+        h = np.fromiter(map(hash_of, ids), np.uint64, len(ids))
+        n = np.where(c[:, None] > 0, first_weights(c.astype(float), states, h), 0.0)
+        bucket = t.column("bucket")[0].as_py()
+        rows = [(bucket, p, c[i].astype("<i8").tobytes(), k[i].astype("<u2").tobytes(), h[i].astype("<u8").tobytes(), i.tobytes()) for p, i in zip(t.column("portion").to_pylist(), at, strict=True)]
+        return _table([*rows, (bucket, -1, None, None, _sums(n, c, k), None)], [*_WEIGHTS, ("at", pa.binary())])
+
+    return portions.where("bucket is not null").select("bucket", "portion", "words", "seen").groupBy("bucket").applyInArrow(number, WEIGHTS + ", at binary")
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``scratch.written``; what the shuffles leave on the executors' disks goes at the end."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return scratch.written(df.select("*"), name)  # a new frame, as the setting is read when one is made
+    finally:
+        conf.set(key, before)
+
+
+@dataclass
+class Rest:
+    """What makes emissions of the expected counts of words without a symbol: ``(n + more * (c + ADD)) / total``."""
+
+    more: float
+    total: np.ndarray  # by state
+    first: bool = False  # hashes are in the place of expected counts
+
+    def emissions(self, t: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """Of a portion's words in their order: emissions, counts, and how many words each bucket has."""
+        rows = sorted(zip(*(t.column(x).to_pylist() for x in ("bucket", "c", "k", "n")), strict=True), key=lambda r: r[0]) if t.num_rows else []
+        c = np.frombuffer(b"".join(r[1] for r in rows), "<i8")
+        k = np.frombuffer(b"".join(r[2] for r in rows), "<u2")
+        n = b"".join(r[3] for r in rows)
+        n = first_weights(c.astype(float), classes.shape[1], np.frombuffer(n, "<u8")) if self.first else np.frombuffer(n, "<f4").reshape(-1, classes.shape[1]).astype(float)
+        emit = (n + (self.more * (c + ADD))[:, None]) / self.total
+        emit[c == 0] = classes[k[c == 0]]  # never seen in training
+        return emit, c, [(r[0], len(r[1]) // 8) for r in rows]
+
+
+def fit(portions: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
+    """Baum-Welch over all training texts. What words without a symbol are expected to count stays in a table by bucket and portion."""
+    spark, mass, m, buckets = portions.sparkSession, lex.mass, len(lex.mass), lex.buckets()
+    once, train = once_seen(lex), portions.where("not held_out").select("portion", "symbols")
+    start, _ = _written(placed(portions, states), "placed")
+    at, weights, path = start.where("portion >= 0").select("bucket", "portion", "c", "k", "at"), start.drop("at"), None
+
+    def sums(of: DataFrame) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for b in batches:
-                for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    v = np.frombuffer(x.as_py(), "<f4").astype("<f8")
-                    total[k] = total[k] + v if k in total else v
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "part"])
-
-        parts = train.select("symbols").mapInArrow(gather, "chunk int, part binary")
-        rows = {r[0]: np.frombuffer(r[1], "<f8").reshape(-1, states) for r in parts.repartition("chunk").mapInArrow(add, "chunk int, part binary").collect()}  # one model
+            total = sum(np.frombuffer(x.as_py(), "<f8") for b in batches for x in b.column(0))
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+
+        parts = of.where(f"portion = -1 and bucket < {buckets}").select("n").repartition(4).mapInArrow(add, "n binary").collect()
+        return sum((np.frombuffer(r[0], "<f8") for r in parts), np.zeros((1 + CLASSES) * states)).reshape(-1, states)
+
+    hashes = np.concatenate([np.fromiter(map(hash_of, lex.words), np.uint64, lex.symbols), np.arange(m - lex.symbols, dtype=np.uint64)])
+    share = 1 / (mass[lex.symbols :].sum() + lex.total + ADD * (m + lex.distinct - lex.symbols))  # prior of a word, by its count
+    model = first_model(mass, states, hashes)
+    own = first_weights(mass, states, hashes)
+    rest = Rest(0.0, own.sum(axis=0) + sums(start)[0], True)
+    model.emit = own / rest.total
+    for _ in range(rounds if lex.total else 0):
+        sent = spark.sparkContext.broadcast((model, rest))
+
+        def gather(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
+            if not docs.num_rows:
+                return _table([], _UP)
+            now, rest = sent.value
+            emit, _, sizes = rest.emissions(words, now.emit[m - 1 - CLASSES : m - 1])
+            now = Model(now.start, now.move, np.concatenate([now.emit, emit]))
+            counts, moves, begins = np.zeros((len(now.emit), states)), np.zeros((states, states)), np.zeros(states)
+            for flat, starts, lengths in segments((x.as_py() for x in docs.column("symbols")), kind="<u4"):
+                expected(now, flat, starts, lengths, counts, moves, begins)
+            portion, out, n = key[0].as_py(), [], m
+            for bucket, size in sizes:
+                out.append((bucket, portion, counts[n : n + size].astype("<f4").tobytes()))
+                n += size
+            parts = [counts[x : min(x + CHUNK, m)] for x in range(0, m, CHUNK)] + [np.concatenate([moves, begins[None, :]])]
+            return _table(out + [(buckets + j, portion, x.astype("<f4").tobytes()) for j, x in enumerate(parts)], _UP)
+
+        def add(key: tuple, up: pa.Table, words: pa.Table) -> pa.Table:
+            bucket = key[0].as_py()
+            new = [np.frombuffer(x.as_py(), "<f4").reshape(-1, states) for x in up.column("n")] if up.num_rows else []
+            if bucket >= buckets:
+                return _table([(bucket, -1, None, None, sum(x.astype(float) for x in new).tobytes())], _WEIGHTS)
+            places = [np.frombuffer(x.as_py(), np.int32) for x in words.column("at")]
+            counts = [np.frombuffer(x.as_py(), "<i8") for x in words.column("c")]
+            kinds = [np.frombuffer(x.as_py(), "<u2") for x in words.column("k")]
+            portions = words.column("portion").to_pylist()
+            size = 1 + max(int(i.max()) for i in places)
+            n, c, k = np.zeros((size, states)), np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for i, x, y in zip(places, counts, kinds, strict=True):
+                c[i], k[i] = x, y
+            of = dict(zip(portions, places, strict=True))
+            for p, x in zip(up.column("portion").to_pylist() if new else [], new, strict=True):
+                n[of[p]] += x
+            rows = [(bucket, p, x.tobytes(), y.tobytes(), n[i].astype("<f4").tobytes()) for p, i, x, y in zip(portions, places, counts, kinds, strict=True)]
+            return _table([*rows, (bucket, -1, None, None, _sums(n, c, k))], _WEIGHTS)
+
+        up = train.groupBy("portion").cogroup(weights.where("portion >= 0").groupBy("portion")).applyInArrow(gather, "bucket int, portion long, n binary")
+        up, up_path = _written(up, "expected")
+        if path:
+            scratch.delete(spark, path)
+        weights, path = _written(up.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(add, WEIGHTS), "weights")
+        scratch.delete(spark, up_path)
+        rows = {r[0]: np.frombuffer(r[1], "<f8").reshape(-1, states) for r in weights.where(f"bucket >= {buckets}").select("bucket", "n").collect()}  # one model
         sent.destroy()
-        if not rows:
-            break
-        last = max(rows)
-        counts, tail = np.concatenate([rows[k] for k in range(last)]), rows[last]
-        if once is not None and len(once[0]):
-            np.add.at(counts, once[1], counts[once[0]])
-        counts = counts + back_off * prior[:, None]
+        last, others = max(rows), sums(weights)
+        counts, tail = np.concatenate([rows[k] for k in range(buckets, last)]), rows[last]
+        np.add.at(counts, once[1], counts[once[0]])
+        counts[lex.symbols : lex.symbols + CLASSES] += others[1:]
+        counts = counts + back_off * share * (mass + ADD)[:, None]
+        rest = Rest(back_off * share, counts.sum(axis=0) + others[0] + back_off * share * (lex.total - lex.counts.sum() + ADD * (lex.distinct - lex.symbols)))
         moves, begins = tail[:states] + 1.0, tail[states] + 1.0
-        model = Model(begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), counts / counts.sum(axis=0))
-    return model
+        model = Model(begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), counts / rest.total)
+    return model, rest, weights.where("portion >= 0")
 
 
-def log10_likelihoods(model: Model, blobs: list[bytes]) -> np.ndarray:
+def log10_likelihoods(model: Model, blobs: list[bytes], kind: str = "<u2") -> np.ndarray:
     """Exact log10 probability of each symbol sequence by the scaled forward recursion."""
-    lengths = np.array([len(b) // 2 for b in blobs], np.int64)
+    lengths = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    flat = np.frombuffer(b"".join(blobs[i] for i in order), "<u2").astype(np.int64)
+    flat = np.frombuffer(b"".join(blobs[i] for i in order), kind).astype(np.int64)
     lengths = lengths[order]
     starts = np.cumsum(lengths) - lengths
     total = np.zeros(len(blobs))
@@ -315,30 +459,27 @@ def log10_likelihoods(model: Model, blobs: list[bytes]) -> np.ndarray:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, dictionary: int = DICTIONARY) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``."""
-    spark = docs.sparkSession
-    counts = scratch.materialize(word_counts(docs.where(~held_out(id_col)), text_col), "counts")
-    lex = lexicon(counts, symbols, dictionary)
-    rows = scratch.materialize(encoded(docs, lex, id_col, text_col), "symbols")
-    model = fit(rows.where("not held_out"), np.append(lex.mass, 0.0), states, rounds, once=once_seen(lex))
-    # words beyond the dictionary: their counts come by a join
-    seen = np.log10(np.maximum((1 - lex.unseen) / np.maximum(lex.class_total, 1), 1e-300)).tolist()
-    unseen = np.log10(lex.unseen).tolist()
-    beyond = rows.select("row", F.explode("beyond").alias("word")).join(counts, "word", "left")
-    k = (F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % CLASSES + 1).cast("int")
-    base = F.log10((F.coalesce("c", F.lit(0)) + ADD) / (lex.total + ADD * (lex.distinct + 1)))
-    of_class = lambda x: F.element_at(F.array(*map(F.lit, x)), k)
-    inside = F.when(F.col("c").isNull(), of_class(unseen)).otherwise(F.log10(F.col("c").cast("double")) + of_class(seen))
-    extra = beyond.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(inside).alias("more_within"), F.count("c").alias("more_known"))
-    sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = Model(*sent.value)
-        for b in batches:
-            found = log10_likelihoods(now, b.column(6).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(found + b.column(7).to_numpy(zero_copy_only=False))], [id_col, "held_out", "row", "n_tokens", "n_known", "base", "score"])
-
-    scored = rows.select(id_col, "held_out", "row", "n_tokens", "n_known", "base", "symbols", "within").mapInArrow(forward, f"`{id_col}` long, held_out boolean, row long, n_tokens long, n_known long, base double, score double")
-    return scored.join(extra, "row", "left").select(
-        id_col, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_within", F.lit(0.0))).alias("score"),
-    )
+    counts, path = _written(word_counts(docs.where(~held_out(id_col)), text_col), "counts")
+    lex = lexicon(counts, symbols)
+    scratch.delete(docs.sparkSession, path)
+    rows = scratch.materialize(encoded(docs, lex, id_col, text_col, dictionary), "portions")
+    model, rest, weights = fit(rows, lex, states, rounds)
+    total, distinct, m = lex.total, lex.distinct, len(lex.mass)
+    sent = docs.sparkSession.sparkContext.broadcast((model, rest, lex.counts))
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def forward(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        now, rest, own = sent.value
+        emit, c, _ = rest.emissions(words, now.emit[m - 1 - CLASSES : m - 1])
+        now = Model(now.start, now.move, np.concatenate([now.emit, emit]))
+        c = np.concatenate([own, np.zeros(m - len(own), np.int64), c])
+        base = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
+        blobs = texts.column("symbols").to_pylist()
+        at = [np.frombuffer(x, "<u4") for x in blobs]
+        found = [[int((c[x] > 0).sum()) for x in at], [total] * len(at), [float(base[x].sum()) for x in at], log10_likelihoods(now, blobs, "<u4")]
+        return pa.table([*(texts.column(x) for x in names[:3]), *(pa.array(x, t) for x, t in zip(found, kinds[3:], strict=True))], names=names)
+
+    texts = rows.where("symbols is not null").select("portion", id_col, "held_out", "n_tokens", "symbols")
+    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return texts.groupBy("portion").cogroup(weights.groupBy("portion")).applyInArrow(forward, schema)

@@ -186,3 +186,15 @@ def test_foreign_gzip_members(tmp_path):
     reader.wanted["record_id"] = {"id1", "id4"}
     rows = [r for p in reader.partitions() for r in reader.read(p)]
     assert [r[1] for r in rows] == ["id1", "id4"] and len(rows[0][-1]) == 45005
+
+
+def test_hmm_scores_do_not_depend_on_where_counts_lie(spark):
+    docs = documents(spark, 300, 3)
+    few, many = (hmm.score(docs, states=3, rounds=3, symbols=s, dictionary=d).toPandas().sort_values(["doc_id", "score"]) for s, d in ((20, 40), (60_000, 400_000)))
+    assert np.allclose(few["score"], many["score"], rtol=1e-5) and (few["n_known"].to_numpy() == many["n_known"].to_numpy()).all()
+
+
+def test_hmm_without_training_texts(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    out = hmm.score(spark.createDataFrame([(i, f"some words {i}", "en", "s") for i in held], EMPTY), states=3).toPandas()
+    assert len(out) == len(held) and (out["base_score"] == 0).all() and np.isfinite(out["score"]).all()
