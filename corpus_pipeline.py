@@ -16,11 +16,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(scratch.materialize(kept, "kept"), "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near-duplicates one row stays: the one with the smallest id, null ids last, then the smallest fingerprint.
+
+    Rows are told apart by a number of their own, so ids may be null or shared by texts that aren't linked.
+    """
+    rows = scratch.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    fps = scratch.materialize(simhash.fingerprints(rows, "_row").join(ids, "_row"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_row"))
+    named = scratch.materialize(simhash.components(fps).select("fp", "group"), "named")
+    best = fps.groupBy("fp").agg(first.alias("b")).join(named, "fp").groupBy("group").agg(F.min("b").alias("b"))
+    kept = scratch.materialize(best.select("b._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

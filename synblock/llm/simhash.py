@@ -13,7 +13,7 @@ each comparison emitting a spanning forest instead of its pairs.
 
 Null texts count as empty; a text without words has fingerprint zero and is linked like any
 other. Texts are lower-cased in A-Z only. Rows repeated or with equal ids get the same answer
-each. Rows with a null id keep their fingerprint and the component of that fingerprint.
+each. Rows with a null id are linked like any other; a component without any id is null.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     keys = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks))))
-    members = distinct.where("node is not null").select("node", "fp", keys.alias("k")).select("k.t", "k.key", "node", "fp")
+    members = distinct.select("node", "fp", keys.alias("k")).select("k.t", "k.key", "node", "fp")
     # written, so that the join below has an exchange on either side and AQE can split a hot entry
     crowded = scratch.materialize(members.groupBy("t", "key").count().where("count > 1"), "crowded")
     parts = F.ceil(F.col("count") / F.lit(block)).cast("int")
@@ -142,14 +142,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return pairs.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "src long, dst long")
 
 
+def components(fps: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """``(fp, least, group, component_id)`` per distinct fingerprint of ``(id_col, fp)``.
+
+    ``least`` is the smallest id that has the fingerprint, ``group`` a number of its component, ``component_id`` the
+    component's smallest id; ids that are null count only where there is no other.
+    """
+    distinct = fps.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = scratch.materialize(distinct, "distinct")  # ids may be null or shared by texts, so nodes have numbers
+    found = connected_components(links(distinct.select("node", "fp"), radius, block))
+    grouped = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("group"))
+    grouped = scratch.materialize(grouped, "grouped")
+    return grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row of ``docs``.
 
     ``fingerprint`` has 16 lower-case hex digits; ``component_id`` is the smallest id reachable.
     """
     fps = scratch.materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = scratch.materialize(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "distinct")
-    comps = connected_components(links(distinct, radius, block))
-    named = distinct.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = scratch.materialize(named, "named")
+    named = scratch.materialize(components(fps, id_col, radius, block).select("fp", "component_id"), "named")
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -28,3 +28,12 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
     assert set(seen["mixing sources"]) <= set(range(80)) and max(seen["mixing sources"].count(i) for i in range(80)) <= 2
     assert len(seen["BPE encoding and decoding"]) == len(seen["mixing sources"])
     assert sorted(r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()) == sorted(seen["mixing sources"])
+
+
+def test_near_dedup_keeps_rows_with_null_and_shared_ids(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, e), (0, e), (None, e), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (0, e)], key=str)

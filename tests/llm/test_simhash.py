@@ -82,3 +82,15 @@ def test_blocks_lose_no_link(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_null_ids_are_linked(spark):
+    rng = random.Random(4)
+    while True:  # two texts within three bits, but not alike
+        words = [f"w{rng.randrange(500)}" for _ in range(400)]
+        texts = [" ".join(words), " ".join([*words[:-1], "changed"])]
+        if 0 < (slow_fingerprint(texts[0]) ^ slow_fingerprint(texts[1])).bit_count() <= 3:
+            break
+    rows = [(None, texts[0], "en", None, None), (7, texts[1], "en", None, None), (None, "alone", "en", None, None)]
+    out = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {(None, f"{slow_fingerprint(texts[0]):016x}"): 7, (7, f"{slow_fingerprint(texts[1]):016x}"): 7, (None, f"{slow_fingerprint('alone'):016x}"): None}
