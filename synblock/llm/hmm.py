@@ -1,17 +1,21 @@
 """Scoring texts with a hidden Markov language model.
 
 Training counts every word of the training texts, then runs Baum-Welch: each round is one pass
-in which every partition adds up its expected counts, which are then summed across partitions.
-All training tokens take part in each round, in segments of ``SEGMENT`` tokens. Scoring runs the
-scaled forward recursion over the whole token sequence, so a score is the exact log
-probability of the text under the model.
+in which every portion of the corpus adds up its expected counts, which are then summed across portions.
+All training tokens take part in each round. Scoring runs the scaled forward recursion over the
+whole token sequence, so a score is the exact log probability of the text under the model.
+
+Texts of any length are one sequence each. A long one is worked on in pieces of ``PIECE`` tokens: the transfer
+matrix of each piece (what the recursion does to any state vector) gives the exact vectors at
+the pieces' ends, forward and backward, after which pieces are independent of each other and memory is bounded.
 
 The states emit every training word, each with expected counts of its own, however many there are. The
-most frequent words (about ``SYMBOLS``) are symbols whose counts are sent to all executors; those of all other words are a
-table by bucket of a hash and by portion of the corpus: a portion gets the emissions of its own words, adds up what it
-expects, and buckets sum that over portions. ``SYMBOLS`` and ``DICTIONARY`` (other words of a portion) thus decide
-where a count lies and no result. Words never seen are in classes by their last three bytes; a class has in a state
-what the training words of that ending that occur once are expected to count there.
+most frequent words (about ``SYMBOLS``) are symbols whose counts are sent to all executors; all other words are
+numbered within buckets of a hash. A portion gets the counts of its own words, adds up what it expects, and buckets
+sum that over portions, row by row. The encoded corpus is bucketed by portion once, so rounds shuffle counts only.
+``SYMBOLS`` and ``DICTIONARY`` (other words of a portion) decide where a count lies and no result. Between
+portions and buckets expected counts are rounded to 24 bits. Words never seen are in classes by their last three
+bytes; a class has in a state what the training words of that ending that occur once are expected to count there.
 
 A null text is empty and consists of the end token alone. Words are lower-cased in A-Z. A null id counts as the empty
 string in the split. Repeated rows are scored alike, and counted as often as they occur. Without training texts
@@ -28,6 +32,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,11 +48,12 @@ DICTIONARY = 400_000
 PORTION = 4_000_000
 BUCKET = 50_000
 LEAST_BUCKETS = 64
-SEED = 7
-SEGMENT = 256
-BATCH = 2_000
+SEED = 42
+PIECE = 1_024
+BATCH = 400_000
 ADD = 0.1
-CHUNK = 1_024
+CHUNK = 512
+RARE = 0xFFFF
 END = b""
 
 
@@ -59,6 +65,14 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(hash_of, words), np.uint64, len(words))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -84,7 +98,7 @@ def word_counts(train: DataFrame, text_col: str = "text", most: int = 1_000_000)
     return counted.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
 
 
-def _bucket() -> F.Column:
+def _level() -> F.Column:
     return F.floor(F.log2("c") * 16).cast("int")
 
 
@@ -97,18 +111,20 @@ class Lexicon:
     total: int
     distinct: int
     mass: np.ndarray  # count per symbol: the words, the classes (their words that occur once), an end token never seen
+    level: int  # the frequent words' least, on the scale of ``_level``
 
     @property
     def symbols(self) -> int:
         return len(self.words)
 
+    @property
     def buckets(self) -> int:
         return max(LEAST_BUCKETS, -(-self.distinct // BUCKET))
 
 
 def lexicon(counts: DataFrame, symbols: int = SYMBOLS) -> Lexicon:
-    """From ``(word, c)``; what is collected is bounded by ``symbols``, a thousand count buckets and the classes."""
-    sizes = sorted(counts.groupBy(_bucket().alias("b")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
+    """From ``(word, c)``; what is collected is bounded by ``symbols``, a thousand levels of counts and the classes."""
+    sizes = sorted(counts.groupBy(_level().alias("b")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
     total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
     top, n = -1, 0
     for b, k, _ in sizes:
@@ -119,27 +135,27 @@ def lexicon(counts: DataFrame, symbols: int = SYMBOLS) -> Lexicon:
     once = np.zeros(CLASSES)
     for r in counts.where((F.col("c") == 1) & (F.length("word") > 0)).groupBy(tail.alias("k")).agg(F.count("*").alias("v")).collect():
         once[r["k"]] = r["v"]
-    table = counts.where((_bucket() >= top) | (F.length("word") == 0)).toArrow()
+    table = counts.where((_level() >= top) | (F.length("word") == 0)).toArrow()
     words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
     order = sorted(range(len(words)), key=words.__getitem__)
     words, c = [words[i] for i in order], np.asarray(c[order] if len(c) else c, np.int64)
-    return Lexicon(words, c, total, distinct, np.concatenate([c.astype(float), once, [0.0]]))
+    return Lexicon(words, c, total, distinct, np.concatenate([c.astype(float), once, [0.0]]), top)
 
 
 def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
     """Portions of the documents: a row per document, and a row per portion and bucket of its other words.
 
-    Symbols are 32-bit integers. Those from ``len(lex.mass)`` on are the portion's other words, sorted by bucket;
-    ``words`` has them, ``seen`` their counts in the portion's training texts. A portion ends with the document that
-    brings it to ``dictionary`` other words or to ``tokens``.
+    ``symbols`` are 16-bit numbers; ``RARE`` stands for one of the portion's other words, whose 32-bit places in the
+    portion's list are in ``others``. The list is sorted by bucket; ``words`` has it, ``kinds`` the words' classes.
+    A portion ends with the document that brings it to ``dictionary`` other words or to ``tokens``.
     """
     sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.symbols))
-    first, buckets = len(lex.mass), lex.buckets()
-    schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, bucket int, words binary, seen binary"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    buckets = lex.buckets
+    schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, others binary, bucket int, words binary, kinds binary"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{j}" for j in range(len(kinds))])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f"c{j}" for j in range(len(types))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, n = sent.value
@@ -152,33 +168,29 @@ def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(local)
-            at = np.fromiter(map(hash_of, words), np.uint64, len(words)) % np.uint64(buckets)
+            at = _hashes(words).view(np.int64) % buckets
             order = np.argsort(at, kind="stable")
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            seen, some = np.zeros(len(words), np.int64), []
-            for i, h, s in held:
-                rare = s >= first
-                s[rare] = first + (ranked := rank[s[rare] - first])
-                if not h:
-                    np.add.at(seen, ranked, 1)
-                some.append((portion, i, h, len(s), s.astype("<u4").tobytes(), None, None, None))
+            some = []
+            for i, h, s, other in held:
+                some.append((portion, i, h, len(s), s.tobytes(), rank[other].astype("<i4").tobytes(), None, None, None))
                 if len(some) == 256:
                     yield batch(some)
                     some = []
             found, starts = np.unique(at[order], return_index=True)
             for k, x, y in zip(found.tolist(), starts.tolist(), np.append(starts, len(words))[1:].tolist(), strict=True):
-                some.append((portion, None, None, None, None, k, b"\n".join(words[j] for j in order[x:y].tolist()), seen[x:y].astype("<i4").tobytes()))
+                mine = [words[j] for j in order[x:y].tolist()]
+                some.append((portion, None, None, None, None, None, k, b"\n".join(mine), np.fromiter(map(class_of, mine), "<u2", len(mine)).tobytes()))
             if some:
                 yield batch(some)
 
         for b in batches:
             for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 found = words_of(text.as_py())
-                s = np.fromiter(chain(map(place.get, found, repeat(-1)), (end,)), np.int32, len(found) + 1)
-                other = np.flatnonzero(s < 0)
-                s[other] = [first + local.setdefault(found[j], len(local)) for j in other.tolist()]
-                held.append((i, h, s))
+                s = np.fromiter(chain(map(place.get, found, repeat(RARE)), (end,)), "<u2", len(found) + 1)
+                other = np.flatnonzero(s == RARE).tolist()
+                held.append((i, h, s, np.fromiter((local.setdefault(found[j], len(local)) for j in other), np.int32, len(other))))
                 size += len(s)
                 if size >= tokens or len(local) >= dictionary:
                     yield from flush()
@@ -199,10 +211,6 @@ class Model:
     emit: np.ndarray  # (symbols, states)
 
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
 def noise_of(hashes: np.ndarray, states: int) -> np.ndarray:
     """Weights of a word by state: gamma(1/2) numbers that its hash alone decides, and a floor."""
     x = hashes.astype(np.uint64)[:, None] + np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -224,60 +232,137 @@ def first_model(mass: np.ndarray, states: int = STATES, hashes: np.ndarray | Non
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def expected(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray, moves: np.ndarray, begins: np.ndarray) -> float:
-    """Adds the expected counts of sequences (slices of ``flat``) to the last three arrays; returns their log likelihood."""
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # sequences with a token at each step
+@dataclass
+class Pieces:
+    """Runs of tokens in ``flat``; ``entry`` is the state vector before each, ``after`` the backward vector behind it."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray  # whether a text begins here
+    owner: np.ndarray  # which text
+    entry: np.ndarray
+    after: np.ndarray
+
+    def batches(self, most: int = BATCH) -> Iterator[np.ndarray]:
+        """Numbers of pieces, longest first, some ``most`` tokens at a time."""
+        order = np.argsort(-self.lengths, kind="stable")
+        ends = np.cumsum(self.lengths[order])
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield order[at:to]
+            at = to
+
+
+def active(lengths: np.ndarray) -> list[int]:
+    """Of runs in falling order of length: how many have a token at each step."""
+    return np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right").tolist()
+
+
+def transfers(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
+    """The matrix of each piece, up to a factor: row i is the vector behind it after state i before it (at a text's start: after none)."""
+    k, starts = len(model.start), p.starts[some]
+    out = np.empty((len(some), k, k))
+    for t, n in enumerate(active(p.lengths[some])):
+        e = model.emit[p.flat[starts[:n] + t]][:, None, :]
+        out[:n] = (np.where(p.first[some][:, None, None], model.start, model.move) if t == 0 else (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k)) * e
+        out[:n] /= out[:n].sum(axis=(1, 2))[:, None, None]
+    return out
+
+
+def pieces(model: Model, texts: list[np.ndarray], size: int = PIECE) -> Pieces:
+    """Texts as pieces of at most ``size`` tokens with their end vectors; a text of one piece needs no transfer matrix."""
+    k = len(model.start)
+    lengths = np.array([len(x) for x in texts], np.int64)
+    many = -(-lengths // size)
+    owner = np.repeat(np.arange(len(texts)), many)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    starts = (np.cumsum(lengths) - lengths)[owner] + rank * size
+    p = Pieces(np.concatenate(texts).astype(np.int64), starts, np.minimum(size, lengths[owner] - rank * size), rank == 0, owner, np.zeros((len(owner), k)), np.ones((len(owner), k)))
+    cut = np.flatnonzero(many[owner] > 1)
+    if len(cut):
+        part = Pieces(p.flat, p.starts[cut], p.lengths[cut], p.first[cut], p.owner[cut], p.entry[cut], p.after[cut])
+        matrix = np.empty((len(cut), k, k))
+        for some in part.batches():
+            matrix[some] = transfers(model, part, some)
+        v = None
+        for i, m in zip(cut.tolist(), matrix, strict=True):
+            if p.first[i]:
+                v = m[0]
+            else:
+                p.entry[i] = v / v.sum()
+                v = p.entry[i] @ m
+        for i, m in zip(cut[::-1].tolist(), matrix[::-1], strict=True):
+            if not p.first[i]:
+                p.after[i - 1] = m @ p.after[i]
+                p.after[i - 1] /= p.after[i - 1].max()
+    return p
+
+
+def expected(model: Model, p: Pieces, some: np.ndarray, counts: np.ndarray, moves: np.ndarray, begins: np.ndarray) -> float:
+    """Adds the expected counts of some pieces to the last three arrays; returns their log likelihood."""
+    starts, first, entry, after = p.starts[some], p.first[some], p.entry[some], p.after[some]
+    steps = active(p.lengths[some])
     alphas, scales, emits, loglik = [], [], [], 0.0
     a = None
-    for t, n in enumerate(active.tolist()):
-        e = model.emit[flat[starts[:n] + t]]
-        a = (model.start if a is None else a[:n] @ model.move) * e
+    for t, n in enumerate(steps):
+        e = model.emit[p.flat[starts[:n] + t]]
+        a = (np.where(first[:, None], model.start, entry @ model.move) if a is None else a[:n] @ model.move) * e
         c = a.sum(axis=1)
         a = a / c[:, None]
         alphas.append(a)
         scales.append(c)
         emits.append(e)
         loglik += float(np.log(c).sum())
-    gammas: list[np.ndarray] = [None] * len(alphas)
-    beta = np.ones_like(alphas[-1])
-    gammas[-1] = alphas[-1]
-    for t in range(len(alphas) - 2, -1, -1):
-        n, m = len(alphas[t]), len(alphas[t + 1])
-        ahead = emits[t + 1] * beta / scales[t + 1][:, None]
-        moves += (alphas[t][:m].T @ ahead) * model.move
-        beta = np.ones((n, beta.shape[1]))
-        beta[:m] = ahead @ model.move.T
-        gammas[t] = alphas[t] * beta
-    begins += gammas[0].sum(axis=0)
-    seen = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active.tolist())])
-    gamma = np.concatenate(gammas)
+    beta, sums = np.zeros((0, len(model.start))), np.zeros_like(moves)
+    for t in range(len(steps) - 1, -1, -1):
+        n, m = steps[t], len(beta)
+        last = after[m:n] / (alphas[t][m:] * after[m:n]).sum(axis=1)[:, None]
+        beta = np.concatenate([beta, last]) if m else last
+        ahead = emits[t] * beta / scales[t][:, None]
+        sums += (alphas[t - 1][:n] if t else np.where(first[:, None], 0.0, entry)).T @ ahead
+        alphas[t] *= beta
+        beta = ahead @ model.move.T
+    moves += sums * model.move
+    begins += alphas[0][first].sum(axis=0)
+    seen = np.concatenate([p.flat[starts[:n] + t] for t, n in enumerate(steps)])
+    gamma = np.concatenate(alphas)
     for k in range(gamma.shape[1]):
         counts[:, k] += np.bincount(seen, weights=gamma[:, k], minlength=len(counts))
     return loglik
 
 
-def segments(blobs: Iterator[bytes], size: int = SEGMENT, batch: int = BATCH, kind: str = "<u2") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Token sequences cut into segments, some thousand at a time."""
-    held, n = [], 0
-    starts, lengths = [], []
+def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIECE) -> np.ndarray:
+    """Exact log10 probability of each text by the scaled forward recursion."""
+    total = np.zeros(len(texts))
+    if not texts:
+        return total
+    p = pieces(model, texts, size)
+    for some in p.batches():
+        starts, a, product = p.starts[some], None, np.ones(len(some))
+        sums, steps = np.zeros(len(some)), active(p.lengths[some])
+        for t, n in enumerate(steps):
+            a = (np.where(p.first[some][:, None], model.start, p.entry[some] @ model.move) if a is None else a[:n] @ model.move) * model.emit[p.flat[starts[:n] + t]]
+            c = a.sum(axis=1)
+            a /= c[:, None]
+            product[:n] *= c
+            if t % 16 == 15 or t + 1 == len(steps) or steps[t + 1] < n:
+                sums += np.log10(product)
+                product[:] = 1.0
+        np.add.at(total, p.owner[some], sums)
+    return total
 
-    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.concatenate(held).astype(np.int64), np.array(starts), np.array(lengths)
 
-    for blob in blobs:
-        x = np.frombuffer(blob, kind)
-        for at in range(0, len(x), size):
-            starts.append(n + at)
-            lengths.append(min(size, len(x) - at))
-        held.append(x)
-        n += len(x)
-        if len(starts) >= batch:
-            yield flush()
-            held, n, starts, lengths = [], 0, [], []
-    if held:
-        yield flush()
+def packed(n: np.ndarray) -> bytes:
+    """Counts rounded to the upper 24 bits of 32-bit floats, byte by byte, which compresses well."""
+    bits = (n.astype("<f4").view("<u4") + np.uint32(0x80)) >> np.uint32(8)
+    return b"".join((bits >> np.uint32(shift)).astype(np.uint8).tobytes() for shift in (16, 8, 0))
+
+
+def unpacked(b: bytes, states: int) -> np.ndarray:
+    high, mid, low = np.frombuffer(b, np.uint8).reshape(3, -1).astype("<u4")
+    return (high << 24 | mid << 16 | low << 8).view("<f4").astype(float).reshape(-1, states)
 
 
 def once_seen(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -286,17 +371,6 @@ def once_seen(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return at, np.array([lex.symbols + class_of(lex.words[i]) for i in at.tolist()], np.int64)
 
 
-WEIGHTS = "bucket int, portion long, c binary, k binary, n binary"  # a word's count, class and expected counts, as the portion lists its words
-
-
-def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], names=[x for x, _ in schema])
-
-
-_UP = [("bucket", pa.int32()), ("portion", pa.int64()), ("n", pa.binary())]
-_WEIGHTS = [("bucket", pa.int32()), ("portion", pa.int64()), ("c", pa.binary()), ("k", pa.binary()), ("n", pa.binary())]
-
-
 def _sums(n: np.ndarray, c: np.ndarray, k: np.ndarray) -> bytes:
     """By state, the sum over a bucket's words, and below it the sums over words that occur once, by class."""
     out = np.zeros((1 + CLASSES, n.shape[1]))
@@ -305,32 +379,61 @@ def _sums(n: np.ndarray, c: np.ndarray, k: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def placed(portions: DataFrame, states: int) -> DataFrame:
-    """``WEIGHTS`` at the start, with ``at``: the numbers that a bucket gives its words, and hashes in the place of expected counts. Portion -1 has a bucket's sums."""
+def vocabulary(counts: DataFrame, lex: Lexicon, states: int = STATES) -> DataFrame:
+    """``(bucket, words, c, kinds, sums)``: the other training words, a row per bucket; a bucket has about ``BUCKET`` words."""
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        words, c = t.column("word").to_pylist(), t.column("c").to_numpy()
+        order = sorted(range(len(words)), key=words.__getitem__)
+        words, c = [words[i] for i in order], c[order]
+        k = np.array([class_of(w) for w in words], "<u2")
+        row = [key[0].as_py(), b"\n".join(words), c.astype("<i8").tobytes(), k.tobytes(), _sums(first_weights(c.astype(float), states, _hashes(words)), c, k)]
+        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "words", "c", "kinds", "sums"])
+
+    rest = counts.where((_level() < lex.level) & (F.length("word") > 0)).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(lex.buckets)).cast("int"))
+    return rest.groupBy("bucket").applyInArrow(gather, "bucket int, words binary, c binary, kinds binary, sums binary")
+
+
+def _by_bucket(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts that are alike in ``bucket`` follow each other in one partition, part by part."""
+    rows = parts[0].withColumn("part", F.lit(0))
+    for i, x in enumerate(parts[1:], 1):
+        rows = rows.unionByName(x.withColumn("part", F.lit(i)), allowMissingColumns=True)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "part")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+
 
-    def number(t: pa.Table) -> pa.Table:
-        ids: dict[bytes, int] = {}
-        at = [np.array([ids.setdefault(w, len(ids)) for w in x.as_py().split(b"\n")], np.int32) for x in t.column("words")]
-        c = np.zeros(len(ids), np.int64)
-        for i, x in zip(at, t.column("seen"), strict=True):
-            c[i] += np.frombuffer(x.as_py(), "<i4")
-        k = np.array([class_of(w) for w in ids], np.int64)
-        h = np.fromiter(map(hash_of, ids), np.uint64, len(ids))
-        n = np.where(c[:, None] > 0, first_weights(c.astype(float), states, h), 0.0)
-        bucket = t.column("bucket")[0].as_py()
-        rows = [(bucket, p, c[i].astype("<i8").tobytes(), k[i].astype("<u2").tobytes(), h[i].astype("<u8").tobytes(), i.tobytes()) for p, i in zip(t.column("portion").to_pylist(), at, strict=True)]
-        return _table([*rows, (bucket, -1, None, None, _sums(n, c, k), None)], [*_WEIGHTS, ("at", pa.binary())])
+def placed(portions: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(portion, bucket, at, c)``: of a portion's other words their numbers in the bucket, -1 for words never seen in training, and their counts. Holds one bucket's words at a time."""
 
-    return portions.where("bucket is not null").select("bucket", "portion", "words", "seen").groupBy("bucket").applyInArrow(number, WEIGHTS + ", at binary")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, counts = None, {}, np.zeros(0, np.int64)
+        for bucket, part, portion, words, c in _rows(batches, "bucket", "part", "portion", "words", "c"):
+            if bucket != now:
+                now, ids, counts = bucket, {}, np.zeros(0, np.int64)
+            if part == 0:
+                ids, counts = {w: i for i, w in enumerate(words.split(b"\n"))}, np.frombuffer(c, "<i8")
+                continue
+            mine = words.split(b"\n")
+            at = np.fromiter(map(ids.get, mine, repeat(-1)), "<i4", len(mine))
+            c = np.append(counts, 0)[at]
+            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary())], ["portion", "bucket", "at", "c"])
 
+    rows = _by_bucket([vocabulary.select("bucket", "words", "c"), portions.where("bucket is not null").select("bucket", "portion", "words")])
+    return rows.mapInArrow(number, "portion long, bucket int, at binary, c binary")
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+
+def _written(df: DataFrame, name: str, keep=scratch.written) -> tuple[DataFrame, str]:
     """As ``scratch.written``; what the shuffles leave on the executors' disks goes at the end."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return scratch.written(df.select("*"), name)  # a new frame, as the setting is read when one is made
+        return keep(df.select("*"), name)  # a new frame, as the setting is read when one is made
     finally:
         conf.set(key, before)
 
@@ -341,145 +444,166 @@ class Rest:
 
     more: float
     total: np.ndarray  # by state
-    first: bool = False  # hashes are in the place of expected counts
-
-    def emissions(self, t: pa.Table, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        """Of a portion's words in their order: emissions, counts, and how many words each bucket has."""
-        rows = sorted(zip(*(t.column(x).to_pylist() for x in ("bucket", "c", "k", "n")), strict=True), key=lambda r: r[0]) if t.num_rows else []
-        c = np.frombuffer(b"".join(r[1] for r in rows), "<i8")
-        k = np.frombuffer(b"".join(r[2] for r in rows), "<u2")
-        n = b"".join(r[3] for r in rows)
-        n = first_weights(c.astype(float), classes.shape[1], np.frombuffer(n, "<u8")) if self.first else np.frombuffer(n, "<f4").reshape(-1, classes.shape[1]).astype(float)
-        emit = (n + (self.more * (c + ADD))[:, None]) / self.total
-        emit[c == 0] = classes[k[c == 0]]  # never seen in training
-        return emit, c, [(r[0], len(r[1]) // 8) for r in rows]
-
-
-def fit(portions: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
-    """Baum-Welch over all training texts. What words without a symbol are expected to count stays in a table by bucket and portion."""
-    spark, mass, m, buckets = portions.sparkSession, lex.mass, len(lex.mass), lex.buckets()
-    once, train = once_seen(lex), portions.where("not held_out").select("portion", "symbols")
-    start, _ = _written(placed(portions, states), "placed")
-    at, weights, path = start.where("portion >= 0").select("bucket", "portion", "c", "k", "at"), start.drop("at"), None
-
-    def sums(of: DataFrame) -> np.ndarray:
+    first: bool = False  # before the first round: counts come from the words' hashes
+
+
+@dataclass
+class Portion:
+    """A portion's texts and other words, with the emissions of all that occurs in it."""
+
+    rows: pa.Table
+    texts: list[np.ndarray]
+    buckets: list[int]
+    at: list[bytes]
+    c: np.ndarray
+    model: Model
+
+
+def portion_of(own: pa.Table, counts: pa.Table, now: Model, rest: Rest, symbols: int) -> Portion:
+    """Puts a portion together from its rows and from its words' expected counts; ``symbols`` are those of ``now``."""
+    states = len(now.start)
+    texts = own.filter(pc.is_valid(own.column("symbols")))
+
+    def of(column: str) -> dict[int, bytes]:
+        t = own.filter(pc.and_(pc.is_valid(own.column("bucket")), pc.is_valid(own.column(column))))
+        return dict(zip(t.column("bucket").to_pylist(), t.column(column).to_pylist(), strict=True))
+
+    words, at, c, kinds = (of(x) for x in ("words", "at", "c", "kinds"))
+    n = dict(zip(counts.column("bucket").to_pylist(), counts.column("n").to_pylist(), strict=True))
+    buckets = sorted(words)
+    c = np.frombuffer(b"".join(c[b] for b in buckets), "<i8")
+    k = np.frombuffer(b"".join(kinds[b] for b in buckets), "<u2")
+    if rest.first:
+        n = first_weights(c.astype(float), states, _hashes([w for b in buckets for w in words[b].split(b"\n")]))
+    else:
+        n = np.concatenate([unpacked(n[b], states) for b in buckets] or [np.zeros((0, states))])
+    emit = (n + (rest.more * (c + ADD))[:, None]) / rest.total
+    emit[c == 0] = now.emit[symbols - 1 - CLASSES : symbols - 1][k[c == 0]]  # never seen in training
+    found = []
+    for s, other in zip(texts.column("symbols").to_pylist(), texts.column("others").to_pylist(), strict=True):
+        x = np.frombuffer(s, "<u2").astype(np.int32)
+        if other:
+            x[x == RARE] = symbols + np.frombuffer(other, "<i4")
+        found.append(x)
+    return Portion(texts, found, buckets, [at[b] for b in buckets], c, Model(now.start, now.move, np.concatenate([now.emit, emit])))
+
+
+def fit(portions: DataFrame, spread: DataFrame, vocabulary: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
+    """Baum-Welch over all training texts: the model, and ``(bucket, portion, n)``, what the portions' other words are expected to count.
+
+    ``portions`` has the rows of ``encoded`` and ``placed`` bucketed by portion, ``spread`` those of ``placed``.
+    """
+    spark, mass, m, buckets = portions.sparkSession, lex.mass, len(lex.mass), lex.buckets
+    once, chunks = once_seen(lex), -(-m // CHUNK)
+    train, static = portions.where("held_out is null or not held_out"), spread.select("bucket", "portion", "at")
+
+    def sums(of: DataFrame, column: str) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = sum(np.frombuffer(x.as_py(), "<f8") for b in batches for x in b.column(0))
             if np.ndim(total):
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
 
-        parts = of.where(f"portion = -1 and bucket < {buckets}").select("n").repartition(4).mapInArrow(add, "n binary").collect()
+        parts = of.select(column).repartition(4).mapInArrow(add, "n binary").collect()
         return sum((np.frombuffer(r[0], "<f8") for r in parts), np.zeros((1 + CLASSES) * states)).reshape(-1, states)
 
-    hashes = np.concatenate([np.fromiter(map(hash_of, lex.words), np.uint64, lex.symbols), np.arange(m - lex.symbols, dtype=np.uint64)])
+    hashes = np.concatenate([_hashes(lex.words), np.arange(m - lex.symbols, dtype=np.uint64)])
     share = 1 / (mass[lex.symbols :].sum() + lex.total + ADD * (m + lex.distinct - lex.symbols))  # prior of a word, by its count
     model = first_model(mass, states, hashes)
     own = first_weights(mass, states, hashes)
-    rest = Rest(0.0, own.sum(axis=0) + sums(start)[0], True)
+    rest = Rest(0.0, own.sum(axis=0) + sums(vocabulary, "sums")[0], True)
     model.emit = own / rest.total
+    weights, path = spark.createDataFrame([], "bucket int, portion long, n binary"), None
     for _ in range(rounds if lex.total else 0):
         sent = spark.sparkContext.broadcast((model, rest))
 
-        def gather(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-            if not docs.num_rows:
-                return _table([], _UP)
+        def gather(key: tuple, mine: pa.Table, words: pa.Table) -> pa.Table:
             now, rest = sent.value
-            emit, _, sizes = rest.emissions(words, now.emit[m - 1 - CLASSES : m - 1])
-            now = Model(now.start, now.move, np.concatenate([now.emit, emit]))
-            counts, moves, begins = np.zeros((len(now.emit), states)), np.zeros((states, states)), np.zeros(states)
-            for flat, starts, lengths in segments((x.as_py() for x in docs.column("symbols")), kind="<u4"):
-                expected(now, flat, starts, lengths, counts, moves, begins)
-            portion, out, n = key[0].as_py(), [], m
-            for bucket, size in sizes:
-                out.append((bucket, portion, counts[n : n + size].astype("<f4").tobytes()))
-                n += size
-            parts = [counts[x : min(x + CHUNK, m)] for x in range(0, m, CHUNK)] + [np.concatenate([moves, begins[None, :]])]
-            return _table(out + [(buckets + j, portion, x.astype("<f4").tobytes()) for j, x in enumerate(parts)], _UP)
-
-        def add(key: tuple, up: pa.Table, words: pa.Table) -> pa.Table:
-            bucket = key[0].as_py()
-            new = [np.frombuffer(x.as_py(), "<f4").reshape(-1, states) for x in up.column("n")] if up.num_rows else []
-            if bucket >= buckets:
-                return _table([(bucket, -1, None, None, sum(x.astype(float) for x in new).tobytes())], _WEIGHTS)
-            places = [np.frombuffer(x.as_py(), np.int32) for x in words.column("at")]
-            counts = [np.frombuffer(x.as_py(), "<i8") for x in words.column("c")]
-            kinds = [np.frombuffer(x.as_py(), "<u2") for x in words.column("k")]
-            portions = words.column("portion").to_pylist()
-            size = 1 + max(int(i.max()) for i in places)
-            n, c, k = np.zeros((size, states)), np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for i, x, y in zip(places, counts, kinds, strict=True):
-                c[i], k[i] = x, y
-            of = dict(zip(portions, places, strict=True))
-            for p, x in zip(up.column("portion").to_pylist() if new else [], new, strict=True):
-                n[of[p]] += x
-            rows = [(bucket, p, x.tobytes(), y.tobytes(), n[i].astype("<f4").tobytes()) for p, i, x, y in zip(portions, places, counts, kinds, strict=True)]
-            return _table([*rows, (bucket, -1, None, None, _sums(n, c, k))], _WEIGHTS)
-
-        up = train.groupBy("portion").cogroup(weights.where("portion >= 0").groupBy("portion")).applyInArrow(gather, "bucket int, portion long, n binary")
-        up, up_path = _written(up, "expected")
+            x = portion_of(mine, words, now, rest, m)
+            counts, moves, begins = np.zeros((len(x.model.emit), states)), np.zeros((states, states)), np.zeros(states)
+            if x.texts:
+                p = pieces(x.model, x.texts)
+                for some in p.batches():
+                    expected(x.model, p, some, counts, moves, begins)
+            out, n = [], m
+            for bucket, at in zip(x.buckets, x.at, strict=True):
+                out.append((bucket, at, packed(counts[n : (n := n + len(at) // 4)])))
+            out += [(buckets + j, None, packed(counts[j * CHUNK : min(j * CHUNK + CHUNK, m)])) for j in range(chunks)]
+            out.append((buckets + chunks, None, np.concatenate([moves, begins[None, :]]).tobytes()))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "at", "n"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def row(bucket: int, portion: int, n: bytes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([portion], pa.int64()), pa.array([n], pa.binary())], ["bucket", "portion", "n"])
+
+            def whole() -> pa.RecordBatch:
+                return row(now, -1, _sums(total, c, k) if now < buckets else total.tobytes())
+
+            now = total = c = k = None
+            for bucket, part, portion, at, n, mine, kinds in _rows(batches, "bucket", "part", "portion", "at", "n", "c", "kinds"):
+                if bucket != now:
+                    if total is not None:
+                        yield whole()
+                    now, total = bucket, None
+                if part == 0:
+                    c, k = np.frombuffer(mine, "<i8"), np.frombuffer(kinds, "<u2")
+                    total = np.zeros((len(c), states))
+                elif part == 1 and at is not None:
+                    at, x = np.frombuffer(at, "<i4"), unpacked(n, states)
+                    if total is not None:
+                        total[at[at >= 0]] += x[at >= 0]  # a portion has a word once
+                elif part == 1:
+                    x = np.frombuffer(n, "<f8").reshape(-1, states) if bucket == buckets + chunks else unpacked(n, states)
+                    total = x + (0.0 if total is None else total)
+                else:
+                    at = np.frombuffer(at, "<i4")
+                    yield row(bucket, portion, packed(np.zeros((len(at), states)) if total is None else np.where(at[:, None] >= 0, total[at], 0.0)))
+            if total is not None:
+                yield whole()
+
+        up = train.groupBy("portion").cogroup(weights.groupBy("portion")).applyInArrow(gather, "bucket int, at binary, n binary")
+        new, new_path = _written(_by_bucket([vocabulary.select("bucket", "c", "kinds"), up, static]).mapInArrow(add, "bucket int, portion long, n binary"), "weights")
         if path:
             scratch.delete(spark, path)
-        weights, path = _written(up.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInArrow(add, WEIGHTS), "weights")
-        scratch.delete(spark, up_path)
-        rows = {r[0]: np.frombuffer(r[1], "<f8").reshape(-1, states) for r in weights.where(f"bucket >= {buckets}").select("bucket", "n").collect()}  # one model
+        path, weights = new_path, new.where("portion >= 0")
+        rows = {r[0]: np.frombuffer(r[1], "<f8").reshape(-1, states) for r in new.where(f"portion = -1 and bucket >= {buckets}").select("bucket", "n").collect()}  # one model
+        others = sums(new.where(f"portion = -1 and bucket < {buckets}"), "n")
         sent.destroy()
-        last, others = max(rows), sums(weights)
-        counts, tail = np.concatenate([rows[k] for k in range(buckets, last)]), rows[last]
+        counts, tail = np.concatenate([rows[buckets + j] for j in range(chunks)]), rows[buckets + chunks]
         np.add.at(counts, once[1], counts[once[0]])
         counts[lex.symbols : lex.symbols + CLASSES] += others[1:]
         counts = counts + back_off * share * (mass + ADD)[:, None]
         rest = Rest(back_off * share, counts.sum(axis=0) + others[0] + back_off * share * (lex.total - lex.counts.sum() + ADD * (lex.distinct - lex.symbols)))
         moves, begins = tail[:states] + 1.0, tail[states] + 1.0
         model = Model(begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), counts / rest.total)
-    return model, rest, weights.where("portion >= 0")
-
-
-def log10_likelihoods(model: Model, blobs: list[bytes], kind: str = "<u2") -> np.ndarray:
-    """Exact log10 probability of each symbol sequence by the scaled forward recursion."""
-    lengths = np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.frombuffer(b"".join(blobs[i] for i in order), kind).astype(np.int64)
-    lengths = lengths[order]
-    starts = np.cumsum(lengths) - lengths
-    total = np.zeros(len(blobs))
-    active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-    a, product = None, np.ones(len(blobs))
-    for t, n in enumerate(active.tolist()):
-        a = (model.start if a is None else a[:n] @ model.move) * model.emit[flat[starts[:n] + t]]
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        product[:n] *= c
-        if t % 16 == 15 or t + 1 == len(active) or active[t + 1] < n:
-            total += np.log10(product)
-            product[:] = 1.0
-    out = np.empty(len(blobs))
-    out[order] = total
-    return out
+    return model, rest, weights
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, dictionary: int = DICTIONARY) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``."""
+    spark = docs.sparkSession
     counts, path = _written(word_counts(docs.where(~held_out(id_col)), text_col), "counts")
     lex = lexicon(counts, symbols)
-    scratch.delete(docs.sparkSession, path)
-    rows = scratch.materialize(encoded(docs, lex, id_col, text_col, dictionary), "portions")
-    model, rest, weights = fit(rows, lex, states, rounds)
+    known, known_path = _written(vocabulary(counts, lex, states), "vocabulary")
+    scratch.delete(spark, path)
+    rows, path = _written(encoded(docs, lex, id_col, text_col, dictionary), "encoded")
+    spread, spread_path = _written(placed(rows, known), "placed")
+    portions, _ = _written(rows.unionByName(spread, allowMissingColumns=True), "portions", lambda df, name: scratch.bucketed(df, "portion", name))
+    scratch.delete(spark, path)
+    model, rest, weights = fit(portions, spread, known, lex, states, rounds)
+    scratch.delete(spark, known_path)
+    scratch.delete(spark, spread_path)
     total, distinct, m = lex.total, lex.distinct, len(lex.mass)
-    sent = docs.sparkSession.sparkContext.broadcast((model, rest, lex.counts))
+    sent = spark.sparkContext.broadcast((model, rest, lex.counts))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def forward(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+    def forward(key: tuple, mine: pa.Table, words: pa.Table) -> pa.Table:
         now, rest, own = sent.value
-        emit, c, _ = rest.emissions(words, now.emit[m - 1 - CLASSES : m - 1])
-        now = Model(now.start, now.move, np.concatenate([now.emit, emit]))
-        c = np.concatenate([own, np.zeros(m - len(own), np.int64), c])
+        x = portion_of(mine, words, now, rest, m)
+        c = np.concatenate([own, np.zeros(m - len(own), np.int64), x.c])
         base = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
-        blobs = texts.column("symbols").to_pylist()
-        at = [np.frombuffer(x, "<u4") for x in blobs]
-        found = [[int((c[x] > 0).sum()) for x in at], [total] * len(at), [float(base[x].sum()) for x in at], log10_likelihoods(now, blobs, "<u4")]
-        return pa.table([*(texts.column(x) for x in names[:3]), *(pa.array(x, t) for x, t in zip(found, kinds[3:], strict=True))], names=names)
+        found = [[int((c[s] > 0).sum()) for s in x.texts], [total] * len(x.texts), [float(base[s].sum()) for s in x.texts], log10_likelihoods(x.model, x.texts)]
+        return pa.table([*(x.rows.column(n) for n in names[:3]), *(pa.array(v, t) for v, t in zip(found, kinds[3:], strict=True))], names=names)
 
-    texts = rows.where("symbols is not null").select("portion", id_col, "held_out", "n_tokens", "symbols")
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("portion").cogroup(weights.groupBy("portion")).applyInArrow(forward, schema)
+    return portions.groupBy("portion").cogroup(weights.groupBy("portion")).applyInArrow(forward, schema)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from synblock.llm import hmm, mixing, sharding, topk, warc
+from synblock.llm import mixing, sharding, topk, warc
 
 
 def documents(spark, n=400, seed=1):
@@ -73,54 +73,6 @@ def test_hot_group_is_cut(spark):
     assert len(sizes) == 8 and sizes.max() / sizes.min() < 1.1
 
 
-def test_hmm_base_and_normalisation(spark):
-    docs = documents(spark, 300, 3)
-    kw = dict(states=3, rounds=3, symbols=20, dictionary=40)
-    out = hmm.score(docs, **kw).toPandas()
-    plain = docs.toPandas()
-    assert len(out) == len(plain)
-    tokens = [hmm.words_of((t or "").encode()) + [b""] for t in plain["text"]]
-    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in plain["doc_id"]]
-    c = Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = sorted((i, h, len(ws), sum(w in c for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, h, ws in zip(plain["doc_id"], held, tokens, strict=True))
-    got = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out.itertuples())
-    assert [x[:5] for x in got] == [x[:5] for x in want]
-    assert np.allclose([x[5] for x in got], [x[5] for x in want], atol=1e-5)
-    assert (out["score"] <= 0).all() and np.isfinite(out["score"]).all()
-    assert hmm.score(docs.limit(0)).collect() == []
-
-
-def test_hmm_forward_is_exact():
-    rng = np.random.default_rng(0)
-    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
-    m = hmm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((7, 3)), 0))
-    seqs = [rng.integers(0, 7, n) for n in (1, 2, 5, 40, 300)]
-    for s, got in zip(seqs, hmm.log10_likelihoods(m, [x.astype("<u2").tobytes() for x in seqs]), strict=True):
-        a, total = m.start * m.emit[s[0]], 0.0
-        for x in s[1:]:
-            total += math.log10(a.sum())
-            a = (a / a.sum()) @ m.move * m.emit[x]
-        assert math.isclose(got, total + math.log10(a.sum()), rel_tol=1e-9)
-
-
-def test_baum_welch_raises_likelihood_and_beats_unigrams():
-    rng = np.random.default_rng(1)
-    docs = [np.concatenate([rng.integers(0, 10, 40), rng.integers(10, 20, 40)]) if i % 2 else rng.integers(0, 10, 60) for i in range(120)]
-    blobs = [d.astype("<u2").tobytes() for d in docs]
-    mass = np.bincount(np.concatenate(docs), minlength=20).astype(float)
-    m, last = hmm.first_model(mass, 4), -np.inf
-    for _ in range(8):
-        counts, moves, begins, total = np.zeros((20, 4)), np.zeros((4, 4)), np.zeros(4), 0.0
-        for flat, starts, lengths in hmm.segments(iter(blobs), size=10_000):
-            total += hmm.expected(m, flat, starts, lengths, counts, moves, begins)
-        assert total >= last - 1e-6
-        last = total
-        assert math.isclose(counts.sum(), sum(map(len, docs)), rel_tol=1e-9)
-        m = hmm.Model(begins / begins.sum(), moves / moves.sum(axis=1, keepdims=True), counts / counts.sum(axis=0))
-    assert last > sum(np.log(mass[d] / mass.sum()).sum() for d in docs) + 100
-
-
 VECTORS = "vec_id long, embedding array<float>, label int, score int"
 
 
@@ -186,15 +138,3 @@ def test_foreign_gzip_members(tmp_path):
     reader.wanted["record_id"] = {"id1", "id4"}
     rows = [r for p in reader.partitions() for r in reader.read(p)]
     assert [r[1] for r in rows] == ["id1", "id4"] and len(rows[0][-1]) == 45005
-
-
-def test_hmm_scores_do_not_depend_on_where_counts_lie(spark):
-    docs = documents(spark, 300, 3)
-    few, many = (hmm.score(docs, states=3, rounds=3, symbols=s, dictionary=d).toPandas().sort_values(["doc_id", "score"]) for s, d in ((20, 40), (60_000, 400_000)))
-    assert np.allclose(few["score"], many["score"], rtol=1e-5) and (few["n_known"].to_numpy() == many["n_known"].to_numpy()).all()
-
-
-def test_hmm_without_training_texts(spark):
-    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
-    out = hmm.score(spark.createDataFrame([(i, f"some words {i}", "en", "s") for i in held], EMPTY), states=3).toPandas()
-    assert len(out) == len(held) and (out["base_score"] == 0).all() and np.isfinite(out["score"]).all()
