@@ -9,11 +9,12 @@ Texts of any length are one sequence each. A long one is worked on in pieces of
 matrix of each piece (what the recursion does to any state vector) gives the exact vectors at
 the pieces' ends, forward and backward, after which pieces are independent of each other and memory is bounded.
 
-The states emit every training word, each with expected counts of its own, however many there are. The
-most frequent words (about ``SYMBOLS``) are symbols whose counts are sent to all executors; all other words are
-numbered within buckets of a hash. A portion gets the counts of its own words, adds up what it expects, and buckets
+The states emit every training word, each with expected counts of its own, however many there are. Texts are encoded
+once, in portions with dictionaries of their own; words are numbered within buckets of a hash. The
+most frequent words (about ``SYMBOLS``) are symbols whose counts are sent to all executors. Of all others a
+portion gets the counts of those it holds, adds up what it expects, and buckets
 sum that over portions, row by row. The encoded corpus is bucketed by portion once, so rounds shuffle counts only.
-``SYMBOLS`` and ``DICTIONARY`` (other words of a portion) decide where a count lies and no result. Between
+``SYMBOLS``, ``DICTIONARY`` (words of a portion) and the number of buckets decide where a count lies and no result. Between
 portions and buckets expected counts are rounded to 24 bits. Words never seen are in classes by their last three
 bytes; a class has in a state what the training words of that ending that occur once are expected to count there.
 
@@ -25,10 +26,9 @@ every word is unknown and the base score is 0.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +44,14 @@ STATES = 8
 ROUNDS = 5
 SYMBOLS = 60_000
 CLASSES = 1_024
-DICTIONARY = 400_000
+DICTIONARY = 500_000
 PORTION = 4_000_000
-BUCKET = 50_000
 LEAST_BUCKETS = 64
 SEED = 42
-PIECE = 1_024
+PIECE = 2_048
 BATCH = 400_000
 ADD = 0.1
 CHUNK = 512
-RARE = 0xFFFF
 END = b""
 
 
@@ -77,92 +75,38 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def word_counts(train: DataFrame, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
-    """``(word, c)`` over whole texts; the end token is the empty word. Partitions are pre-counted in bounded memory."""
+def n_buckets(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets that a vocabulary which grows with the 0.7th power of the text leaves with some 50,000 words each."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    return max(LEAST_BUCKETS, int(size**0.7 / 26_000))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                n.update(words_of(t.as_py()))
-            n[END] += b.num_rows
-            if len(n) > most:
-                yield out(n)
-                n = Counter()
-        yield out(n)
-
-    counted = train.select(F.col(text_col).cast("binary").alias("_t")).mapInArrow(count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+def planes(x: np.ndarray) -> bytes:
+    """32-bit integers byte by byte, which compresses well."""
+    return x.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _level() -> F.Column:
-    return F.floor(F.log2("c") * 16).cast("int")
+def from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32)
 
 
-@dataclass
-class Lexicon:
-    """The frequent words, and the totals over all training words."""
+def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
+    """Portions of the documents: a row per document, and a row per portion and bucket of its words.
 
-    words: list[bytes]
-    counts: np.ndarray
-    total: int
-    distinct: int
-    mass: np.ndarray  # count per symbol: the words, the classes (their words that occur once), an end token never seen
-    level: int  # the frequent words' least, on the scale of ``_level``
-
-    @property
-    def symbols(self) -> int:
-        return len(self.words)
-
-    @property
-    def buckets(self) -> int:
-        return max(LEAST_BUCKETS, -(-self.distinct // BUCKET))
-
-
-def lexicon(counts: DataFrame, symbols: int = SYMBOLS) -> Lexicon:
-    """From ``(word, c)``; what is collected is bounded by ``symbols``, a thousand levels of counts and the classes."""
-    sizes = sorted(counts.groupBy(_level().alias("b")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
-    total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
-    top, n = -1, 0
-    for b, k, _ in sizes:
-        if (n := n + k) > symbols - 1:
-            top = b + 1
-            break
-    tail = F.crc32(F.expr("substring(word, greatest(length(word) - 2, 1), 3)")) % CLASSES
-    once = np.zeros(CLASSES)
-    for r in counts.where((F.col("c") == 1) & (F.length("word") > 0)).groupBy(tail.alias("k")).agg(F.count("*").alias("v")).collect():
-        once[r["k"]] = r["v"]
-    table = counts.where((_level() >= top) | (F.length("word") == 0)).toArrow()
-    words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    words, c = [words[i] for i in order], np.asarray(c[order] if len(c) else c, np.int64)
-    return Lexicon(words, c, total, distinct, np.concatenate([c.astype(float), once, [0.0]]), top)
-
-
-def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
-    """Portions of the documents: a row per document, and a row per portion and bucket of its other words.
-
-    ``symbols`` are 16-bit numbers; ``RARE`` stands for one of the portion's other words, whose 32-bit places in the
-    portion's list are in ``others``. The list is sorted by bucket; ``words`` has it, ``kinds`` the words' classes.
-    A portion ends with the document that brings it to ``dictionary`` other words or to ``tokens``.
+    ``symbols`` are places in the portion's list of words, which is sorted by bucket; ``words`` has the list, ``seen``
+    how often the words occur in training texts of the portion. The empty word is the end token. A portion ends with the document that brings it to
+    ``dictionary`` words or to ``tokens``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((b"\n".join(lex.words), lex.symbols))
-    buckets = lex.buckets
-    schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, others binary, bucket int, words binary, kinds binary"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, bucket int, words binary, seen binary"
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f"c{j}" for j in range(len(types))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, n = sent.value
-        place = {w: i for i, w in enumerate(blob.split(b"\n"))} if n else {}
-        end = place.get(END, n + CLASSES)
         portion = (TaskContext.get().partitionId() << 24) if TaskContext.get() else 0
-        local: dict[bytes, int] = {}
+        local: defaultdict[bytes, int] = defaultdict()
+        local.default_factory = local.__len__  # a new word gets the next number
         held: list[tuple] = []
         size = 0
 
@@ -172,26 +116,29 @@ def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str
             order = np.argsort(at, kind="stable")
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            some = []
-            for i, h, s, other in held:
-                some.append((portion, i, h, len(s), s.tobytes(), rank[other].astype("<i4").tobytes(), None, None, None))
+            seen, some = np.zeros(len(words), np.int64), []
+            for i, h, s in held:
+                s = rank[s]
+                if not h:
+                    seen += np.bincount(s, minlength=len(words)) if len(s) > len(words) // 8 else 0
+                    if len(s) <= len(words) // 8:
+                        np.add.at(seen, s, 1)
+                some.append((portion, i, h, len(s), planes(s), None, None, None))
                 if len(some) == 256:
                     yield batch(some)
                     some = []
             found, starts = np.unique(at[order], return_index=True)
             for k, x, y in zip(found.tolist(), starts.tolist(), np.append(starts, len(words))[1:].tolist(), strict=True):
-                mine = [words[j] for j in order[x:y].tolist()]
-                some.append((portion, None, None, None, None, None, k, b"\n".join(mine), np.fromiter(map(class_of, mine), "<u2", len(mine)).tobytes()))
+                some.append((portion, None, None, None, None, k, b"\n".join(words[j] for j in order[x:y].tolist()), seen[x:y].astype("<i4").tobytes()))
             if some:
                 yield batch(some)
 
         for b in batches:
             for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 found = words_of(text.as_py())
-                s = np.fromiter(chain(map(place.get, found, repeat(RARE)), (end,)), "<u2", len(found) + 1)
-                other = np.flatnonzero(s == RARE).tolist()
-                held.append((i, h, s, np.fromiter((local.setdefault(found[j], len(local)) for j in other), np.int32, len(other))))
-                size += len(s)
+                found.append(END)
+                held.append((i, h, np.fromiter(map(local.__getitem__, found), np.int32, len(found))))
+                size += len(found)
                 if size >= tokens or len(local) >= dictionary:
                     yield from flush()
                     local.clear()
@@ -204,6 +151,106 @@ def encoded(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(of, schema)
 
 
+def _level(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(c) * 16).astype(int)
+
+
+@dataclass
+class Lexicon:
+    """The frequent words, and the totals over all training words."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    total: int
+    distinct: int
+    mass: np.ndarray  # count per symbol: the words, the classes (their words that occur once), an end token never seen
+    level: int  # the frequent words' least, on the scale of ``_level``
+    rest: np.ndarray  # the first weights of all other words, by state
+
+    @property
+    def symbols(self) -> int:
+        return len(self.words)
+
+
+def vocabulary(portions: DataFrame) -> DataFrame:
+    """``(bucket, words, c, kinds)``: the training words with their counts and classes, a row per bucket, words in order. Holds one bucket's words at a time."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), np.int64)
+            for at, n in held:
+                total[at] += n
+            words = list(ids)
+            order = [i for i in sorted(range(len(words)), key=words.__getitem__) if total[i]]
+            if order:
+                words = [words[i] for i in order]
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([x], pa.binary()) for x in (b"\n".join(words), total[order].astype("<i8").tobytes(), np.array([class_of(w) for w in words], "<u2").tobytes()))], ["bucket", "words", "c", "kinds"])
+
+        now, ids, held = None, defaultdict(), []
+        for bucket, words, seen in _rows(batches, "bucket", "words", "seen"):
+            if bucket != now:
+                if now is not None:
+                    yield from row()
+                now, ids, held = bucket, defaultdict(), []
+                ids.default_factory = ids.__len__
+            mine = words.split(b"\n")
+            held.append((np.fromiter(map(ids.__getitem__, mine), np.int64, len(mine)), np.frombuffer(seen, "<i4")))
+            if len(held) >= 64:  # bounded, however many portions there are
+                total = np.zeros(len(ids), np.int64)
+                for at, n in held:
+                    total[at] += n
+                held = [(np.arange(len(ids)), total)]
+        if now is not None:
+            yield from row()
+
+    rows = portions.where("bucket is not null").select("bucket", "words", "seen").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(gather, "bucket int, words binary, c binary, kinds binary")
+
+
+def lexicon(known: DataFrame, states: int = STATES, symbols: int = SYMBOLS) -> Lexicon:
+    """From ``vocabulary``; what is collected is bounded by ``symbols``, a thousand levels of counts, the classes and the states."""
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, once = defaultdict(lambda: [0, 0]), np.zeros(CLASSES, np.int64)
+        for words, c in _rows(batches, "words", "c"):
+            c = np.frombuffer(c, "<i8")
+            found, at = np.unique(_level(c), return_inverse=True)
+            for level, n, total in zip(found.tolist(), np.bincount(at).tolist(), np.bincount(at, c).tolist(), strict=True):
+                levels[level][0] += n
+                levels[level][1] += int(total)
+            for w, n in zip(words.split(b"\n"), c.tolist(), strict=True):
+                once[class_of(w)] += n == 1 and w != END
+        rows = [("level", k, float(n), float(total)) for k, (n, total) in levels.items()] + [("class", k, float(n), 0.0) for k, n in enumerate(once.tolist()) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.float64()))], ["what", "k", "n", "c"])
+
+    found = known.mapInArrow(census, "what string, k int, n double, c double").groupBy("what", "k").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()
+    sizes = sorted(((r["k"], int(r["n"]), int(r["c"])) for r in found if r["what"] == "level"), reverse=True)
+    once = np.zeros(CLASSES)
+    for r in found:
+        if r["what"] == "class":
+            once[r["k"]] = r["n"]
+    total, distinct, top, n = sum(r[2] for r in sizes), sum(r[1] for r in sizes), -1, 0
+    for level, k, _ in sizes:
+        if (n := n + k) > symbols - 1:
+            top = level + 1
+            break
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros(states)
+        for words, c in _rows(batches, "words", "c"):
+            words, c = words.split(b"\n"), np.frombuffer(c, "<i8")
+            often = (_level(c) >= top) | np.array([w == END for w in words])
+            rest += first_weights(c[~often].astype(float), states, _hashes([w for w, o in zip(words, often.tolist(), strict=True) if not o])).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, o in zip(words, often.tolist(), strict=True) if o], pa.binary()), pa.array(c[often]), pa.nulls(int(often.sum()), pa.binary())], ["word", "c", "rest"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([rest.tobytes()], pa.binary())], ["word", "c", "rest"])
+
+    rows = known.mapInArrow(frequent, "word binary, c long, rest binary").collect()  # the frequent words, and a row per task
+    table = sorted((bytes(r["word"]), r["c"]) for r in rows if r["word"] is not None)
+    c = np.array([x[1] for x in table], np.int64)
+    rest = sum((np.frombuffer(r["rest"], "<f8") for r in rows if r["rest"] is not None), np.zeros(states))
+    return Lexicon([x[0] for x in table], c, total, distinct, np.concatenate([c.astype(float), once, [0.0]]), top, rest)
+
+
 @dataclass
 class Model:
     start: np.ndarray  # (states,)
@@ -262,12 +309,13 @@ def active(lengths: np.ndarray) -> list[int]:
 
 def transfers(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
     """The matrix of each piece, up to a factor: row i is the vector behind it after state i before it (at a text's start: after none)."""
-    k, starts = len(model.start), p.starts[some]
-    out = np.empty((len(some), k, k))
-    for t, n in enumerate(active(p.lengths[some])):
+    k, starts, steps = len(model.start), p.starts[some], active(p.lengths[some])
+    out, whole = np.empty((len(some), k, k)), np.ones(k * k)
+    for t, n in enumerate(steps):
         e = model.emit[p.flat[starts[:n] + t]][:, None, :]
         out[:n] = (np.where(p.first[some][:, None, None], model.start, model.move) if t == 0 else (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k)) * e
-        out[:n] /= out[:n].sum(axis=(1, 2))[:, None, None]
+        if t % 8 == 7 or t + 1 == len(steps) or steps[t + 1] < n:
+            out[:n] /= (out[:n].reshape(n, -1) @ whole)[:, None, None]
     return out
 
 
@@ -301,36 +349,42 @@ def pieces(model: Model, texts: list[np.ndarray], size: int = PIECE) -> Pieces:
 
 
 def expected(model: Model, p: Pieces, some: np.ndarray, counts: np.ndarray, moves: np.ndarray, begins: np.ndarray) -> float:
-    """Adds the expected counts of some pieces to the last three arrays; returns their log likelihood."""
-    starts, first, entry, after = p.starts[some], p.first[some], p.entry[some], p.after[some]
+    """Adds the expected counts of some pieces to the last three arrays; returns their log likelihood. Computes in the type of ``model.emit``."""
+    starts, first, kind = p.starts[some], p.first[some], model.emit.dtype
+    entry, after, move, one = p.entry[some].astype(kind), p.after[some].astype(kind), model.move.astype(kind), np.ones(len(model.start), kind)
     steps = active(p.lengths[some])
-    alphas, scales, emits, loglik = [], [], [], 0.0
-    a = None
-    for t, n in enumerate(steps):
-        e = model.emit[p.flat[starts[:n] + t]]
-        a = (np.where(first[:, None], model.start, entry @ model.move) if a is None else a[:n] @ model.move) * e
-        c = a.sum(axis=1)
-        a = a / c[:, None]
-        alphas.append(a)
-        scales.append(c)
-        emits.append(e)
-        loglik += float(np.log(c).sum())
-    beta, sums = np.zeros((0, len(model.start))), np.zeros_like(moves)
+    ends = np.cumsum(steps).tolist()
+    seen = p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])]  # step by step, as all arrays below
+    emits = model.emit[seen]
+    alphas, scales, a = np.empty_like(emits), np.empty(len(seen), kind), None
+    for n, end in zip(steps, ends, strict=True):
+        now = alphas[end - n : end]
+        if a is None:
+            now[:] = np.where(first[:, None], model.start.astype(kind), entry @ move)
+        else:
+            np.matmul(a[:n], move, out=now)
+        now *= emits[end - n : end]
+        c = np.matmul(now, one, out=scales[end - n : end])
+        now /= c[:, None]
+        a = now
+    beta, sums = np.zeros((0, len(one)), kind), np.zeros_like(moves)
     for t in range(len(steps) - 1, -1, -1):
-        n, m = steps[t], len(beta)
-        last = after[m:n] / (alphas[t][m:] * after[m:n]).sum(axis=1)[:, None]
-        beta = np.concatenate([beta, last]) if m else last
-        ahead = emits[t] * beta / scales[t][:, None]
-        sums += (alphas[t - 1][:n] if t else np.where(first[:, None], 0.0, entry)).T @ ahead
-        alphas[t] *= beta
-        beta = ahead @ model.move.T
+        n, m, end = steps[t], len(beta), ends[t]
+        now, ahead = alphas[end - n : end], emits[end - n : end]
+        if n > m:
+            last = after[m:n] / ((now[m:] * after[m:n]) @ one)[:, None]
+            beta = np.concatenate([beta, last]) if m else last
+        ahead *= beta
+        ahead /= scales[end - n : end, None]
+        before = np.where(first[:, None], 0, entry) if t == 0 else alphas[ends[t - 1] - steps[t - 1] :][:n]
+        sums += before.T @ ahead
+        now *= beta
+        beta = ahead @ move.T
     moves += sums * model.move
-    begins += alphas[0][first].sum(axis=0)
-    seen = np.concatenate([p.flat[starts[:n] + t] for t, n in enumerate(steps)])
-    gamma = np.concatenate(alphas)
-    for k in range(gamma.shape[1]):
-        counts[:, k] += np.bincount(seen, weights=gamma[:, k], minlength=len(counts))
-    return loglik
+    begins += alphas[: steps[0]][first].sum(axis=0, dtype=float)
+    for k in range(alphas.shape[1]):
+        counts[:, k] += np.bincount(seen, weights=alphas[:, k], minlength=len(counts))
+    return float(np.log(scales, dtype=float).sum())
 
 
 def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIECE) -> np.ndarray:
@@ -338,13 +392,13 @@ def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIE
     total = np.zeros(len(texts))
     if not texts:
         return total
-    p = pieces(model, texts, size)
+    p, one = pieces(model, texts, size), np.ones(len(model.start))
     for some in p.batches():
         starts, a, product = p.starts[some], None, np.ones(len(some))
         sums, steps = np.zeros(len(some)), active(p.lengths[some])
         for t, n in enumerate(steps):
             a = (np.where(p.first[some][:, None], model.start, p.entry[some] @ model.move) if a is None else a[:n] @ model.move) * model.emit[p.flat[starts[:n] + t]]
-            c = a.sum(axis=1)
+            c = a @ one
             a /= c[:, None]
             product[:n] *= c
             if t % 16 == 15 or t + 1 == len(steps) or steps[t + 1] < n:
@@ -379,21 +433,6 @@ def _sums(n: np.ndarray, c: np.ndarray, k: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def vocabulary(counts: DataFrame, lex: Lexicon, states: int = STATES) -> DataFrame:
-    """``(bucket, words, c, kinds, sums)``: the other training words, a row per bucket; a bucket has about ``BUCKET`` words."""
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        words, c = t.column("word").to_pylist(), t.column("c").to_numpy()
-        order = sorted(range(len(words)), key=words.__getitem__)
-        words, c = [words[i] for i in order], c[order]
-        k = np.array([class_of(w) for w in words], "<u2")
-        row = [key[0].as_py(), b"\n".join(words), c.astype("<i8").tobytes(), k.tobytes(), _sums(first_weights(c.astype(float), states, _hashes(words)), c, k)]
-        return pa.table([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "words", "c", "kinds", "sums"])
-
-    rest = counts.where((_level() < lex.level) & (F.length("word") > 0)).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(lex.buckets)).cast("int"))
-    return rest.groupBy("bucket").applyInArrow(gather, "bucket int, words binary, c binary, kinds binary, sums binary")
-
-
 def _by_bucket(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts that are alike in ``bucket`` follow each other in one partition, part by part."""
     rows = parts[0].withColumn("part", F.lit(0))
@@ -407,10 +446,17 @@ def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
 
 
-def placed(portions: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(portion, bucket, at, c)``: of a portion's other words their numbers in the bucket, -1 for words never seen in training, and their counts. Holds one bucket's words at a time."""
+def placed(portions: DataFrame, known: DataFrame, lex: Lexicon, states: int = STATES) -> DataFrame:
+    """``(portion, bucket, code, at, c, n)``, a row per portion and bucket. Holds one bucket's words at a time.
+
+    ``code`` has the symbol of each word of the portion's list, -1 for a word that has none; of those that have none ``at``
+    has the numbers in the bucket, ``c`` the counts and ``n`` the first weights.
+    """
+    sent = portions.sparkSession.sparkContext.broadcast(lex.words)
+    unseen, end = lex.symbols, len(lex.mass) - 1
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = {w: i for i, w in enumerate(sent.value)}
         now, ids, counts = None, {}, np.zeros(0, np.int64)
         for bucket, part, portion, words, c in _rows(batches, "bucket", "part", "portion", "words", "c"):
             if bucket != now:
@@ -419,12 +465,14 @@ def placed(portions: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 ids, counts = {w: i for i, w in enumerate(words.split(b"\n"))}, np.frombuffer(c, "<i8")
                 continue
             mine = words.split(b"\n")
-            at = np.fromiter(map(ids.get, mine, repeat(-1)), "<i4", len(mine))
-            c = np.append(counts, 0)[at]
-            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary())], ["portion", "bucket", "at", "c"])
+            code = np.array([symbol[w] if w in symbol else -1 if w in ids else end if w == END else unseen + class_of(w) for w in mine], "<i4")
+            own = [mine[i] for i in np.flatnonzero(code < 0).tolist()]
+            at = np.fromiter(map(ids.__getitem__, own), "<i4", len(own))
+            n = packed(first_weights(counts[at].astype(float), states, _hashes(own)))
+            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (code.tobytes(), at.tobytes(), counts[at].astype("<i8").tobytes(), n))], ["portion", "bucket", "code", "at", "c", "n"])
 
-    rows = _by_bucket([vocabulary.select("bucket", "words", "c"), portions.where("bucket is not null").select("bucket", "portion", "words")])
-    return rows.mapInArrow(number, "portion long, bucket int, at binary, c binary")
+    rows = _by_bucket([known.select("bucket", "words", "c"), portions.where("bucket is not null").select("bucket", "portion", "words")])
+    return rows.mapInArrow(number, "portion long, bucket int, code binary, at binary, c binary, n binary")
 
 
 def _written(df: DataFrame, name: str, keep=scratch.written) -> tuple[DataFrame, str]:
@@ -444,56 +492,40 @@ class Rest:
 
     more: float
     total: np.ndarray  # by state
-    first: bool = False  # before the first round: counts come from the words' hashes
 
 
 @dataclass
 class Portion:
-    """A portion's texts and other words, with the emissions of all that occurs in it."""
+    """A portion's texts and words, with the emissions of all that occurs in it."""
 
     rows: pa.Table
     texts: list[np.ndarray]
     buckets: list[int]
     at: list[bytes]
-    c: np.ndarray
+    c: np.ndarray  # of words without a symbol
     model: Model
 
 
-def portion_of(own: pa.Table, counts: pa.Table, now: Model, rest: Rest, symbols: int) -> Portion:
+def portion_of(own: pa.Table, counts: pa.Table, now: Model, rest: Rest, symbols: int, kind: type = np.float64) -> Portion:
     """Puts a portion together from its rows and from its words' expected counts; ``symbols`` are those of ``now``."""
-    states = len(now.start)
-    texts = own.filter(pc.is_valid(own.column("symbols")))
-
-    def of(column: str) -> dict[int, bytes]:
-        t = own.filter(pc.and_(pc.is_valid(own.column("bucket")), pc.is_valid(own.column(column))))
-        return dict(zip(t.column("bucket").to_pylist(), t.column(column).to_pylist(), strict=True))
-
-    words, at, c, kinds = (of(x) for x in ("words", "at", "c", "kinds"))
+    states, texts = len(now.start), own.filter(pc.is_valid(own.column("symbols")))
+    lists = own.filter(pc.is_valid(own.column("code"))).select(["bucket", "code", "at", "c"]).sort_by("bucket")
     n = dict(zip(counts.column("bucket").to_pylist(), counts.column("n").to_pylist(), strict=True))
-    buckets = sorted(words)
-    c = np.frombuffer(b"".join(c[b] for b in buckets), "<i8")
-    k = np.frombuffer(b"".join(kinds[b] for b in buckets), "<u2")
-    if rest.first:
-        n = first_weights(c.astype(float), states, _hashes([w for b in buckets for w in words[b].split(b"\n")]))
-    else:
-        n = np.concatenate([unpacked(n[b], states) for b in buckets] or [np.zeros((0, states))])
+    buckets, code, at, c = (x.to_pylist() for x in lists.columns)
+    place, c = np.frombuffer(b"".join(code), "<i4").copy(), np.frombuffer(b"".join(c), "<i8")
+    place[place < 0] = symbols + np.arange(len(c))
+    n = np.concatenate([unpacked(n[b], states) for b in buckets] or [np.zeros((0, states))])
     emit = (n + (rest.more * (c + ADD))[:, None]) / rest.total
-    emit[c == 0] = now.emit[symbols - 1 - CLASSES : symbols - 1][k[c == 0]]  # never seen in training
-    found = []
-    for s, other in zip(texts.column("symbols").to_pylist(), texts.column("others").to_pylist(), strict=True):
-        x = np.frombuffer(s, "<u2").astype(np.int32)
-        if other:
-            x[x == RARE] = symbols + np.frombuffer(other, "<i4")
-        found.append(x)
-    return Portion(texts, found, buckets, [at[b] for b in buckets], c, Model(now.start, now.move, np.concatenate([now.emit, emit])))
+    found = [place[from_planes(x)] for x in texts.column("symbols").to_pylist()]
+    return Portion(texts, found, buckets, at, c, Model(now.start, now.move, np.concatenate([now.emit, emit]).astype(kind)))
 
 
-def fit(portions: DataFrame, spread: DataFrame, vocabulary: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
-    """Baum-Welch over all training texts: the model, and ``(bucket, portion, n)``, what the portions' other words are expected to count.
+def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon, buckets: int, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
+    """Baum-Welch over all training texts: the model, and ``(bucket, portion, n)``, what the portions' words without a symbol are expected to count.
 
-    ``portions`` has the rows of ``encoded`` and ``placed`` bucketed by portion, ``spread`` those of ``placed``.
+    ``portions`` has the rows of ``encoded`` and ``placed`` bucketed by portion, ``spread`` those of ``placed``, ``known`` the vocabulary.
     """
-    spark, mass, m, buckets = portions.sparkSession, lex.mass, len(lex.mass), lex.buckets
+    spark, mass, m = portions.sparkSession, lex.mass, len(lex.mass)
     once, chunks = once_seen(lex), -(-m // CHUNK)
     train, static = portions.where("held_out is null or not held_out"), spread.select("bucket", "portion", "at")
 
@@ -510,15 +542,15 @@ def fit(portions: DataFrame, spread: DataFrame, vocabulary: DataFrame, lex: Lexi
     share = 1 / (mass[lex.symbols :].sum() + lex.total + ADD * (m + lex.distinct - lex.symbols))  # prior of a word, by its count
     model = first_model(mass, states, hashes)
     own = first_weights(mass, states, hashes)
-    rest = Rest(0.0, own.sum(axis=0) + sums(vocabulary, "sums")[0], True)
+    rest = Rest(0.0, own.sum(axis=0) + lex.rest)
     model.emit = own / rest.total
-    weights, path = spark.createDataFrame([], "bucket int, portion long, n binary"), None
+    weights, path = spread.select("bucket", "portion", "n"), None
     for _ in range(rounds if lex.total else 0):
         sent = spark.sparkContext.broadcast((model, rest))
 
         def gather(key: tuple, mine: pa.Table, words: pa.Table) -> pa.Table:
             now, rest = sent.value
-            x = portion_of(mine, words, now, rest, m)
+            x = portion_of(mine, words, now, rest, m, np.float32)
             counts, moves, begins = np.zeros((len(x.model.emit), states)), np.zeros((states, states)), np.zeros(states)
             if x.texts:
                 p = pieces(x.model, x.texts)
@@ -548,20 +580,17 @@ def fit(portions: DataFrame, spread: DataFrame, vocabulary: DataFrame, lex: Lexi
                     c, k = np.frombuffer(mine, "<i8"), np.frombuffer(kinds, "<u2")
                     total = np.zeros((len(c), states))
                 elif part == 1 and at is not None:
-                    at, x = np.frombuffer(at, "<i4"), unpacked(n, states)
-                    if total is not None:
-                        total[at[at >= 0]] += x[at >= 0]  # a portion has a word once
+                    total[np.frombuffer(at, "<i4")] += unpacked(n, states)  # a portion has a word once
                 elif part == 1:
                     x = np.frombuffer(n, "<f8").reshape(-1, states) if bucket == buckets + chunks else unpacked(n, states)
                     total = x + (0.0 if total is None else total)
                 else:
-                    at = np.frombuffer(at, "<i4")
-                    yield row(bucket, portion, packed(np.zeros((len(at), states)) if total is None else np.where(at[:, None] >= 0, total[at], 0.0)))
+                    yield row(bucket, portion, packed(total[np.frombuffer(at, "<i4")]) if at else b"")
             if total is not None:
                 yield whole()
 
         up = train.groupBy("portion").cogroup(weights.groupBy("portion")).applyInArrow(gather, "bucket int, at binary, n binary")
-        new, new_path = _written(_by_bucket([vocabulary.select("bucket", "c", "kinds"), up, static]).mapInArrow(add, "bucket int, portion long, n binary"), "weights")
+        new, new_path = _written(_by_bucket([known.select("bucket", "c", "kinds"), up, static]).mapInArrow(add, "bucket int, portion long, n binary"), "weights")
         if path:
             scratch.delete(spark, path)
         path, weights = new_path, new.where("portion >= 0")
@@ -580,18 +609,18 @@ def fit(portions: DataFrame, spread: DataFrame, vocabulary: DataFrame, lex: Lexi
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, dictionary: int = DICTIONARY) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``."""
-    spark = docs.sparkSession
-    counts, path = _written(word_counts(docs.where(~held_out(id_col)), text_col), "counts")
-    lex = lexicon(counts, symbols)
-    known, known_path = _written(vocabulary(counts, lex, states), "vocabulary")
-    scratch.delete(spark, path)
-    rows, path = _written(encoded(docs, lex, id_col, text_col, dictionary), "encoded")
-    spread, spread_path = _written(placed(rows, known), "placed")
-    portions, _ = _written(rows.unionByName(spread, allowMissingColumns=True), "portions", lambda df, name: scratch.bucketed(df, "portion", name))
+    spark, buckets = docs.sparkSession, n_buckets(docs, text_col)
+    rows, path = _written(encoded(docs, buckets, id_col, text_col, dictionary), "encoded")
+    known, known_path = _written(vocabulary(rows), "vocabulary")
+    lex = lexicon(known, states, symbols)
+    spread, spread_path = _written(placed(rows, known, lex, states), "placed")
+    texts = rows.where("symbols is not null").drop("bucket", "words", "seen")
+    portions, _ = _written(texts.unionByName(spread.drop("n"), allowMissingColumns=True), "portions", lambda df, name: scratch.bucketed(df, "portion", name))
     scratch.delete(spark, path)
-    model, rest, weights = fit(portions, spread, known, lex, states, rounds)
+    model, rest, weights = fit(portions, spread, known, lex, buckets, states, rounds)
     scratch.delete(spark, known_path)
-    scratch.delete(spark, spread_path)
+    if lex.total:
+        scratch.delete(spark, spread_path)
     total, distinct, m = lex.total, lex.distinct, len(lex.mass)
     sent = spark.sparkContext.broadcast((model, rest, lex.counts))
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
