@@ -1,20 +1,23 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and its link
-density, those of the blocks before and after it (Kohlschuetter, Fankhauser and Nejdl, 2010), and
-flags for where it stands: inside an article or main element, inside page furniture (by element,
-role, class or id), or in a heading. A decision tree trained on the small labelled table of
-``html_labels`` says which blocks are the article; those are joined in page order.
+density, those of the blocks before and after it (Kohlschuetter, Fankhauser and Nejdl, 2010), the words of its wider
+neighbourhood, and the share of the page's words and the link density of the element that holds it. These are what the
+decision tree splits by first. Element names (inside an article, inside page furniture, a heading) and how much the
+element's class, id and role have been learnt to speak for an article are weak features: a split by one has to be ``HANDICAP`` times as
+good as the best by words and links. Tree and names are learnt from the small labelled table of
+``html_labels``; there is no list of names. Blocks found to be the article are joined in page order.
 
 Null pages count as empty and have an empty text, as have pages without a block of the article.
 Nothing else is dropped or capped. Unclosed and stray tags, comments, CDATA, '<' in running text
-and attributes with '>' are read as browsers do, near enough. Repeated rows give equal texts.
+and attributes with '>' are read as browsers do, near enough. Pages are read in one forward pass. Repeated rows give equal texts.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,45 +28,70 @@ from pyspark.sql import functions as F
 
 from synblock.llm.html_labels import labelled
 
-_RAW = "script|style|noscript|template|textarea|select|button|svg|iframe|object|canvas|audio|video|math|title|datalist"
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""",
-    re.S | re.I,
+_TAG = re.compile(
+    r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*+>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>"'<]*+)(?P<attributes>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^<>]*+)>)""",
+    re.S,
 )
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"sidebar|side|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|footer|header|masthead|topbar|"
-    r"comments?|commentlist|disqus|respond|reply|replies|login|signup|signin|search|copyright|disclaimer|tags|byline|skip)(?:$|[\s_-])",
-    re.I,
-)
-_MAIN_HINT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_FURNITURE = frozenset(("nav", "aside", "footer", "form", "menu", "dialog", "header"))
-_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "note"))
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+#: Element names of the HTML standard by what they hold.
+_RAW = frozenset("script style noscript template textarea title iframe select button svg object canvas audio video math datalist".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HOLDERS = frozenset("article aside body details dialog div fieldset figure footer form head header html main menu nav section table".split())
+_KEPT_OPEN = _HOLDERS | frozenset("ol td ul".split())
+_FURNITURE = frozenset("aside dialog footer form head header menu nav".split())
+
+TEXT = ("words", "density", "words before", "density before", "words after", "density after", "words in 3 before", "words in 3 after", "share of holder", "density of holder")
+WEAK = ("in article", "in furniture", "heading", "names")
+HANDICAP = 2.0
+
+
+class Element(NamedTuple):
+    """An open element with what it passes on to the blocks in it."""
+
+    name: str
+    holder: int
+    article: bool
+    furniture: bool
+    names: float
+    tokens: tuple[str, ...] = ()
+    parent: Element | None = None
 
 
 class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    main: bool
-    furniture: bool
     heading: bool
+    element: Element
+
+
+ROOT = Element("", 0, False, False, 0.0)
 
 
-def blocks(page: str) -> list[Block]:
-    """Flat text blocks of a page in order, white space turned into single spaces."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in main, in furniture
+def tokens_of(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The words of an element's class, id and role, and whether it is hidden."""
+    found, hidden = [], False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id", "role"):
+            found += [x for x in re.split(r"[\s_-]+", value.lower()) if x]
+        elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "aria-hidden" and value == "true"):
+            hidden = True
+    return tuple(found), hidden
+
+
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """Flat text blocks of a page in order, white space turned into single spaces; ``weights`` are those of names."""
+    weights, out, stack, is_open = weights or {}, [], [ROOT], Counter()
     text: list[str] = []
     link: list[str] = []
     in_link = heading = False
+    holders, at, size = 0, 0, len(page)
+    endless: set[str] = set()  # names of raw elements that end nowhere below
 
     def end() -> None:
         nonlocal text, link
@@ -71,8 +99,7 @@ def blocks(page: str) -> list[Block]:
             whole = "".join(text)
             if words := (entities.unescape(whole) if "&" in whole else whole).split():
                 linked = len("".join(link).split()) if link else 0
-                _, main, furniture = stack[-1] if stack else ("", False, False)
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), main, furniture, heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), heading, stack[-1]))
             text, link = [], []
 
     def put(s: str) -> None:
@@ -82,25 +109,45 @@ def blocks(page: str) -> list[Block]:
                 link.append(s)
 
     def close(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-            if name not in _BLOCK and stack[i][0] in _BLOCK:
-                return  # an inline end tag doesn't close blocks
-            if name in ("p", "li") and stack[i][0] in ("article", "main", "section", "div", "td", "ul", "ol", "table", "body", "nav", "header", "footer", "aside", "form"):
+        if not is_open[name]:
+            return
+        if name in ("p", "li"):  # not beyond the element that holds it
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == name:
+                    break
+                if stack[i].name in _KEPT_OPEN:
+                    return
+        while True:
+            last = stack.pop()
+            is_open[last.name] -= 1
+            if last.name == name:
                 return
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        put(page[at : m.start()])
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        m = _TAG.match(page, i)
+        if m is None:
+            put(page[at : i + 1])
+            at = i + 1
+            continue
+        put(page[at:i])
         at = m.end()
-        name = m[3] or m[6]
-        if name is None:
-            if m[1]:
-                text.append(" ")
+        if m["name"] is None:
+            continue
+        name, closing, attributes = m["name"].lower(), bool(m["end"]), m["attributes"]
+        if name in _RAW:
+            if not closing and not attributes.endswith("/") and name not in endless:
+                stop = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                    text.append(" ")
+                elif name in ("script", "style"):
+                    at = size
+                else:
+                    endless.add(name)
             continue
-        name, closing, attributes = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
         if name in _BLOCK:
             end()
             in_link = False
@@ -112,60 +159,55 @@ def blocks(page: str) -> list[Block]:
             put(" ")
         elif name == "a":
             in_link = not closing
+        if name not in _BLOCK or name in _VOID:
+            continue
         if closing:
             close(name)
-        elif name not in _VOID and not attributes.endswith("/"):
-            if name in _BLOCK:
-                close("p")
+        else:
+            close("p")
             if name in ("li", "option"):
                 close(name)
-            _, main, furniture = stack[-1] if stack else ("", False, False)
-            if name in _FURNITURE and not (name == "header" and any(x[0] == "article" for x in stack)):
-                furniture = True
-            if name in ("article", "main"):
-                main = True
-            if attributes:
-                for key, value in _ATTRIBUTE.findall(attributes):
-                    key, value = key.lower(), value.strip("\"'")
-                    if key in ("class", "id"):
-                        if name not in ("html", "body", "article", "main") and _HINT.search(value):
-                            furniture = True
-                        elif _MAIN_HINT.search(value):
-                            main = True
-                    elif key == "role":
-                        furniture |= value.lower() in _ROLES
-                        main |= value.lower() in ("main", "article")
-                    elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "aria-hidden" and value == "true"):
-                        furniture = True
-            if name == "head":
-                furniture = True
-            stack.append((name, main, furniture))
-            if name == "body":  # what was left open in the head doesn't reach the page
-                stack[:] = [(name, main, False)]
+            up = stack[-1]
+            tokens, hidden = tokens_of(attributes) if attributes else ((), False)
+            if name in _HOLDERS or name in ("ol", "ul"):
+                holders += 1
+            inner = name in _HOLDERS or name in ("ol", "ul")
+            furniture = name != "body" and (up.furniture or hidden or (name in _FURNITURE and not (name == "header" and is_open["article"])))
+            score = up.names + sum(weights.get(x, 0.0) for x in tokens)
+            stack.append(Element(name, holders if inner else up.holder, up.article or name in ("article", "main"), furniture, score, tokens, up if tokens or up.tokens or up.parent else None))
+            is_open[name] += 1
     put(page[at:])
     end()
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """Per block: words and link density of it, of the one before and of the one after, then main, furniture, heading."""
+    """Of each block the features named in ``TEXT`` and ``WEAK``."""
+    if not found:
+        return np.zeros((0, len(TEXT) + len(WEAK)))
     words = np.array([b.words for b in found], float)
-    density = np.array([b.linked / b.words for b in found], float)
-    flags = np.array([(b.main, b.furniture, b.heading) for b in found], float).reshape(-1, 3)
+    linked = np.array([b.linked for b in found], float)
+    _, holder = np.unique([b.element.holder for b in found], return_inverse=True)
+    held, held_links = np.bincount(holder, words), np.bincount(holder, linked)
+    flags = np.array([(b.element.article, b.element.furniture, b.heading, b.element.names) for b in found], float).reshape(-1, 4)
     if not flags[:, 0].any():
         flags[:, 0] = 0.5  # the page doesn't say where its article is
+    density, sums, n = linked / words, np.r_[0.0, np.cumsum(words)], np.arange(len(found))
+    near = lambda lo, hi: sums[np.clip(hi, 0, len(found))] - sums[np.clip(lo, 0, len(found))]
     before, after = (lambda x: np.r_[0.0, x[:-1]]), (lambda x: np.r_[x[1:], 0.0])
-    if not len(found):
-        return np.zeros((0, 9))
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags])
+    share, link_share = held[holder] / sums[-1], held_links[holder] / held[holder]
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), near(n - 3, n), near(n + 1, n + 4), share, link_share, flags])
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
-    """A CART tree by Gini impurity: leaves ``(share,)`` and nodes ``(feature, threshold, low, high)``."""
+def train(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 8, handicap: float = HANDICAP, weak: int = len(TEXT)) -> tuple:
+    """A CART tree by Gini impurity: leaves ``(share,)`` and nodes ``(feature, threshold, low, high)``.
+
+    What a split by a feature from ``weak`` on takes off the impurity counts ``1 / handicap``.
+    """
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
         return (share,)
-    best = None
+    best, whole = None, len(y) * share * (1 - share)
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, c, n = x[order, f], np.cumsum(y[order]), len(y)
@@ -173,45 +215,75 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple
         k = k[(k >= least) & (n - k >= least)]
         if len(k):
             a, b = c[k - 1] / k, (c[-1] - c[k - 1]) / (n - k)
-            cost = k * a * (1 - a) + (n - k) * b * (1 - b)
-            i = int(np.argmin(cost))
-            if best is None or cost[i] < best[0] - 1e-12:
-                best = (cost[i], f, (v[k[i]] + v[k[i] - 1]) / 2)
-    if best is None or best[0] >= len(y) * share * (1 - share) - 1e-12:
+            gain = (whole - k * a * (1 - a) - (n - k) * b * (1 - b)) / (handicap if f >= weak else 1.0)
+            i = int(np.argmax(gain))
+            if best is None or gain[i] > best[0] + 1e-12:
+                best = (gain[i], f, (v[k[i]] + v[k[i] - 1]) / 2)
+    if best is None or best[0] <= 1e-12:
         return (share,)
     low = x[:, best[1]] <= best[2]
-    return (best[1], float(best[2]), train(x[low], y[low], depth - 1, least), train(x[~low], y[~low], depth - 1, least))
+    return (best[1], float(best[2]), *(train(x[s], y[s], depth - 1, least, handicap, weak) for s in (low, ~low)))
 
 
-def predict(tree: tuple, row: np.ndarray) -> bool:
+def path(tree: tuple, row: np.ndarray) -> tuple[list[int], bool]:
+    """Features that decide on a block, and the verdict."""
+    used = []
     while len(tree) > 1:
+        used.append(tree[0])
         tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree[0] >= 0.5
+    return used, tree[0] >= 0.5
+
+
+def predict(tree: tuple, row: np.ndarray) -> bool:
+    return path(tree, row)[1]
+
+
+def name_weights(pages: list[str]) -> dict[str, float]:
+    """Of each name in the labelled pages the logarithm of how much more often it holds blocks of the article than others, smoothed."""
+    good, bad, total = Counter(), Counter(), Counter()
+    for page in pages:
+        for b in blocks(page):
+            names, e = set(), b.element
+            while e is not None:
+                names.update(e.tokens)
+                e = e.parent
+            is_good = b.text[0] == "+"
+            total[is_good] += 1
+            (good if is_good else bad).update(names)
+    odds = (total[True] + 1) / (total[False] + 1)
+    return {x: float(np.log((good[x] + 1) / (bad[x] + 1) / odds)) for x in good | bad}
+
+
+class Classifier(NamedTuple):
+    tree: tuple
+    weights: dict[str, float]
 
 
-def classifier() -> tuple:
-    """The tree trained on the labelled table."""
-    x, y = [], []
-    for page in labelled():
-        found = blocks(page)
+def classifier(pages: list[str] | None = None, handicap: float = HANDICAP) -> Classifier:
+    """Learnt from the labelled table; with an infinite handicap, from words and links alone."""
+    pages = labelled() if pages is None else pages
+    weights, x, y = name_weights(pages), [], []
+    for page in pages:
+        found = blocks(page, weights)
         x.append(features(found))
         y += [b.text[0] == "+" for b in found]
-    return train(np.concatenate(x), np.array(y, float))
+    x = np.concatenate(x)
+    return Classifier(train(x if np.isfinite(handicap) else x[:, : len(TEXT)], np.array(y, float), handicap=handicap), weights)
 
 
-def main_text(page: str | None, tree: tuple) -> str:
+def main_text(page: str | None, by: Classifier) -> str:
     """The article of one page."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if predict(tree, row))
+    found = blocks(page or "", by.weights)
+    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if predict(by.tree, row))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id_col, url_col, text, n_chars)`` for every row of ``pages``."""
-    tree = classifier()
+    by = classifier()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(p.as_py(), tree) for p in b.column(2)]
+            text = [main_text(p.as_py(), by) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias("_h"))

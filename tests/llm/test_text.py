@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as tokenizers
@@ -8,6 +10,7 @@ import tiktoken
 from synblock.llm import bpe, edits, html, html_labels, quality
 from synblock.llm.queries import PATTERN, RANKS
 
+FOLDER = "/root/testdata/sf0.001"
 ALPHABET = [*"ab'sdtre.,  \n\t\r\x0b\x0c\x1c\x85\xa0　é漢0١½_-!?😀​᠎", "'ll", " the", "tion", "\n\n"]
 
 
@@ -77,15 +80,51 @@ def test_edits_over_tables(spark, library):
 
 
 def test_html_tree_reads_its_table():
-    tree, wrong, n = html.classifier(), 0, 0
+    by, wrong, n = html.classifier(), 0, 0
     for page in html_labels.labelled():
-        found = html.blocks(page)
+        found = html.blocks(page, by.weights)
         for b, row in zip(found, html.features(found), strict=True):
             n += 1
-            wrong += html.predict(tree, row) != (b.text[0] == "+")
+            wrong += html.predict(by.tree, row) != (b.text[0] == "+")
     assert n > 100 and wrong <= 0.02 * n
 
 
+def verdicts(by, pages, is_article):
+    """Of all blocks: features that decided, verdict, truth, and what element names alone would say."""
+    for page in pages:
+        found = html.blocks(page or "", by.weights)
+        for b, row in zip(found, html.features(found), strict=True):
+            yield *html.path(by.tree, row), is_article(b), b.element.article and not b.element.furniture
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+def test_words_and_links_decide_first(spark):
+    by = html.classifier()
+    pages = [r["html"] for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select("html").collect()]
+    found = list(verdicts(by, pages, lambda b: b.element.article))
+    assert found and all(used[0] < len(html.TEXT) for used, *_ in found)
+    assert all(said == true for _, said, true, _ in found)
+    bare = list(verdicts(html.classifier(handicap=float("inf")), pages, lambda b: b.element.article))  # no names at all
+    assert sum(said != true for _, said, true, _ in bare) <= 0.05 * len(bare)
+    own = list(verdicts(by, html_labels.labelled(seed=5), lambda b: b.text[0] == "+"))
+    assert sum(said != true for _, said, true, _ in own) < 0.05 * len(own)
+    assert sum(said != names for _, said, _, names in own) > 0.1 * len(own)
+
+
+def test_html_names_that_mislead():
+    by, words = html.classifier(), lambda n: " ".join(["word"] * n)
+    for name in ("side-note", "tags", "search", "share", "skip"):
+        page = f"<nav><a>a</a><a>b</a></nav><article><h1>t</h1><p>{words(60)}</p><div class='{name}'><p>{words(50)}</p><p>{words(40)}</p></div></article><footer>f</footer>"
+        assert html.main_text(page, by) == "t " + words(150), name
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a "', "<a '>'", "<b>", "<button>", "<", "<!--", "</p>", "<p><blockquote>", "<div class=a>"])
+def test_html_hostile_pages_are_linear(piece):
+    began = time.process_time()
+    html.features(html.blocks(piece * (1_000_000 // len(piece))))
+    assert time.process_time() - began < (1 if piece.startswith("<a") else 4)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
