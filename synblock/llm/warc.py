@@ -1,8 +1,9 @@
 """WARC archives as a PySpark Python data source.
 
 Writing: each task writes one file under a name of its own attempt; the driver's commit lists
-the files of the attempts that count in ``_manifest.json``. A lost executor's half-written files
-are therefore never read. Every record is a gzip member whose header has the ``sl`` (skip lengths)
+the files of the attempts that count in a manifest of its own, and readers read what all manifests list. A lost executor's half-written files
+are therefore never read, and appending leaves what was there. Overwriting takes the manifests and files from before away once the new manifest is
+there. Every record is a gzip member whose header has the ``sl`` (skip lengths)
 field that the standard proposes.
 
 Reading: one partition per file. Equality, IN and null predicates on the record type and the other header
@@ -10,6 +11,9 @@ columns are pushed down; a record's headers are inflated first and, if they don'
 the reader seeks to the next record without inflating or decoding its payload. The option ``payload=false`` skips
 all payloads. Plain ``.warc`` files and gzip members without the field are read too.
 
+Paths without a scheme are taken as Hadoop takes them (``read`` and ``archive`` complete them on the driver). Blocks of
+records that aren't HTTP messages are payloads as they are.
+
 Null payloads are written as empty ones, null ids and URLs leave their headers out. Control
 characters in header values are percent-encoded. An empty table makes an archive without records.
 """
@@ -34,6 +38,7 @@ from synblock import scratch
 
 LEAST = 1000
 NAME = "warc"
+MANIFEST = "_manifest"
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _FIELDS = ("record_type", "record_id", "target_uri", "date", "payload_digest", "refers_to", "payload_bytes", "payload")
@@ -84,8 +89,8 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, plain: bool):
-        self.path, self.plain = path, plain
+    def __init__(self, path: str, plain: bool, overwrite: bool = False):
+        self.path, self.plain, self.overwrite = path, plain, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         name, out, n, size = f"part-{uuid.uuid4().hex}.warc" + ("" if self.plain else ".gz"), None, 0, 0
@@ -106,9 +111,15 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, at = _open(self.path)
         fs.create_dir(at, recursive=True)
+        before = [i.path for i in fs.get_file_info(arrow_fs.FileSelector(at)) if i.type == arrow_fs.FileType.File] if self.overwrite else []
         files = [{"file": m.file, "size": m.size, "records": m.records} for m in messages if m is not None and m.file]
-        with fs.open_output_stream(f"{at}/_manifest.json", compression=None) as f:
+        written = {x["file"] for x in files}
+        with fs.open_output_stream(f"{at}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps({"files": files}).encode())
+        old = [x for x in before if x.rsplit("/", 1)[-1] not in written]
+        for x in sorted(old, key=lambda x: MANIFEST not in x.rsplit("/", 1)[-1]):  # manifests first
+            if x.endswith((".warc", ".warc.gz")) or x.rsplit("/", 1)[-1].startswith(MANIFEST):
+                fs.delete_file(x)
 
     def abort(self, messages: list) -> None:
         """Nothing: files that no manifest lists are not read."""
@@ -159,13 +170,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_File]:
         fs, at = _open(self.path)
-        if fs.get_file_info(f"{at}/_manifest.json").type == arrow_fs.FileType.File:
-            with fs.open_input_stream(f"{at}/_manifest.json") as f:
-                names = [f"{at}/{x['file']}" for x in json.loads(f.read())["files"]]
-        elif fs.get_file_info(at).type == arrow_fs.FileType.File:
-            names = [at]
-        else:
-            names = sorted(i.path for i in fs.get_file_info(arrow_fs.FileSelector(at)) if i.path.endswith((".warc", ".warc.gz")))
+        if fs.get_file_info(at).type == arrow_fs.FileType.File:
+            return [_File(at)]
+        found = sorted(i.path for i in fs.get_file_info(arrow_fs.FileSelector(at)) if i.type == arrow_fs.FileType.File)
+        manifests = [x for x in found if x.rsplit("/", 1)[-1].startswith(MANIFEST)]
+        names = [] if manifests else [x for x in found if x.endswith((".warc", ".warc.gz"))]  # an archive made elsewhere
+        for x in manifests:
+            with fs.open_input_stream(x) as f:
+                names += [f"{at}/{y['file']}" for y in json.loads(f.read())["files"]]
         return [_File(n) for n in names]
 
     def _accepts(self, head: dict[str, str]) -> bool:
@@ -173,7 +185,10 @@ class _Reader(DataSourceReader):
 
     def _row(self, head: dict[str, str], block: bytes | None) -> tuple:
         length, payload = None, None
-        if block is not None:
+        if block is not None and not head.get("content-type", "").lower().startswith("application/http"):
+            stated = head.get("content-length", "")
+            length, payload = int(stated) if stated.isdigit() else len(block), block if self.payload else None
+        elif block is not None:
             http, _, payload = block.partition(b"\r\n\r\n")
             named = _headers(http)
             length = int(named["content-length"]) if named.get("content-length", "").isdigit() else len(payload)
@@ -277,7 +292,7 @@ class WarcDataSource(DataSource):
         return _Reader(self.options["path"], self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], self.options.get("compression", "gzip").lower() == "none")
+        return _Writer(self.options["path"], self.options.get("compression", "gzip").lower() == "none", overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -302,15 +317,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def archive(pages: DataFrame, path: str, **columns) -> None:
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Hadoop gives it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def archive(pages: DataFrame, path: str, mode: str = "append", **columns) -> None:
     """Writes ``pages`` to WARC files at ``path``."""
     register(pages.sparkSession)
-    records(pages, **columns).write.format(NAME).mode("append").save(path)
+    records(pages, **columns).write.format(NAME).mode(mode).save(qualified(pages.sparkSession, path))
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format(NAME).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(NAME).option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

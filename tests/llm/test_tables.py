@@ -129,6 +129,28 @@ def test_warc_source(spark, tmp_path, compression):
     assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 4
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    page = lambda a, b: spark.createDataFrame([(i, f"u{i}", f"page {i}", "") for i in range(a, b)], PAGES)
+    ids = lambda: sorted(r["target_uri"] for r in warc.read(spark, path).select("target_uri").collect())
+    for a, b in ((0, 5), (5, 9), (9, 9)):
+        warc.archive(page(a, b), path)
+    assert ids() == [f"u{i}" for i in range(9)]
+    warc.archive(page(20, 22), path, mode="overwrite")
+    assert ids() == ["u20", "u21"] and sum(x.suffix == ".gz" for x in (tmp_path / "archive").iterdir()) <= 2
+    warc.archive(page(30, 31), path)
+    assert ids() == ["u20", "u21", "u30"]
+
+
+def test_blocks_that_are_not_http_are_payloads(tmp_path):
+    text = b"software: x\r\n\r\nformat: y"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(text)}\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(head + text + b"\r\n\r\n" + warc.record("response", "i", "u", None, None, None, 2, b"hi"))
+    for payload, want in ((True, [(len(text), text), (2, b"hi")]), (False, [(len(text), None), (2, None)])):
+        reader = warc._Reader(str(tmp_path), payload)
+        assert [r[-2:] for p in reader.partitions() for r in reader.read(p)] == want
+
+
 def test_foreign_gzip_members(tmp_path):
     import gzip
 
