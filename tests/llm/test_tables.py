@@ -92,6 +92,18 @@ def test_top_k_matches_brute_force(spark):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert dict(got) == want
     assert topk.top_k(spark.createDataFrame([], VECTORS)).collect() == []
+    few = topk.top_k(spark.createDataFrame(rows, VECTORS), shard=64, block=4).collect()  # a job per four queries
+    assert sorted(few) == sorted(out)
+
+
+def test_products_beyond_64_bits_are_exact(spark):
+    wide = "vec_id long, embedding array<double>"
+    rows = [(0, [1e10, 1e10, 1.0])] + [(i, [1e10, -1e10, float(i % 30)]) for i in range(1, 60)]
+    got = topk.top_k(spark.createDataFrame(rows, wide), every=1000, k=5).orderBy("rank").collect()
+    want = sorted(((sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(rows[0][1], v, strict=True)), -i) for i, v in rows[1:]), reverse=True)[:5]
+    assert [(r["score"], -r["vec_id"]) for r in got] == want
+    with pytest.raises(Exception, match="OverflowError|too large|too big"):
+        topk.top_k(spark.createDataFrame([*rows, (70, [1e18, 1e18, 0.0])], wide), every=1000, k=5).collect()
 
 
 PAGES = "page_id long, url string, html string, record_type string"
