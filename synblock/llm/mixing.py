@@ -2,14 +2,14 @@
 
 Every source gets a word target; a target above the source's size is met by complete epochs
 first and a fractional selection after them. For the fraction each document draws the
-exponential key -ln(u)/w, where u comes from a hash of its id and w is its quality weight;
-documents sorted by key within their source and prefix-summed to the rest of the target are
+exponential key -ln(u)/w, where u comes from a hash of its id, its text and, for rows equal in
+these and in source, of a number among them, and w is its quality weight; documents sorted by key within their source and prefix-summed to the rest of the target are
 those of a weighted sample without replacement (Efraimidis and Spirakis, 2006). The prefix sum is
 never laid out over one task: ``weighted_cuts`` finds, for all sources at once and by
 histograms, the key at which each source's sum reaches its budget.
 
-Null texts have size 0; null sources are a source of their own, last in order. Rows repeated
-are rows of their own with equal keys and share one decision. A document at the budget's edge is
+Null texts have size 0; null sources are a source of their own, last in order. Rows with null or shared ids and rows repeated
+are decided each on its own. The driver holds a row per source, and a pass' histogram. A document at the budget's edge is
 taken when its midpoint is inside. An empty table gives an empty table.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synblock import scratch
+from synblock.operators.distinct import copies
 from synblock.operators.quantile import weighted_cuts
 
 WEIGHTS = (5, 2, 1)
@@ -26,7 +27,7 @@ TOTAL = 1.5
 MOST = 2
 SEED = "mix"
 FEW = 50_000
-SIZE, KEY = "__mix_size", "__mix_key"
+SIZE, KEY, ROW, SAME, COPY = "__mix_size", "__mix_key", "__mix_row", "__mix_same", "__mix_copy"
 SOURCE_SIZE, TARGET, TAKEN = "__mix_source_size", "__mix_target", "__mix_taken"
 
 
@@ -40,12 +41,25 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.25), 1.0 - 4.0 * symbols / F.greatest(F.length(text), F.lit(1))), F.lit(1.0))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """``docs`` with the size and the sampling key of each row."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """``docs`` with the size and the quality weight of each row, and a hash that only rows equal in id, text and source share."""
+    name = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    same = F.md5(F.concat(name, F.lit(":"), F.col(source_col).isNull().cast("string"), F.coalesce(F.col(source_col).cast("string"), F.lit(""))))
+    return docs.withColumns({SIZE: n_words(F.col(text_col)), "__mix_w": quality(F.col(text_col)), "__mix_name": name, SAME: same})
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """The sampling key of each row of ``measured`` with its number among equal rows."""
+    digits = F.substring(F.md5(F.concat(F.col("__mix_name"), F.lit(":"), F.col(COPY).cast("string"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
-    key = F.floor(-F.log(u) / quality(F.col(text_col)) * float(1 << 50)).cast("long")
-    return docs.withColumns({SIZE: n_words(F.col(text_col)), KEY: key})
+    key = F.floor(-F.log(u) / F.col("__mix_w") * float(1 << 50)).cast("long")
+    return rows.withColumn(KEY, key).drop("__mix_name", "__mix_w", SAME, COPY)
+
+
+def numbered(rows: DataFrame, slim: DataFrame) -> DataFrame:
+    """``rows`` with their numbers among rows equal to them, which ``slim`` (the written rows of ``measured``) tells."""
+    again = scratch.materialize(copies(slim, SAME, ROW).where("copy > 0").withColumnsRenamed({"copy": COPY}), "again")
+    return rows.join(sized(again), ROW, "left").withColumn(COPY, F.coalesce(COPY, F.lit(0)))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST) -> list[float]:
@@ -97,27 +111,41 @@ def decided(rows: DataFrame, table: DataFrame, source_col: str = "source") -> Da
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``(id_col, size, source_size, target, taken)`` for every row of ``docs``."""
-    slim = scratch.materialize(keyed(docs, id_col, text_col, seed).select(id_col, source_col, SIZE, KEY), "mix")
-    out = decided(slim, plan(slim, source_col, weights, total, most), source_col)
+    slim = measured(docs, id_col, text_col, source_col, seed).select(id_col, source_col, SIZE, "__mix_w", "__mix_name", SAME)
+    slim = scratch.materialize(slim.withColumn(ROW, F.monotonically_increasing_id()), "mix")
+    rows = scratch.materialize(keyed(numbered(slim, slim)).drop(ROW), "keyed")
+    out = decided(rows, plan(rows, source_col, weights, total, most), source_col)
     return out.select(id_col, F.col(SIZE).alias("size"), F.col(SOURCE_SIZE).alias("source_size"), F.col(TARGET).alias("target"), F.col(TAKEN).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
-    rows = keyed(docs, id_col, text_col, seed)
-    slim = scratch.materialize(rows.select(id_col, source_col, SIZE, KEY), "mix")
-    out = decided(rows, plan(slim, source_col, weights, total, most), source_col).where("__mix_times > 0")
-    return out.withColumn("__mix_copy", F.explode(F.expr("sequence(1, __mix_times)"))).select(*docs.columns)
+    """The mix itself: rows of ``docs``, each as often as it is taken, with the columns of ``docs``.
+
+    Only where some rows are equal in id, text and source ``docs`` is written, so as to give its rows numbers.
+    """
+    rows = measured(docs, id_col, text_col, source_col, seed)
+    slim = scratch.materialize(rows.select(source_col, SIZE, "__mix_w", "__mix_name", SAME), "mix")
+    if slim.groupBy(SAME).count().where("count > 1").limit(1).count():
+        rows = measured(scratch.materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows"), id_col, text_col, source_col, seed)
+        slim = scratch.materialize(rows.select(source_col, SIZE, "__mix_w", "__mix_name", SAME, ROW), "mix")
+        rows, slim = numbered(rows, slim), numbered(slim, slim)
+    else:
+        rows, slim = rows.withColumn(COPY, F.lit(0)), slim.withColumn(COPY, F.lit(0))
+    out = decided(keyed(rows), plan(scratch.materialize(keyed(slim), "keyed"), source_col, weights, total, most), source_col).where("__mix_times > 0")
+    return out.withColumn("__mix_n", F.explode(F.expr("sequence(1, __mix_times)"))).select(*docs.columns)
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, text,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
+    'mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' AS name,
+    row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS copy FROM documents),
+h AS (
+  SELECT *, (CAST('0x' || substr(md5(name || CAST(copy AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
     coalesce(greatest(0.25::DOUBLE, 1::DOUBLE - 4::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)), 1::DOUBLE) AS w
-  FROM documents),
-k AS (SELECT doc_id, source, size, CAST(floor(-ln(u) / w * 1125899906842624::DOUBLE) AS BIGINT) AS key FROM d),
+  FROM d),
+k AS (SELECT doc_id, source, size, CAST(floor(-ln(u) / w * 1125899906842624::DOUBLE) AS BIGINT) AS key FROM h),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM k GROUP BY source),
 v AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 2::DOUBLE * n / w, i) AS r FROM v),

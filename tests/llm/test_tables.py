@@ -42,6 +42,18 @@ def test_mix_matches_sql(spark):
     assert mixing.mix(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_mix_decides_rows_with_null_and_shared_ids_each(spark):
+    text = lambda i: f"word{i} " * 160
+    rows = [(None, text(i), "en", "s", "x") for i in range(200)] + [(7, text(i), "en", "t", "x") for i in range(200)] + [(8, "same " * 160, "en", "u", str(i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copy string").repartition(7)
+    out = mixing.mix(docs.join(docs.sparkSession.range(1)).drop("id")).toPandas()
+    for _, g in out.assign(source=out["doc_id"].map({7: "t", 8: "u"}).fillna("s")).groupby("source"):
+        assert g["size"].sum() == 200 * 160 and abs(g["taken"].sum() - g["target"].iloc[0]) <= 160
+    mixed = mixing.mixed(docs).toPandas()
+    assert list(mixed.columns) == docs.columns
+    assert (mixed["source"].value_counts() * 160).to_dict() == out.groupby(out["doc_id"].map({7: "t", 8: "u"}).fillna("s"))["taken"].sum().to_dict()
+
+
 def test_targets():
     for sizes in ([("a", 10)], [("a", 100), ("b", 100), ("c", 100)], [("a", 0), ("b", 5)], [("a", 1), ("b", 1000), ("c", 3), ("d", 500)]):
         t = mixing.targets(sizes)
