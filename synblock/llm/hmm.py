@@ -29,6 +29,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +91,22 @@ def from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32)
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    kept = pc.not_equal(flat, "")
+    some = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(sizes)
+    return flat.filter(kept), some[ends] - some[ends - sizes]
+
+
 def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
     """Portions of the documents: a row per document, and a row per portion and bucket of its words.
 
     ``symbols`` are places in the portion's list of words, which is sorted by bucket; ``words`` has the list, ``seen``
-    how often the words occur in training texts of the portion. The empty word is the end token. A portion ends with the document that brings it to
-    ``dictionary`` words or to ``tokens``.
+    how often the words occur in training texts of the portion. The empty word is the end token. A portion has at most
+    ``dictionary`` words and about ``tokens``, or else a single document.
     """
     schema = f"portion long, `{id_col}` long, held_out boolean, n_tokens long, symbols binary, bucket int, words binary, seen binary"
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
@@ -105,49 +116,54 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         portion = (TaskContext.get().partitionId() << 24) if TaskContext.get() else 0
-        local: defaultdict[bytes, int] = defaultdict()
-        local.default_factory = local.__len__  # a new word gets the next number
-        held: list[tuple] = []
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(local)
+        def flush(ids: list, held: list, flat: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal portion
+            coded = flat.dictionary_encode()
+            if len(coded.dictionary) > dictionary and len(ids) > 1:
+                half, at = len(ids) // 2, int(sizes[: len(ids) // 2].sum())
+                yield from flush(ids[:half], held[:half], flat[:at], sizes[:half])
+                yield from flush(ids[half:], held[half:], flat[at:], sizes[half:])
+                return
+            words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]
             at = _hashes(words).view(np.int64) % buckets
             order = np.argsort(at, kind="stable")
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            seen, some = np.zeros(len(words), np.int64), []
-            for i, h, s in held:
-                s = rank[s]
-                if not h:
-                    seen += np.bincount(s, minlength=len(words)) if len(s) > len(words) // 8 else 0
-                    if len(s) <= len(words) // 8:
-                        np.add.at(seen, s, 1)
-                some.append((portion, i, h, len(s), planes(s), None, None, None))
+            ends = np.cumsum(sizes + 1)
+            symbols = np.full(int(ends[-1]), rank[-1], np.int32)
+            inner = np.ones(len(symbols), bool)
+            inner[ends - 1] = False
+            symbols[inner] = rank[coded.indices.to_numpy()]
+            train = np.repeat(~np.array(held, bool), sizes + 1)
+            seen, some = np.bincount(symbols[train], minlength=len(words)), []
+            for i, h, x, y in zip(ids, held, (ends - sizes - 1).tolist(), ends.tolist(), strict=True):
+                some.append((portion, i, h, y - x, planes(symbols[x:y]), None, None, None))
                 if len(some) == 256:
                     yield batch(some)
                     some = []
             found, starts = np.unique(at[order], return_index=True)
             for k, x, y in zip(found.tolist(), starts.tolist(), np.append(starts, len(words))[1:].tolist(), strict=True):
                 some.append((portion, None, None, None, None, k, b"\n".join(words[j] for j in order[x:y].tolist()), seen[x:y].astype("<i4").tobytes()))
-            if some:
-                yield batch(some)
+            yield batch(some)
+            portion += 1
 
+        ids, held, flats, sizes = [], [], [], []
         for b in batches:
-            for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = words_of(text.as_py())
-                found.append(END)
-                held.append((i, h, np.fromiter(map(local.__getitem__, found), np.int32, len(found))))
-                size += len(found)
-                if size >= tokens or len(local) >= dictionary:
-                    yield from flush()
-                    local.clear()
-                    held.clear()
-                    size, portion = 0, portion + 1
-        if held:
-            yield from flush()
-
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids += part.column(0).to_pylist()
+                held += part.column(1).to_pylist()
+                flat, n = words_in(part.column(2))
+                flats.append(flat)
+                sizes.append(n)
+                if sum(map(len, flats)) >= tokens:
+                    yield from flush(ids, held, pa.concat_arrays(flats), np.concatenate(sizes))
+                    ids, held, flats, sizes = [], [], [], []
+        if ids:
+            yield from flush(ids, held, pa.concat_arrays(flats), np.concatenate(sizes))
+
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("string").alias("_t"))
     return rows.mapInArrow(of, schema)
 
 
@@ -309,12 +325,13 @@ def active(lengths: np.ndarray) -> list[int]:
 
 def transfers(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
     """The matrix of each piece, up to a factor: row i is the vector behind it after state i before it (at a text's start: after none)."""
-    k, starts, steps = len(model.start), p.starts[some], active(p.lengths[some])
-    out, whole = np.empty((len(some), k, k)), np.ones(k * k)
+    k, starts, steps, kind = len(model.start), p.starts[some], active(p.lengths[some]), model.emit.dtype
+    out, whole, move = np.empty((len(some), k, k), kind), np.ones(k * k, kind), model.move.astype(kind)
+    every = 8 if kind == np.float64 else 2  # before numbers get too small
     for t, n in enumerate(steps):
         e = model.emit[p.flat[starts[:n] + t]][:, None, :]
-        out[:n] = (np.where(p.first[some][:, None, None], model.start, model.move) if t == 0 else (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k)) * e
-        if t % 8 == 7 or t + 1 == len(steps) or steps[t + 1] < n:
+        out[:n] = (np.where(p.first[some][:, None, None], model.start.astype(kind), move) if t == 0 else (out[:n].reshape(-1, k) @ move).reshape(n, k, k)) * e
+        if t % every == every - 1 or t + 1 == len(steps) or steps[t + 1] < n:
             out[:n] /= (out[:n].reshape(n, -1) @ whole)[:, None, None]
     return out
 
@@ -394,17 +411,17 @@ def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIE
         return total
     p, one = pieces(model, texts, size), np.ones(len(model.start))
     for some in p.batches():
-        starts, a, product = p.starts[some], None, np.ones(len(some))
-        sums, steps = np.zeros(len(some)), active(p.lengths[some])
-        for t, n in enumerate(steps):
-            a = (np.where(p.first[some][:, None], model.start, p.entry[some] @ model.move) if a is None else a[:n] @ model.move) * model.emit[p.flat[starts[:n] + t]]
-            c = a @ one
-            a /= c[:, None]
-            product[:n] *= c
-            if t % 16 == 15 or t + 1 == len(steps) or steps[t + 1] < n:
-                sums += np.log10(product)
-                product[:] = 1.0
-        np.add.at(total, p.owner[some], sums)
+        starts, steps = p.starts[some], active(p.lengths[some])
+        alphas = model.emit[p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])]]  # step by step
+        scales, a, end = np.empty(len(alphas)), None, 0
+        for n in steps:
+            now, end = alphas[end : end + n], end + n
+            now *= np.where(p.first[some][:, None], model.start, p.entry[some] @ model.move) if a is None else a[:n] @ model.move
+            c = np.matmul(now, one, out=scales[end - n : end])
+            now /= c[:, None]
+            a = now
+        owner = p.owner[some][np.concatenate([np.arange(n) for n in steps])]
+        total += np.bincount(owner, weights=np.log10(scales), minlength=len(total))
     return total
 
 
@@ -457,19 +474,23 @@ def placed(portions: DataFrame, known: DataFrame, lex: Lexicon, states: int = ST
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = {w: i for i, w in enumerate(sent.value)}
-        now, ids, counts = None, {}, np.zeros(0, np.int64)
+        now, none = None, ({}, np.zeros(0, np.int64), np.zeros(0, "<i4"), np.zeros((0, states)))
+        ids, counts, codes, first = none
         for bucket, part, portion, words, c in _rows(batches, "bucket", "part", "portion", "words", "c"):
             if bucket != now:
-                now, ids, counts = bucket, {}, np.zeros(0, np.int64)
+                now, (ids, counts, codes, first) = bucket, none
+            mine = words.split(b"\n")
             if part == 0:
-                ids, counts = {w: i for i, w in enumerate(words.split(b"\n"))}, np.frombuffer(c, "<i8")
+                ids, counts = {w: i for i, w in enumerate(mine)}, np.frombuffer(c, "<i8")
+                codes = np.fromiter(map(symbol.get, mine, repeat(-1)), "<i4", len(mine))
+                first = first_weights(counts.astype(float), states, _hashes(mine))
                 continue
-            mine = words.split(b"\n")
-            code = np.array([symbol[w] if w in symbol else -1 if w in ids else end if w == END else unseen + class_of(w) for w in mine], "<i4")
-            own = [mine[i] for i in np.flatnonzero(code < 0).tolist()]
-            at = np.fromiter(map(ids.__getitem__, own), "<i4", len(own))
-            n = packed(first_weights(counts[at].astype(float), states, _hashes(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (code.tobytes(), at.tobytes(), counts[at].astype("<i8").tobytes(), n))], ["portion", "bucket", "code", "at", "c", "n"])
+            at = np.fromiter(map(ids.get, mine, repeat(-1)), "<i4", len(mine))
+            code = np.append(codes, -1).astype("<i4")[at]
+            for i in np.flatnonzero(at < 0).tolist():
+                code[i] = end if mine[i] == END else unseen + class_of(mine[i])
+            at = at[code < 0]
+            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (code.tobytes(), at.tobytes(), counts[at].astype("<i8").tobytes(), packed(first[at])))], ["portion", "bucket", "code", "at", "c", "n"])
 
     rows = _by_bucket([known.select("bucket", "words", "c"), portions.where("bucket is not null").select("bucket", "portion", "words")])
     return rows.mapInArrow(number, "portion long, bucket int, code binary, at binary, c binary, n binary")
