@@ -3,7 +3,8 @@
 The law is ``bytes``: shards hold nearly equal sizes. The tree splits its nodes, all of a level at
 once, at a weighted median (weighted by size, in the proportion of the leaves on either side)
 along the widest dimension of each node, until every leaf has the target bytes. The dimensions
-are metadata: the length of the text (logarithm), its source and its language. Medians are exact
+are metadata: the length of the text (logarithm), its source and its language, the latter two as exact ranks
+of their values, whatever these have in common. Medians are exact
 and distributed: ``weighted_cuts`` narrows them down by histograms, the driver seeing at most
 1024 numbers a node and pass.
 
@@ -13,40 +14,52 @@ more than ``tolerance`` of a shard: then it is cut too, by a hash of the ids, so
 any size leaves the shards even. Slots are numbered without gathering a shard in a task.
 
 A null text has no bytes (size 8, CRC of the empty string); null sources and languages are values
-of their own. Rows repeated keep slots of their own; rows equal in id and text can't be
-told apart by a cut and stay together. An empty table gives an empty table.
+of their own, last in order. Rows repeated keep slots of their own, and are told apart by a number where a cut goes
+through them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from synblock import scratch
+from synblock.operators.distinct import copies, places
 from synblock.operators.quantile import weighted_cuts
 
 SHARDS = 24
 OVERHEAD = 8
 TOLERANCE = 0.002
 RUN = 2000
+FEW = 50_000
 _UNIT = (1 << 30) - 1
 
 
-def _place(c: Column) -> Column:
-    """A value's place in [0, 2**30): that of its first six bytes, so that near strings are near."""
-    return F.shiftright(F.conv(F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("\x7f")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long"), 18)
+def _placed(slim: DataFrame, name: str) -> DataFrame:
+    """Column ``name`` turned from values into places in [0, 2**30): their ranks, spread evenly."""
+    table = scratch.materialize(places(slim, name), "places")
+    last = max(1, (table.agg(F.max("place")).first()[0] or 0))
+    ranked = table.select(F.col("value").alias("_v"), F.floor(F.col("place") * (_UNIT / last)).cast("long").alias("_p"))
+    ranked = F.broadcast(ranked) if last < FEW else ranked
+    return slim.join(ranked, F.col(name).eqNullSafe(F.col("_v")), "left").withColumn(name, F.col("_p")).drop("_v", "_p")
 
 
 def points(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...]) -> DataFrame:
     """A slim row per document: size, CRC, one order key per dimension and one that tells rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    group = F.struct(F.octet_length(text).cast("long").alias("n"), F.crc32(text.cast("binary")).alias("c"), F.xxhash64(text).alias("h"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("g"), *(_place(F.col(d)).alias(f"d{i}") for i, d in enumerate(dims)))
-    slim = slim.select("doc_id", "size", "text_crc32", "g.h", *(f"d{i}" for i in range(len(dims))))
-    slim = scratch.materialize(slim, "points")
+    one = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.octet_length(text).cast("string"), F.crc32(text.cast("binary")).cast("string"), F.xxhash64(text).cast("string")))
+    slim = docs.select(
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), one.alias("one"),
+        *(F.col(d).cast("string").alias(f"d{i}") for i, d in enumerate(dims)),
+    )
+    slim = scratch.materialize(slim.withColumn("row", F.monotonically_increasing_id()), "points")
+    number = scratch.materialize(copies(slim, "one", "row").where("copy > 0"), "copies")
+    for i in range(len(dims)):
+        slim = _placed(slim, f"d{i}")
+    slim = scratch.materialize(slim.drop("one"), "placed")
     by = ["h", "size", "text_crc32"]
     # only groups with two texts or more are looked up; written, so that either side of the join has its exchange
     least = slim.groupBy(*by).agg(F.count("*").alias("_n"), *(F.min(f"d{i}").alias(f"m{i}") for i in range(len(dims)))).where("_n > 1").drop("_n")
@@ -54,8 +67,8 @@ def points(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...]) -
     tail = F.pmod("h", F.lit(1 << 32)).cast("long")
     length = F.floor(F.log2("size") / 40.0 * _UNIT).cast("long")
     keys = [(F.shiftleft(x, 32) + tail).alias(f"k{i}") for i, x in enumerate([length, *(F.coalesce(f"m{i}", f"d{i}") for i in range(len(dims)))])]
-    salt = F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 2).alias("salt")
-    return slim.join(least, by, "left").select("doc_id", "size", "text_crc32", *keys, salt)
+    salt = F.shiftrightunsigned(F.xxhash64("doc_id", "h", F.coalesce("copy", F.lit(0).cast("long"))), 2).alias("salt")
+    return slim.join(least, by, "left").join(number, "row", "left").select("doc_id", "size", "text_crc32", *keys, salt)
 
 
 def _leaves(shards: int) -> list[dict]:
@@ -69,7 +82,7 @@ def _leaves(shards: int) -> list[dict]:
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang"), tolerance: float = TOLERANCE) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for every row of ``docs``."""
-    at = scratch.materialize(points(docs, id_col, text_col, dims).withColumn("node", F.lit(0)), "kd")
+    at, path = scratch.written(points(docs, id_col, text_col, dims).withColumn("node", F.lit(0)), "kd")
     n = len(dims) + 1
     for level in _leaves(shards):
         split = [k for k, (_, right) in level.items() if right]
@@ -105,7 +118,9 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
         key_at = F.element_at(F.array(*(F.lit(torn.get(k, every[k])).cast("long") for k in range(size))), F.col("node") + 1)
         salt_at = F.element_at(F.array(*(F.lit(salt_cut.get(k, 0)).cast("long") for k in range(size))), F.col("node") + 1)
         right = ((F.col("key") > key_at) | ((F.col("key") == key_at) & (F.col("salt") >= salt_at))).cast("int")
-        at = scratch.materialize(keyed.withColumn("node", F.col("node") * 2 + right).drop("key"), "kd")
+        at, new = scratch.written(keyed.withColumn("node", F.col("node") * 2 + right).drop("key"), "kd")
+        scratch.delete(docs.sparkSession, path)
+        path = new
     leaf = at.groupBy("node").count().collect()  # a row a shard
     rows = {r["node"]: r["count"] for r in leaf}
     names = {k: i for i, k in enumerate(sorted(2 * k + side for k, halves in level.items() for side, m in enumerate(halves) if m))} if shards > 1 else {0: 0}

@@ -85,6 +85,70 @@ def test_hot_group_is_cut(spark):
     assert len(sizes) == 8 and sizes.max() / sizes.min() < 1.1
 
 
+def test_equal_rows_are_cut_too(spark):
+    rows = [(5, "same " * 30, "en", "s")] * 900 + [(None, None, None, None)] * 300 + [(i, f"own {i} " * 20, "de", "t") for i in range(1800)]
+    out = sharding.kd_shards(spark.createDataFrame(rows, EMPTY).repartition(5), 6).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(sizes) == 6 and sizes.max() / sizes.min() < 1.1
+
+
+def test_values_that_begin_alike_have_places_of_their_own(spark):
+    names = ["common_crawl_a", "common_crawl_b", "common_crawl_c", "common", "\x7f", "é", "", None]
+    rows = [(i, f"text {i}", "en", names[i % 8]) for i in range(80)]
+    got = {(r["source"], r["k1"] >> 32) for r in sharding.points(spark.createDataFrame(rows, EMPTY), "doc_id", "text", ("source",)).join(spark.createDataFrame(rows, EMPTY).select("doc_id", "source"), "doc_id").collect()}
+    order = sorted((x for x in names if x is not None), key=lambda x: x.encode()) + [None]
+    assert len(got) == 8 and [s for s, _ in sorted(got, key=lambda x: x[1])] == order
+
+
+def slow_tree(points, shards, axes, tolerance=sharding.TOLERANCE):
+    """The tree by sorting whole nodes: a shard for each point ``(size, keys, salt)``."""
+    out, todo = {}, [(0, shards, list(range(len(points))))]
+    names = []
+    while todo:
+        node, leaves, rows = todo.pop(0)
+        if leaves == 1:
+            names.append((node, rows))
+            continue
+        width = [max((points[r][1][a] for r in rows), default=0) - min((points[r][1][a] for r in rows), default=0) for a in range(axes)]
+        axis = max(range(axes), key=lambda a: (width[a], -a))
+        goal, weight = sum(points[r][0] for r in rows) * (leaves // 2) / leaves, defaultdict(int)
+
+        def cut(sizes, goal):
+            below = 0
+            for key in sorted(sizes):
+                if below + sizes[key] > goal:
+                    return key + 1 if 2 * below + sizes[key] <= 2 * goal else key
+                below += sizes[key]
+            return 1 << 62
+
+        for r in rows:
+            weight[points[r][1][axis]] += points[r][0]
+        at = cut(weight, goal)
+        over = sum(w for k, w in weight.items() if k < at) - goal
+        salt_at = 0
+        if abs(over) > sum(weight.values()) / leaves * tolerance:
+            some = [k for k in weight if (k < at if over > 0 else k >= at)]
+            if some:
+                at = max(some) if over > 0 else min(some)
+                salts = defaultdict(int)
+                for r in rows:
+                    if points[r][1][axis] == at:
+                        salts[points[r][2]] += points[r][0]
+                salt_at = cut(salts, goal - sum(w for k, w in weight.items() if k < at))
+        right = {r for r in rows if points[r][1][axis] > at or (points[r][1][axis] == at and points[r][2] >= salt_at)}
+        todo += [(2 * node, leaves // 2, [r for r in rows if r not in right]), (2 * node + 1, leaves - leaves // 2, [r for r in rows if r in right])]
+    return names
+
+
+def test_shards_are_those_of_a_tree_made_by_sorting(spark):
+    docs = documents(spark, 500, 8)
+    got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in sharding.kd_shards(docs, 8).collect())
+    found = sharding.points(docs, "doc_id", "text", ("source", "lang")).collect()
+    leaves = slow_tree([(r["size"], (r["k0"], r["k1"], r["k2"]), r["salt"]) for r in found], 8, 3)
+    want = Counter((found[r]["doc_id"], found[r]["size"], found[r]["text_crc32"], i) for i, (_, rows) in enumerate(sorted(leaves)) for r in rows)
+    assert got == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score int"
 
 
