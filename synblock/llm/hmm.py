@@ -29,7 +29,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +93,8 @@ def from_planes(b: bytes) -> np.ndarray:
 
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts one after the other, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
-    kept = pc.not_equal(flat, "")
-    some = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))]
-    ends = np.cumsum(sizes)
-    return flat.filter(kept), some[ends] - some[ends - sizes]
+    found = [words_of(t.as_py()) for t in texts]
+    return pa.array(chain.from_iterable(found), pa.large_binary(), size=sum(map(len, found))), np.array([len(x) for x in found], np.int64)
 
 
 def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
@@ -125,7 +121,7 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                 yield from flush(ids[:half], held[:half], flat[:at], sizes[:half])
                 yield from flush(ids[half:], held[half:], flat[at:], sizes[half:])
                 return
-            words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]
+            words = [*coded.dictionary.to_pylist(), END]
             at = _hashes(words).view(np.int64) % buckets
             order = np.argsort(at, kind="stable")
             rank = np.empty(len(words), np.int32)
@@ -163,7 +159,7 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
         if ids:
             yield from flush(ids, held, pa.concat_arrays(flats), np.concatenate(sizes))
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("string").alias("_t"))
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     return rows.mapInArrow(of, schema)
 
 
