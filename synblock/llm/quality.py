@@ -6,6 +6,10 @@ expectation maximisation (Dawid and Skene, 1979) to the counts of all vote patte
 kept if its posterior probability of being good reaches ``KEEP``. With R rules there are at most
 3**R patterns, so that is what the driver sees whatever the corpus.
 
+No word list is built in: one rule asks whether a text has its share of the frequent words of its language, which are
+those that make up ``FREQUENT`` of all words of the language's documents or more. They are counted exactly in two passes: a word that
+frequent is as frequent within some partition, so the first pass gathers what is, and the second counts that everywhere.
+
 Null texts have no words. An empty text, and any other with few words, fails the base
 rules. An empty table gives an empty table; repeated rows are judged alike.
 """
@@ -25,21 +29,51 @@ from synblock import scratch
 KEEP = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
-#: Function words of English, French, German and Spanish, of which running text holds some.
-FUNCTION_WORDS = frozenset(
-    "a an and are as at be by for from in is it of on or that the this to was were with not have has "
-    "au aux avec ce ces dans de des du elle en est et il la le les ne pas pour que qui se sur un une "
-    "als auch auf aus bei das dem den der des die ein eine für im ist mit nicht sich sie und von werden zu "
-    "al como con del el es esta las lo los más no o para pero por se sin su una y".split()
-)
-FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
+FREQUENT = 0.005
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _IS_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def features(text: bytes | None) -> tuple[int, ...]:
-    """``FEATURES``, then the counts that the votes need besides: lines, upper- and lower-case letters, '!', function words, uses of the commonest word, words that end in a symbol."""
+def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT) -> dict[str | None, tuple[frozenset[bytes], float]]:
+    """Of each language the words that are ``least`` of its words or more, A-Z lower-cased, and what share of all words they are together.
+
+    At most ``1 / least`` words a language. Null is a language of its own; without a column ``lang_col`` all documents are of one.
+    """
+    rows = docs.select(_lang(docs, lang_col).alias("lang"), F.col(text_col).cast("binary").alias("_t"))
+
+    def counted(only: dict[str | None, set[bytes]] | None) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[str | None, Counter] = {}
+            for b in batches:
+                for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    found.setdefault(lang, Counter()).update((t.as_py() or b"").lower().split())
+            out = []
+            for lang, n in found.items():
+                total = sum(n.values())
+                out.append((lang, None, total))
+                out += [(lang, w, k) for w, k in n.items() if (k >= least * total if only is None else w in only.get(lang, ()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
+
+        return rows.mapInArrow(of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    candidates: dict[str | None, set[bytes]] = {}
+    for r in counted(None).where("word is not null").select("lang", "word").collect():
+        candidates.setdefault(r["lang"], set()).add(bytes(r["word"]))
+    counts = [(r["lang"], bytes(r["word"]) if r["word"] is not None else None, r["n"]) for r in counted(candidates).collect()]
+    total = {lang: n for lang, w, n in counts if w is None}
+    out = {}
+    for lang, whole in total.items():
+        own = {w: n for x, w, n in counts if x == lang and w is not None and n >= least * whole}
+        out[lang] = (frozenset(own), sum(own.values()) / whole if whole else 0.0)
+    return out
+
+
+NO_WORDS: tuple[frozenset[bytes], float] = (frozenset(), 0.0)
+
+
+def features(text: bytes | None, frequent: tuple[frozenset[bytes], float] = NO_WORDS) -> tuple[int, ...]:
+    """``FEATURES``, then the counts that the votes need besides: lines, upper- and lower-case letters, '!', frequent words of the language, how many of them are usual, uses of the commonest word, words that end in a symbol."""
     text = text or b""
     words = text.split()
     n = len(words)
@@ -57,9 +91,9 @@ def features(text: bytes | None) -> tuple[int, ...]:
         repeated = sum(mark)
     at = np.frombuffer(text + b" ", np.uint8)
     marked = int((_IS_SYMBOL[at[:-1]] & _IS_SPACE[at[1:]]).sum())
-    used = sum(map(FUNCTION_BYTES.__contains__, words))
+    used = sum(map(frequent[0].__contains__, text.lower().split())) if frequent[0] else 0
     most = max(Counter(words).values(), default=0)
-    return (n, points - int(chars[9:14].sum() + chars[32]), symbols, len(lines) - len(set(lines)), repeated, len(lines), int(chars[65:91].sum()), int(chars[97:123].sum()), int(chars[33]), used, most, marked)
+    return (n, points - int(chars[9:14].sum() + chars[32]), symbols, len(lines) - len(set(lines)), repeated, len(lines), int(chars[65:91].sum()), int(chars[97:123].sum()), int(chars[33]), used, round(frequent[1] * n), most, marked)
 
 
 #: name: (bad if, good if), over the arrays of ``features``; neither is an abstention.
@@ -71,13 +105,13 @@ RULES = {
     "lines": (lambda x: x.dup_lines > 0.30 * x.lines, lambda x: (x.dup_lines == 0) & (x.lines > 3)),
     "shouting": (lambda x: x.upper > 0.40 * (x.upper + x.lower), lambda x: x.upper < 0.15 * (x.upper + x.lower)),
     "exclaims": (lambda x: x.exclaims > 0.10 * x.words, lambda x: x.exclaims < 0.02 * x.words),
-    "function words": (lambda x: x.function < 0.04 * x.words, lambda x: x.function > 0.10 * x.words),
+    "frequent words": (lambda x: x.frequent < 0.15 * x.usual, lambda x: x.frequent > 0.50 * x.usual),
 }
 
 
 class _Counts:
     def __init__(self, a: np.ndarray):
-        self.words, self.chars, self.symbols, self.dup_lines, self.repeats, self.lines, self.upper, self.lower, self.exclaims, self.function, self.most, self.marked = a.T
+        self.words, self.chars, self.symbols, self.dup_lines, self.repeats, self.lines, self.upper, self.lower, self.exclaims, self.frequent, self.usual, self.most, self.marked = a.T
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
@@ -132,54 +166,60 @@ def model(counted: DataFrame) -> dict[int, float]:
     return dict(zip(pattern.tolist(), posterior(votes(pattern), *fit(pattern, count)).tolist(), strict=True))
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.array([features(t.as_py()) for t in column], np.int64).reshape(len(column), 12)
+def _counts(texts: pa.Array, langs: pa.Array, frequent: dict) -> np.ndarray:
+    return np.array([features(t.as_py(), frequent.get(x, NO_WORDS)) for t, x in zip(texts, langs.to_pylist(), strict=True)], np.int64).reshape(len(texts), 13)
+
+
+def _lang(docs: DataFrame, lang_col: str | None) -> F.Column:
+    return F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
 
 
 def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > 50 * counts[:, 0])
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measured(docs: DataFrame, frequent: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Counts, base verdict and vote pattern of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = _counts(b.column(1))
+            c = _counts(b.column(1), b.column(2), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5)), pa.array(base_failed(c)), pa.array(patterns(c))], [id_col, *FEATURES, "base_failed", "pattern"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("_t"))
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("_t"), _lang(docs, lang_col).alias("_lang"))
     return rows.mapInArrow(of, f"`{id_col}` long, {', '.join(f'{x} long' for x in FEATURES)}, base_failed boolean, pattern int")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", keep: float = KEEP) -> DataFrame:
     """``(id_col, *FEATURES, base_failed, kept, posterior)`` for every row of ``docs``."""
-    found = scratch.materialize(measured(docs, id_col, text_col), "measured")
+    found = scratch.materialize(measured(docs, frequent_words(docs, text_col, lang_col), id_col, text_col, lang_col), "measured")
     post = model(found.groupBy("pattern").agg(F.count("*").alias("n")))
     table = found.sparkSession.createDataFrame(list(post.items()), "pattern int, posterior double")
     out = found.join(F.broadcast(table), "pattern")  # at most 3**rules rows
     return out.select(id_col, *FEATURES, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= keep)).alias("kept"), "posterior")
 
 
-def filtered(docs: DataFrame, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+def filtered(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``.
 
-    Texts are read twice, so as not to write them to a table: once for the pattern counts, once to be filtered.
+    Texts are read again for the frequent words, the pattern counts and the filter, so as not to write them to a table.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text_col, lang_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            n.update(patterns(_counts(b.column(0))).tolist())
+            n.update(patterns(_counts(b.column(0), b.column(1), sent.value)).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["pattern", "n"])
 
-    post = model(docs.select(F.col(text_col).cast("binary").alias("_t")).mapInArrow(count, "pattern int, n long"))
+    post = model(docs.select(F.col(text_col).cast("binary").alias("_t"), _lang(docs, lang_col).alias("_lang")).mapInArrow(count, "pattern int, n long"))
     good = np.array(sorted(p for p, x in post.items() if x >= keep), np.int32)
-    at = docs.columns.index(text_col)
+    at, lang = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = _counts(b.column(at).cast(pa.binary()))
+            c = _counts(b.column(at).cast(pa.binary()), b.column(lang).cast(pa.string()) if lang is not None else pa.nulls(b.num_rows, pa.string()), sent.value)
             yield b.filter(pa.array(~base_failed(c) & np.isin(patterns(c), good)))
 
     return docs.mapInArrow(sift, docs.schema)

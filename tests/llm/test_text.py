@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -166,6 +167,50 @@ def test_quality_counts():
     assert quality.features(None)[:5] == (0, 0, 0, 0, 0)
 
 
+def test_frequent_words_are_exact(spark):
+    rng = random.Random(12)
+    words = {"en": ["the", "The", "of", *(f"e{i}" for i in range(400))], None: ["zu", *(f"n{i}" for i in range(90))], "one": ["x"]}
+    rows = [(i, " ".join(rng.choice(words[x][: rng.choice([1, 3, 1000])]) for _ in range(rng.randrange(80))), x) for i in range(300) for x in [rng.choice(list(words))]] + [(1000, None, "en"), (1001, None, "void")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6, "doc_id")
+    got = quality.frequent_words(docs, least=0.01)
+    for lang in ("en", None, "one", "void"):
+        n = Counter(w for _, t, x in rows if x == lang for w in (t or "").lower().encode().split())
+        want = {w for w, k in n.items() if k >= 0.01 * n.total()}
+        assert got[lang][0] == want and abs(got[lang][1] - sum(n[w] for w in want) / max(1, n.total())) < 1e-12
+
+
+def slow_em(pattern, count, rounds=60):
+    """Dawid and Skene with loops."""
+    v, n = quality.votes(pattern), len(quality.RULES)
+    start = [[[0.45, 0.35, 0.20]] * n, [[0.02, 0.18, 0.80]] * n]
+    prior, table = 0.8, start
+    for _ in range(rounds):
+        tallies, weight = [[[0.0] * 3 for _ in range(n)] for _ in range(2)], [0.0, 0.0]
+        for row, c in zip(v, count, strict=True):
+            like = [1 - prior, prior]
+            for y in range(2):
+                for j in range(n):
+                    like[y] *= table[y][j][row[j] + 1]
+            for y in range(2):
+                share = c * like[y] / sum(like)
+                weight[y] += share
+                for j in range(n):
+                    tallies[y][j][row[j] + 1] += share
+        table = [[[(tallies[y][j][k] + 2 * start[y][j][k]) / (weight[y] + 2) for k in range(3)] for j in range(n)] for y in range(2)]
+        prior = (weight[1] + 8) / (sum(weight) + 10)
+    return prior, np.array(table)
+
+
+def test_em_equals_a_slow_one():
+    rng = np.random.default_rng(3)
+    pattern = np.unique(rng.integers(0, 3 ** len(quality.RULES), 200)).astype(np.int32)
+    count = rng.integers(1, 500, len(pattern)).astype(float)
+    for rounds in (1, 7, 60):
+        prior, table = quality.fit(pattern, count, rounds)
+        want, slow = slow_em(pattern, count, rounds)
+        assert abs(prior - want) < 1e-7 and np.abs(table - slow).max() < 1e-7
+
+
 def test_quality_model_separates_classes(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "of", "to", *[f"{chr(97 + i % 26)}ord{i}" for i in range(300)]] + ["and", "in"] * 20) for _ in range(120)) + "." for _ in range(150)]
