@@ -7,12 +7,15 @@ temporary folder and others a folder below the warehouse.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_recorders: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The list fills with the places of all tables written meanwhile, so that they can be deleted once what reads them is written."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
 
 
 def delete(spark: SparkSession, path: str) -> None:
