@@ -30,6 +30,7 @@ KEEP = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 FREQUENT = 0.005
+PLAIN = bytes(set(range(256)) - set(SYMBOLS))
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _IS_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -38,7 +39,7 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT) -> dict[str | None, tuple[frozenset[bytes], float]]:
     """Of each language the words that are ``least`` of its words or more, A-Z lower-cased, and what share of all words they are together.
 
-    At most ``1 / least`` words a language. Null is a language of its own; without a column ``lang_col`` all documents are of one.
+    Words with one of ``SYMBOLS`` don't count as frequent. At most ``1 / least`` words a language. Null is a language of its own; without a column ``lang_col`` all documents are of one.
     """
     rows = docs.select(_lang(docs, lang_col).alias("lang"), F.col(text_col).cast("binary").alias("_t"))
 
@@ -52,7 +53,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None
             for lang, n in found.items():
                 total = sum(n.values())
                 out.append((lang, None, total))
-                out += [(lang, w, k) for w, k in n.items() if (k >= least * total if only is None else w in only.get(lang, ()))]
+                out += [(lang, w, k) for w, k in n.items() if (k >= least * total and not w.translate(None, PLAIN) if only is None else w in only.get(lang, ()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
 
         return rows.mapInArrow(of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

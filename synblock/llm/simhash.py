@@ -35,6 +35,7 @@ BITS = 64
 SHINGLE = 3
 SEED = 42
 BLOCK = 512
+MAPS = 16_384
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -164,3 +165,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = scratch.materialize(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     named = scratch.materialize(components(fps, id_col, radius, block).select("fp", "component_id"), "named")
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+ROW = "__dedup_row"
+
+
+def marked(rows: DataFrame, kept: DataFrame, row: str = ROW, most: int = MAPS) -> DataFrame:
+    """The rows whose numbers are in ``kept``.
+
+    The numbers are sent as bitmaps, a bit a row, so that texts aren't shuffled; above ``most`` bitmaps of 4 KB they are joined.
+    """
+    bits = kept.groupBy(F.bitmap_bucket_number(row).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(row)).alias("_m"))
+    bits = scratch.materialize(bits, "bitmaps")
+    if bits.limit(most + 1).count() > most:
+        return rows.join(kept, row, "left_semi").select(*rows.columns)
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.expr("substring(_m, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    placed = rows.withColumns({"_b": F.bitmap_bucket_number(row), "_at": at}).join(F.broadcast(bits), "_b")
+    return placed.withColumn("_x", byte).where("pmod(shiftright(_x, cast(_at % 8 as int)), 2) = 1").select(*rows.columns)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near-duplicates one row of ``docs``: the one with the smallest id, null ids last, then the smallest fingerprint.
+
+    Rows are told apart by a number of their own, so ids may be null or shared by texts that aren't linked.
+    """
+    rows = scratch.materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(ROW, F.col(id_col).cast("long").alias("id"))
+    fps = scratch.materialize(fingerprints(rows, ROW, text_col).join(ids, ROW), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", ROW))
+    named = scratch.materialize(components(fps, "id").select("fp", "group"), "named")
+    best = fps.groupBy("fp").agg(first.alias("b")).join(named, "fp").groupBy("group").agg(F.min("b").alias("b"))
+    kept = scratch.materialize(best.select(F.col("b")[ROW].alias(ROW)), "kept")
+    return marked(rows, kept).select(*docs.columns)

@@ -94,3 +94,16 @@ def test_null_ids_are_linked(spark):
     rows = [(None, texts[0], "en", None, None), (7, texts[1], "en", None, None), (None, "alone", "en", None, None)]
     out = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {(None, f"{slow_fingerprint(texts[0]):016x}"): 7, (7, f"{slow_fingerprint(texts[1]):016x}"): 7, (None, f"{slow_fingerprint('alone'):016x}"): None}
+
+
+def test_marked_rows_are_those_of_the_join(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 90_000, 1, 3).withColumn(simhash.ROW, F.monotonically_increasing_id())
+    rows.write.parquet(path := str(tmp_path / "rows"))
+    rows = spark.read.parquet(path)
+    for kept in (rows.where("id % 7 in (0, 3) or id in (0, 32767, 32768, 89999)"), rows.where("false"), rows):
+        want = sorted(r["id"] for r in kept.collect())
+        for most in (simhash.MAPS, 0):
+            out = simhash.marked(rows, kept.select(simhash.ROW), most=most)
+            assert out.columns == rows.columns and sorted(r["id"] for r in out.collect()) == want
