@@ -20,14 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a number of their own, so ids may be null or shared by texts that aren't linked.
     """
-    rows = scratch.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
-    fps = scratch.materialize(simhash.fingerprints(rows, "_row").join(ids, "_row"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_row"))
-    named = scratch.materialize(simhash.components(fps).select("fp", "group"), "named")
-    best = fps.groupBy("fp").agg(first.alias("b")).join(named, "fp").groupBy("group").agg(F.min("b").alias("b"))
-    kept = scratch.materialize(best.select("b._row"), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +42,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.materialize(docs, f"stage{k}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        with scratch.recording() as made:
+            docs, path = scratch.written(stage(spark, docs, sf_dir), "stage")
+        for old in {*made, before} - {path, None}:  # read by nothing from here on
+            scratch.delete(spark, old)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
