@@ -423,13 +423,16 @@ def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIE
 
 def packed(n: np.ndarray) -> bytes:
     """Counts rounded to the upper 24 bits of 32-bit floats, byte by byte, which compresses well."""
-    bits = (n.astype("<f4").view("<u4") + np.uint32(0x80)) >> np.uint32(8)
-    return b"".join((bits >> np.uint32(shift)).astype(np.uint8).tobytes() for shift in (16, 8, 0))
+    bits = np.ascontiguousarray(n, "<f4").view("<u4") + np.uint32(0x80)
+    return b"".join(bits.view(np.uint8).reshape(-1, 4)[:, i].tobytes() for i in (3, 2, 1))
 
 
 def unpacked(b: bytes, states: int) -> np.ndarray:
-    high, mid, low = np.frombuffer(b, np.uint8).reshape(3, -1).astype("<u4")
-    return (high << 24 | mid << 16 | low << 8).view("<f4").astype(float).reshape(-1, states)
+    parts = np.frombuffer(b, np.uint8).reshape(3, -1)
+    out = np.zeros((parts.shape[1], 4), np.uint8)
+    for i, part in zip((3, 2, 1), parts, strict=True):
+        out[:, i] = part
+    return out.view("<f4").reshape(-1, states)
 
 
 def once_seen(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -532,9 +535,9 @@ def portion_of(own: pa.Table, counts: pa.Table, now: Model, rest: Rest, symbols:
     place, c = np.frombuffer(b"".join(code), "<i4").copy(), np.frombuffer(b"".join(c), "<i8")
     place[place < 0] = symbols + np.arange(len(c))
     n = np.concatenate([unpacked(n[b], states) for b in buckets] or [np.zeros((0, states))])
-    emit = (n + (rest.more * (c + ADD))[:, None]) / rest.total
+    emit = (n.astype(kind) + (rest.more * (c + ADD)).astype(kind)[:, None]) / rest.total.astype(kind)
     found = [place[from_planes(x)] for x in texts.column("symbols").to_pylist()]
-    return Portion(texts, found, buckets, at, c, Model(now.start, now.move, np.concatenate([now.emit, emit]).astype(kind)))
+    return Portion(texts, found, buckets, at, c, Model(now.start, now.move, np.concatenate([now.emit.astype(kind), emit])))
 
 
 def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon, buckets: int, states: int = STATES, rounds: int = ROUNDS, back_off: float = 20.0) -> tuple[Model, Rest, DataFrame]:
@@ -571,7 +574,7 @@ def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon,
             counts, moves, begins = np.zeros((len(x.model.emit), states)), np.zeros((states, states)), np.zeros(states)
             if x.texts:
                 p = pieces(x.model, x.texts)
-                for some in p.batches():
+                for some in p.batches(2 * BATCH):
                     expected(x.model, p, some, counts, moves, begins)
             out, n = [], m
             for bucket, at in zip(x.buckets, x.at, strict=True):
@@ -600,7 +603,7 @@ def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon,
                     total[np.frombuffer(at, "<i4")] += unpacked(n, states)  # a portion has a word once
                 elif part == 1:
                     x = np.frombuffer(n, "<f8").reshape(-1, states) if bucket == buckets + chunks else unpacked(n, states)
-                    total = x + (0.0 if total is None else total)
+                    total = x.astype(float) if total is None else total + x
                 else:
                     yield row(bucket, portion, packed(total[np.frombuffer(at, "<i4")]) if at else b"")
             if total is not None:
