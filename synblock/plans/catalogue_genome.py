@@ -13,23 +13,22 @@ from synblock.plans.catalogue import query
 from synblock.plans.workload import Tables
 from synblock.sources import tables
 
-FEATURES = """f AS (SELECT genome, chr, 1 + (k * 7919) % 480000 AS fs, 1 + (k * 7919) % 480000 + k % 3000 AS fe, k AS fid FROM (
-  SELECT o_orderkey AS k, concat('G', CAST(o_custkey % 3 AS VARCHAR)) AS genome, concat('chr', CAST(o_custkey % 5 AS VARCHAR)) AS chr FROM orders WHERE o_orderkey % 7 = 0))"""
+FEATURES = """f AS (SELECT genome, chr, 1 + (k * 7919) % 700000 AS fs, 1 + (k * 7919) % 700000 + k % 900 AS fe, k AS fid FROM (
+  SELECT o_orderkey AS k, concat('G', CAST(o_custkey % 3 AS VARCHAR)) AS genome, concat('chr', CAST(o_orderkey // 3 // 500 AS VARCHAR)) AS chr FROM orders))"""
 
 
 def features(t: Tables) -> DataFrame:
-    """Intervals of no meaning along the first chromosomes, in the same way as in the SQL."""
-    k = F.col("o_orderkey")
-    o = t.orders.where("o_orderkey % 7 = 0").select(k.alias("fid"), F.concat(F.lit("G"), (F.col("o_custkey") % 3).cast("string")).alias("genome"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chr"))
-    start = 1 + (F.col("fid") * 7919) % 480000
-    return o.select("genome", "chr", start.alias("fs"), (start + F.col("fid") % 3000).alias("fe"), "fid")
+    """Intervals of no meaning, one an order, along all chromosomes of the genes, in the same way as in the SQL."""
+    o = t.orders.select(F.col("o_orderkey").alias("fid"), F.concat(F.lit("G"), (F.col("o_custkey") % 3).cast("string")).alias("genome"), F.concat(F.lit("chr"), F.expr("o_orderkey div 3 div 500").cast("string")).alias("chr"))
+    start = 1 + (F.col("fid") * 7919) % 700000
+    return o.select("genome", "chr", start.alias("fs"), (start + F.col("fid") % 900).alias("fe"), "fid")
 
 
 def intervals_of(t: Tables) -> DataFrame:
     return features(t).select("genome", "chr", F.col("fs").alias("start"), F.col("fe").alias("end"))
 
 
-LENGTHS = "l AS (SELECT DISTINCT genome, chr, CAST(500000 AS BIGINT) AS length FROM f)"
+LENGTHS = "l AS (SELECT genome, chr, max(e) AS length FROM (SELECT genome, chr, fe AS e FROM f UNION ALL SELECT genome, chr, \"end\" FROM genes) GROUP BY 1, 2)"
 REDUCED = """r AS (SELECT genome, chr, min(fs) AS s, max(fe) AS e, count(*) AS n FROM (
   SELECT *, sum(j) OVER (PARTITION BY genome, chr ORDER BY fs, fe, fid) AS i FROM (
     SELECT *, CASE WHEN fs - max(fe) OVER (PARTITION BY genome, chr ORDER BY fs, fe, fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 >= 1 THEN 1 ELSE 0 END AS j FROM f)) GROUP BY genome, chr, i)"""
@@ -42,16 +41,21 @@ BOTH = ["genome", "chr"]
 
 
 def lengths(t: Tables) -> DataFrame:
-    return features(t).select("genome", "chr").distinct().withColumn("length", F.lit(500000).cast("long"))
+    """Chromosomes reach as far as their last gene or feature."""
+    ends = intervals_of(t).select("genome", "chr", "end").unionByName(t.genes.select("genome", "chr", "end"))
+    return ends.groupBy("genome", "chr").agg(F.max("end").alias("length"))
 
 
 # Files, written and read again
 
 
-@query("SELECT chr, start, \"end\", id FROM genes WHERE genome = 'G0'", "genes")
+@query("SELECT genome, chr, start, \"end\", id FROM genes", "genes")
 def src01_bed(t: Tables) -> DataFrame:
-    tables.write_bed(t.genes.where("genome = 'G0'"), path := scratch.new_path(t.spark, "bed"))
-    return tables.read_bed(t.spark, path).select("chr", "start", "end", "id")
+    """A BED file per genome, of which the file's name is the genome's."""
+    path = scratch.new_path(t.spark, "bed")
+    for genome in ("G0", "G1", "G2"):
+        tables.write_bed(t.genes.where(F.col("genome") == genome), f"{path}/{genome}.bed")
+    return tables.read_bed(t.spark, f"{path}/*.bed").select("genome", "chr", "start", "end", "id")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, upper(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) AS seq, CAST(length(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) AS BIGINT) AS n FROM part WHERE length(regexp_replace(p_type, '[^A-Za-z]+', '', 'g')) >= 5")
@@ -162,7 +166,7 @@ def iv02_lengths(t: Tables) -> DataFrame:
     return sequence.lengths(t.documents.select(F.col("doc_id").alias("chr"), F.col("text").alias("seq")))
 
 
-@query(f"WITH {FEATURES}, {LENGTHS}, {REDUCED}, {GAPS} SELECT genome, chr, s AS start, e AS \"end\" FROM x WHERE e >= s")
+@query(f"WITH {FEATURES}, {LENGTHS}, {REDUCED}, {GAPS} SELECT genome, chr, s AS start, e AS \"end\" FROM x WHERE e >= s", "genes")
 def iv03_gaps(t: Tables) -> DataFrame:
     return intervals.gaps(intervals_of(t), lengths(t), BOTH)
 
@@ -177,18 +181,18 @@ def iv05_subtract(t: Tables) -> DataFrame:
     return intervals.subtract(t.genes.select("genome", "chr", "start", "end"), intervals_of(t), lengths(t), BOTH)
 
 
-@query(f"WITH {FEATURES}, {LENGTHS} SELECT genome, chr, CAST(1 AS BIGINT) AS start, length AS \"end\" FROM l")
+@query(f"WITH {FEATURES}, {LENGTHS} SELECT genome, chr, CAST(1 AS BIGINT) AS start, length AS \"end\" FROM l", "genes")
 def iv06_whole(t: Tables) -> DataFrame:
     return intervals.whole(lengths(t), BOTH)
 
 
-@query(f"WITH {FEATURES}, {LENGTHS}, {REDUCED}, w AS (SELECT genome, chr, s AS ws, least(s + 99999, length) AS we FROM l, range(1, 500001, 50000) q(s)) SELECT w.genome, w.chr, ws AS start, we AS \"end\", CAST(coalesce(sum(CASE WHEN s IS NOT NULL THEN least(we, e) - greatest(ws, s) + 1 END), 0) AS BIGINT) AS bp FROM w LEFT JOIN r ON w.genome = r.genome AND w.chr = r.chr AND ws <= e AND s <= we GROUP BY ALL")
+@query(f"WITH {FEATURES}, {LENGTHS}, {REDUCED}, w AS (SELECT genome, chr, s AS ws, least(s + 99999, length) AS we FROM l, range(1, 1000001, 50000) q(s) WHERE s <= length) SELECT w.genome, w.chr, ws AS start, we AS \"end\", CAST(coalesce(sum(CASE WHEN s IS NOT NULL THEN least(we, e) - greatest(ws, s) + 1 END), 0) AS BIGINT) AS bp FROM w LEFT JOIN r ON w.genome = r.genome AND w.chr = r.chr AND ws <= e AND s <= we GROUP BY ALL", "genes")
 def iv07_window_coverage(t: Tables) -> DataFrame:
     return intervals.coverage(intervals.windows(lengths(t), BOTH, 100000, 50000), intervals_of(t), BOTH)
 
 
 @query(f"""WITH {FEATURES}, {LENGTHS}, {REDUCED}, {GAPS}, {GENE_SPANS}, c AS (
-  SELECT genome, chr, s, e FROM (SELECT genome, chr, greatest(s, 1) AS s, least(e, 500000) AS e FROM r) WHERE e >= s),
+  SELECT genome, chr, s, e FROM (SELECT r.genome, r.chr, greatest(s, 1) AS s, least(e, length) AS e FROM r JOIN l USING (genome, chr)) WHERE e >= s),
 b AS (SELECT g.genome, g.chr, greatest(g.s, x.s) AS s, least(g.e, x.e) AS e FROM g JOIN x ON g.genome = x.genome AND g.chr = x.chr AND g.s <= x.e AND x.s <= g.e AND x.e >= x.s)
 SELECT genome, chr, class, CAST(sum(e - s + 1) AS BIGINT) AS bp FROM (SELECT *, 'feature' AS class FROM c UNION ALL SELECT *, 'gene' FROM b) GROUP BY ALL
 UNION ALL SELECT l.genome, l.chr, 'unknown', CAST(max(length) - coalesce(sum(e - s + 1), 0) AS BIGINT) FROM l LEFT JOIN (SELECT * FROM c UNION ALL SELECT * FROM b) u ON u.genome = l.genome AND u.chr = l.chr GROUP BY ALL HAVING max(length) > coalesce(sum(e - s + 1), 0)""", "genes")
@@ -374,12 +378,10 @@ def sy17_dbscan(t: Tables) -> DataFrame:
     return spatial.dbscan(h, ["genome1", "genome2", "chr1", "chr2"], "ord1", "ord2", 25, 5, "k").select("ofID1", "ofID2", "cluster")
 
 
-@query("""WITH RECURSIVE e AS (SELECT CAST(substr(ofID1, 2) AS BIGINT) AS a, CAST(substr(ofID2, 2) AS BIGINT) AS b FROM hits WHERE chr1 = 'chr0' AND chr2 = 'chr0'),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, c.root FROM c JOIN u ON u.a = c.node)
-SELECT node, min(root) AS component FROM c GROUP BY 1""", "hits")
+@query()
 def sy18_components(t: Tables) -> DataFrame:
     n = lambda c: F.substring(c, 2, 20).cast("long")
-    return graph.connected_components(t.hits.where("chr1 = 'chr0' and chr2 = 'chr0'").select(n("ofID1").alias("a"), n("ofID2").alias("b")), "a", "b")
+    return graph.connected_components(t.hits.select(n("ofID1").alias("a"), n("ofID2").alias("b")), "a", "b")
 
 
 def found(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -454,30 +456,39 @@ def sy28_run(t: Tables) -> DataFrame:
     from synblock.plans.params import Params
     from synblock.plans.run import run
 
-    return run(Params(("G0", "G1", "G2")), t.genes, t.hits.select("ofID1", "ofID2", "bitScore"), references=("G0",)).blocks
+    return run(Params(("G0", "G1", "G2")), t.genes, t.hits.select("ofID1", "ofID2", "bitScore")).blocks
 
 
-def paf(t: Tables) -> DataFrame:
-    """Window alignments made of the hits: a window a gene."""
+def paf(t: Tables, back: bool = False) -> DataFrame:
+    """Window alignments made of the hits, a window a gene; ``back`` has those of the second genome's windows on the first, with scores of their own and without every seventh gene."""
     n = lambda c: F.substring(c, 2, 20).cast("long")
-    return t.hits.select(
-        "genome1", "genome2", F.concat("chr1", F.lit(":"), F.col("start1").cast("string"), F.lit("_"), (F.col("start1") + 999).cast("string")).alias("windowName"), F.lit(1000).cast("long").alias("windowLength"),
-        F.col("chr2").alias("refChr"), F.col("start2").alias("refStart"), (F.col("start2") + 999).alias("refEnd"), (500 + n("ofID1") % 400).alias("nmatches"), (950 + n("ofID2") % 50).alias("blkLen"), (n("ofID1") % 61).alias("mapq"),
+    a, b = ("2", "1") if back else ("1", "2")
+    rows = t.hits.where(n("ofID2") % 7 != 0) if back else t.hits.where(n("ofID1") % 5 != 0)
+    return rows.select(
+        F.col(f"genome{a}").alias("genome1"), F.col(f"genome{b}").alias("genome2"), F.concat(f"chr{a}", F.lit(":"), F.col(f"start{a}").cast("string"), F.lit("_"), (F.col(f"start{a}") + 999).cast("string")).alias("windowName"), F.lit(1000).cast("long").alias("windowLength"),
+        F.col(f"chr{b}").alias("refChr"), F.col(f"start{b}").alias("refStart"), (F.col(f"start{b}") + 999).alias("refEnd"), (500 + n(f"ofID{a}") % 400).alias("nmatches"), (950 + n(f"ofID{b}") % 50).alias("blkLen"), (n(f"ofID{a}") % 61).alias("mapq"),
     )
 
 
-@query("""WITH p AS (SELECT genome1, genome2, chr1, start1, chr2, start2, 500 + CAST(substr(ofID1, 2) AS BIGINT) % 400 AS nm, 950 + CAST(substr(ofID2, 2) AS BIGINT) % 50 AS bl, CAST(substr(ofID1, 2) AS BIGINT) % 61 AS mq FROM hits),
-q AS (SELECT genome1, genome2, quantile_cont(bl / 1000.0::DOUBLE, 0.25) AS a, quantile_cont(nm / CAST(bl AS DOUBLE), 0.25) AS b, quantile_cont(mq, 0.25) AS c FROM p GROUP BY 1, 2)
-SELECT genome1, genome2, chr1, start1, chr2, start2, nm AS nmatches, mq AS mapq FROM (SELECT p.*, row_number() OVER (PARTITION BY genome1, genome2, chr1, start1 ORDER BY mq DESC, nm DESC, bl DESC, chr2, start2) AS r FROM p JOIN q USING (genome1, genome2) WHERE bl / 1000.0::DOUBLE >= a AND nm / CAST(bl AS DOUBLE) >= b AND mq >= c) WHERE r = 1""", "hits")
+def _cut_paf(a: int, b: int, every: int) -> str:
+    n = lambda i: f"CAST(substr(ofID{i}, 2) AS BIGINT)"
+    p = f"SELECT genome{a} AS g1, genome{b} AS g2, chr{a} AS c1, start{a} AS s1, chr{b} AS c2, start{b} AS s2, 500 + {n(a)} % 400 AS nm, 950 + {n(b)} % 50 AS bl, {n(a)} % 61 AS mq FROM hits WHERE {n(a)} % {every} <> 0"
+    q = "SELECT g1, g2, quantile_cont(bl / 1000.0::DOUBLE, 0.25) AS a, quantile_cont(nm / CAST(bl AS DOUBLE), 0.25) AS b, quantile_cont(mq, 0.25) AS c FROM p GROUP BY 1, 2"
+    return f"""(WITH p AS ({p}), q AS ({q}) SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY g1, g2, c1, s1 ORDER BY mq DESC, nm DESC, bl DESC, c2, s2) AS r
+  FROM p JOIN q USING (g1, g2) WHERE bl / 1000.0::DOUBLE >= a AND nm / CAST(bl AS DOUBLE) >= b AND mq >= c) WHERE r = 1)"""
+
+
+@query(f"""WITH f AS {_cut_paf(1, 2, 5)}, r AS {_cut_paf(2, 1, 7)},
+u AS (SELECT g1, c1, s1, g2, c2, s2, nm, mq FROM f UNION ALL SELECT g2, c2, s2, g1, c1, s1, nm, mq FROM r)
+SELECT g1 AS genome1, g2 AS genome2, c1 AS chr1, s1 AS start1, c2 AS chr2, s2 AS start2, nm AS nmatches, mq AS mapq FROM (
+  SELECT *, row_number() OVER (PARTITION BY g1, g2, c1, s1, c2, s2 ORDER BY mq DESC, nm DESC) AS k FROM u) WHERE k = 1""", "hits")
 def sy33_combined_alignments(t: Tables) -> DataFrame:
-    none = paf(t).where("false")
-    return windows.combine(paf(t), none).select("genome1", "genome2", "chr1", "start1", "chr2", "start2", "nmatches", "mapq")
+    return windows.combine(paf(t), paf(t, back=True)).select("genome1", "genome2", "chr1", "start1", "chr2", "start2", "nmatches", "mapq")
 
 
 @query()
 def sy31_window_blocks(t: Tables) -> DataFrame:
-    combined = windows.combine(paf(t), paf(t).where("false"), 0.0)
-    return windows.block_coordinates(windows.anchors(combined, 1000, 10, 5, 250_000))
+    return windows.block_coordinates(windows.anchors(windows.combine(paf(t), paf(t, back=True)), 1000, 10, 5, 250_000))
 
 
 # Questions
@@ -540,7 +551,7 @@ def vz08_order_by_synteny(t: Tables) -> DataFrame:
     return layout.order_by_synteny(t.hits, "G0")
 
 
-@query("SELECT c.genome, c.chr, (row_number() OVER (PARTITION BY genome, chr ORDER BY s) - 1) % 2 + 1 AS colour, s AS start, e AS \"end\" FROM (WITH " + FEATURES + ", " + LENGTHS + ", " + REDUCED + ", " + GAPS + " SELECT genome, chr, s, e FROM x WHERE e >= s) c")
+@query("SELECT c.genome, c.chr, (row_number() OVER (PARTITION BY genome, chr ORDER BY s) - 1) % 2 + 1 AS colour, s AS start, e AS \"end\" FROM (WITH " + FEATURES + ", " + LENGTHS + ", " + REDUCED + ", " + GAPS + " SELECT genome, chr, s, e FROM x WHERE e >= s) c", "genes")
 def vz09_contig_map(t: Tables) -> DataFrame:
     from synblock.plans.catalogue import over
 

@@ -410,10 +410,10 @@ def sf14_curve(t: Tables) -> DataFrame:
     return s.select("p_partkey", "i", F.round(F.col("p_size") * (1 - F.cos(F.pi() * F.col("i") / 10.0)) / 2, 6).alias("y"))
 
 
-@query("SELECT doc_id, reverse(translate(substr(text, 1, 60), 'ACGTacgt', 'TGCAtgca')) AS rc, regexp_matches(upper(substr(text, 1, 3)), '^[ACGTN]*$') AS dna, length(translate(text, '.-', '')) AS n, TRY_CAST(substr(source, 4) AS BIGINT) AS k, coalesce(nullif(lang, 'en'), 'none') AS l FROM documents")
+@query("SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS rc, regexp_full_match(upper(text), '[ACGTN]*') AS dna, length(translate(text, '.-', '')) AS n, TRY_CAST(substr(source, 4) AS BIGINT) AS k, coalesce(nullif(lang, 'en'), 'none') AS l FROM documents")
 def sf18_sequences(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return t.documents.select("doc_id", C.reverse_complement(head).alias("rc"), C.only_dna(F.substring("text", 1, 3)).alias("dna"), F.length(C.strip_marks(F.col("text"))).cast("long").alias("n"), F.substring("source", 4, 9).try_cast("long").alias("k"), F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.lit("none")).alias("l"))
+    text = F.col("text")
+    return t.documents.select("doc_id", C.reverse_complement(text).alias("rc"), C.only_dna(text).alias("dna"), F.length(C.strip_marks(F.col("text"))).cast("long").alias("n"), F.substring("source", 4, 9).try_cast("long").alias("k"), F.coalesce(F.nullif(F.col("lang"), F.lit("en")), F.lit("none")).alias("l"))
 
 
 @query("SELECT n_nationkey, lpad(n_name, (SELECT max(length(n_name)) FROM nation)::INT, ' ') AS a, rpad(n_name, (SELECT max(length(n_name)) FROM nation)::INT, ' ') AS b FROM nation")

@@ -22,8 +22,9 @@ PAF = "windowName string, windowLength long, windowStart long, windowEnd long, w
 
 
 def _stem(c: Column | None = None) -> Column:
-    """The file's name without folder and endings."""
-    return F.regexp_extract(c if c is not None else F.col("_metadata.file_name"), r"^([^/]*?)(?:\.(?:bed|txt|tsv|csv|fa|faa|fasta|gff3?|gz|paf))+$", 1)
+    """The file's name without folder and endings; a folder that Spark has written as one file counts as the file."""
+    pattern = r"(?:^|/)([^/]*?)(?:\.(?:bed|txt|tsv|csv|fa|faa|fasta|gff3?|gz|paf))+(?:/part-[^/]*)?$"
+    return F.regexp_extract(c if c is not None else F.col("_metadata.file_path"), pattern, 1)
 
 
 def _typed(df: DataFrame, schema: str) -> DataFrame:
