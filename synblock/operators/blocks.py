@@ -78,7 +78,7 @@ def genes_in_blocks(blocks: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def interpolated_positions(hits: DataFrame, genes: DataFrame) -> DataFrame:
-    """The position of every gene in a block on the block's other genome, in fractional ranks.
+    """The position of every array representative in a block, and of its anchors, on the block's other genome, in fractional ranks.
 
     Both directions; where a gene is placed more than once at one rank of one block, once.
     """
@@ -86,7 +86,7 @@ def interpolated_positions(hits: DataFrame, genes: DataFrame) -> DataFrame:
     both = ranks.keep_first(anchors.unionByName(H.swapped(anchors)), ["blkID", "ofID1", "ofID2"], ["genome1"])
     bounds = both.groupBy("blkID", "genome1", "chr1", "genome2", "chr2").agg(F.min("ord1").alias("_lo"), F.max("ord1").alias("_hi"))
     binned = bounds.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / 100), F.floor(F.col("_hi") / 100))))
-    g = genes.select(F.col("genome").alias("genome1"), F.col("chr").alias("chr1"), F.col("ofID").alias("ofID1"), F.col("ord").alias("ord1")).withColumn("_bin", F.floor(F.col("ord1") / 100))
+    g = genes.where("isArrayRep").select(F.col("genome").alias("genome1"), F.col("chr").alias("chr1"), F.col("ofID").alias("ofID1"), F.col("ord").alias("ord1")).withColumn("_bin", F.floor(F.col("ord1") / 100))
     at = binned.join(g, ["genome1", "chr1", "_bin"]).where("ord1 between _lo and _hi").drop("_lo", "_hi", "_bin")
     known = both.select("blkID", "genome1", "chr1", "genome2", "chr2", "ofID1", "ofID2", F.col("ord1"), F.col("ord2").cast("double").alias("ord2"))
     rest = at.join(known.select("blkID", "genome1", "genome2", "ofID1").distinct(), ["blkID", "genome1", "genome2", "ofID1"], "left_anti").withColumns({"ofID2": F.lit(None).cast("string"), "ord2": F.lit(None).cast("double")})

@@ -58,7 +58,7 @@ def array_round(genes: DataFrame, buffer: int, order: str = "ord") -> DataFrame:
 
 
 def tandem_arrays(genes: DataFrame, buffer: int, rounds: int = 10) -> DataFrame:
-    """``arrayID`` by rounds: arrays found, their genes moved to the mean rank, until the number of arrays stops falling.
+    """``arrayID`` by rounds: arrays found, their genes moved to the mean rank, until the number of arrays stops falling; the last round counts.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs a re-read.
     """
@@ -69,11 +69,11 @@ def tandem_arrays(genes: DataFrame, buffer: int, rounds: int = 10) -> DataFrame:
         moved = now.withColumn("_ord", F.avg("_ord").over(Window.partitionBy("arrayID"))).drop("arrayID")
         new, new_path = scratch.written(array_round(moved, buffer, "_ord"), "arrays")
         count = new.select("arrayID").distinct().count()
+        scratch.delete(spark, path)
+        now, path = new, new_path
         if count >= n:
-            scratch.delete(spark, new_path)
             break
-        scratch.delete(spark, path)
-        now, path, n = new, new_path, count
+        n = count
     return now.drop("_ord")
 
 

@@ -426,6 +426,43 @@ def sy25_positions(t: Tables) -> DataFrame:
     return blocks.interpolated_positions(h, g)
 
 
+REPS = "r AS (SELECT *, CAST(substr(ofID, 2) AS BIGINT) % 4 <> 0 AS rep FROM ranked)"
+
+
+def with_reps(t: Tables) -> DataFrame:
+    """Ranked genes; each fourth is no representative of its array."""
+    return t.ranked.withColumns({"isArrayRep": F.substring("ofID", 2, 20).cast("long") % 4 != 0, "noAnchor": F.lit(False), "arrayID": F.concat("genome", "chr", "og")})
+
+
+@query(f"""WITH {REPS}, b AS (SELECT blkID, genome1 AS g1, chr1 AS c1, genome2 AS g2, chr2 AS c2, ofID1 AS a, ofID2 AS b, ord1 AS x, CAST(ord2 AS DOUBLE) AS y FROM blocks UNION ALL SELECT blkID, genome2, chr2, genome1, chr1, ofID2, ofID1, ord2, CAST(ord1 AS DOUBLE) FROM blocks),
+n AS (SELECT blkID, g1, c1, g2, c2, min(x) AS lo, max(x) AS hi FROM b GROUP BY ALL),
+m AS (SELECT n.blkID, g1, c1, g2, c2, r.ofID AS a, CAST(NULL AS VARCHAR) AS b, r.ord AS x, CAST(NULL AS DOUBLE) AS y FROM n JOIN r ON r.genome = g1 AND r.chr = c1 AND r.rep AND r.ord BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.blkID = n.blkID AND b.g1 = n.g1 AND b.g2 = n.g2 AND b.a = r.ofID)),
+u AS (SELECT * FROM b UNION ALL SELECT * FROM m), d AS (SELECT blkID, g1, g2, x, avg(y) AS y FROM u GROUP BY ALL),
+e AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER p AS x0, last_value(y IGNORE NULLS) OVER p AS y0, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER q AS x1, first_value(y IGNORE NULLS) OVER q AS y1 FROM d
+WINDOW p AS (PARTITION BY blkID, g1, g2 ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY blkID, g1, g2 ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT blkID, g1, g2, x, coalesce(y, y0 + (y1 - y0) / (x1 - x0) * (x - x0)) AS pos FROM e)
+SELECT blkID, genome1, genome2, ofID1, ofID2, ord1, pos AS ord2 FROM (SELECT blkID, g1 AS genome1, g2 AS genome2, a AS ofID1, b AS ofID2, x AS ord1, round(pos, 6) AS pos, row_number() OVER (PARTITION BY blkID, g1, g2, a, round(pos, 6) ORDER BY b NULLS LAST) AS k FROM u JOIN f USING (blkID, g1, g2, x)) WHERE k = 1""", "blocks")
+def sy25_block_positions(t: Tables) -> DataFrame:
+    out = blocks.interpolated_positions(t.blocks.withColumn("isAnchor", F.lit(True)), with_reps(t))
+    return out.select("blkID", "genome1", "genome2", "ofID1", "ofID2", "ord1", F.round("ord2", 6).alias("ord2"))
+
+
+@query(f"""WITH {REPS}, n AS (SELECT genome || chr || og AS arr, count(*) AS nInArray FROM r GROUP BY 1), s AS (SELECT r.*, nInArray FROM r JOIN n ON n.arr = r.genome || r.chr || r.og WHERE rep),
+p AS (SELECT DISTINCT ofID, genome, og, nInArray, c, o FROM (SELECT ofID, genome, og, nInArray, chr AS c, CAST(ord AS DOUBLE) AS o FROM s WHERE genome = 'G0' UNION ALL SELECT s.ofID, s.genome, s.og, nInArray, h.chr1, h.ord1 + 0.5::DOUBLE FROM s JOIN hits h ON h.ofID2 = s.ofID WHERE h.genome1 = 'G0' AND s.genome <> 'G0')),
+g AS (SELECT *, coalesce(o - lag(o) OVER (PARTITION BY og, c ORDER BY o, ofID), 0) AS gap FROM p), m AS (SELECT *, max(gap) OVER (PARTITION BY og, c) > 200 AS split FROM g),
+k AS (SELECT *, sum(CASE WHEN split AND gap > sqrt(2.0::DOUBLE) * 100 THEN 1 ELSE 0 END) OVER (PARTITION BY og, c ORDER BY o, ofID) AS place FROM m),
+t AS (SELECT og, count(DISTINCT ofID) AS n_split FROM k WHERE split GROUP BY 1),
+q AS (SELECT og, c, place, split, count(DISTINCT ofID) AS n, arg_min(o, (CASE WHEN genome = 'G0' THEN 0 ELSE 1 END, genome, -nInArray, ofID, o)) AS spot FROM k GROUP BY ALL),
+u AS (SELECT q.* FROM q LEFT JOIN t USING (og) WHERE NOT split OR n >= 0.75::DOUBLE * n_split),
+v AS (SELECT *, count(*) OVER w AS places, min(n) OVER w AS low FROM u WINDOW w AS (PARTITION BY og, c)), x AS (SELECT *, sum(CASE WHEN n = low THEN 1 ELSE 0 END) OVER (PARTITION BY og, c) = 1 AS alone FROM v),
+y AS (SELECT * FROM x WHERE NOT (split AND places > 2 AND n = low AND alone)),
+z AS (SELECT k.og, count(DISTINCT ofID) AS total FROM k JOIN y ON y.og = k.og AND y.c = k.c AND y.place = k.place GROUP BY 1)
+SELECT og, c AS interpChr, spot AS interpOrd FROM (SELECT y.*, total, max(n) OVER (PARTITION BY y.og) AS top FROM y JOIN z USING (og)) WHERE n >= 0.75::DOUBLE * total OR n = top""", "hits")
+def sy26_places(t: Tables) -> DataFrame:
+    at = t.hits.where("genome1 = 'G0'").select(F.col("ofID2").alias("ofID1"), F.lit("G0").alias("genome2"), F.col("chr1").alias("chr2"), (F.col("ord1") + F.lit(0.5)).cast("double").alias("ord2"))
+    return pangenes.placed(with_reps(t), at, "G0", 100)
+
+
 @query()
 def sy25_census(t: Tables) -> DataFrame:
     g, h = found(t)
