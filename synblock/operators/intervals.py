@@ -25,13 +25,25 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_start: str, a_end:
     return met.unionByName(alone, allowMissingColumns=True)
 
 
-def reduce(df: DataFrame, by: list[str], gap: int = 1, start: str = "start", end: str = "end") -> DataFrame:
-    """Merges intervals that overlap or are less than ``gap`` positions apart (1: adjacent ones too); counts members."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(start) - reach - 1 >= gap).cast("int"), F.lit(0))
+BIN = 1_000_000
+
+
+def _reduced(df: DataFrame, by: list[str], gap: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("_s", "_e")
+    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("_s") - reach - 1 >= gap).cast("int"), F.lit(0))
     marked = df.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_i")
+    return marked.groupBy(*by, "_i").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n")).drop("_i")
+
+
+def reduce(df: DataFrame, by: list[str], gap: int = 1, start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
+    """Merges intervals that overlap or are less than ``gap`` positions apart (1: adjacent ones too); counts members.
+
+    What begins within ``width`` positions is merged first, so that one chromosome is many tasks; then what is left of each chromosome.
+    """
+    rows = df.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.lit(1).cast("long").alias("_n"), F.floor(F.col(start) / width).alias("_bin"))
+    parts = _reduced(_reduced(rows, [*by, "_bin"], gap).drop("_bin"), by, gap)
+    return parts.withColumnsRenamed({"_s": start, "_e": end, "_n": "n"})
 
 
 def merged(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:

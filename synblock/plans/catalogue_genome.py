@@ -226,7 +226,7 @@ def sequences(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").cast("string").alias("chr"), F.col("text").alias("seq"))
 
 
-@query(f"WITH {SEQS} SELECT chr, p AS start, p + 3 AS \"end\", upper(substr(seq, p, 4)) AS kmer FROM s, range(1, 200001) q(p) WHERE p + 3 <= length(seq) AND upper(substr(seq, p, 4)) IN ('TION', 'THER')")
+@query(f"WITH {SEQS} SELECT chr, p AS start, p + 3 AS \"end\", upper(substr(seq, p, 4)) AS kmer FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1)) AS p FROM s) WHERE p + 3 <= length(seq) AND upper(substr(seq, p, 4)) IN ('TION', 'THER')")
 def iv11_kmer_hits(t: Tables) -> DataFrame:
     return sequence.kmer_hits(sequences(t), ["TION", "THER"])
 
@@ -235,11 +235,11 @@ def iv10_kmer_ranges(t: Tables) -> DataFrame:
     return sequence.kmer_ranges(sequences(t), ["TION", "IONS", "THER"])
 
 
-query(f"""WITH {SEQS}, k AS (SELECT chr, p AS s, p + 3 AS e FROM s, range(1, 200001) q(p) WHERE p + 3 <= length(seq) AND upper(substr(seq, p, 4)) IN ('TION', 'IONS', 'THER'))
+query(f"""WITH {SEQS}, k AS (SELECT chr, p AS s, p + 3 AS e FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1)) AS p FROM s) WHERE p + 3 <= length(seq) AND upper(substr(seq, p, 4)) IN ('TION', 'IONS', 'THER'))
 SELECT chr, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY chr ORDER BY s) - 1 >= 1 THEN 1 ELSE 0 END AS j FROM k)) GROUP BY chr, i""")(iv10_kmer_ranges)
 
 
-@query(f"""WITH {SEQS}, k AS (SELECT chr, p AS s FROM s, range(1, 200001) q(p) WHERE p <= length(seq) AND upper(substr(seq, p, 1)) = 'N')
+@query(f"""WITH {SEQS}, k AS (SELECT chr, p AS s FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1)) AS p FROM s) WHERE p <= length(seq) AND upper(substr(seq, p, 1)) = 'N')
 SELECT chr, start, "end" FROM (SELECT chr, min(s) AS start, max(s) AS "end" FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY chr ORDER BY s) - 1 >= 2 THEN 1 ELSE 0 END AS j FROM k)) GROUP BY chr, i) WHERE "end" - start >= 2""")
 def iv12_runs(t: Tables) -> DataFrame:
     return sequence.runs_of(sequences(t), "N", 3)
@@ -260,7 +260,7 @@ def iv15_long_enough(t: Tables) -> DataFrame:
     return sequence.long_enough(sequences(t), 2000)
 
 
-@query(f"WITH {SEQS} SELECT concat(chr, ':', CAST(p AS VARCHAR), '_', CAST(p + 499 AS VARCHAR)) AS name, chr, p AS start, p + 499 AS \"end\", substr(seq, p, 500) AS seq FROM s, range(1, 200001, 250) q(p) WHERE p + 499 <= length(seq)")
+@query(f"WITH {SEQS} SELECT concat(chr, ':', CAST(p AS VARCHAR), '_', CAST(p + 499 AS VARCHAR)) AS name, chr, p AS start, p + 499 AS \"end\", substr(seq, p, 500) AS seq FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1, 250)) AS p FROM s) WHERE p + 499 <= length(seq)")
 def iv16_tiles(t: Tables) -> DataFrame:
     return sequence.tiles(sequences(t), 500, 250)
 
@@ -556,6 +556,27 @@ def qy03_copy_numbers(t: Tables) -> DataFrame:
     return out.withColumns({"percGenes": F.round("percGenes", 6), "percOGs": F.round("percOGs", 6)})
 
 
+REGION_CNV = """WITH t AS (SELECT *, 'globalOGs' AS ogType, og AS grp FROM genes UNION ALL SELECT *, 'globalHOGs', og || '_' || CAST(CAST(substr(ofID, 2) AS BIGINT) % 2 AS VARCHAR) FROM genes UNION ALL SELECT *, 'syntenicHOGs', og || chr FROM genes),
+l AS (SELECT * FROM t WHERE CAST(substr(ofID, 2) AS BIGINT) % 9 <> 0),
+b AS (SELECT 'G0' AS genome, 'chr0' AS chr, 100000 AS s, 300000 AS e UNION ALL SELECT 'G2', 'chr0', 0, 4611686018427387903),
+r AS (SELECT *, concat(genome, ', ', chr, ': ', s, '-', e) AS region FROM b),
+f AS (SELECT DISTINCT region, ogType, grp FROM l JOIN r ON l.genome = r.genome AND l.chr = r.chr AND l."end" >= s AND l.start <= e),
+c AS (SELECT region, l.ogType, l.grp, genome, count(*) AS n FROM l JOIN f ON f.ogType = l.ogType AND f.grp = l.grp GROUP BY ALL),
+x AS (SELECT p.region, p.ogType, p.grp, g.genome FROM (SELECT DISTINCT region, ogType, grp FROM c) p JOIN (SELECT DISTINCT region, ogType, genome FROM c) g ON p.region = g.region AND p.ogType = g.ogType),
+k AS (SELECT x.region, x.genome, x.ogType, CAST(least(coalesce(n, 0), 3) AS BIGINT) AS copyNumber, count(*) AS nOgs FROM x LEFT JOIN c ON c.region = x.region AND c.ogType = x.ogType AND c.grp = x.grp AND c.genome = x.genome GROUP BY ALL)
+SELECT *, copyNumber * nOgs AS nGenes, round(100.0::DOUBLE * (copyNumber * nOgs) / CAST(sum(copyNumber * nOgs) OVER (PARTITION BY region, genome, ogType) AS DOUBLE), 6) AS percGenes, round(100.0::DOUBLE * nOgs / CAST(sum(nOgs) OVER (PARTITION BY region, genome, ogType) AS DOUBLE), 6) AS percOGs FROM k"""
+
+
+@query(REGION_CNV, "genes")
+def qy03_copy_numbers_of_regions(t: Tables) -> DataFrame:
+    """Three kinds of groups, array representatives only, numbers above three as three, for two regions."""
+    n = F.substring("ofID", 2, 20).cast("long")
+    g = t.genes.withColumns({"isArrayRep": n % 9 != 0, "hog": F.concat("og", F.lit("_"), (n % 2).cast("string")), "syn": F.concat("og", "chr")})
+    bed = t.spark.createDataFrame([("G0", "chr0", 100000, 300000), ("G2", "chr0", None, None)], "genome string, chr string, start long, end long")
+    out = Q.copy_numbers(g, {"globalOGs": "og", "globalHOGs": "hog", "syntenicHOGs": "syn"}, True, 3, bed)
+    return out.withColumns({"percGenes": F.round("percGenes", 6), "percOGs": F.round("percOGs", 6)})
+
+
 # Lay-out
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,22 +49,29 @@ def reference_pangenes(pan: DataFrame, genes: DataFrame, genomes: list[str], sho
     return pangenes.wide(table, genomes, **how).join(rep, "pgRepID", "left")
 
 
-def copy_numbers(genes: DataFrame, kinds: dict[str, Column | str], only_representatives: bool = False, most: int | None = None) -> DataFrame:
+def copy_numbers(genes: DataFrame, kinds: dict[str, Column | str], only_representatives: bool = False, most: int | None = None, bed: DataFrame | None = None) -> DataFrame:
     """``genome, ogType, copyNumber, nGenes, nOgs, percGenes, percOGs``: groups with 0, 1, 2 … members in each genome.
 
-    ``kinds`` names the columns that hold groups. Numbers above ``most`` count as ``most``.
+    ``kinds`` names the columns that hold groups. Numbers above ``most`` count as ``most``. With ``bed`` there is a table for each of its
+    regions, told apart by ``region``, of the groups that have a gene there. Of a kind only genomes that have any of its groups are counted.
     """
     g = genes.where("isArrayRep") if only_representatives else genes
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    long = g.select("genome", F.explode(F.array(*(F.struct(F.lit(k).alias("ogType"), c(x).alias("og")) for k, x in kinds.items()))).alias("s")).select("genome", "s.ogType", "s.og").where("og is not null")
-    counts = long.groupBy("genome", "ogType", "og").agg(F.count(F.lit(1)).alias("n"))
-    grid = long.select("ogType", "og").distinct().join(long.select("ogType", "genome").distinct(), "ogType")  # genomes are few
-    full = grid.join(counts, ["genome", "ogType", "og"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("ogType"), c(x).alias("og")) for k, x in kinds.items()))).alias("s")
+    long = g.select("genome", kind).select("genome", "s.ogType", "s.og").where("og is not null")
+    by = ["ogType"]
+    if bed is not None:
+        r = regions(bed, g).select("region", F.col("genome").alias("_g"), F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+        there = (F.col("genome") == F.col("_g")) & (F.col("chr") == F.col("_c")) & (F.col("end") >= F.col("_s")) & (F.col("start") <= F.col("_e"))
+        found = g.join(F.broadcast(r), there).select("region", kind).select("region", "s.ogType", "s.og").where("og is not null").distinct()  # regions are the question's own
+        long, by = long.join(found, ["ogType", "og"]), ["region", "ogType"]
+    counts = long.groupBy(*by, "og", "genome").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(*by, "og").agg(F.map_from_entries(F.collect_list(F.struct("genome", "n"))).alias("_n"))
+    present = counts.groupBy(*by).agg(F.collect_set("genome").alias("_genomes"))  # a row a kind and region
+    full = groups.join(F.broadcast(present), by).select(*by, "og", "_n", F.explode("_genomes").alias("genome")).withColumn("n", F.coalesce(F.col("_n")[F.col("genome")], F.lit(0)))
     number = F.least("n", F.lit(most)) if most is not None else F.col("n")
-    out = full.groupBy("genome", "ogType", number.cast("long").alias("copyNumber")).agg(F.sum("n").cast("long").alias("nGenes"), F.count(F.lit(1)).alias("nOgs"))
-    w = Window.partitionBy("genome", "ogType")
-    return out.withColumns({"percGenes": 100.0 * F.col("nGenes") / F.sum("nGenes").over(w), "percOGs": 100.0 * F.col("nOgs") / F.sum("nOgs").over(w)})
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    out = full.groupBy("genome", *by, number.cast("long").alias("copyNumber")).agg(F.count(F.lit(1)).alias("nOgs"))
+    out = out.withColumn("nGenes", F.col("copyNumber") * F.col("nOgs"))
+    w = Window.partitionBy("genome", *by)
+    order = [*(["region"] if bed is not None else []), "genome", "ogType", "copyNumber", "nGenes", "nOgs"]
+    return out.select(*order).withColumns({"percGenes": 100.0 * F.col("nGenes") / F.sum("nGenes").over(w), "percOGs": 100.0 * F.col("nOgs") / F.sum("nOgs").over(w)})

@@ -219,3 +219,62 @@ def test_colours():
     assert layout.colours(0) == [] and len(set(layout.colours(12))) == 12 and all(layout.are_colours(layout.colours(5)))
     assert layout.are_colours(["#FFFFFF", "red"]) == [True, False] and layout.with_alpha("#000000", 0.5) == "#00000080"
     assert layout.ward_clusters(np.array([1.0, 2, 50, 51]), np.ones(4), 2).tolist() == [1, 1, 2, 2]
+
+
+def test_long_sequences_are_scanned_once(spark):
+    import time
+
+    unit = "ACGTTGCANN" * 100 + "TTAGGG" + "N" * 7
+    text = unit * (5_000_000 // len(unit))
+    s = spark.createDataFrame([("x", text), ("y", "é" + text[:50] + "nN"), ("z", None), ("w", "")], "chr string, seq string")
+    began = time.time()
+    found = sequence.kmer_hits(s, ["TTAGGG"]).groupBy("chr").count().collect()
+    assert {r["chr"]: r["count"] for r in found} == {"x": text.count("TTAGGG")}
+    runs = sequence.runs_of(s, "N", 7).collect()
+    assert len(runs) == text.count("N" * 7) and all(text[r["start"] - 1 : r["end"]] == "N" * 7 for r in runs[::100])
+    assert sorted_rows(sequence.runs_of(s, "N", 3).where("chr = 'y'"), "start", "end") == [(50, 53)]
+    tiles = sequence.tiles(s, 1_000, 500).where("chr = 'x'")
+    assert tiles.count() == (len(text) - 1_000) // 500 + 1 and tiles.where("start = 4000001").first()["seq"] == text[4_000_000:4_001_000]
+    assert time.time() - began < 60
+
+
+def test_kmers_with_mismatches_equal_brute_force(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGTNacgt") for _ in range(2_000))
+    s = spark.createDataFrame([(7, text)], "chr long, seq string")
+    got = sorted((r["chr"], r["start"], r["kmer"]) for r in sequence.kmer_hits(s, ["ACGTA", "TTT"], 1, True).collect())
+    words = {"ACGTA", "TACGT", "TTT", "AAA"}
+    want = sorted((7, i + 1, w) for w in words for i in range(len(text) - len(w) + 1) if sum(a != b for a, b in zip(text[i : i + len(w)].upper(), w, strict=True)) <= 1)
+    assert got == want
+
+
+def test_reduce_in_bins_equals_a_sweep(spark):
+    rng = random.Random(4)
+    rows = [("c", a := rng.randrange(1, 4_000), a + rng.choice([0, 3, 20, 900])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "chr string, start long, `end` long")
+    for gap in (1, 5):
+        want, now = [], None
+        for _, a, b in sorted(rows):
+            if now and a - now[1] - 1 < gap:
+                now = [now[0], max(now[1], b), now[2] + 1]
+            else:
+                want += [tuple(now)] if now else []
+                now = [a, b, 1]
+        want.append(tuple(now))
+        for width in (50, 1_000_000):
+            assert sorted((r["start"], r["end"], r["n"]) for r in intervals.reduce(df, ["chr"], gap, width=width).collect()) == want
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(0, i) for i in range(300, 360)]
+    root = {i: i for e in edges for i in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: r for i, r in root.items() if any(i in e and e[0] != e[1] for e in edges)}
