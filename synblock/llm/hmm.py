@@ -340,7 +340,7 @@ def pieces(model: Model, texts: list[np.ndarray], size: int = PIECE) -> Pieces:
     owner = np.repeat(np.arange(len(texts)), many)
     rank = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     starts = (np.cumsum(lengths) - lengths)[owner] + rank * size
-    p = Pieces(np.concatenate(texts).astype(np.int64), starts, np.minimum(size, lengths[owner] - rank * size), rank == 0, owner, np.zeros((len(owner), k)), np.ones((len(owner), k)))
+    p = Pieces(np.concatenate(texts), starts, np.minimum(size, lengths[owner] - rank * size), rank == 0, owner, np.zeros((len(owner), k)), np.ones((len(owner), k)))
     cut = np.flatnonzero(many[owner] > 1)
     if len(cut):
         part = Pieces(p.flat, p.starts[cut], p.lengths[cut], p.first[cut], p.owner[cut], p.entry[cut], p.after[cut])
