@@ -57,8 +57,8 @@ def array_round(genes: DataFrame, buffer: int, order: str = "ord") -> DataFrame:
     return sessions.withColumn("arrayID", F.concat_ws("_", "genome", "chr", "og", F.col("_session").cast("string"))).drop("_session", "_rank")
 
 
-def tandem_arrays(genes: DataFrame, buffer: int, rounds: int = 10) -> DataFrame:
-    """``arrayID`` by rounds: arrays found, their genes moved to the mean rank, until the number of arrays stops falling; the last round counts.
+def tandem_arrays(genes: DataFrame, buffer: int, rounds: int = 10, always: bool = False) -> DataFrame:
+    """``arrayID`` by rounds: arrays found, their genes moved to the mean rank, until the number of arrays stops falling (with ``always``, all rounds); the last round counts.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs a re-read.
     """
@@ -71,7 +71,7 @@ def tandem_arrays(genes: DataFrame, buffer: int, rounds: int = 10) -> DataFrame:
         count = new.select("arrayID").distinct().count()
         scratch.delete(spark, path)
         now, path = new, new_path
-        if count >= n:
+        if count >= n and not always:
             break
         n = count
     return now.drop("_ord")

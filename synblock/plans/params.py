@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 from synblock.operators.synteny import Settings
 
 
@@ -55,6 +57,14 @@ class Params:
         return Settings(only_og=False, block_size=self.block_size, n_gaps=2 * self.n_gaps, buffer=self.buffer, block_radius=self.block_radius or 5 * self.block_size, top1=self.secondary_hits, top2=self.secondary_hits)
 
 
+def pairs(spark: SparkSession, params: Params) -> DataFrame:
+    """A row per pair of genomes, itself included, in the order of the run: how many hits a gene may seed with on either side, and the thresholds."""
+    s, kept = params.settings(), [g for g in params.genomes if g not in params.outgroup]
+    n = lambda g: params.ploidy.get(g, 1)
+    rows = [(a, b, a == b, n(b), n(a), s.block_size, s.n_gaps, s.block_radius, s.radius) for i, a in enumerate(kept) for b in kept[i:]]
+    return spark.createDataFrame(rows, "query string, target string, isSelf boolean, nTargets int, nQueries int, blkSize int, nGaps int, blkRadius int, synRad double")
+
+
 def checked_integer(x, low: float = float("-inf"), high: float = float("inf"), default: int | None = None, name: str = "value") -> int:
     """A whole number clamped to [low, high]; what isn't one gives the default, or an error without it."""
     try:

@@ -56,6 +56,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written once as Parquet, and the place where it is."""
     spark = df.sparkSession

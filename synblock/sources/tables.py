@@ -6,7 +6,7 @@ are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from synblock.functions.columns import blank_to_null
@@ -125,6 +125,30 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     return _typed(spark.read.csv(path, sep="\t", schema=_strings(PAF)), PAF)
 
 
+def best_first(paf: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1, of each alignment of a window: by mapping quality, matches and length, then by position."""
+    order = [F.desc("mapq"), F.desc("nmatches"), F.desc("blkLen"), "refChr", "refStart"]
+    return paf.withColumn("place", F.row_number().over(Window.partitionBy("windowName").orderBy(*order)).cast("long"))
+
+
+def convert_old(spark: SparkSession, path: str, out: str) -> None:
+    """The gene table of an old run (``id, chr, start, end`` with a header, 1-based) as a BED file."""
+    old = spark.read.csv(path, sep="\t", header=True)
+    write_bed(old.select("chr", F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), "id").dropna(), out)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.csv(path, header=True)
+
+
+def write_annotation(matched: DataFrame, path: str, genomes: list[str]) -> None:
+    """A BED and a FASTA file per genome, from ``match_annotation``."""
+    for genome in genomes:
+        own = matched.where(F.col("genome") == genome)
+        write_bed(own, f"{path}/bed/{genome}.bed")
+        write_fasta(own, f"{path}/peptide/{genome}.fa")
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A result table with a header; another header than the schema's is refused."""
     df = spark.read.csv(path, sep="\t", header=True)
