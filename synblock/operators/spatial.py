@@ -109,19 +109,17 @@ def neighbour_lists(x: np.ndarray, y: np.ndarray, eps: float, ax: np.ndarray | N
 
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each index is connected to."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = find(i), find(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-    return np.array([find(i) for i in range(n)], np.int64)
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while (low[low] != low).any():
+            low = low[low]
+        low = low[root]
+        if (low == root).all():
+            return root
+        root = low
 
 
 def dbscan_kernel(x: np.ndarray, y: np.ndarray, eps: float, min_points: int) -> np.ndarray:
