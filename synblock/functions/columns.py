@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,13 +35,10 @@ def strip_marks(c: Column, marks: str = ".-") -> Column:
     return F.translate(c, marks, "")
 
 
-def pad_left(c: Column, by: list[Column] | None = None) -> Column:
-    """Right-justified to the longest value."""
-    return F.lpad(c, F.max(F.length(c)).over(Window.partitionBy(*(by or [F.lit(1)]))), F.lit(" "))
-
-
-def pad_right(c: Column, by: list[Column] | None = None) -> Column:
-    return F.rpad(c, F.max(F.length(c)).over(Window.partitionBy(*(by or [F.lit(1)]))), F.lit(" "))
+def justified(df: DataFrame, column: str, right: bool = True) -> Column:
+    """A column padded with blanks to the length of its longest value, which is sought first."""
+    longest = df.agg(F.max(F.length(column))).first()[0] or 0
+    return F.lpad(column, longest, " ") if right else F.rpad(column, longest, " ")
 
 
 def scale_between(x: Column, low: float, high: float, by: list[Column], one_to_mean: bool = True) -> Column:
@@ -63,12 +58,3 @@ def labelled(*parts: Column | str) -> Column:
 def any_true(c: Column) -> Column:
     """As an aggregate: whether a group has a true value, false if it has none but nulls."""
     return F.coalesce(F.bool_or(c), F.lit(False))
-
-
-def cosine_step(t: Column) -> Column:
-    """The height of a half cosine wave that rises from 0 to 1 while t does."""
-    return (1 - F.cos(t * F.pi())) / 2
-
-
-def least_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: F.least(a, b), cols)

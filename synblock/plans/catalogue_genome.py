@@ -111,10 +111,10 @@ def jn09_overlap_left(t: Tables) -> DataFrame:
     return intervals.overlap_join(t.genes, features(t), BOTH, "start", "end", "fs", "fe", how="left").select("ofID", "fid")
 
 
-@query("WITH b AS (SELECT genome1 AS genome, chr1 AS chr, blkID, min(ord1) AS lo, max(ord1) AS hi FROM blocks GROUP BY ALL) SELECT blkID, ofID FROM b JOIN ranked USING (genome, chr) WHERE ord BETWEEN lo AND hi", "blocks")
+@query("WITH b AS (SELECT 1 AS side, genome1 AS genome, chr1 AS chr, blkID, min(ord1) AS lo, max(ord1) AS hi FROM blocks GROUP BY ALL UNION ALL SELECT 2, genome2, chr2, blkID, min(ord2), max(ord2) FROM blocks GROUP BY ALL) SELECT blkID, side, ofID FROM b JOIN ranked USING (genome, chr) WHERE ord BETWEEN lo AND hi", "blocks")
 def jn11_genes_in_block(t: Tables) -> DataFrame:
     b = t.blocks.groupBy("blkID", "genome1", "chr1", "genome2", "chr2").agg(F.min("ord1").alias("startOrd1"), F.max("ord1").alias("endOrd1"), F.min("ord2").alias("minOrd2"), F.max("ord2").alias("maxOrd2"))
-    return blocks.genes_in_blocks(b, t.ranked).where("side = 1").select("blkID", "ofID")
+    return blocks.genes_in_blocks(b, t.ranked).select("blkID", "side", "ofID")
 
 
 @query("WITH b AS (SELECT genome1, genome2, chr1, chr2, blkID AS box, min(ord1) AS x1, max(ord1) AS x2, min(ord2) AS y1, max(ord2) AS y2 FROM blocks GROUP BY ALL HAVING count(*) >= 5) SELECT ofID1, ofID2, min(box) AS box FROM hits LEFT JOIN b ON hits.genome1 = b.genome1 AND hits.genome2 = b.genome2 AND hits.chr1 = b.chr1 AND hits.chr2 = b.chr2 AND ord1 BETWEEN x1 AND x2 AND ord2 BETWEEN y1 AND y2 GROUP BY 1, 2", "blocks")

@@ -94,7 +94,7 @@ def jn16_grid(t: Tables) -> DataFrame:
     n = t.customer.where("c_acctbal > 9000").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     n = n.groupBy("r_name", F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("n"))
     segments = t.customer.agg(F.collect_set("c_mktsegment").alias("s"))  # one row of a few names
-    grid = t.region.select("r_name").join(segments, F.lit(True)).select("r_name", F.explode("s").alias("seg"))
+    grid = t.region.select("r_name").join(F.broadcast(segments), F.lit(True)).select("r_name", F.explode("s").alias("seg"))
     return grid.join(n, ["r_name", "seg"], "left").na.fill(0, ["n"])
 
 
@@ -418,9 +418,7 @@ def sf18_sequences(t: Tables) -> DataFrame:
 
 @query("SELECT n_nationkey, lpad(n_name, (SELECT max(length(n_name)) FROM nation)::INT, ' ') AS a, rpad(n_name, (SELECT max(length(n_name)) FROM nation)::INT, ' ') AS b FROM nation")
 def sf07_justify(t: Tables) -> DataFrame:
-    m = t.nation.agg(F.max(F.length("n_name")).alias("m"))
-    n = t.nation.join(F.broadcast(m), F.lit(True))
-    return n.select("n_nationkey", F.lpad("n_name", F.col("m"), F.lit(" ")).alias("a"), F.rpad("n_name", F.col("m"), F.lit(" ")).alias("b"))
+    return t.nation.select("n_nationkey", C.justified(t.nation, "n_name").alias("a"), C.justified(t.nation, "n_name", False).alias("b"))
 
 
 @query("SELECT ofID AS ofID1, genome AS genome1, chr AS chr1, ord AS ord1 FROM ranked", "ranked")

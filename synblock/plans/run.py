@@ -41,7 +41,7 @@ def _keep_parameters(spark: SparkSession, params: Params, folder: str) -> None:
 
 
 def run(params: Params, beds: DataFrame, forward: DataFrame, reverse: DataFrame | None = None, orthologues: DataFrame | None = None, references: tuple[str, ...] | None = None, folder: str | None = None) -> Result:
-    """From genes ``(genome, chr, start, end, id, ofID, pepLen, og)`` and alignments to pan-genes of every reference.
+    """From genes ``(genome, chr, start, end, id, ofID, pepLen, og)``, perhaps with ``hog``, and alignments to pan-genes of every reference.
 
     What later steps use more than once is written to the shared folder. With ``folder`` all results are written there, blocks and
     regions as CSV too, and a run that finds a step's table there takes it up from it; the parameters must be the same.
@@ -58,6 +58,8 @@ def run(params: Params, beds: DataFrame, forward: DataFrame, reverse: DataFrame
             make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
+    if "hog" in beds.columns:  # hierarchical groups beside the flat ones
+        beds = beds.withColumns({"globOG": F.col("og"), "globHOG": F.col("hog"), "og": F.coalesce("hog", "og") if params.use_hogs else F.col("og")}).drop("hog")
     kept = [g for g in params.genomes if g not in params.outgroup]
     first = step("annotated", lambda: genes.annotate(beds.where(F.col("genome").isin(kept)), params.block_size, params.buffer, params.places))
     found = step("hits", lambda: synteny.synteny(hits.annotate(forward, reverse, first), params.settings(), params.ploidy, params.second()))
