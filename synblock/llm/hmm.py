@@ -322,11 +322,12 @@ def active(lengths: np.ndarray) -> list[int]:
 def transfers(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
     """The matrix of each piece, up to a factor: row i is the vector behind it after state i before it (at a text's start: after none)."""
     k, starts, steps, kind = len(model.start), p.starts[some], active(p.lengths[some]), model.emit.dtype
-    out, whole, move = np.empty((len(some), k, k), kind), np.ones(k * k, kind), model.move.astype(kind)
+    out, moved, whole, move = np.empty((len(some), k, k), kind), np.empty((len(some) * k, k), kind), np.ones(k * k, kind), model.move.astype(kind)
     every = 8 if kind == np.float64 else 2  # before numbers get too small
     for t, n in enumerate(steps):
         e = model.emit[p.flat[starts[:n] + t]][:, None, :]
-        out[:n] = (np.where(p.first[some][:, None, None], model.start.astype(kind), move) if t == 0 else (out[:n].reshape(-1, k) @ move).reshape(n, k, k)) * e
+        before = np.where(p.first[some][:, None, None], model.start.astype(kind), move) if t == 0 else np.matmul(out[:n].reshape(-1, k), move, out=moved[: n * k]).reshape(n, k, k)
+        np.multiply(before, e, out=out[:n])
         if t % every == every - 1 or t + 1 == len(steps) or steps[t + 1] < n:
             out[:n] /= (out[:n].reshape(n, -1) @ whole)[:, None, None]
     return out
@@ -571,11 +572,12 @@ def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon,
         def gather(key: tuple, mine: pa.Table, words: pa.Table) -> pa.Table:
             now, rest = sent.value
             x = portion_of(mine, words, now, rest, m, np.float32)
-            counts, moves, begins = np.zeros((len(x.model.emit), states)), np.zeros((states, states)), np.zeros(states)
+            counts, moves, begins = np.zeros((states, len(x.model.emit))).T, np.zeros((states, states)), np.zeros(states)
             if x.texts:
                 p = pieces(x.model, x.texts)
                 for some in p.batches(2 * BATCH):
                     expected(x.model, p, some, counts, moves, begins)
+            counts = counts.astype(np.float32, order="C")
             out, n = [], m
             for bucket, at in zip(x.buckets, x.at, strict=True):
                 out.append((bucket, at, packed(counts[n : (n := n + len(at) // 4)])))
