@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synblock.llm import bpe, edits, hmm, html, mixing, quality, sharding, simhash, topk, warc
+from synblock.llm import bpe, centroids, edits, hmm, html, minhash, mixing, quality, sharding, simhash, spelling, topk, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -59,5 +59,17 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_html_text, op3_mix_sources, op4_quality_rules, op5_kd_shards, op6_bpe_codec, op7_hmm_score, op8_edit_counts, op9_kd_topk, op10_warc_archive)}
-ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op9_kd_topk": topk.ORACLE, "op10_warc_archive": warc.ORACLE}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_html_text, op3_mix_sources, op4_quality_rules, op5_kd_shards, op6_bpe_codec, op7_hmm_score, op8_edit_counts, op9_kd_topk, op10_warc_archive, op11_spelling_variants, op12_centroid_clusters, op13_minhash_dedup)}
+ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op9_kd_topk": topk.ORACLE, "op10_warc_archive": warc.ORACLE, "op12_centroid_clusters": centroids.oracle(), "op13_minhash_dedup": minhash.ORACLE}
