@@ -10,7 +10,8 @@ probability (1 - 0.8**5)**40 = 1.2e-7, and less the more alike it is.
 
 Equal sets are one node. A key's rows aren't paired with each other: first each is confirmed against the most alike
 of the keys' first rows, which joins groups of copies in one step. What is then still in another component than its key's first row
-is compared with all rows of the key, in blocks against blocks, and only across components.
+is compared with all rows of the key, in blocks against blocks, and only across components, in steps: first the most alike of each row are confirmed, which
+joins most groups, and what is left are pairs of different groups that are nearly alike enough. A pair that shares several bands is a candidate in the first of them only.
 
 Texts are lower-cased in A-Z only. A text with fewer words than a shingle has its whole sequence as one shingle; one without
 words, or null, has an empty set and is linked with nothing. Rows repeated or with equal ids get the same answer each. Rows
@@ -35,11 +36,13 @@ from synblock.operators.graph import connected_components
 
 SHINGLE = 2
 PERCENT = 80
-HASHES = 256
+HASHES = 512
 BITS = 4
 BANDS = 40
 ROWS = 5
-MARGIN = 7
+MARGIN = 6
+#: Candidates of a row and cell in each step of the comparison; None are all.
+MOST = (2, 16, None)
 SEED = 42
 BLOCK = 512
 _FLUSH = 1 << 20
@@ -149,11 +152,75 @@ def confirmed(pairs: DataFrame, table: DataFrame, percent: int = PERCENT) -> Dat
     return joined.where(F.expr(f"100 * both >= {percent} * (n_src + n_dst - both)")).select("src", "dst")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """What two rows ``a`` and ``b`` of nodes need to be worth a look at their sets."""
-    n_a, n_b, high = F.col(f"{a}.n"), F.col(f"{b}.n"), F.lit(100)
-    sizes = (n_a * high >= n_b * F.lit(percent)) & (n_b * high >= n_a * F.lit(percent))
-    return sizes & (agreeing(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= F.lit(least_agreeing(percent)))
+def _enough(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be alike enough."""
+    return (n_a * F.lit(100) >= n_b * F.lit(percent)) & (n_b * F.lit(100) >= n_a * F.lit(percent))
+
+
+def _compared(cells: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Candidates ``(src, dst)`` of every cell: the ``most`` most alike of each left row, or all.
+
+    Rows of a cell are on the left (``side`` 0) or right. A pair counts that is in two components, looks alike enough, and has no band in common before the
+    cell's own, so that it is a candidate once. Rows on the right that aren't of their key's first component are on the left too and count from there.
+    """
+    least, words = least_agreeing(percent), HASHES // 64
+
+    def cell(cols: list[np.ndarray], s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        key, side, node, n, comp, home, sig, bands = (c[s:e] for c in (cols[0], *cols[3:]))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return node[:0], node[:0]
+        good = comp[a][:, None] != comp[b][None, :]
+        good &= (home[b] == comp[b])[None, :] | (node[a][:, None] < node[b][None, :])
+        good &= (100 * n[a][:, None] >= percent * n[b][None, :]) & (100 * n[b][None, :] >= percent * n[a][:, None])
+        if not good.any():
+            return node[:0], node[:0]
+        score = np.full(good.shape, HASHES, np.int16)
+        for w in range(words):
+            differ = np.zeros(good.shape, np.uint64)
+            for j in range(BITS):
+                differ |= sig[a, w + j * words][:, None] ^ sig[b, w + j * words][None, :]
+            score -= np.bitwise_count(differ)
+        x, y = np.nonzero(good & (score >= least))
+        own = int(np.argmax(bands[a[0]] == np.int64(key[0]).astype(np.int32)))
+        first = np.zeros(len(x), bool)
+        for at in range(0, len(x), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            first[part] = (bands[a[x[part]]] == bands[b[y[part]]]).argmax(axis=1) == own
+        x, y = x[first], y[first]
+        if most is not None and len(x):
+            order = np.lexsort((-score[x, y], x))
+            x, y = x[order], y[order]
+            start = np.r_[0, np.flatnonzero(np.diff(x)) + 1]
+            rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+            x, y = x[rank < most], y[rank < most]
+        return np.maximum(node[a[x]], node[b[y]]), np.minimum(node[a[x]], node[b[y]])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def flush(cols: list[np.ndarray], start: list[int], end: list[int]) -> pa.RecordBatch:
+            found = [cell(cols, s, e) for s, e in zip(start, end, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["src", "dst"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:8]]
+            cols += [c.flatten().to_numpy().reshape(b.num_rows, -1) for c in b.columns[8:]]
+            cols[8] = cols[8].view(np.uint64)
+            if kept is not None:
+                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            new = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1).tolist()
+            if new:
+                yield flush(cols, [0, *new[:-1]], new)
+            kept = [c[new[-1] if new else 0 :] for c in cols]  # at most two blocks
+        if kept is not None:
+            yield flush(kept, [0], [len(kept[0])])
+
+    by = ["key", "x", "y"]
+    rows = cells.select(*by, "side", "node", "n", "comp", "home", "sig", "bands")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(of, "src long, dst long")
 
 
 def links(table: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -164,34 +231,38 @@ def links(table: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int
     crowded = scratch.materialize(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "crowded")
     members = scratch.materialize(banded.join(crowded, "key").select("key", "node", "hub"), "members")
     met = members.select(F.col("node").alias("row")).distinct()
-    sigs = scratch.materialize(marked(table.select("row", "n", "sig"), met, row="row").withColumnRenamed("row", "node"), "signatures")
+    short = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))  # enough to tell bands apart
+    sigs = marked(table.select("row", "n", "sig", short.alias("bands")), met, row="row").withColumnRenamed("row", "node")
+    sigs = scratch.materialize(sigs, "signatures")
 
     # each node and the most alike of the first rows that it meets
     pairs = members.where("node != hub").select("node", "hub").distinct()
-    hubs = sigs.withColumnRenamed("node", "hub")
-    joined = pairs.join(sigs.alias("a"), "node").join(hubs.alias("b"), "hub").where(_alike("a", "b", percent))
-    scored = joined.select("node", "hub", agreeing(F.col("a.sig"), F.col("b.sig")).alias("score"))
-    best = scored.groupBy("node").agg(F.max(F.struct("score", "hub"))["hub"].alias("dst")).select(F.col("node").alias("src"), "dst")
-    first = scratch.materialize(confirmed(scratch.materialize(best, "hubs"), table, percent), "links")
-
-    # what is still apart from its key's first row, against all rows of the key
-    labels = scratch.materialize(connected_components(first), "labels")
-    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("_h"))
-    placed = members.join(labels, "node", "left").join(of_hub, "hub", "left")
-    placed = placed.select("key", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("_h", "hub").alias("home"))
-    placed = scratch.materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("home")).alias("others")).where("others > 0")
-    mixed = scratch.materialize(mixed.select("key", F.ceil(F.col("all") / block).cast("int").alias("down"), F.ceil(F.col("others") / block).cast("int").alias("across")), "mixed")
-    rows = scratch.materialize(placed.join(mixed, "key").join(sigs, "node"), "rows")
-    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("comp != home").withColumn("x", dealt("across")).withColumn("y", every("down")).alias("l")
-    right = rows.withColumn("y", dealt("down")).withColumn("x", every("across")).alias("r")
-    once = (F.col("r.comp") == F.col("r.home")) | (F.col("l.node") < F.col("r.node"))
-    apart = left.join(right, ["key", "x", "y"]).where((F.col("l.comp") != F.col("r.comp")) & once & _alike("l", "r", percent))
-    apart = apart.select(F.greatest("l.node", "r.node").alias("src"), F.least("l.node", "r.node").alias("dst")).distinct()
-    second = confirmed(scratch.materialize(apart, "apart"), table, percent)
-    return first.unionByName(second)
+    hubs = sigs.select(F.col("node").alias("hub"), "n", "sig")
+    score = agreeing(F.col("a.sig"), F.col("b.sig"))
+    joined = pairs.join(sigs.alias("a"), "node").join(hubs.alias("b"), "hub").where(_enough(F.col("a.n"), F.col("b.n"), percent) & (score >= F.lit(least_agreeing(percent))))
+    best = joined.select("node", "hub", score.alias("score")).groupBy("node").agg(F.max(F.struct("score", "hub"))["hub"].alias("dst"))
+    seen = scratch.materialize(best.select(F.col("node").alias("src"), "dst"), "candidates")
+    found = scratch.materialize(confirmed(seen, table, percent), "links")
+
+    # what is still apart from its key's first row, against all rows of the key: the most alike first, which joins most groups, and last all
+    for most in MOST:
+        labels = scratch.materialize(connected_components(found), "labels")
+        of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("_h"))
+        placed = members.join(labels, "node", "left").join(of_hub, "hub", "left")
+        placed = placed.select("key", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("_h", "hub").alias("home"))
+        placed = scratch.materialize(placed, "placed")
+        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("comp") != F.col("home")).alias("others")).where("others > 0")
+        mixed = scratch.materialize(mixed.select("key", F.ceil(F.col("all") / block).cast("int").alias("down"), F.ceil(F.col("others") / block).cast("int").alias("across")), "mixed")
+        rows = scratch.materialize(placed.join(mixed, "key").join(sigs, "node"), "rows")
+        dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("comp != home").withColumn("x", dealt("across")).withColumn("y", every("down")).withColumn("side", F.lit(0))
+        right = rows.withColumn("x", every("across")).withColumn("y", dealt("down")).withColumn("side", F.lit(1))
+        new = _compared(left.unionByName(right), percent, most).join(seen, ["src", "dst"], "left_anti")
+        new = scratch.materialize(new, "candidates")
+        seen = seen.unionByName(new)
+        found = found.unionByName(scratch.materialize(confirmed(new, table, percent), "links"))
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
