@@ -45,7 +45,8 @@ MARGIN = 6
 MOST = (2, 16, None)
 SEED = 42
 BLOCK = 512
-_FLUSH = 1 << 20
+#: So many hashes or documents are handled at a time.
+_FLUSH, _DOCS = 1 << 18, 512
 _TABLE = "row long, id long, n long, digest binary, bands array<long>, sig array<long>, hashes array<long>"
 
 
@@ -132,7 +133,7 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 found.append(shingle_hashes(text.as_py(), width))
                 rows.append((row, one))
                 held += len(found[-1])
-                if held >= _FLUSH:
+                if held >= _FLUSH or len(rows) >= _DOCS:
                     yield batch(rows, found)
                     rows, found, held = [], [], 0
             if rows:
