@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from synblock import scratch
 from synblock.operators import hits as H
 from synblock.operators import ranks, spatial
 
@@ -41,28 +42,37 @@ def unphased(hits: DataFrame, size: int, use_regions: bool = False) -> DataFrame
     return coordinates(h.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("genome1", "genome2", "blkID"))).where(F.col("_n") >= size).drop("_n"))
 
 
-def phased(hits: DataFrame, genes: DataFrame, reference: str, size: int, radius: float) -> DataFrame:
-    """Blocks split by the reference chromosome that both ends descend from.
+def phased(hits: DataFrame, reference: str, size: int, radius: float, use_regions: bool = False, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Coordinates of blocks split by the reference chromosome that both ends descend from, with ``refChr`` and ``refGenome``.
 
-    A gene carries the reference chromosomes of its anchors on the reference; anchors whose two ends
-    agree are clustered anew per reference chromosome and pair of chromosomes, noise left out.
+    A gene carries the reference chromosomes of its hits in blocks with the reference (all such hits, or those that overlap ``region``: a chromosome of the reference,
+    start and end in base pairs). Anchors whose ends agree in one are counted by block and reference chromosome; of those with ``size`` or more, dense clusters
+    on the ranks within their block are the new blocks, noise left out. With ``use_regions`` regions are taken for blocks. Without a hit on the reference there are none.
     """
-    view = H.reference_view(hits.where("isAnchor"), reference)
-    to_ref = view.select(F.col("ofID2").alias("ofID"), F.col("chr1").alias("refChr")).unionByName(genes.where(F.col("genome") == reference).select("ofID", F.col("chr").alias("refChr"))).distinct()
-    a = hits.where("isAnchor").join(to_ref.withColumnsRenamed({"ofID": "ofID1", "refChr": "_c1"}), "ofID1").join(to_ref.withColumnsRenamed({"ofID": "ofID2", "refChr": "_c2"}), "ofID2").where("_c1 = _c2").withColumn("refChr", F.col("_c1")).drop("_c1", "_c2")
-    by = ["genome1", "genome2", "chr1", "chr2", "refChr"]
+    h = (hits.withColumn("blkID", F.col("regID")) if use_regions else hits).where("blkID is not null")
+    view = H.reference_view(h, reference)
+    if region is not None:
+        chr_, low, high = region
+        view = view.where((F.col("chr1") == chr_) & (F.col("end1") >= low) & (F.col("start1") <= high))
+    to_ref = scratch.materialize(view.select(F.explode(F.array("ofID1", "ofID2")).alias("ofID"), F.col("chr1").alias("refChr")).where("ofID is not null and refChr is not null").distinct(), "references")
+    a = h.where("isAnchor").dropna(subset=["ofID1", "ofID2", "chr1", "chr2", "ord1", "ord2"])
+    a = a.join(to_ref.withColumnsRenamed({"ofID": "ofID1", "refChr": "_c1"}), "ofID1").join(to_ref.withColumnsRenamed({"ofID": "ofID2", "refChr": "_c2"}), "ofID2")
+    a = a.where("_c1 = _c2").withColumn("refChr", F.col("_c1")).drop("_c1", "_c2")
+    pair, by = ["genome1", "genome2"], ["genome1", "genome2", "chr1", "chr2", "blkID", "refChr"]
+    dense = lambda n: F.dense_rank().over(Window.partitionBy(*pair, "blkID").orderBy(f"ord{n}")).cast("double")
+    a = a.withColumns({"_x": dense(1), "_y": dense(2), "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))}).where(F.col("_n") >= size).drop("_n")
 
     def cluster(pdf):
         pdf = pdf.sort_values(["ord1", "ord2", "ofID1", "ofID2"])
-        rank = lambda c: pdf[c].rank(method="dense").to_numpy()
-        pdf["_k"] = spatial.dbscan_kernel(rank("ord1"), rank("ord2"), radius, size)
+        pdf["_k"] = spatial.dbscan_kernel(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), radius, size)
         return pdf[pdf["_k"] > 0]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema) + ", _k long"
-    found = a.groupBy(*by).applyInPandas(cluster, schema)  # a group is one chromosome pair
-    found = found.withColumn("blkID", F.concat_ws("_", F.lit(reference), "refChr", "blkID", F.col("_k").cast("string"))).drop("_k")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "blkID"))
-    return coordinates(found.withColumn("_n", n).where(F.col("_n") >= size).drop("_n")).withColumn("refGenome", F.lit(reference))
+    found = a.groupBy(*by).applyInPandas(cluster, schema).drop("_x", "_y")  # a group is one block
+    named = scratch.materialize(found.withColumn("blkID", F.concat_ws("_", "blkID", F.col("_k").cast("string"))).drop("_k"), "phased")
+    parts = coordinates(named.withColumn("blkID", F.concat_ws("\u0001", "refChr", "blkID")), mirror=True)
+    at = F.split("blkID", "\u0001")
+    return parts.withColumns({"refChr": at[0], "blkID": at[1], "refGenome": F.lit(reference)})
 
 
 def genes_in_blocks(blocks: DataFrame, genes: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def over(*by: str, order: list | None = None) -> Window:
 
 
 def _load() -> None:
-    from synblock.plans import catalogue_genome, catalogue_relational, catalogue_sources  # noqa: F401
+    from synblock.plans import catalogue_chain, catalogue_genome, catalogue_relational, catalogue_sources  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -208,12 +208,6 @@ def jn19_union(t: Tables) -> DataFrame:
     return intervals.merged(intervals_of(t).unionByName(t.genes.select("genome", "chr", "start", "end")), BOTH)
 
 
-@query("SELECT p_partkey, 'chr' || p_size AS chr FROM part")
-def iv09_chromosome_names(t: Tables) -> DataFrame:
-    headers = t.part.select("p_partkey", F.concat(F.lit("NC_"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("NC_1 Zea chromosome "), F.col("p_size").cast("string"), F.lit(", whole")).alias("header"))
-    return tables.chromosome_names(headers).select("p_partkey", "chr")
-
-
 @query("WITH p AS (SELECT genome, id FROM genes WHERE CAST(substr(id, 2) AS BIGINT) % 50 <> 0) SELECT genome, count(*) AS nBed, count(p.id) AS nPep, count(p.id) AS nBoth, count(*) FILTER (g.id LIKE '%:%') AS nColon, count(p.id) >= 0.95 * count(*) AS ok, count(p.id) < 100 AS few FROM genes g LEFT JOIN p USING (genome, id) GROUP BY 1", "genes")
 def qc01_agreement(t: Tables) -> DataFrame:
     return tables.agreement(t.genes, t.genes.where(F.substring("id", 2, 20).cast("long") % 50 != 0))
@@ -397,7 +391,9 @@ def sy19_syntenic_orthogroups(t: Tables) -> DataFrame:
 
 @query()
 def sy20_region_orthologues(t: Tables) -> DataFrame:
-    return orthogroups.region_orthologues(found(t)[1], 10).select("ofID1", "ofID2", "sameOG")
+    """Of found regions, those with 10 genes or more on either side; ``sy20_region_groups`` has the same on given regions in SQL."""
+    g, h = found(t)
+    return orthogroups.region_orthologues(h, g, least_genes=10).select("ofID1", "ofID2", "sameOG")
 
 
 @query("""SELECT *, CASE WHEN orient = '-' THEN maxBp2 ELSE minBp2 END AS startBp2, CASE WHEN orient = '-' THEN minBp2 ELSE maxBp2 END AS endBp2, CASE WHEN orient = '-' THEN maxOrd2 ELSE minOrd2 END AS startOrd2, CASE WHEN orient = '-' THEN minOrd2 ELSE maxOrd2 END AS endOrd2,
@@ -416,8 +412,36 @@ def sy23_blocks(t: Tables) -> DataFrame:
 
 @query()
 def sy24_phased_blocks(t: Tables) -> DataFrame:
-    g, h = found(t)
-    return blocks.phased(h, g, "G0", 5, 25)
+    return blocks.phased(found(t)[1], "G0", 5, 100)
+
+
+def phasable(t: Tables) -> DataFrame:
+    """Blocks of the hits, and chromosome pairs as regions."""
+    return t.blocks.withColumns({"isAnchor": F.lit(True), "regID": F.concat_ws("_", "genome1", "genome2", "chr1", "chr2")})
+
+
+PHASED = """WITH h AS (SELECT *, concat(genome1, '_', genome2, '_', chr1, '_', chr2) AS regID FROM blocks), v AS (SELECT ofID1, ofID2, chr1 AS refChr, start1 AS s, end1 AS e FROM h WHERE genome1 = 'G0'),
+t AS (SELECT DISTINCT ofID1 AS g, refChr FROM v WHERE @limit UNION SELECT DISTINCT ofID2, refChr FROM v WHERE @limit),
+a AS (SELECT h.*, p.refChr FROM h JOIN t p ON p.g = ofID1 JOIN t q ON q.g = ofID2 AND q.refChr = p.refChr)
+SELECT genome1, genome2, chr1, chr2, refChr, 'G0' AS refGenome, concat(@block, '_1') AS blkID, count(DISTINCT ofID1) AS nHits1, count(DISTINCT ofID2) AS nHits2, min(ord1) AS startOrd1, max(ord1) AS endOrd1, min(ord2) AS minOrd2, max(ord2) AS maxOrd2
+FROM a GROUP BY genome1, genome2, chr1, chr2, refChr, @block HAVING count(*) >= 5"""
+
+
+def phases(t: Tables, **how) -> DataFrame:
+    # the radius is that of a whole chromosome, so that a block and reference chromosome are one cluster, as in the SQL
+    out = blocks.phased(phasable(t), "G0", 5, 1e6, **how)
+    return out.select("genome1", "genome2", "chr1", "chr2", "refChr", "refGenome", "blkID", "nHits1", "nHits2", "startOrd1", "endOrd1", "minOrd2", "maxOrd2").where("genome1 < genome2")
+
+
+@query(PHASED.replace("@limit", "true").replace("@block", "blkID"), "blocks")
+def sy24_phases_of_blocks(t: Tables) -> DataFrame:
+    return phases(t)
+
+
+@query(PHASED.replace("@limit", "refChr = 'chr3' AND e >= 50000 AND s <= 300000").replace("@block", "regID"), "blocks")
+def sy24_phases_in_a_region(t: Tables) -> DataFrame:
+    """Regions in place of blocks, and only what descends from a part of one chromosome."""
+    return phases(t, use_regions=True, region=("chr3", 50_000, 300_000))
 
 
 @query()
@@ -591,17 +615,29 @@ def vz04_chromosome_layout(t: Tables) -> DataFrame:
     return layout.chromosome_layout(t.ranked).select("genome", "chr", "length", F.round("offset", 4).alias("offset_"))
 
 
-@query()
+SIDE_BY_SIDE = """c AS (SELECT genome, chr, max(ord) - min(ord) + 1 AS length, min(ord) AS lo FROM ranked GROUP BY 1, 2),
+w AS (SELECT *, sum(length) OVER (PARTITION BY genome) AS total, count(*) OVER (PARTITION BY genome) AS n, coalesce(sum(length) OVER (PARTITION BY genome ORDER BY lo, chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY genome ORDER BY lo, chr) - 1 AS place FROM c),
+lay AS (SELECT genome, chr, length, before + place * total * 0.01::DOUBLE - (total + (n - 1) * total * 0.01::DOUBLE) / 2 AS x, CAST(substr(genome, 2) AS DOUBLE) AS y FROM w)"""
+
+
+@query(f"""WITH {SIDE_BY_SIDE}, b AS (SELECT blkID, genome1, genome2, chr1, chr2, min(ord1) AS s1, max(ord1) AS e1, CASE WHEN m THEN max(ord2) ELSE min(ord2) END AS s2, CASE WHEN m THEN min(ord2) ELSE max(ord2) END AS e2 FROM (
+  SELECT *, corr(CAST(ord1 AS DOUBLE), CAST(ord2 AS DOUBLE)) OVER (PARTITION BY blkID) < 0 AS m FROM blocks) WHERE (genome1 = 'G0' AND genome2 = 'G1') OR (genome1 = 'G1' AND genome2 = 'G2') GROUP BY blkID, genome1, genome2, chr1, chr2, m HAVING count(*) >= 5),
+v AS (SELECT blkID, s1 + p.x AS a1, e1 + p.x AS b1, s2 + q.x AS a2, e2 + q.x AS b2, p.y AS y1, q.y AS y2, unnest(range(0, 42)) AS i FROM b JOIN lay p ON p.genome = genome1 AND p.chr = chr1 JOIN lay q ON q.genome = genome2 AND q.chr = chr2),
+u AS (SELECT *, CASE WHEN i > 20 THEN 41 - i ELSE i END / 20.0::DOUBLE AS t FROM v)
+SELECT blkID, CAST(i AS INT) AS i, round(CASE WHEN i > 20 THEN b1 + (b2 - b1) * (1 - cos(t * pi())) / 2 ELSE a1 + (a2 - a1) * (1 - cos(t * pi())) / 2 END, 4) AS x, round(y1 + (y2 - y1) * t, 6) AS y FROM u""", "blocks")
 def vz06_braids(t: Tables) -> DataFrame:
     levels = t.spark.createDataFrame([("G0", 0.0), ("G1", 1.0), ("G2", 2.0)], "genome string, level double")
     b = layout.consecutive(blocks.unphased(t.blocks.withColumn("isAnchor", F.lit(True)), 5), ["G0", "G1", "G2"])
-    return layout.braids(b, layout.chromosome_layout(t.ranked), levels)
+    return layout.braids(b, layout.chromosome_layout(t.ranked), levels).withColumns({"x": F.round("x", 4), "y": F.round("y", 6)})
 
 
-@query()
+@query(f"""WITH {SIDE_BY_SIDE}, p AS (SELECT concat(genome, ' ', chr) AS key, x AS x1, x + length AS x2, least(0.2::DOUBLE, length / 2) AS r, unnest(range(0, 32)) AS i FROM lay),
+q AS (SELECT *, i // 8 AS c, (i // 8 + i % 8 / 7.0::DOUBLE) * pi() / 2 AS a FROM p)
+SELECT key, CAST(i AS INT) AS i, round(CASE WHEN c IN (0, 3) THEN x2 - r ELSE x1 + r END + r * cos(a), 4) AS x, round(CASE WHEN c IN (0, 1) THEN 0.4::DOUBLE - r ELSE r END + r * sin(a), 6) AS y FROM q""", "ranked")
 def vz07_rounded_rectangles(t: Tables) -> DataFrame:
     c = layout.chromosome_layout(t.ranked)
-    return layout.rounded_rectangles(c.select(F.concat("genome", F.lit(" "), "chr").alias("key"), F.col("offset").alias("x1"), (F.col("offset") + F.col("length")).alias("x2"), F.lit(0.0).alias("y1"), F.lit(0.4).alias("y2")))
+    out = layout.rounded_rectangles(c.select(F.concat("genome", F.lit(" "), "chr").alias("key"), F.col("offset").alias("x1"), (F.col("offset") + F.col("length")).alias("x2"), F.lit(0.0).alias("y1"), F.lit(0.4).alias("y2")))
+    return out.withColumns({"x": F.round("x", 4), "y": F.round("y", 6)})
 
 
 @query("SELECT genome2, chr2, median(ord1) AS at, count(*) AS n FROM hits WHERE genome1 = 'G0' GROUP BY 1, 2", "hits")

@@ -12,7 +12,7 @@ from synblock.plans import query as Q
 from synblock.plans.catalogue import query
 from synblock.plans.catalogue_genome import paf
 from synblock.plans.workload import Tables
-from synblock.sources import tables
+from synblock.sources import dna, tables
 
 GENOMES = ("G0", "G1", "G2")
 N = "CAST(substr({}, 2) AS BIGINT)"
@@ -52,10 +52,13 @@ def src04_count_records(t: Tables) -> DataFrame:
     return tables.count_records(t.spark, peptides(t))
 
 
-def gff(df: DataFrame, path: str) -> None:
-    """Rows ``(genome, chr, start, end, id, kind)`` as a GFF file per genome."""
-    note = F.concat(F.lit("ID=x"), F.col("id"), F.lit(";Name="), F.col("id"), F.lit(";note=a b"))
-    rows = df.select("genome", "chr", F.lit("src").alias("s"), "kind", "start", "end", F.lit(".").alias("a"), F.lit("+").alias("b"), F.lit(".").alias("c"), note.alias("d"))
+def gff(df: DataFrame, path: str, tag: str = "Name", extra: DataFrame | None = None) -> None:
+    """Rows ``(genome, chr, start, end, id, kind)`` as a GFF file per genome, after regions ``(genome, chr, start, end, note)``."""
+    note = F.concat(F.lit("ID=x"), F.col("id"), F.lit(f";{tag}="), F.col("id"), F.lit(";note=a b"))
+    line = lambda rows, kind, note: rows.select("genome", "chr", F.lit("src").alias("s"), kind.alias("kind"), "start", "end", F.lit(".").alias("a"), F.lit("+").alias("b"), F.lit(".").alias("c"), note.alias("d"))
+    rows = line(df, F.col("kind"), note)
+    if extra is not None:
+        rows = line(extra, F.lit("region"), F.col("note")).unionByName(rows)
     for genome in GENOMES:
         rows.where(F.col("genome") == genome).drop("genome").write.csv(f"{path}/{genome}.gff3", sep="\t", quote="")
 
@@ -153,31 +156,60 @@ def src24_old_input(t: Tables) -> DataFrame:
     return tables.read_bed(t.spark, f"{path}/*.bed").select("chr", "start", "end", "id", "genome")
 
 
-def annotation(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Features and sequences of genes as annotations have them: odd characters, longer and shorter versions, some without the other."""
-    k = n("id")
-    g = t.genes.withColumns({"id": F.concat(F.lit("g|"), k.cast("string")), "k": k})
-    feats = g.where("k % 7 != 0").unionByName(g.where("k % 4 = 0").withColumn("end", F.col("end") + 50)).withColumn("kind", F.lit("gene"))
-    path = scratch.new_path(t.spark, "annotation")
-    gff(feats, path)
+def annotation(t: Tables, preset: str) -> tuple[str, str]:
+    """GFF and FASTA files of genes as annotations have them, a genome each.
+
+    All genomes share their ids; some ids come twice, spelt differently but the same once cleaned, with wider features or longer sequences; some have no
+    feature or no sequence. The ncbi ones have sequence ids in place of chromosomes, and regions that name some of these.
+    """
+    locus = F.expr("cast(substr(id, 2) as bigint) div 3")
+    g = t.genes.withColumns({"k": locus, "id": F.concat(F.lit("g|"), locus.cast("string")), "kind": F.lit("gene")})
+    other = g.withColumn("id", F.concat(F.lit("g_"), F.col("k").cast("string")))
+    feats = g.where("k % 7 != 0").unionByName(g.where("k % 4 = 0").withColumn("end", F.col("end") + 50)).unionByName(other.where("k % 11 = 0").withColumn("end", F.col("end") + 80))
     seq = lambda extra: F.concat(F.rpad(F.lit("M"), (F.col("pepLen") + extra).cast("int"), F.lit("ACD")), F.lit(".-"))
-    header = F.concat(F.lit("p"), F.col("k").cast("string"), F.lit(" locus="), F.col("id"), F.lit(" x"))
-    fasta = g.where("k % 5 != 0").select(header.alias("id"), seq(0).alias("seq")).unionByName(g.where("k % 3 = 0").select(header.alias("id"), seq(9).alias("seq")))
-    tables.write_fasta(fasta, f"{path}/all.fa")
-    return tables.read_gff(t.spark, f"{path}/*.gff3", "gene", "Name"), tables.preset_ids(tables.read_fasta(t.spark, f"{path}/all.fa"), "phytozome")
+    parts = {"phytozome": ("p", " pacid=1 transcript=t locus=", " annot=x"), "ncbi": ("lcl|x_", " [gene=", "] [protein=a b]")}[preset]
+    header = F.concat(F.lit(parts[0]), F.col("k").cast("string"), F.lit(parts[1]), F.col("id"), F.lit(parts[2]))
+    seqs = [x.select("genome", header.alias("id"), seq(extra).alias("seq")) for x, extra in ((g.where("k % 5 != 0"), 0), (g.where("k % 3 = 0"), 9), (other.where("k % 13 = 0"), 12))]
+    fasta = seqs[0].unionByName(seqs[1]).unionByName(seqs[2])
+    path, tag, extra = scratch.new_path(t.spark, "annotation"), "Name", None
+    if preset == "ncbi":
+        tag = "gene"
+        number = F.regexp_extract("chr", "[0-9]+", 0).cast("int")
+        feats = feats.withColumn("chr", F.concat(F.lit("NC_"), F.col("chr")))
+        ends = t.genes.groupBy("genome", "chr").agg(F.max("end").alias("end"))
+        name = F.when(number % 5 == 0, F.lit(";note=none")).when(number % 5 == 1, F.lit(";chromosome=Unknown")).otherwise(F.concat(F.lit(";chromosome="), F.col("chr")))
+        extra = ends.where(number % 5 != 4).select("genome", F.concat(F.lit("NC_"), "chr").alias("chr"), F.lit(1).cast("long").alias("start"), "end", F.concat(F.lit("ID=r"), name).alias("note"))
+    gff(feats, path, tag, extra)
+    for genome in GENOMES:
+        tables.write_fasta(fasta.where(F.col("genome") == genome), f"{path}/{genome}.fa")
+    return f"{path}/*.gff3", f"{path}/*.fa"
 
 
-@query(f"""WITH k AS (SELECT *, {N.format('id')} AS k FROM genes)
-SELECT genome, chr, start, CASE WHEN k % 4 = 0 THEN "end" + 50 ELSE "end" END AS "end", concat('g_', k) AS id, rpad('M', CAST(CASE WHEN k % 3 = 0 THEN pepLen + 9 ELSE pepLen END AS INT), 'ACD') AS seq FROM k WHERE (k % 7 <> 0 OR k % 4 = 0) AND (k % 5 <> 0 OR k % 3 = 0)""".replace("rpad('M', ", "rpad('M', "), "genes")
-def src25_annotation(t: Tables) -> DataFrame:
+ANNOTATION = f"""WITH k AS (SELECT *, {N.format('id')} // 3 AS k, CAST(regexp_extract(chr, '[0-9]+') AS INT) % 5 AS c FROM genes)
+SELECT genome, @chr AS chr, start, "end" + CASE WHEN k % 11 = 0 THEN 80 WHEN k % 4 = 0 THEN 50 ELSE 0 END AS "end", concat('g_', k) AS id,
+  rpad('M', CAST(pepLen + CASE WHEN k % 13 = 0 THEN 12 WHEN k % 3 = 0 THEN 9 ELSE 0 END AS INT), 'ACD') AS seq
+FROM k WHERE (k % 7 <> 0 OR k % 4 = 0 OR k % 11 = 0) AND (k % 5 <> 0 OR k % 3 = 0 OR k % 13 = 0)"""
+
+
+def ingested(t: Tables, preset: str) -> DataFrame:
     """Features and sequences matched, written as BED and FASTA files, and read again."""
-    feats, seqs = annotation(t)
     path = scratch.new_path(t.spark, "ingested")
-    tables.write_annotation(scratch.materialize(tables.match_annotation(feats, seqs), "matched"), path, list(GENOMES))
+    tables.write_annotation(scratch.materialize(tables.read_annotation(t.spark, *annotation(t, preset), preset), "matched"), path, list(GENOMES))
     bed, fasta = tables.read_bed(t.spark, f"{path}/bed/*.bed"), tables.read_fasta(t.spark, f"{path}/peptide/*.fa")
     return bed.join(fasta.select(F.col("file").alias("genome"), "id", "seq"), ["genome", "id"]).select("genome", "chr", "start", "end", "id", "seq")
 
 
+@query(ANNOTATION.replace("@chr", "chr"), "genes")
+def src25_annotation(t: Tables) -> DataFrame:
+    return ingested(t, "phytozome")
+
+
+@query(ANNOTATION.replace("@chr", "CASE WHEN c IN (2, 3) THEN chr ELSE concat('NC_', chr) END"), "genes")
+def src26_ncbi_annotation(t: Tables) -> DataFrame:
+    """Chromosomes are named by the file's regions, but for those whose region has no name, a masked one, or that have none."""
+    return ingested(t, "ncbi")
+
+
 @query("SELECT blkID, genome1, genome2, chr1, chr2, count(DISTINCT ofID1) AS nHits1, min(start1) AS startBp1 FROM blocks GROUP BY ALL", "blocks")
 def sink01_blocks(t: Tables) -> DataFrame:
     from synblock.operators import blocks
@@ -212,12 +244,6 @@ def so03_bucketed(t: Tables) -> DataFrame:
     return scratch.bucketed(t.genes.select("og", "genome"), "og", "genes")[0].groupBy("og", "genome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT genome, true AS near FROM genes GROUP BY 1", "genes")
-def ag25_approximate_distinct(t: Tables) -> DataFrame:
-    """Whether a sketch of distinct groups is within a tenth of the exact number."""
-    return t.genes.groupBy("genome").agg(F.approx_count_distinct("og", 0.02).alias("a"), F.count_distinct("og").alias("e")).select("genome", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("near"))
-
-
 @query("WITH g AS (SELECT DISTINCT genome FROM genes) SELECT a.genome AS query, b.genome AS target, a.genome = b.genome AS isSelf, CASE b.genome WHEN 'G1' THEN 2 ELSE 1 END AS nTargets, CASE a.genome WHEN 'G1' THEN 2 ELSE 1 END AS nQueries, 5 AS blkSize, 5 AS nGaps, round(sqrt(2.0::DOUBLE) * 100, 9) AS synRad FROM g a JOIN g b ON a.genome <= b.genome", "genes")
 def sy11_pair_parameters(t: Tables) -> DataFrame:
     out = params.pairs(t.spark, params.Params(GENOMES, {"G1": 2}))
@@ -247,3 +273,36 @@ SELECT ofID, a AS arrayID FROM r3""", "ranked")
 def sy07_three_rounds(t: Tables) -> DataFrame:
     """Three rounds of arrays, whether or not their number still falls."""
     return genes.tandem_arrays(t.ranked, 100, 3, always=True).select("ofID", "arrayID")
+
+
+# Sequences in chunks
+
+LETTERS = "s AS (SELECT CAST(doc_id AS VARCHAR) AS chr, regexp_replace(text, '[^A-Za-z]+', '', 'g') AS seq FROM documents WHERE regexp_replace(text, '[^A-Za-z]+', '', 'g') <> '')"
+
+
+def chunked(t: Tables, overlap: int) -> DataFrame:
+    """The letters of all texts as FASTA files, read in chunks of 1,000 letters by ranges of 100,000 bytes."""
+    seqs = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.regexp_replace("text", "[^A-Za-z]+", "").alias("seq"))
+    tables.write_fasta(seqs, path := scratch.new_path(t.spark, "dna"), least=1)
+    return dna.chunks(t.spark, path, 1_000, overlap, 100_000)
+
+
+@query(f"WITH {LETTERS} SELECT chr, p AS start, p + 3 AS \"end\", upper(substr(seq, p, 4)) AS kmer FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1)) AS p FROM s) WHERE p + 3 <= length(seq) AND upper(substr(seq, p, 4)) IN ('TION', 'THER')")
+def src05_kmer_hits(t: Tables) -> DataFrame:
+    return sequence.kmer_hits(chunked(t, 3), ["TION", "THER"])
+
+
+@query(f"""WITH {LETTERS}, k AS (SELECT chr, p AS s FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1)) AS p FROM s) WHERE p <= length(seq) AND upper(substr(seq, p, 1)) = 'N')
+SELECT chr, start, "end" FROM (SELECT chr, min(s) AS start, max(s) AS "end" FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY chr ORDER BY s) - 1 >= 2 THEN 1 ELSE 0 END AS j FROM k)) GROUP BY chr, i) WHERE "end" - start >= 2""")
+def src05_runs(t: Tables) -> DataFrame:
+    return sequence.runs_of(chunked(t, 0), "N", 3)
+
+
+@query(f"WITH {LETTERS} SELECT concat(chr, ':', CAST(p AS VARCHAR), '_', CAST(p + 499 AS VARCHAR)) AS name, chr, p AS start, p + 499 AS \"end\", substr(seq, p, 500) AS seq FROM (SELECT chr, seq, unnest(range(1, length(seq) + 1, 250)) AS p FROM s) WHERE p + 499 <= length(seq)")
+def src05_tiles(t: Tables) -> DataFrame:
+    return sequence.tiles(chunked(t, 499), 500, 250)
+
+
+@query(f"WITH {LETTERS} SELECT chr, CAST(length(seq) AS BIGINT) AS length FROM s")
+def src05_lengths(t: Tables) -> DataFrame:
+    return sequence.lengths(chunked(t, 0))

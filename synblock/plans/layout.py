@@ -22,6 +22,44 @@ def dotplot_bins(hits: DataFrame, size: int = 100, quantile: float = 0.95, low:
     return cells.join(cap, ["genome1", "genome2"]).withColumn("shown", F.least(F.col("n").cast("double"), "cap")).drop("cap")
 
 
+KINDS = {"raw": "bitScore > {least}", "og": "sameOG", "syntenic": "isSyntenic"}
+
+
+def dotplots(hits: DataFrame, kind: str = "raw", inches: float = 12, dots: int = 256, quantile: float = 0.5, min_score: float = 50, min_genes: int = 5, low: int = 5, high: int = 20) -> DataFrame:
+    """``genome1, genome2, chr1, chr2, place1, place2, bin1, bin2, n, shown``: the cells of a dot-plot for every pair of genomes.
+
+    Hits are those above a score, of one orthogroup, or syntenic. Cells are as wide as a dot: the genome with fewer genes among all hits gets ``inches``, the other
+    as much more as it has more. A chromosome is drawn if it has more genes that may be anchors than a tenth of the mean number of a chromosome's hits within
+    orthogroups, on the genome where that is less, and ``min_genes`` at least. Facets go by their least rank. Counts are capped at a quantile of a pair's cells
+    between ``low`` and ``high``.
+    """
+    pair = ["genome1", "genome2"]
+    sizes = hits.groupBy(*pair).agg(F.count_distinct("ofID1").alias("_u1"), F.count_distinct("ofID2").alias("_u2"), F.max("ord1").alias("_x"), F.max("ord2").alias("_y"))
+    inch = lambda a, b: F.lit(float(inches)) * F.greatest(F.col(a) / F.col(b), F.lit(1.0))
+    step = lambda most, a, b: F.floor(F.col(most) / (inch(a, b) * dots)) + 1
+    sizes = sizes.select(*pair, step("_x", "_u1", "_u2").alias("_w1"), step("_y", "_u2", "_u1").alias("_w2"))
+    mean = None
+    for n in (1, 2):
+        each = hits.where("chr1 is not null and chr2 is not null").groupBy(*pair, f"chr{n}").agg(F.count_if("sameOG").alias("_k")).where("_k > 0")
+        part = each.groupBy(*pair).agg((F.avg("_k") / 10).alias(f"_m{n}"))
+        mean = part if mean is None else mean.join(part, pair)
+    least = sizes.join(mean, pair, "left").select(*pair, "_w1", "_w2", F.greatest(F.coalesce(F.least("_m1", "_m2"), F.lit(0.0)), F.lit(float(min_genes))).alias("_least"))
+    some = hits.where(KINDS[kind].format(least=min_score)).where("chr1 is not null and chr2 is not null and ord1 is not null and ord2 is not null")
+    drawn = some.join(F.broadcast(least), pair)  # a row a pair of genomes
+    for n in (1, 2):
+        able = ~F.col("noAnchor") & F.col(f"isArrayRep{n}")
+        facet = some.groupBy(*pair, f"chr{n}").agg(F.count_distinct(F.when(able, F.col(f"ofID{n}"))).alias(f"_g{n}"), F.min(f"ord{n}").alias(f"_f{n}"))
+        facet = facet.join(F.broadcast(least.select(*pair, "_least")), pair).where(F.col(f"_g{n}") > F.col("_least")).drop("_least")
+        place = F.row_number().over(Window.partitionBy(*pair).orderBy(f"_f{n}", f"chr{n}")).cast("long")
+        drawn = drawn.join(facet.select(*pair, f"chr{n}", place.alias(f"place{n}")), [*pair, f"chr{n}"])
+    at = lambda n: (F.bround(F.col(f"ord{n}") / F.col(f"_w{n}"), 0) * F.col(f"_w{n}")).cast("long").alias(f"bin{n}")
+    cells = drawn.groupBy(*pair, "chr1", "chr2", "place1", "place2", at(1), at(2)).agg(F.count(F.lit(1)).alias("n"))
+    # counts of counts: a pair's quantile is sought among few distinct numbers
+    tally = cells.groupBy(*pair, "n").agg(F.count(F.lit(1)).alias("_k"))
+    cap = tally.groupBy(*pair).agg(F.least(F.greatest(F.percentile("n", F.lit(quantile), F.col("_k")), F.lit(float(low))), F.lit(float(high))).alias("cap"))
+    return cells.join(F.broadcast(cap), pair).withColumn("shown", F.least(F.col("n").cast("double"), "cap")).drop("cap")
+
+
 def chromosome_layout(genes: DataFrame, at: str = "ord", gap: float = 0.01) -> DataFrame:
     """``genome, chr, length, offset``: chromosomes side by side in order, with gaps, centred on 0."""
     length = genes.groupBy("genome", "chr").agg((F.max(at) - F.min(at) + 1).alias("length"), F.min(at).alias("_first"))
@@ -46,16 +84,21 @@ def consecutive(blocks: DataFrame, genomes: list[str]) -> DataFrame:
 
 
 def braids(blocks: DataFrame, layout: DataFrame, levels: DataFrame, points: int = 20) -> DataFrame:
-    """Vertices ``(blkID, i, x, y)`` of a band that leads from each block's stretch on one genome to that on the other, along half a cosine wave."""
+    """Vertices ``(blkID, i, x, y)`` of a band that leads from each block's stretch on one genome to that on the other."""
     side = lambda n: layout.join(levels, "genome").select(F.col("genome").alias(f"genome{n}"), F.col("chr").alias(f"chr{n}"), F.col("offset").alias(f"_o{n}"), F.col("level").alias(f"_y{n}"))
     b = blocks.join(side(1), ["genome1", "chr1"]).join(side(2), ["genome2", "chr2"])
-    b = b.select("blkID", (F.col("startOrd1") + F.col("_o1")).alias("a1"), (F.col("endOrd1") + F.col("_o1")).alias("b1"), (F.col("startOrd2") + F.col("_o2")).alias("a2"), (F.col("endOrd2") + F.col("_o2")).alias("b2"), "_y1", "_y2")
-    v = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2 * points + 1))))
+    b = b.select("blkID", (F.col("startOrd1") + F.col("_o1")).alias("a1"), (F.col("endOrd1") + F.col("_o1")).alias("b1"), (F.col("startOrd2") + F.col("_o2")).alias("a2"), (F.col("endOrd2") + F.col("_o2")).alias("b2"), F.col("_y1").alias("y1"), F.col("_y2").alias("y2"))
+    return bands(b, points)
+
+
+def bands(ends: DataFrame, points: int = 20) -> DataFrame:
+    """Vertices ``(blkID, i, x, y)`` of bands from ``a1, b1`` at height ``y1`` to ``a2, b2`` at ``y2``, along half a cosine wave, there and back."""
+    v = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2 * points + 1))))
     back = F.col("i") > points
     t = F.when(back, 2 * points + 1 - F.col("i")).otherwise(F.col("i")) / float(points)
     s = (1 - F.cos(t * F.pi())) / 2
     at = lambda p, q: F.col(p) + (F.col(q) - F.col(p)) * s
-    return v.select("blkID", "i", F.when(back, at("b1", "b2")).otherwise(at("a1", "a2")).alias("x"), (F.col("_y1") + (F.col("_y2") - F.col("_y1")) * t).alias("y"))
+    return v.select("blkID", "i", F.when(back, at("b1", "b2")).otherwise(at("a1", "a2")).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
 
 
 def rounded_rectangles(boxes: DataFrame, points: int = 8) -> DataFrame:
@@ -76,27 +119,6 @@ def order_by_synteny(hits: DataFrame, reference: str) -> DataFrame:
     return hits.where(F.col("genome1") == reference).groupBy("genome2", "chr2").agg(F.median("ord1").alias("at"), F.count(F.lit(1)).alias("n"))
 
 
-def ward_clusters(positions: np.ndarray, sizes: np.ndarray, clusters: int) -> np.ndarray:
-    """Cluster numbers of chromosomes on a line by Ward's criterion; of n chromosomes, some hundreds at most."""
-    groups = [([i], float(positions[i]), float(max(sizes[i], 1))) for i in np.argsort(positions, kind="stable")]
-    while len(groups) > max(1, clusters):  # on a line only neighbours can be nearest
-        cost = [a[2] * b[2] / (a[2] + b[2]) * (a[1] - b[1]) ** 2 for a, b in zip(groups, groups[1:], strict=False)]
-        k = int(np.argmin(cost))
-        a, b = groups[k], groups[k + 1]
-        groups[k : k + 2] = [(a[0] + b[0], (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2])]
-    out = np.zeros(len(positions), np.int64)
-    for number, g in enumerate(groups, 1):
-        out[g[0]] = number
-    return out
-
-
-def scale_bar(lengths: DataFrame, share: float = 0.3) -> DataFrame:
-    """A round number near ``share`` of the smallest genome."""
-    least = lengths.groupBy("genome").agg(F.sum("length").alias("n")).agg((F.min("n") * share).alias("x"))
-    unit = F.pow(F.lit(10.0), F.floor(F.log10("x")))
-    return least.select((F.bround(F.col("x") / unit) * unit).alias("bar"))
-
-
 def colours(n: int) -> list[str]:
     """``n`` colours of one strength, from red over green and blue to violet."""
     hues = np.linspace(0.0, 0.8, n) if n > 1 else np.zeros(max(n, 0))

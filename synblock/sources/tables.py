@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from synblock.functions.columns import blank_to_null
+from synblock.functions.columns import blank_to_null, strip_marks
+from synblock.operators.ranks import keep_first
 
 GENES = "chr string, start long, end long, id string, ofID string, pepLen long, ord long, genome string, arrayID string, isArrayRep boolean, globOG string, globHOG string, noAnchor boolean, og string"
 _END = "ofID{0} string, chr{0} string, start{0} long, end{0} long, id{0} string, ord{0} long, genome{0} string, isArrayRep{0} boolean"
@@ -70,12 +71,12 @@ def write_fasta(df: DataFrame, path: str, name: str = "id", least: int = 0) -> N
     df.where(F.length("seq") >= least).select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col("seq"))).write.text(path)
 
 
-def read_gff(spark: SparkSession, path: str, kind: str = "gene", tag: str = "Name") -> DataFrame:
-    """``genome, chr, start, end, strand, id`` of the features of one kind; the id is an attribute."""
+def read_gff(spark: SparkSession, path: str, kind: str | None = "gene", tag: str = "Name") -> DataFrame:
+    """``genome, chr, start, end, strand, id`` of the features of one kind, or of any; the id is an attribute."""
     names = "seqid source type start end score strand phase attributes".split()
     raw = spark.read.csv(path, sep="\t", comment="#", schema=", ".join(f"{n} string" for n in names), quote="")
     value = F.regexp_extract("attributes", rf"(?:^|;)\s*{tag}=([^;]*)", 1)
-    return raw.where(F.col("type") == kind).select(_stem().alias("genome"), F.col("seqid").alias("chr"), F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), "strand", blank_to_null(value).alias("id"))
+    return (raw if kind is None else raw.where(F.col("type") == kind)).select(_stem().alias("genome"), F.col("seqid").alias("chr"), F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), "strand", blank_to_null(value).alias("id"))
 
 
 def read_blast(spark: SparkSession, path: str) -> DataFrame:
@@ -172,32 +173,86 @@ def write_pairs(hits: DataFrame, path: str) -> None:
     hits.write.partitionBy("genome1", "genome2").parquet(path)
 
 
-def match_annotation(gff: DataFrame, fasta: DataFrame, rename: Column | None = None) -> DataFrame:
-    """Genes that have both a feature and a sequence: the longest sequence of an id, marks stripped, odd characters of ids as ``_``."""
-    from synblock.functions.columns import strip_marks
-    from synblock.operators.ranks import keep_first
-
-    clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_.]", "_")
-    seqs = keep_first(fasta.select("id", strip_marks(F.col("seq")).alias("seq")), ["id"], [F.desc(F.length("seq")), "seq"])
-    feats = keep_first(gff.where("id is not null").withColumn("chr", rename if rename is not None else F.col("chr")), ["id"], [F.desc(F.col("end") - F.col("start")), "chr", "start"])
-    return feats.join(seqs, "id").select("genome", "chr", "start", "end", clean("id").alias("id"), "seq")
-
-
-#: Presets: feature kind, attribute, and how a header gives the id (a pattern's first group).
+def match_annotation(gff: DataFrame, fasta: DataFrame, names: DataFrame | None = None, least: int = 0, distinct: bool = False) -> DataFrame:
+    """``genome, chr, start, end, id, seq`` of the genes of each genome that have both a feature and a sequence.
+
+    Genomes are the names of the files, ``genome`` in ``gff`` and ``file`` in ``fasta``; ids that two genomes share are genes of either. Odd characters of
+    ids become ``_`` first. Of features with one id the widest counts, of sequences the longest as it is written (ties: the first by
+    chromosome and start, or by letters); then stop and gap marks go. ``names`` has ``genome, seqid, chr``, for chromosomes that are
+    renamed. Sequences shorter than ``least`` go, and with ``distinct`` those of a genome that equal an earlier one by id.
+    """
+    clean = F.regexp_replace("id", "[^A-Za-z0-9_.-]", "_")
+    seqs = fasta.where("id is not null").select(F.col("file").alias("genome"), clean.alias("id"), "seq")
+    seqs = keep_first(seqs, ["genome", "id"], [F.desc(F.length("seq")), "seq"]).withColumn("seq", strip_marks(F.col("seq"))).where(F.length("seq") >= least)
+    feats = gff.where("id is not null").withColumn("id", clean)
+    feats = keep_first(feats, ["genome", "id"], [F.desc(F.col("end") - F.col("start")), "chr", "start"])
+    if names is not None:
+        renamed = names.select("genome", F.col("seqid").alias("chr"), F.col("chr").alias("_chr"))
+        feats = feats.join(renamed, ["genome", "chr"], "left").withColumn("chr", F.coalesce("_chr", "chr"))
+    matched = feats.select("genome", "chr", "start", "end", "id").join(seqs, ["genome", "id"])
+    if distinct:
+        matched = keep_first(matched.withColumn("_h", F.sha2("seq", 256)), ["genome", "_h"], ["id"]).drop("_h")
+    return matched.select("genome", "chr", "start", "end", "id", "seq")
+
+
+#: Presets: the attribute that names a gene, which entry of a header does, from 1, what parts the entries and what is taken out of it.
 PRESETS = {
-    "ncbi": {"kind": "gene", "tag": "Name", "header": r"\[(?:gene|locus_tag)=([^\]]+)\]"},
-    "phytozome": {"kind": "gene", "tag": "Name", "header": r"locus=(\S+)"},
+    "ncbi": {"tag": "gene", "entry": 2, "sep": " ", "strip": r"gene=|\[|\]"},
+    "phytozome": {"tag": "Name", "entry": 4, "sep": " ", "strip": "locus="},
 }
-
-
-def preset_ids(fasta: DataFrame, preset: str) -> DataFrame:
-    return fasta.withColumn("id", blank_to_null(F.regexp_extract("header", PRESETS[preset]["header"], 1))).where("id is not null")
-
-
-def chromosome_names(fasta: DataFrame) -> DataFrame:
-    """A short name for each header: what follows ``chromosome``, ``chr`` or ``scaffold``, else its first word."""
-    word = F.regexp_extract(F.lower("header"), r"(?:chromosome|chr|linkage group|lg)[\s:_]*([0-9a-z]+)", 1)
-    return fasta.withColumn("chr", F.when(word != "", F.concat(F.lit("chr"), F.upper(word))).otherwise(F.col("id")))
+#: Names that stand for no chromosome, in lower case.
+MASKED = ("na", "none", "unknown")
+
+
+def header_ids(fasta: DataFrame, entry: int, sep: str, strip: str) -> DataFrame:
+    """Sequences with the id that one entry of the header gives; those without such an entry go."""
+    found = F.get(F.split("header", F.lit(sep)), F.lit(entry - 1))
+    return fasta.withColumn("id", blank_to_null(F.regexp_replace(found, strip, "") if strip else found)).where("id is not null")
+
+
+def region_names(spark: SparkSession, path: str) -> DataFrame:
+    """``genome, seqid, chr``: chromosomes of sequence ids by the features of kind ``region``.
+
+    A region without a chromosome, or one of ``MASKED``, keeps its sequence id; of several regions of a sequence the first in the file counts.
+    """
+    found = read_gff(spark, path, "region", "chromosome").withColumn("_n", F.monotonically_increasing_id()).where("chr is not null")
+    first = keep_first(found, ["genome", "chr"], ["start", "_n"])
+    bad = F.col("id").isNull() | F.lower("id").isin(*MASKED)
+    return first.select("genome", F.col("chr").alias("seqid"), F.when(bad, F.col("chr")).otherwise(F.col("id")).alias("chr"))
+
+
+def read_annotation(spark: SparkSession, gff: str, fasta: str, preset: str, **how) -> DataFrame:
+    """Genes of annotation files, a GFF and a FASTA file a genome of the same name, by a preset; ``ncbi`` names chromosomes by the file's own regions."""
+    p = PRESETS[preset]
+    names = region_names(spark, gff) if preset == "ncbi" else None
+    return match_annotation(read_gff(spark, gff, None, p["tag"]), header_ids(read_fasta(spark, fasta), p["entry"], p["sep"], p["strip"]), names, **how)
+
+
+def chromosome_names(headers: DataFrame, file: str = "file", header: str = "header", order: str = "n") -> DataFrame:
+    """``headers`` with ``chr``, a short name: by the blank-separated entry of headers that tells the sequences of their file apart.
+
+    Entries count that all headers of a file have. A file with one such entry is named by it. Else by the first of these that holds: the first entry, if it is
+    unique and the file's first is a 1, perhaps after chr, chromosome or scaffold; the one unique entry that has "chr" in the file's first header; the entry after
+    the only one that has "chr" there, if it is unique; otherwise by the whole header. Commas and semicolons at the end of an entry aren't part of it. Names
+    may repeat only where whole headers do. The first header is that with the least ``order``.
+    """
+    has = F.lower("value").contains("chr")
+    parts = headers.select(F.col(file).alias("file"), F.col(order).alias("n"), F.trim(header).alias("header"))
+    total = parts.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.min("n").alias("first"))
+    long = parts.select("file", "n", F.posexplode(F.split("header", "\\s+")).alias("at", "value")).withColumn("value", F.regexp_replace("value", "[,;]+$", ""))
+    each = long.groupBy("file", "at").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("value").alias("d"), F.min_by("value", "n").alias("value"))
+    full = each.join(total, "file").where("c = total").withColumn("unique", F.col("d") == F.col("total"))
+    one = F.regexp_replace(F.lower("value"), "chr0|chromosome|chr|scaffold", "") == "1"
+    chosen = full.groupBy("file").agg(
+        F.count(F.lit(1)).alias("k"), F.min("at").alias("only"), F.bool_or((F.col("at") == 0) & F.col("unique") & one).alias("lead"),
+        F.collect_list(F.when(has & F.col("unique"), F.col("at"))).alias("own"), F.collect_list(F.when(has, F.col("at"))).alias("word"), F.collect_list(F.when(F.col("unique"), F.col("at"))).alias("apart"),
+    )
+    after = F.element_at("word", 1) + 1
+    at = F.when(F.col("k") == 1, F.col("only")).when(F.col("lead"), 0).when(F.size("own") == 1, F.element_at("own", 1)).when((F.size("word") == 1) & F.array_contains("apart", after), after)
+    rule = chosen.select("file", at.alias("_at"))
+    joined = headers.join(F.broadcast(rule).withColumnRenamed("file", file), file, "left")  # a row a file
+    value = F.regexp_replace(F.get(F.split(F.trim(header), "\\s+"), F.col("_at")), "[,;]+$", "")
+    return joined.withColumn("chr", F.coalesce(value, F.trim(header))).drop("_at")
 
 
 def agreement(beds: DataFrame, peptides: DataFrame) -> DataFrame:

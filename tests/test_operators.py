@@ -218,7 +218,6 @@ def test_params():
 def test_colours():
     assert layout.colours(0) == [] and len(set(layout.colours(12))) == 12 and all(layout.are_colours(layout.colours(5)))
     assert layout.are_colours(["#FFFFFF", "red"]) == [True, False] and layout.with_alpha("#000000", 0.5) == "#00000080"
-    assert layout.ward_clusters(np.array([1.0, 2, 50, 51]), np.ones(4), 2).tolist() == [1, 1, 2, 2]
 
 
 def test_long_sequences_are_scanned_once(spark):
