@@ -7,8 +7,8 @@ kept if its posterior probability of being good reaches ``KEEP``. With R rules t
 3**R patterns, so that is what the driver sees whatever the corpus.
 
 No word list is built in: one rule asks whether a text has its share of the frequent words of its language, which are
-those that make up ``FREQUENT`` of all words of the language's documents or more. They are counted exactly in two passes: a word that
-frequent is as frequent within some partition, so the first pass gathers what is, and the second counts that everywhere.
+those that make up ``FREQUENT`` of all words of the language's documents or more. They are counted exactly in two passes: the first merges summaries of
+partitions to at most ``1 / FREQUENT`` candidates a language, the second counts these everywhere. Both are tables; none of it comes to the driver.
 
 Null texts have no words. An empty text, and any other with few words, fails the base
 rules. An empty table gives an empty table; repeated rows are judged alike.
@@ -16,12 +16,14 @@ rules. An empty table gives an empty table; repeated rows are judged alike.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synblock import scratch
@@ -36,38 +38,77 @@ _IS_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT) -> dict[str | None, tuple[frozenset[bytes], float]]:
-    """Of each language the words that are ``least`` of its words or more, A-Z lower-cased, and what share of all words they are together.
+def _pruned(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most ``most`` words of each group: counts less that of the next word in order, those above zero."""
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "word")
+    next_ = F.max(F.when(F.col("_r") == most + 1, F.col("n"))).over(Window.partitionBy(*by))
+    out = df.withColumn("_r", F.row_number().over(order)).withColumn("n", F.col("n") - F.coalesce(next_, F.lit(0)))
+    return out.where("n > 0").drop("_r")
 
-    Words with one of ``SYMBOLS`` don't count as frequent. At most ``1 / least`` words a language. Null is a language of its own; without a column ``lang_col`` all documents are of one.
+
+def candidates(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT, fan: int = 64) -> DataFrame:
+    """``(key, words)``: of each language at most ``1 / least`` words, among them all that are ``least`` of its words or more.
+
+    Counts of a partition are pruned to so many and merged ``fan`` by ``fan`` (Agarwal et al., "Mergeable Summaries", 2012): pruning to k words takes at most
+    N / (k + 1) from any count, however often it is done, so no word that frequent is lost. A group never has more than ``fan / least`` rows.
     """
-    rows = docs.select(_lang(docs, lang_col).alias("lang"), F.col(text_col).cast("binary").alias("_t"))
-
-    def counted(only: dict[str | None, set[bytes]] | None) -> DataFrame:
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[str | None, Counter] = {}
-            for b in batches:
-                for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    found.setdefault(lang, Counter()).update((t.as_py() or b"").lower().split())
-            out = []
-            for lang, n in found.items():
-                total = sum(n.values())
-                out.append((lang, None, total))
-                out += [(lang, w, k) for w, k in n.items() if (k >= least * total and not w.translate(None, PLAIN) if only is None else w in only.get(lang, ()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
-
-        return rows.mapInArrow(of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-    candidates: dict[str | None, set[bytes]] = {}
-    for r in counted(None).where("word is not null").select("lang", "word").collect():
-        candidates.setdefault(r["lang"], set()).add(bytes(r["word"]))
-    counts = [(r["lang"], bytes(r["word"]) if r["word"] is not None else None, r["n"]) for r in counted(candidates).collect()]
-    total = {lang: n for lang, w, n in counts if w is None}
-    out = {}
-    for lang, whole in total.items():
-        own = {w: n for x, w, n in counts if x == lang and w is not None and n >= least * whole}
-        out[lang] = (frozenset(own), sum(own.values()) / whole if whole else 0.0)
-    return out
+    most = math.floor(1 / least + 1e-9)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+        for b in batches:
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found.setdefault(key, Counter()).update((t.as_py() or b"").lower().split())
+        part = TaskContext.get().partitionId()
+        for key, n in found.items():
+            top = n.most_common(most + 1)
+            less = top[most][1] if len(top) > most else 0
+            rows = [(w, k - less) for w, k in top if k > less]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int64()), pa.array([w for w, _ in rows], pa.binary()), pa.array([k for _, k in rows], pa.int64())], ["key", "part", "word", "n"])
+
+    rows = docs.select(_key(docs, lang_col).alias("key"), F.col(text_col).cast("binary").alias("_t"))
+    merged = scratch.materialize(rows.mapInArrow(of, "key string, part long, word binary, n long"), "summaries")
+    while (merged.agg(F.max("part")).first()[0] or 0) > 0:
+        sums = merged.groupBy("key", F.expr(f"part div {fan}").alias("part"), "word").agg(F.sum("n").alias("n"))
+        merged = scratch.materialize(_pruned(sums, ["key", "part"], most), "summaries")
+    return scratch.materialize(merged.groupBy("key").agg(F.collect_list("word").alias("words")), "candidates")
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT) -> DataFrame:
+    """``(key, words, share)``: of each language the words that are ``least`` of its words or more, A-Z lower-cased, and what share of all words they are together.
+
+    A row a language, at most ``1 / least`` words in it. Words with one of ``SYMBOLS`` don't count as frequent: signs strewn over a text say nothing of its language,
+    and a text that is full of them would otherwise pass for usual. Null is a language of its own; without a column ``lang_col`` all documents are of one.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        found: dict[str, Counter] = {}
+        for b in batches:
+            for key, t, words in zip(b.column("__quality_key").to_pylist(), b.column("_t"), b.column("__quality_words"), strict=True):
+                if key not in found:
+                    found[key] = Counter(dict.fromkeys(words.as_py() or (), 0))
+                own, text = found[key], (t.as_py() or b"").lower().split()
+                total[key] += len(text)
+                for w in filter(own.__contains__, text):
+                    own[w] += 1
+        out = [(key, None, n) for key, n in total.items()] + [(key, w, n) for key, own in found.items() for w, n in own.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
+
+    rows = with_words(docs, candidates(docs, text_col, lang_col, least), lang_col)
+    counted = rows.select("__quality_key", F.col(text_col).cast("binary").alias("_t"), "__quality_words").mapInArrow(of, "key string, word binary, n long")
+    counts = scratch.materialize(counted.groupBy("key", "word").agg(F.sum("n").alias("n")), "counts")
+    whole = counts.where("word is null").select("key", F.col("n").alias("_all"))
+    plain = ~F.col("word").cast("string").rlike("[" + SYMBOLS.decode().replace("|", "\\|") + "]")
+    own = counts.where(F.col("word").isNotNull() & plain).join(whole, "key").where(F.col("n") >= least * F.col("_all"))
+    sums = own.groupBy("key").agg(F.sort_array(F.collect_list("word")).alias("words"), (F.sum("n") / F.max("_all")).alias("share"))
+    return scratch.materialize(sums, "frequent")
+
+
+def with_words(docs: DataFrame, found: DataFrame, lang_col: str | None = "lang") -> DataFrame:
+    """``docs`` with ``_key``, ``_words`` and ``_share`` of their languages: a join, so that Spark sends a small table and deals out a large one."""
+    table = found.select(F.col("key").alias("__quality_key"), F.col("words").alias("__quality_words"), (F.col("share") if "share" in found.columns else F.lit(0.0)).alias("__quality_share"))
+    return docs.withColumn("__quality_key", _key(docs, lang_col)).join(table, "__quality_key", "left")
 
 
 NO_WORDS: tuple[frozenset[bytes], float] = (frozenset(), 0.0)
@@ -167,28 +208,46 @@ def model(counted: DataFrame) -> dict[int, float]:
     return dict(zip(pattern.tolist(), posterior(votes(pattern), *fit(pattern, count)).tolist(), strict=True))
 
 
-def _counts(texts: pa.Array, langs: pa.Array, frequent: dict) -> np.ndarray:
-    return np.array([features(t.as_py(), frequent.get(x, NO_WORDS)) for t, x in zip(texts, langs.to_pylist(), strict=True)], np.int64).reshape(len(texts), 13)
+class _Known:
+    """Frequent words by language, as they are met; a few languages are kept."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, tuple[frozenset[bytes], float]] = {}
+
+    def counts(self, b: pa.RecordBatch, text: str = "_t") -> np.ndarray:
+        """``features`` of a batch with ``_key``, ``_words`` and ``_share``."""
+        rows = []
+        texts = b.column(text)
+        texts = texts if pa.types.is_binary(texts.type) else texts.cast(pa.binary())
+        for t, key, words, share in zip(texts, b.column("__quality_key").to_pylist(), b.column("__quality_words"), b.column("__quality_share").to_pylist(), strict=True):
+            if key not in self.held:
+                if len(self.held) >= 1_000:
+                    self.held.clear()
+                self.held[key] = (frozenset(words.as_py() or ()), share or 0.0)
+            rows.append(features(t.as_py(), self.held[key]))
+        return np.array(rows, np.int64).reshape(b.num_rows, 13)
 
 
-def _lang(docs: DataFrame, lang_col: str | None) -> F.Column:
-    return F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+def _key(docs: DataFrame, lang_col: str | None) -> F.Column:
+    """A document's language, told from none at all."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
 def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > 50 * counts[:, 0])
 
 
-def measured(docs: DataFrame, frequent: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def measured(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Counts, base verdict and vote pattern of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for b in batches:
-            c = _counts(b.column(1), b.column(2), sent.value)
+            c = known.counts(b)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c[:, i]) for i in range(5)), pa.array(base_failed(c)), pa.array(patterns(c))], [id_col, *FEATURES, "base_failed", "pattern"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("_t"), _lang(docs, lang_col).alias("_lang"))
+    rows = with_words(docs, frequent, lang_col).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("_t"), "__quality_key", "__quality_words", "__quality_share")
     return rows.mapInArrow(of, f"`{id_col}` long, {', '.join(f'{x} long' for x in FEATURES)}, base_failed boolean, pattern int")
 
 
@@ -206,21 +265,21 @@ def filtered(docs: DataFrame, text_col: str = "text", lang_col: str | None = "la
 
     Texts are read again for the frequent words, the pattern counts and the filter, so as not to write them to a table.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text_col, lang_col))
+    rows = with_words(docs, frequent_words(docs, text_col, lang_col), lang_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        n, known = Counter(), _Known()
         for b in batches:
-            n.update(patterns(_counts(b.column(0), b.column(1), sent.value)).tolist())
+            n.update(patterns(known.counts(b)).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["pattern", "n"])
 
-    post = model(docs.select(F.col(text_col).cast("binary").alias("_t"), _lang(docs, lang_col).alias("_lang")).mapInArrow(count, "pattern int, n long"))
-    good = np.array(sorted(p for p, x in post.items() if x >= keep), np.int32)
-    at, lang = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None
+    post = model(rows.select(F.col(text_col).cast("binary").alias("_t"), "__quality_key", "__quality_words", "__quality_share").mapInArrow(count, "pattern int, n long"))
+    good, names = np.array(sorted(p for p, x in post.items() if x >= keep), np.int32), docs.columns
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for b in batches:
-            c = _counts(b.column(at).cast(pa.binary()), b.column(lang).cast(pa.string()) if lang is not None else pa.nulls(b.num_rows, pa.string()), sent.value)
-            yield b.filter(pa.array(~base_failed(c) & np.isin(patterns(c), good)))
+            c = known.counts(b, text_col)
+            yield b.filter(pa.array(~base_failed(c) & np.isin(patterns(c), good))).select(names)
 
-    return docs.mapInArrow(sift, docs.schema)
+    return rows.select(*docs.columns, "__quality_key", "__quality_words", "__quality_share").mapInArrow(sift, docs.schema)

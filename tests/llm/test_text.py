@@ -172,11 +172,24 @@ def test_frequent_words_are_exact(spark):
     words = {"en": ["the", "The", "of", *(f"e{i}" for i in range(400))], None: ["zu", *(f"n{i}" for i in range(90))], "one": ["x"]}
     rows = [(i, " ".join(rng.choice(words[x][: rng.choice([1, 3, 1000])]) for _ in range(rng.randrange(80))), x) for i in range(300) for x in [rng.choice(list(words))]] + [(1000, None, "en"), (1001, None, "void")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6, "doc_id")
-    got = quality.frequent_words(docs, least=0.01)
+    got = {r["key"]: (set(map(bytes, r["words"])), r["share"]) for r in quality.frequent_words(docs, least=0.01).collect()}
     for lang in ("en", None, "one", "void"):
         n = Counter(w for _, t, x in rows if x == lang for w in (t or "").lower().encode().split())
         want = {w for w, k in n.items() if k >= 0.01 * n.total()}
-        assert got[lang][0] == want and abs(got[lang][1] - sum(n[w] for w in want) / max(1, n.total())) < 1e-12
+        own = got.get("" if lang is None else f"={lang}", (set(), 0.0))
+        assert own[0] == want and abs(own[1] - sum(n[w] for w in want) / max(1, n.total())) < 1e-12
+
+
+def test_candidates_are_few_whatever_the_languages_and_partitions(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.2)), rng.randrange(1, 60))}" for _ in range(rng.randrange(40))), f"l{rng.randrange(1000) if i % 3 else 0}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(200, "doc_id")
+    few = quality.candidates(docs, least=0.05, fan=8).collect()
+    assert max(len(r["words"]) for r in few) <= 20 and len(few) == len({x for _, t, x in rows if t})
+    got = {r["key"]: set(map(bytes, r["words"])) for r in quality.frequent_words(docs, least=0.05).collect()}
+    for lang in {x for _, _, x in rows}:
+        n = Counter(w for _, t, x in rows if x == lang for w in t.encode().split())
+        assert got.get(f"={lang}", set()) == {w for w, k in n.items() if k >= 0.05 * n.total()}
 
 
 def slow_em(pattern, count, rounds=60):
