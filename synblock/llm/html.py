@@ -92,6 +92,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
     in_link = heading = False
     holders, at, size = 0, 0, len(page)
     endless: set[str] = set()  # names of raw elements that end nowhere below
+    last = page.rfind(">")  # beyond it only a comment can begin
 
     def end() -> None:
         nonlocal text, link
@@ -127,7 +128,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
         i = page.find("<", at)
         if i < 0:
             break
-        m = _TAG.match(page, i)
+        m = _TAG.match(page, i) if i < last or page.startswith("<!--", i) else None
         if m is None:
             put(page[at : i + 1])
             at = i + 1

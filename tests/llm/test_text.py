@@ -119,7 +119,7 @@ def test_html_names_that_mislead():
         assert html.main_text(page, by) == "t " + words(150), name
 
 
-@pytest.mark.parametrize("piece", ["<a '", '<a "', "<a '>'", "<b>", "<button>", "<", "<!--", "</p>", "<p><blockquote>", "<div class=a>"])
+@pytest.mark.parametrize("piece", ["<a '", '<a "', "<a '>'", "<b>", "<button>", "<", "<!--", "</p>", "<p><blockquote>", "<div class=a>", "<!", "<!a", "<?x", "<![", "><!a"])
 def test_html_hostile_pages_are_linear(piece):
     began = time.process_time()
     html.features(html.blocks(piece * (1_000_000 // len(piece))))
