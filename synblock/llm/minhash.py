@@ -42,7 +42,7 @@ BANDS = 40
 ROWS = 5
 MARGIN = 6
 #: Candidates of a row and cell in each step of the comparison; None are all.
-MOST = (2, 16, None)
+MOST = (4, None)
 SEED = 42
 BLOCK = 512
 #: So many hashes or documents are handled at a time.
