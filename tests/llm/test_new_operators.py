@@ -82,7 +82,7 @@ def test_signatures_estimate_similarity(spark):
         from pyspark.sql import functions as F
 
         assert row.select(minhash.agreeing(F.col("a"), F.col("b"))).first()[0] == direct
-        wrong.append(abs((direct / 512 - 1 / 16) / (15 / 16) - share))
+        wrong.append(abs((direct / minhash.HASHES - 1 / 16) / (15 / 16) - share))
         assert (direct >= minhash.least_agreeing()) == (share >= 0.7)
     assert max(wrong) < 0.09
 
