@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from synblock import scratch
 from synblock.operators import blocks, genes, graph, hits, intervals, orthogroups, pangenes, ranks, sequence, spatial, synteny, windows
-from synblock.plans import layout
+from synblock.plans import layout, riparian
 from synblock.plans import query as Q
 from synblock.plans.catalogue import query
 from synblock.plans.workload import Tables
@@ -239,12 +239,23 @@ def iv12_runs(t: Tables) -> DataFrame:
     return sequence.runs_of(sequences(t), "N", 3)
 
 
-@query()
+TELOMERES = """ls AS (SELECT chr, string_split(seq, '') AS l FROM s), k AS (SELECT chr, p AS s, p + 2 AS e FROM (SELECT chr, unnest(list_filter(range(1, len(l) - 1), lambda i: upper(l[i] || l[i + 1] || l[i + 2]) IN ('THE', 'EHA', 'AND', 'DNT'))) AS p FROM ls)),
+k1 AS (SELECT chr, min(s) AS s, max(e) AS e FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY chr ORDER BY s) - 1 >= 1 THEN 1 ELSE 0 END AS j FROM k)) GROUP BY chr, i),
+k2 AS (SELECT chr, min(s) AS s, max(e) AS e, sum(e - s + 1) AS bp FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY chr ORDER BY s) - 1 >= 11 THEN 1 ELSE 0 END AS j FROM k1)) GROUP BY chr, i),
+te AS (SELECT chr, k2.s AS start, k2.e AS "end", CASE WHEN k2.s <= 200 THEN 'left' WHEN k2.e >= length(seq) - 200 THEN 'right' ELSE 'inter' END AS position FROM k2 JOIN s USING (chr) WHERE k2.e - k2.s + 1 >= 15 AND bp / (k2.e - k2.s + 1) >= 0.3)"""
+
+
+@query(f"WITH {SEQS}, {TELOMERES} SELECT chr, start, \"end\", position FROM te")
 def iv13_telomeres(t: Tables) -> DataFrame:
     return sequence.telomeres(sequences(t), ["THE", "AND"], 10, 15, 0.3, 200)
 
 
-@query()
+@query(f"""WITH {SEQS}, {TELOMERES}, n1 AS (SELECT chr, unnest(list_filter(range(1, len(l) + 1), lambda i: l[i] IN ('n', 'N'))) AS s FROM ls),
+n2 AS (SELECT chr, min(s) AS s, max(s) AS e FROM (SELECT *, sum(j) OVER (PARTITION BY chr ORDER BY s) AS i FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY chr ORDER BY s) - 1 >= 2 THEN 1 ELSE 0 END AS j FROM n1)) GROUP BY chr, i HAVING max(s) - min(s) >= 2),
+c1 AS (SELECT chr, e + 1 AS s, lead(s) OVER (PARTITION BY chr ORDER BY s, e) - 1 AS e FROM (SELECT chr, s, e FROM n2 UNION ALL SELECT chr, 0, 0 FROM s UNION ALL SELECT chr, length(seq) + 1, length(seq) + 1 FROM s)),
+c2 AS (SELECT chr, e - s + 1 AS n FROM c1 WHERE e >= s), c3 AS (SELECT chr, max(n) AS contigN50 FROM (SELECT chr, n, sum(n) OVER (PARTITION BY chr ORDER BY n DESC) AS c, sum(n) OVER (PARTITION BY chr) AS t FROM c2) WHERE c * 2 >= t GROUP BY chr)
+SELECT chr, CAST(length(seq) AS BIGINT) AS length, coalesce((SELECT count(*) FROM c2 WHERE c2.chr = s.chr), 0) AS nContigs, (SELECT max(contigN50) FROM c3 WHERE c3.chr = s.chr) AS contigN50, coalesce((SELECT count(*) FROM n2 WHERE n2.chr = s.chr), 0) AS nGaps,
+  coalesce((SELECT string_agg(position, ',' ORDER BY position) FROM te WHERE te.chr = s.chr), '') AS telomeres FROM s""")
 def iv14_assembly_report(t: Tables) -> DataFrame:
     return sequence.assembly_report(sequences(t), ["THE", "AND"], 3, max_distance=10, least=15, density=0.3, end_distance=200)
 
@@ -389,6 +400,18 @@ def sy19_syntenic_orthogroups(t: Tables) -> DataFrame:
     return orthogroups.syntenic_orthogroups(*found(t)).select("ofID", "genome", "og")
 
 
+@query("""WITH RECURSIVE h AS (SELECT DISTINCT ofID1 AS a, ofID2 AS b FROM blocks WHERE CAST(substr(ofID1, 2) AS BIGINT) % 3 <> 0 AND CAST(substr(ofID1, 2) AS BIGINT) % 11 <> 0), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+z AS (SELECT ofID AS x, ofID AS y FROM ranked UNION SELECT z.x, e.b FROM z JOIN e ON e.a = z.y),
+m AS (SELECT x AS ofID, arg_min(y, (r.genome, r.ord, y)) AS name FROM z JOIN ranked r ON r.ofID = y GROUP BY x),
+a AS (SELECT genome, chr, og, min(name) AS rep FROM ranked JOIN m USING (ofID) WHERE CAST(substr(ofID, 2) AS BIGINT) % 4 <> 0 GROUP BY 1, 2, 3)
+SELECT ofID, r.genome, concat('synOG_', coalesce(rep, name)) AS og FROM ranked r JOIN m USING (ofID) LEFT JOIN a ON a.genome = r.genome AND a.chr = r.chr AND a.og = r.og""", "blocks")
+def sy19_groups_of_blocks(t: Tables) -> DataFrame:
+    """Syntenic orthogroups of given blocks; arrays are the genes of a group on a chromosome."""
+    n = F.substring("ofID1", 2, 20).cast("long")
+    h = t.blocks.withColumns({"isSyntenic": F.lit(True), "sameOG": n % 3 != 0, "noAnchor": n % 11 == 0})
+    return orthogroups.syntenic_orthogroups(with_reps(t), h).select("ofID", "genome", "og")
+
+
 @query()
 def sy20_region_orthologues(t: Tables) -> DataFrame:
     """Of found regions, those with 10 genes or more on either side; ``sy20_region_groups`` has the same on given regions in SQL."""
@@ -458,14 +481,17 @@ def with_reps(t: Tables) -> DataFrame:
     return t.ranked.withColumns({"isArrayRep": F.substring("ofID", 2, 20).cast("long") % 4 != 0, "noAnchor": F.lit(False), "arrayID": F.concat("genome", "chr", "og")})
 
 
-@query(f"""WITH {REPS}, b AS (SELECT blkID, genome1 AS g1, chr1 AS c1, genome2 AS g2, chr2 AS c2, ofID1 AS a, ofID2 AS b, ord1 AS x, CAST(ord2 AS DOUBLE) AS y FROM blocks UNION ALL SELECT blkID, genome2, chr2, genome1, chr1, ofID2, ofID1, ord2, CAST(ord1 AS DOUBLE) FROM blocks),
+POSITIONS = f"""WITH {REPS}, b AS (SELECT blkID, genome1 AS g1, chr1 AS c1, genome2 AS g2, chr2 AS c2, ofID1 AS a, ofID2 AS b, ord1 AS x, CAST(ord2 AS DOUBLE) AS y FROM blocks UNION ALL SELECT blkID, genome2, chr2, genome1, chr1, ofID2, ofID1, ord2, CAST(ord1 AS DOUBLE) FROM blocks),
 n AS (SELECT blkID, g1, c1, g2, c2, min(x) AS lo, max(x) AS hi FROM b GROUP BY ALL),
 m AS (SELECT n.blkID, g1, c1, g2, c2, r.ofID AS a, CAST(NULL AS VARCHAR) AS b, r.ord AS x, CAST(NULL AS DOUBLE) AS y FROM n JOIN r ON r.genome = g1 AND r.chr = c1 AND r.rep AND r.ord BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.blkID = n.blkID AND b.g1 = n.g1 AND b.g2 = n.g2 AND b.a = r.ofID)),
 u AS (SELECT * FROM b UNION ALL SELECT * FROM m), d AS (SELECT blkID, g1, g2, x, avg(y) AS y FROM u GROUP BY ALL),
 e AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER p AS x0, last_value(y IGNORE NULLS) OVER p AS y0, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER q AS x1, first_value(y IGNORE NULLS) OVER q AS y1 FROM d
 WINDOW p AS (PARTITION BY blkID, g1, g2 ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY blkID, g1, g2 ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 f AS (SELECT blkID, g1, g2, x, coalesce(y, y0 + (y1 - y0) / (x1 - x0) * (x - x0)) AS pos FROM e)
-SELECT blkID, genome1, genome2, ofID1, ofID2, ord1, pos AS ord2 FROM (SELECT blkID, g1 AS genome1, g2 AS genome2, a AS ofID1, b AS ofID2, x AS ord1, round(pos, 6) AS pos, row_number() OVER (PARTITION BY blkID, g1, g2, a, round(pos, 6) ORDER BY b NULLS LAST) AS k FROM u JOIN f USING (blkID, g1, g2, x)) WHERE k = 1""", "blocks")
+SELECT @ FROM (SELECT blkID, c2 AS chr2, g1 AS genome1, g2 AS genome2, a AS ofID1, b AS ofID2, x AS ord1, round(pos, 6) AS pos, row_number() OVER (PARTITION BY blkID, g1, g2, a, round(pos, 6) ORDER BY b NULLS LAST) AS k FROM u JOIN f USING (blkID, g1, g2, x)) WHERE k = 1"""
+
+
+@query(POSITIONS.replace("@", "blkID, genome1, genome2, ofID1, ofID2, ord1, pos AS ord2"), "blocks")
 def sy25_block_positions(t: Tables) -> DataFrame:
     out = blocks.interpolated_positions(t.blocks.withColumn("isAnchor", F.lit(True)), with_reps(t))
     return out.select("blkID", "genome1", "genome2", "ofID1", "ofID2", "ord1", F.round("ord2", 6).alias("ord2"))
@@ -487,6 +513,15 @@ def sy26_places(t: Tables) -> DataFrame:
     return pangenes.placed(with_reps(t), at, "G0", 100)
 
 
+@query(f"""WITH p AS ({POSITIONS.replace("@", "*")}), n AS (SELECT genome1, genome2, ofID1, count(DISTINCT (chr2, pos)) AS n FROM p GROUP BY 1, 2, 3),
+c AS (SELECT q.genome1, q.genome2, coalesce(n, 0) AS n FROM ranked r JOIN (SELECT DISTINCT genome1, genome2 FROM p) q ON q.genome1 = r.genome LEFT JOIN n ON n.genome1 = q.genome1 AND n.genome2 = q.genome2 AND n.ofID1 = r.ofID)
+SELECT genome1, genome2, count(*) FILTER (n = 0) AS n0, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, count(*) FILTER (n > 2) AS nMore FROM c GROUP BY 1, 2""", "blocks")
+def sy25_census_of_blocks(t: Tables) -> DataFrame:
+    """Genes with none, one, two or more positions on another genome, from given blocks."""
+    at = blocks.interpolated_positions(t.blocks.withColumn("isAnchor", F.lit(True)), with_reps(t)).withColumn("ord2", F.round("ord2", 6))
+    return blocks.position_census(at, t.ranked)
+
+
 @query()
 def sy25_census(t: Tables) -> DataFrame:
     g, h = found(t)
@@ -569,6 +604,21 @@ def qy02_pangenes_wide(t: Tables) -> DataFrame:
     return out.select("region", "pgID", "interpChr", "pgRepID", *(F.array_join(F.coalesce(c, F.array()), ",").alias(c) for c in ("G0", "G1", "G2")))
 
 
+@query("""WITH p AS (SELECT *, CAST(substr(ofID, 2) AS BIGINT) AS k FROM ranked), q AS (SELECT genome, concat(id, CASE k % 5 WHEN 0 THEN '+' WHEN 1 THEN '*' ELSE '' END) AS name, k // 6 + 1 AS pgID FROM p WHERE (k // 6 + 1) % 9 <> 0),
+w AS (SELECT pgID, coalesce(string_agg(name, ',' ORDER BY name) FILTER (genome = 'G0'), '') AS G0, coalesce(string_agg(name, ',' ORDER BY name) FILTER (genome = 'G1'), '') AS G1, coalesce(string_agg(name, ',' ORDER BY name) FILTER (genome = 'G2'), '') AS G2 FROM q GROUP BY 1)
+SELECT w.*, concat('chr', pgID % 7) AS interpChr, r.id AS repGene, r.genome AS repGenome, r.chr AS repChr, r.start AS repStart, r."end" AS repEnd FROM w LEFT JOIN ranked r ON r.ofID = concat('g', (pgID - 1) * 6)""", "ranked")
+def qy02_reference_pangenes(t: Tables) -> DataFrame:
+    """Given pan-genes of six genes each, those without a place left out, by genome and with their representative."""
+    k = F.substring("ofID", 2, 20).cast("long")
+    number = F.expr("cast(substr(ofID, 2) as bigint) div 6") + 1
+    p = t.ranked.withColumn("pgID", number).withColumns({
+        "interpChr": F.when(F.col("pgID") % 9 != 0, F.concat(F.lit("chr"), (F.col("pgID") % 7).cast("string"))), "interpOrd": F.col("pgID").cast("double"),
+        "pgRepID": F.concat(F.lit("g"), ((F.col("pgID") - 1) * 6).cast("string")), "flag": F.when(k % 5 == 0, "array").when(k % 5 == 1, "NSOrtho").otherwise("PASS"),
+    })
+    out = Q.reference_pangenes(p, t.ranked, ["G0", "G1", "G2"])
+    return out.select("pgID", "interpChr", "repGene", "repGenome", "repChr", "repStart", "repEnd", *(F.array_join(F.coalesce(c, F.array()), ",").alias(c) for c in ("G0", "G1", "G2")))
+
+
 CNV = """WITH c AS (SELECT genome, og, count(*) AS n FROM genes GROUP BY 1, 2), f AS (SELECT g.genome, o.og, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT genome FROM genes) g CROSS JOIN (SELECT DISTINCT og FROM genes) o LEFT JOIN c ON c.genome = g.genome AND c.og = o.og),
 k AS (SELECT genome, 'globalOGs' AS ogType, n AS copyNumber, CAST(sum(n) AS BIGINT) AS nGenes, count(*) AS nOgs FROM f GROUP BY genome, n)
 SELECT *, round(100.0::DOUBLE * nGenes / CAST(sum(nGenes) OVER (PARTITION BY genome) AS DOUBLE), 6) AS percGenes, round(100.0::DOUBLE * nOgs / CAST(sum(nOgs) OVER (PARTITION BY genome) AS DOUBLE), 6) AS percOGs FROM k"""
@@ -653,10 +703,27 @@ def vz09_contig_map(t: Tables) -> DataFrame:
     return c.select("genome", "chr", ((F.row_number().over(over("genome", "chr", order=["start"])) - 1) % 2 + 1).cast("long").alias("colour"), "start", "end")
 
 
-@query()
+@query(f"""WITH {FEATURES}, {LENGTHS}, {REDUCED}, {GAPS}, {GENE_SPANS}, nm AS (SELECT genome, chr, length, row_number() OVER (PARTITION BY genome ORDER BY TRY_CAST(regexp_replace(chr, '[^0-9]+', '', 'g') AS DOUBLE) NULLS LAST, chr) AS place FROM l WHERE genome IN ('G0', 'G1')),
+tt AS (SELECT genome, sum(length) AS total, count(*) AS k FROM nm GROUP BY 1),
+ga AS (SELECT genome, round((SELECT total FROM tt WHERE genome = 'G0') * 0.005::DOUBLE) + ((SELECT max(total) FROM tt) - total) / k * 0.25::DOUBLE AS gap FROM tt),
+st AS (SELECT nm.*, 1 + coalesce(sum(length + 1) OVER (PARTITION BY genome ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (row_number() OVER (PARTITION BY genome ORDER BY place) - 1) * gap AS s FROM nm JOIN ga USING (genome)),
+ch AS (SELECT genome, chr, length, s - max(s + length) OVER (PARTITION BY genome) / 2 AS x0 FROM st),
+bl AS (SELECT blkID, genome1, genome2, chr1, chr2, min(start1) AS s1, max("end1") AS e1, min(start2) AS s2, max("end2") AS e2, CASE WHEN corr(CAST(ord1 AS DOUBLE), CAST(ord2 AS DOUBLE)) < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM blocks WHERE genome1 = 'G0' AND genome2 = 'G1' GROUP BY blkID, genome1, genome2, chr1, chr2 HAVING count(*) >= 5),
+wi AS (SELECT genome, chr, q.s AS ws, least(q.s + 99999, length) AS we FROM ch, range(1, 1000001, 50000) q(s) WHERE q.s <= length),
+wc AS (SELECT wi.genome, wi.chr, ws, we, sum(CASE WHEN r.s IS NOT NULL THEN least(we, r.e) - greatest(ws, r.s) + 1 ELSE 0 END) / (we - ws + 1) AS p FROM wi LEFT JOIN r ON wi.genome = r.genome AND wi.chr = r.chr AND ws <= r.e AND r.s <= we GROUP BY wi.genome, wi.chr, ws, we),
+wg AS (SELECT wi.genome, wi.chr, ws, we, sum(CASE WHEN g.s IS NOT NULL THEN least(we, g.e) - greatest(ws, g.s) + 1 ELSE 0 END) / (we - ws + 1) AS p FROM wi LEFT JOIN g ON wi.genome = g.genome AND wi.chr = g.chr AND ws <= g.e AND g.s <= we GROUP BY wi.genome, wi.chr, ws, we),
+pa AS (SELECT 'band' AS kind, blkID AS id, genome1 AS genome, chr1 AS chr, s1 AS s, e1 AS e, v AS value FROM bl UNION ALL SELECT 'band', blkID, genome2, chr2, s2, e2, v FROM bl
+UNION ALL SELECT 'class', 'feature', r.genome, r.chr, greatest(r.s, 1), least(r.e, length), NULL FROM r JOIN ch USING (genome, chr) WHERE least(r.e, length) >= greatest(r.s, 1)
+UNION ALL SELECT 'class', 'gene', g.genome, g.chr, greatest(g.s, x.s), least(g.e, x.e), NULL FROM g JOIN x ON g.genome = x.genome AND g.chr = x.chr AND g.s <= x.e AND x.s <= g.e AND x.e >= x.s
+UNION ALL SELECT 'window', 'feature', genome, chr, ws, we, least(p, 1.0::DOUBLE) FROM wc
+UNION ALL SELECT 'window', 'gene', genome, chr, ws, we, least(wc.p + wg.p, 1.0::DOUBLE) FROM wc JOIN wg USING (genome, chr, ws, we))
+SELECT kind, id, genome, chr, round(x0 + s, 4) AS x1, round(x0 + e, 4) AS x2, round(value, 6) AS value FROM pa JOIN ch USING (genome, chr)""", "blocks")
 def vz10_two_genomes(t: Tables) -> DataFrame:
-    """Shares of features and genes in sliding windows, stacked."""
-    return intervals.slide([("feature", intervals_of(t)), ("gene", t.genes.select("genome", "chr", "start", "end"))], lengths(t), BOTH, 100_000, 50_000)
+    """Synteny bands, features and genes of two genomes, and their shares in sliding windows, stacked, on one axis."""
+    classes = [("feature", intervals_of(t)), ("gene", t.genes.select("genome", "chr", "start", "end"))]
+    b = blocks.unphased(t.blocks.withColumn("isAnchor", F.lit(True)), 5)
+    out = riparian.two_genomes(b, classes, lengths(t), ("G0", "G1"), 100_000, 50_000)
+    return out.withColumns({"x1": F.round("x1", 4), "x2": F.round("x2", 4), "value": F.round("value", 6)})
 
 
 def flagship(t: Tables) -> DataFrame:

@@ -91,22 +91,28 @@ def src11_hogs(t: Tables) -> DataFrame:
     return tables.read_hogs(t.spark, path)
 
 
-@query("SELECT DISTINCT a.og AS orthID, 'G0' AS genome1, 'G1' AS genome2, a.id AS id1, b.id AS id2 FROM genes a JOIN genes b ON a.og = b.og AND a.genome = 'G0' AND b.genome = 'G1'", "genes")
+@query("SELECT DISTINCT a.og AS orthID, a.genome AS genome1, b.genome AS genome2, a.id AS id1, b.id AS id2 FROM genes a JOIN genes b ON a.og = b.og AND a.genome < b.genome", "genes")
 def src12_orthologues(t: Tables) -> DataFrame:
-    wide = t.genes.groupBy(F.col("og").alias("Orthogroup")).pivot("genome", ["G0", "G1"]).agg(F.array_join(F.collect_list("id"), ", ")).where("G0 is not null and G1 is not null")
-    wide.write.csv(path := scratch.new_path(t.spark, "orthologues"), sep="\t", header=True)
-    return tables.read_orthologues(t.spark, path)
+    """A table of orthologues a pair of genomes."""
+    path, out = scratch.new_path(t.spark, "orthologues"), None
+    for a, b in (("G0", "G1"), ("G0", "G2"), ("G1", "G2")):
+        wide = t.genes.groupBy(F.col("og").alias("Orthogroup")).pivot("genome", [a, b]).agg(F.array_join(F.collect_list("id"), ", ")).where(f"{a} is not null and {b} is not null")
+        wide.write.csv(f"{path}/{a}__v__{b}.tsv", sep="\t", header=True)
+        read = tables.read_orthologues(t.spark, f"{path}/{a}__v__{b}.tsv")
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 PAF_SQL = f"""SELECT windowName, refChr, refStart, nmatches, blkLen, mapq, row_number() OVER (PARTITION BY windowName ORDER BY mapq DESC, nmatches DESC, blkLen DESC, refChr, refStart) AS place FROM (
-  SELECT concat(chr1, ':', start1, '_', start1 + 999) AS windowName, chr2 AS refChr, start2 AS refStart, 500 + {N.format('ofID1')} % 400 AS nmatches, 950 + {N.format('ofID2')} % 50 AS blkLen, {N.format('ofID1')} % 61 AS mapq
-  FROM hits WHERE {N.format('ofID1')} % 5 <> 0 AND genome1 = 'G0' AND genome2 = 'G1')"""
+  SELECT concat(genome1, '.', genome2, '.', chr1, ':', start1, '_', start1 + 999) AS windowName, chr2 AS refChr, start2 AS refStart, 500 + {N.format('ofID1')} % 400 AS nmatches, 950 + {N.format('ofID2')} % 50 AS blkLen, {N.format('ofID1')} % 61 AS mapq
+  FROM hits WHERE {N.format('ofID1')} % 5 <> 0)"""
 
 
 @query(PAF_SQL, "hits")
 def src13_paf(t: Tables) -> DataFrame:
-    """Alignments of one pair of genomes, best first in each window."""
-    shaped(paf(t).where("genome1 = 'G0' and genome2 = 'G1'"), tables.PAF).write.csv(path := scratch.new_path(t.spark, "paf"), sep="\t", nullValue="NA")
+    """Alignments of all pairs of genomes, best first in each window."""
+    named = paf(t).withColumn("windowName", F.concat_ws(".", "genome1", "genome2", "windowName"))
+    shaped(named, tables.PAF).write.csv(path := scratch.new_path(t.spark, "paf"), sep="\t", nullValue="NA")
     return tables.best_first(tables.read_paf(t.spark, path)).select("windowName", "refChr", "refStart", "nmatches", "blkLen", "mapq", "place")
 
 
@@ -224,11 +230,14 @@ def prj05_duplicate_column(t: Tables) -> DataFrame:
     return t.genes.select("ofID", "og", F.col("og").alias("pan_og"), "genome")
 
 
-@query("SELECT 'G0' AS genome, 'chr0' AS chr, CAST(5 AS BIGINT) AS start, CAST(4611686018427387903 AS BIGINT) AS \"end\", 'G0, chr0: 5-4611686018427387903' AS region UNION ALL SELECT 'G2', 'chr0', CAST(0 AS BIGINT), CAST(90000 AS BIGINT), 'G2, chr0: 0-90000'")
+@query("""WITH b AS (SELECT genome, chr, CAST(regexp_extract(chr, '[0-9]+') AS INT) AS c, min(start) AS s, max("end") AS e FROM genes GROUP BY 1, 2),
+r AS (SELECT genome, chr, CASE WHEN c % 2 = 0 THEN s ELSE 0 END AS start, CASE WHEN c % 3 = 0 THEN e ELSE 4611686018427387903 END AS "end" FROM b)
+SELECT *, concat(genome, ', ', chr, ': ', start, '-', "end") AS region FROM r""", "genes")
 def flt06_regions(t: Tables) -> DataFrame:
-    """Regions with open ends filled in; those on no chromosome of the run are refused (see the tests)."""
-    bed = t.spark.createDataFrame([("G0", "chr0", 5, None), ("G2", "chr0", None, 90_000)], "genome string, chr string, start long, end long")
-    return Q.regions(bed, t.genes)
+    """Regions of all chromosomes, some of which are open at one end or both: these are filled in. Those on no chromosome of the run are refused (see the tests)."""
+    c = F.regexp_extract("chr", "[0-9]+", 0).cast("int")
+    bed = t.genes.groupBy("genome", "chr").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    return Q.regions(bed.select("genome", "chr", F.when(c % 2 == 0, F.col("s")).alias("start"), F.when(c % 3 == 0, F.col("e")).alias("end")), t.genes)
 
 
 @query("SELECT ofID1, ofID2, bitScore FROM hits WHERE genome1 = 'G0' AND genome2 = 'G2'", "hits")

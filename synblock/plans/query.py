@@ -21,14 +21,23 @@ def regions(bed: DataFrame, genes: DataFrame) -> DataFrame:
     return b.withColumn("region", F.concat(F.col("genome"), F.lit(", "), F.col("chr"), F.lit(": "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
 
 
+def _clipped(bed: DataFrame, genes: DataFrame) -> DataFrame:
+    """``genome, chr, region, _s, _e``: regions clipped to the genes' extent, so that none has more bins than its chromosome."""
+    extent = genes.groupBy("genome", "chr").agg(F.max("end").alias("_last"))
+    return regions(bed, genes).join(extent, ["genome", "chr"]).select("genome", "chr", "region", F.col("start").alias("_s"), F.least("end", "_last").alias("_e"))
+
+
+def _overlapping(genes: DataFrame, bed: DataFrame) -> DataFrame:
+    """Genes with each region that they overlap."""
+    return intervals.overlap_join(genes, _clipped(bed, genes), ["genome", "chr"], "start", "end", "_s", "_e", 1_000_000).drop("_s", "_e")
+
+
 def region_hits(hits: DataFrame, bed: DataFrame, genes: DataFrame, synteny_only: bool = True) -> DataFrame:
     """Hits whose gene on the region's genome overlaps the region, seen from that genome, with the region's label."""
     h = hits.where("isSyntenic") if synteny_only else hits
     every = H.swapped(h.where("genome1 != genome2")).unionByName(h)
     every = every.dropDuplicates(["ofID1", "ofID2"])
-    # ends are clipped to the genes' extent, so that a region has no more bins than its chromosome
-    extent = genes.groupBy("genome", "chr").agg(F.max("end").alias("_last"))
-    r = regions(bed, genes).join(extent, ["genome", "chr"]).select(F.col("genome").alias("genome1"), F.col("chr").alias("chr1"), "region", F.col("start").alias("_s"), F.least("end", "_last").alias("_e"))
+    r = _clipped(bed, genes).withColumnsRenamed({"genome": "genome1", "chr": "chr1"})
     return intervals.overlap_join(every, r, ["genome1", "chr1"], "start1", "end1", "_s", "_e", 1_000_000).drop("_s", "_e")
 
 
@@ -44,6 +53,7 @@ def region_pangenes(pan: DataFrame, bed: DataFrame, genes: DataFrame, genomes: l
 
 
 def reference_pangenes(pan: DataFrame, genes: DataFrame, genomes: list[str], show_unplaced: bool = False, **how) -> DataFrame:
+    """All pan-genes of a reference, wide, with name and position of each one's representative."""
     table = pan if show_unplaced else pan.where("interpChr is not null")
     rep = genes.select(F.col("ofID").alias("pgRepID"), F.col("id").alias("repGene"), F.col("genome").alias("repGenome"), F.col("chr").alias("repChr"), F.col("start").alias("repStart"), F.col("end").alias("repEnd"))
     return pangenes.wide(table, genomes, **how).join(rep, "pgRepID", "left")
@@ -61,9 +71,7 @@ def copy_numbers(genes: DataFrame, kinds: dict[str, Column | str], only_represen
     long = g.select("genome", kind).select("genome", "s.ogType", "s.og").where("og is not null")
     by = ["ogType"]
     if bed is not None:
-        r = regions(bed, g).select("region", F.col("genome").alias("_g"), F.col("chr").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-        there = (F.col("genome") == F.col("_g")) & (F.col("chr") == F.col("_c")) & (F.col("end") >= F.col("_s")) & (F.col("start") <= F.col("_e"))
-        found = g.join(F.broadcast(r), there).select("region", kind).select("region", "s.ogType", "s.og").where("og is not null").distinct()  # regions are the question's own
+        found = _overlapping(g, bed).select("region", kind).select("region", "s.ogType", "s.og").where("og is not null").distinct()
         long, by = long.join(found, ["ogType", "og"]), ["region", "ogType"]
     counts = long.groupBy(*by, "og", "genome").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy(*by, "og").agg(F.map_from_entries(F.collect_list(F.struct("genome", "n"))).alias("_n"))
