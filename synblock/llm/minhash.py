@@ -5,7 +5,7 @@ bands of ``ROWS`` of them give the keys under which candidates meet, and of all
 kept, packed as bit planes: the agreeing minima of two sets are ``HASHES`` less the bits set in ``(a0^b0)|(a1^b1)|...``,
 and ``(agreeing/HASHES - 2**-BITS) / (1 - 2**-BITS)`` estimates their similarity, corrected for low bits that agree by chance
 (Li and Koenig, "b-Bit Minwise Hashing", 2010). A candidate is left out only if its estimate is ``MARGIN`` standard errors
-below the threshold (3e-7 of the pairs at the threshold); all others are confirmed on their full sets. A pair at the threshold itself meets in no band with
+below the threshold; all others are confirmed on their full sets. A pair at the threshold itself meets in no band with
 probability (1 - 0.8**5)**40 = 1.2e-7, and less the more alike it is.
 
 Equal sets are one node. A key's rows aren't paired with each other: first each is confirmed against the most alike
@@ -36,11 +36,11 @@ from synblock.operators.graph import connected_components
 
 SHINGLE = 2
 PERCENT = 80
-HASHES = 1024
+HASHES = 512
 BITS = 4
 BANDS = 40
 ROWS = 5
-MARGIN = 5
+MARGIN = 7
 #: Candidates of a row and cell in each step of the comparison; None are all.
 MOST = (4, None)
 SEED = 42
