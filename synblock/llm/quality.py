@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ KEEP = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 FREQUENT = 0.005
+#: So many words, or words of a thousand languages, are held by a task at most while they are counted.
+HELD, LANGUAGES = 1 << 16, 1_000
 PLAIN = bytes(set(range(256)) - set(SYMBOLS))
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _IS_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
@@ -46,31 +48,60 @@ def _pruned(df: DataFrame, by: list[str], most: int) -> DataFrame:
     return out.where("n > 0").drop("_r")
 
 
-def candidates(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT, fan: int = 64) -> DataFrame:
+def summary(n: Counter, most: int) -> Counter:
+    """The ``most`` commonest words of a count at most, each less the count of the next one in order, which is what a word that isn't among them may have had."""
+    if len(n) <= most:
+        return n
+    less = int(np.partition(np.fromiter(n.values(), np.int64, len(n)), len(n) - 1 - most)[len(n) - 1 - most])
+    return Counter({w: k - less for w, k in n.items() if k > less})
+
+
+def summaries(texts: Iterable[tuple[str, bytes | None]], most: int, held: int = HELD) -> Iterator[dict[str, Counter]]:
+    """By key, summaries of the words of some texts, given as ``(key, text)``. ``held`` words or so are held besides those of a text: where there are more, all counts
+    are pruned, to more than ``most`` words while that is enough; if the keys alone are too many, their summaries are handed on."""
+    found: dict[str, Counter] = {}
+    size = 0
+    for key, text in texts:
+        own = found.setdefault(key, Counter())
+        size -= len(own)
+        own.update((text or b"").lower().split())
+        size += len(own)
+        if size <= held and len(found) <= held:
+            continue
+        for few in (max(most, held // (4 * len(found))), most):
+            found = {k: summary(n, few) for k, n in found.items()}
+            size = sum(map(len, found.values()))
+            if size <= held // 2:
+                break
+        if size > held // 2 or len(found) > held // 2:
+            yield {k: summary(n, most) for k, n in found.items()}
+            found, size = {}, 0
+    yield {k: summary(n, most) for k, n in found.items()}
+
+
+def candidates(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", least: float = FREQUENT, fan: int = 64, held: int = HELD) -> DataFrame:
     """``(key, words)``: of each language at most ``1 / least`` words, among them all that are ``least`` of its words or more.
 
-    Counts of a partition are pruned to so many and merged ``fan`` by ``fan`` (Agarwal et al., "Mergeable Summaries", 2012): pruning to k words takes at most
-    N / (k + 1) from any count, however often it is done, so no word that frequent is lost. A group never has more than ``fan / least`` rows.
+    Counts of a partition are pruned to so many and merged ``fan`` by ``fan`` (Agarwal et al., "Mergeable Summaries", 2012): pruning to k words or more takes at most
+    N / (k + 1) from any count, however often it is done, so no word that frequent is lost. A task holds ``held`` words and those of one text, as it prunes whenever
+    there are more; if its languages alone are too many for that, it hands their summaries on and begins anew. A group has ``fan / least`` rows, and as many more for each time that its tasks did so.
     """
     most = math.floor(1 / least + 1e-9)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
-        for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found.setdefault(key, Counter()).update((t.as_py() or b"").lower().split())
         part = TaskContext.get().partitionId()
-        for key, n in found.items():
-            top = n.most_common(most + 1)
-            less = top[most][1] if len(top) > most else 0
-            rows = [(w, k - less) for w, k in top if k > less]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int64()), pa.array([w for w, _ in rows], pa.binary()), pa.array([k for _, k in rows], pa.int64())], ["key", "part", "word", "n"])
+        texts = ((key, t.as_py()) for b in batches for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for found in summaries(texts, most, held):
+            out = [(key, part, w, k) for key, n in found.items() for w, k in n.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.int64()))], ["key", "part", "word", "n"])
 
     rows = docs.select(_key(docs, lang_col).alias("key"), F.col(text_col).cast("binary").alias("_t"))
     merged = scratch.materialize(rows.mapInArrow(of, "key string, part long, word binary, n long"), "summaries")
-    while (merged.agg(F.max("part")).first()[0] or 0) > 0:
+    last = False
+    while not last:  # once at least, as a task may have several summaries
         sums = merged.groupBy("key", F.expr(f"part div {fan}").alias("part"), "word").agg(F.sum("n").alias("n"))
         merged = scratch.materialize(_pruned(sums, ["key", "part"], most), "summaries")
+        last = not merged.agg(F.max("part")).first()[0]
     return scratch.materialize(merged.groupBy("key").agg(F.collect_list("word").alias("words")), "candidates")
 
 
@@ -81,19 +112,25 @@ def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str | None
     and a text that is full of them would otherwise pass for usual. Null is a language of its own; without a column ``lang_col`` all documents are of one.
     """
 
+    def rows_of(total: Counter, found: dict[str, Counter]) -> pa.RecordBatch:
+        out = [(key, None, n) for key, n in total.items()] + [(key, w, n) for key, own in found.items() for w, n in own.items() if n]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         found: dict[str, Counter] = {}
         for b in batches:
             for key, t, words in zip(b.column("__quality_key").to_pylist(), b.column("_t"), b.column("__quality_words"), strict=True):
                 if key not in found:
+                    if len(found) >= LANGUAGES:
+                        yield rows_of(total, found)
+                        total, found = Counter(), {}
                     found[key] = Counter(dict.fromkeys(words.as_py() or (), 0))
                 own, text = found[key], (t.as_py() or b"").lower().split()
                 total[key] += len(text)
                 for w in filter(own.__contains__, text):
                     own[w] += 1
-        out = [(key, None, n) for key, n in total.items()] + [(key, w, n) for key, own in found.items() for w, n in own.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
+        yield rows_of(total, found)
 
     rows = with_words(docs, candidates(docs, text_col, lang_col, least), lang_col)
     counted = rows.select("__quality_key", F.col(text_col).cast("binary").alias("_t"), "__quality_words").mapInArrow(of, "key string, word binary, n long")
@@ -221,7 +258,7 @@ class _Known:
         texts = texts if pa.types.is_binary(texts.type) else texts.cast(pa.binary())
         for t, key, words, share in zip(texts, b.column("__quality_key").to_pylist(), b.column("__quality_words"), b.column("__quality_share").to_pylist(), strict=True):
             if key not in self.held:
-                if len(self.held) >= 1_000:
+                if len(self.held) >= LANGUAGES:
                     self.held.clear()
                 self.held[key] = (frozenset(words.as_py() or ()), share or 0.0)
             rows.append(features(t.as_py(), self.held[key]))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -192,6 +193,30 @@ def test_candidates_are_few_whatever_the_languages_and_partitions(spark):
         assert got.get(f"={lang}", set()) == {w for w, k in n.items() if k >= 0.05 * n.total()}
 
 
+def test_summaries_hold_few_words_whatever_a_partition_has():
+    texts = [(f"={i % 3}", b"The often " * 4 + b" ".join(b"word%d" % (i * 40 + j) for j in range(40))) for i in range(4000)]
+    tracemalloc.start()
+    out = list(quality.summaries(texts, most=20, held=2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6 and len(out) == 1
+    for own in out[0].values():  # at most a 21st of all 48 words a text is taken from a count
+        assert len(own) <= 20 and {b"the", b"often"} <= set(own) and min(own[b"the"], own[b"often"]) > 1333 * (4 - 48 / 21)
+    many = list(quality.summaries(((f"={i}", b"a a b") for i in range(5000)), most=20, held=1000))
+    assert len(many) > 1 and max(sum(map(len, x.values())) for x in many) <= 1002
+    total = Counter()
+    for x in many:
+        total.update({(k, w): n for k, own in x.items() for w, n in own.items()})
+    assert total == Counter({(f"={i}", w): n for i in range(5000) for w, n in ((b"a", 2), (b"b", 1))})
+
+
+def test_a_task_with_several_summaries_gives_every_word_once(spark):
+    rows = [(i, "x x x y", f"l{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    few = quality.candidates(docs, least=0.2, held=100).collect()
+    assert len(few) == 300 and all(sorted(map(bytes, r["words"])) == [b"x", b"y"] for r in few)
+
+
 def slow_em(pattern, count, rounds=60):
     """Dawid and Skene with loops."""
     v, n = quality.votes(pattern), len(quality.RULES)
