@@ -8,6 +8,11 @@ and ``(agreeing/HASHES - 2**-BITS) / (1 - 2**-BITS)`` estimates their similarity
 below the threshold; all others are confirmed on their full sets. A pair at the threshold itself meets in no band with
 probability (1 - 0.8**5)**40 = 1.2e-7, and less the more alike it is.
 
+Besides, every set has an odd sketch (Mitzenmacher, Pagh and Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014): the parities
+of its hashes by their low bits, ``PARITIES`` of them. Where two sketches differ there is a hash that only one set has, so the number of differing
+parities is no more than that of such hashes. A candidate for which it is more than a pair that is alike enough can have is left out, which loses no link:
+of sets of some hundred shingles few are left that aren't links, where the minima alone would leave all above 0.69.
+
 Equal sets are one node. A key's rows aren't paired with each other: first each is confirmed against the most alike
 of the keys' first rows, which joins groups of copies in one step. What is then still in another component than its key's first row
 is compared with all rows of the key, in blocks against blocks, and only across components, in steps: first the most alike of each row are confirmed, which
@@ -43,11 +48,12 @@ ROWS = 5
 MARGIN = 7
 #: Candidates of a row and cell in each step of the comparison; None are all.
 MOST = (4, None)
+PARITIES = 2_048
 SEED = 42
 BLOCK = 512
 #: So many hashes or documents are handled at a time.
 _FLUSH, _DOCS = 1 << 18, 256
-_TABLE = "row long, id long, n long, digest binary, bands array<long>, sig array<long>, hashes array<long>"
+_TABLE = "row long, id long, n long, digest binary, bands array<long>, sig array<long>, odd array<long>, hashes array<long>"
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -88,6 +94,17 @@ def bit_planes(low: np.ndarray) -> np.ndarray:
     return np.concatenate(planes, axis=1).view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a set's hashes by their low bits, as 64-bit numbers."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITIES - 1)).view(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
+def near_enough(n_a: np.ndarray, n_b: np.ndarray, odd_a: np.ndarray, odd_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether pairs of sets of these sizes and odd sketches can be alike enough; no pair that is fails. A pair has at most ``(100 - percent) / (100 + percent)`` of its hashes in one set only."""
+    differ = np.bitwise_count((odd_a ^ odd_b).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute value's
+    return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
+
+
 def least_agreeing(percent: int = PERCENT) -> int:
     """So many minima of a pair at the threshold agree, less ``MARGIN`` standard errors."""
     chance = 2.0**-BITS
@@ -109,12 +126,13 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``(row, id, n, digest, bands, sig, hashes)`` for every row: a number of its own, its set's size and digest, keys and signature, its set."""
+    """``(row, id, n, digest, bands, sig, odd, hashes)`` for every row: a number of its own, its set's size and digest, keys, signature and odd sketch, its set."""
     by = multipliers()
 
     def batch(rows: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
         some = np.array([len(x) > 0 for x in found], bool)
         low = np.array([minima(x, by) for x in found if len(x)], np.uint64).reshape(-1, HASHES)
+        odd = np.array([odd_sketch(x) for x in found if len(x)], np.int64).reshape(-1, PARITIES // 64)
 
         def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -123,8 +141,8 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         sizes = np.array([len(x) for x in found], np.int64)
         digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
         columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sizes), pa.array(digests, pa.binary())]
-        columns += [lists(band_keys(low), some * BANDS), lists(bit_planes(low), some * (BITS * HASHES // 64)), lists(np.concatenate(found).view(np.int64), sizes)]
-        return pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "digest", "bands", "sig", "hashes"])
+        columns += [lists(band_keys(low), some * BANDS), lists(bit_planes(low), some * (BITS * HASHES // 64)), lists(odd, some * (PARITIES // 64)), lists(np.concatenate(found).view(np.int64), sizes)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "digest", "bands", "sig", "odd", "hashes"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,13 +179,13 @@ def _enough(n_a: Column, n_b: Column, percent: int) -> Column:
 def _compared(cells: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Candidates ``(src, dst)`` of every cell: the ``most`` most alike of each left row, or all.
 
-    Rows of a cell are on the left (``side`` 0) or right. A pair counts that is in two components, looks alike enough, and has no band in common before the
+    Rows of a cell are on the left (``side`` 0) or right. A pair counts that is in two components, looks alike enough by both sketches, and has no band in common before the
     cell's own, so that it is a candidate once. Rows on the right that aren't of their key's first component are on the left too and count from there.
     """
     least, words = least_agreeing(percent), HASHES // 64
 
     def cell(cols: list[np.ndarray], s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-        key, side, node, n, comp, home, sig, bands = (c[s:e] for c in (cols[0], *cols[3:]))
+        key, side, node, n, comp, home, sig, bands, odd = (c[s:e] for c in (cols[0], *cols[3:]))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return node[:0], node[:0]
@@ -184,11 +202,12 @@ def _compared(cells: DataFrame, percent: int, most: int | None) -> DataFrame:
             score -= np.bitwise_count(differ)
         x, y = np.nonzero(good & (score >= least))
         own = int(np.argmax(bands[a[0]] == np.int64(key[0]).astype(np.int32)))
-        first = np.zeros(len(x), bool)
+        fit = np.zeros(len(x), bool)
         for at in range(0, len(x), 1 << 16):
             part = slice(at, at + (1 << 16))
-            first[part] = (bands[a[x[part]]] == bands[b[y[part]]]).argmax(axis=1) == own
-        x, y = x[first], y[first]
+            p, q = a[x[part]], b[y[part]]
+            fit[part] = near_enough(n[p], n[q], odd[p], odd[q], percent) & ((bands[p] == bands[q]).argmax(axis=1) == own)
+        x, y = x[fit], y[fit]
         if most is not None and len(x):
             order = np.lexsort((-score[x, y], x))
             x, y = x[order], y[order]
@@ -220,7 +239,7 @@ def _compared(cells: DataFrame, percent: int, most: int | None) -> DataFrame:
             yield flush(kept, [0], [len(kept[0])])
 
     by = ["key", "x", "y"]
-    rows = cells.select(*by, "side", "node", "n", "comp", "home", "sig", "bands")
+    rows = cells.select(*by, "side", "node", "n", "comp", "home", "sig", "bands", "odd")
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(of, "src long, dst long")
 
 
@@ -233,7 +252,7 @@ def links(table: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int
     members = scratch.materialize(banded.join(crowded, "key").select("key", "node", "hub"), "members")
     met = members.select(F.col("node").alias("row")).distinct()
     short = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))  # enough to tell bands apart
-    sigs = marked(table.select("row", "n", "sig", short.alias("bands")), met, row="row").withColumnRenamed("row", "node")
+    sigs = marked(table.select("row", "n", "sig", short.alias("bands"), "odd"), met, row="row").withColumnRenamed("row", "node")
     sigs = scratch.materialize(sigs, "signatures")
 
     # each node and the most alike of the first rows that it meets
@@ -271,13 +290,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links of ``percent`` or more; ``kept`` says whether it is the row's own.
     """
-    table = scratch.materialize(sets(docs, id_col, text_col, width), "sets")
-    classes = table.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("least"))
-    classes = scratch.materialize(classes, "classes")
-    found = connected_components(links(table, classes.select(F.col("node").alias("row")), percent, block))
-    grouped = scratch.materialize(classes.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("group")), "grouped")
-    lowest = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = scratch.materialize(grouped.join(lowest, "group").select("digest", "component_id"), "named")
+    with scratch.shuffles_removed(docs.sparkSession):
+        table = scratch.materialize(sets(docs, id_col, text_col, width), "sets")
+        classes = table.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("least"))
+        classes = scratch.materialize(classes, "classes")
+        found = connected_components(links(table, classes.select(F.col("node").alias("row")), percent, block))
+        grouped = scratch.materialize(classes.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("group")), "grouped")
+        lowest = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+        named = scratch.materialize(grouped.join(lowest, "group").select("digest", "component_id"), "named")
     with_set = table.where("n > 0").select("id", "n", "digest").join(named, "digest").select("id", "n", "component_id")
     out = with_set.unionByName(table.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -87,6 +87,37 @@ def test_signatures_estimate_similarity(spark):
     assert max(wrong) < 0.09
 
 
+def test_odd_sketches_lose_no_link():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30, 300, 3_000):
+        for share in (0.5, 0.75, 0.79, 0.8, 0.81, 1.0):
+            for m in (n, round(0.9 * n) or 1):
+                both = min(m, round((n + m) * share / (1 + share)))
+                x, y = rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, 1 << 64, m, dtype=np.uint64)
+                y[:both] = x[:both]
+                a, b = minhash.odd_sketch(np.sort(x)), minhash.odd_sketch(np.sort(y))
+                assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= n + m - 2 * both
+                kept = minhash.near_enough(np.array([n]), np.array([m]), a[None, :], b[None, :])[0]
+                linked = 100 * both >= 80 * (n + m - both)
+                assert kept or not linked
+                assert not kept or linked or n not in (30, 300) or share > 0.75
+
+
+def test_few_pairs_below_the_threshold_are_candidates(spark, monkeypatch):
+    rng, base = random.Random(17), [f"w{i}" for i in range(151)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in range(i % 7, 151, 25):
+            words[min(150, at + rng.randrange(3))] = f"own{i}x{at}"
+        rows.append((i, " ".join(words), "en", "x", 1, 2))
+    counts, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a, **b: (counts.append(pairs.count()), confirmed(pairs, *a, **b))[1])
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(key, out)) == sorted(map(key, slow_groups(rows)))
+    assert sum(counts) < 300  # of 1,770 pairs, most of which are alike by more than 0.69
+
+
 def slow_clusters(rows, k=40, rounds=5):
     kept = [(i, [int(np.floor(float(v) * 256)) for v in x]) for i, x in rows if x is not None and len(x) == 64 and all(v is not None and np.isfinite(v) for v in x)]
     first = sorted(kept, key=lambda r: (hashlib.sha256(f"2:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))[:k]
