@@ -5,8 +5,8 @@ in which every portion of the corpus adds up its expected counts, which are then
 All training tokens take part in each round. Scoring runs the scaled forward recursion over the
 whole token sequence, so a score is the exact log probability of the text under the model.
 
-Texts of any length are one sequence each. A long one is worked on in pieces of ``PIECE`` tokens: the transfer
-matrix of each piece (what the recursion does to any state vector) gives the exact vectors at
+Texts of any length are one sequence each. A long one is worked on in pieces of ``PIECE`` tokens: the vectors behind its first
+piece and before its last, and the transfer matrix of each piece between (what the recursion does to any state vector) give the exact vectors at
 the pieces' ends, forward and backward, after which pieces are independent of each other and memory is bounded.
 
 The states emit every training word, each with expected counts of its own, however many there are. Texts are encoded
@@ -29,7 +29,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +88,38 @@ def planes(x: np.ndarray) -> bytes:
 
 
 def from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1)[::-1].T).view("<u4").ravel()
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Rising integers by their differences, byte by byte."""
+    return planes(np.diff(x, prepend=0))
+
+
+def from_rising(b: bytes) -> np.ndarray:
+    return from_planes(b).cumsum(dtype=np.int64)
 
 
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts one after the other, and how many each text has."""
-    found = [words_of(t.as_py()) for t in texts]
-    return pa.array(chain.from_iterable(found), pa.large_binary(), size=sum(map(len, found))), np.array([len(x) for x in found], np.int64)
+    """The words of all texts one after the other, and how many each text has; those of ``words_of``, split by Arrow, which looks at ASCII alone here."""
+    plain = pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_binary()), b"").view(pa.large_string()))
+    found = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    n = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)  # split into one empty word
+    flat = found.flatten().view(pa.large_binary())
+    if not empty.any():
+        return flat, n
+    return flat.filter(pa.array(~np.repeat(empty & (n > 0), n))), np.where(empty, 0, n)
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words as Python objects."""
+    return joined(words).split(b"\n") if len(words) else []
+
+
+def joined(words: pa.Array) -> bytes:
+    """Words in lines."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(b"\n", words.type))[0].as_py()
 
 
 def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, tokens: int = PORTION) -> DataFrame:
@@ -113,15 +138,16 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         portion = (TaskContext.get().partitionId() << 24) if TaskContext.get() else 0
 
-        def flush(ids: list, held: list, flat: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list, held: list, flat: pa.ChunkedArray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal portion
-            coded = flat.dictionary_encode()
-            if len(coded.dictionary) > dictionary and len(ids) > 1:
+            coded = flat.dictionary_encode().chunks  # one dictionary for all, and no chunk without words
+            known = coded[0].dictionary if coded else pa.array([], flat.type)
+            if len(known) > dictionary and len(ids) > 1:
                 half, at = len(ids) // 2, int(sizes[: len(ids) // 2].sum())
-                yield from flush(ids[:half], held[:half], flat[:at], sizes[:half])
-                yield from flush(ids[half:], held[half:], flat[at:], sizes[half:])
+                yield from flush(ids[:half], held[:half], flat.slice(0, at), sizes[:half])
+                yield from flush(ids[half:], held[half:], flat.slice(at), sizes[half:])
                 return
-            words = [*coded.dictionary.to_pylist(), END]
+            words = [*listed(known), END]
             at = _hashes(words).view(np.int64) % buckets
             order = np.argsort(at, kind="stable")
             rank = np.empty(len(words), np.int32)
@@ -130,7 +156,7 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
             symbols = np.full(int(ends[-1]), rank[-1], np.int32)
             inner = np.ones(len(symbols), bool)
             inner[ends - 1] = False
-            symbols[inner] = rank[coded.indices.to_numpy()]
+            symbols[inner] = rank[np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in coded)])]
             train = np.repeat(~np.array(held, bool), sizes + 1)
             seen, some = np.bincount(symbols[train], minlength=len(words)), []
             for i, h, x, y in zip(ids, held, (ends - sizes - 1).tolist(), ends.tolist(), strict=True):
@@ -139,8 +165,9 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                     yield batch(some)
                     some = []
             found, starts = np.unique(at[order], return_index=True)
+            lines = pa.concat_arrays([known, pa.array([END], flat.type)]).take(pa.array(order))
             for k, x, y in zip(found.tolist(), starts.tolist(), np.append(starts, len(words))[1:].tolist(), strict=True):
-                some.append((portion, None, None, None, None, k, b"\n".join(words[j] for j in order[x:y].tolist()), seen[x:y].astype("<i4").tobytes()))
+                some.append((portion, None, None, None, None, k, joined(lines[x:y]), seen[x:y].astype("<i4").tobytes()))
             yield batch(some)
             portion += 1
 
@@ -154,10 +181,10 @@ def encoded(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str
                 flats.append(flat)
                 sizes.append(n)
                 if sum(map(len, flats)) >= tokens:
-                    yield from flush(ids, held, pa.concat_arrays(flats), np.concatenate(sizes))
+                    yield from flush(ids, held, pa.chunked_array(flats), np.concatenate(sizes))
                     ids, held, flats, sizes = [], [], [], []
         if ids:
-            yield from flush(ids, held, pa.concat_arrays(flats), np.concatenate(sizes))
+            yield from flush(ids, held, pa.chunked_array(flats), np.concatenate(sizes))
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("_h"), F.col(text_col).cast("binary").alias("_t"))
     return rows.mapInArrow(of, schema)
@@ -320,21 +347,35 @@ def active(lengths: np.ndarray) -> list[int]:
 
 
 def transfers(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
-    """The matrix of each piece, up to a factor: row i is the vector behind it after state i before it (at a text's start: after none)."""
-    k, starts, steps, kind = len(model.start), p.starts[some], active(p.lengths[some]), model.emit.dtype
-    out, moved, whole, move = np.empty((len(some), k, k), kind), np.empty((len(some) * k, k), kind), np.ones(k * k, kind), model.move.astype(kind)
+    """What is behind each piece, up to factors: of pieces that begin texts, all or none, the one vector; of others a matrix whose row i is the vector after state i before it."""
+    starts, steps, kind = p.starts[some], active(p.lengths[some]), model.emit.dtype
+    k, move, begins = len(model.start), model.move.astype(kind), bool(p.first[some[0]])
+    rows = 1 if begins else k
+    out, moved, whole = np.empty((len(some), rows, k), kind), np.empty((len(some) * rows, k), kind), np.ones(rows * k, kind)
     every = 8 if kind == np.float64 else 2  # before numbers get too small
     for t, n in enumerate(steps):
-        e = model.emit[p.flat[starts[:n] + t]][:, None, :]
-        before = np.where(p.first[some][:, None, None], model.start.astype(kind), move) if t == 0 else np.matmul(out[:n].reshape(-1, k), move, out=moved[: n * k]).reshape(n, k, k)
+        e = model.emit.take(p.flat[starts[:n] + t], axis=0, mode="clip")[:, None, :]
+        before = (model.start.astype(kind) if begins else move) if t == 0 else np.matmul(out[:n].reshape(-1, k), move, out=moved[: n * rows]).reshape(n, rows, k)
         np.multiply(before, e, out=out[:n])
         if t % every == every - 1 or t + 1 == len(steps) or steps[t + 1] < n:
             out[:n] /= (out[:n].reshape(n, -1) @ whole)[:, None, None]
     return out
 
 
+def backwards(model: Model, p: Pieces, some: np.ndarray) -> np.ndarray:
+    """The backward vector before each piece that ends a text, up to a factor."""
+    starts, steps, kind = p.starts[some], active(p.lengths[some]), model.emit.dtype
+    out, back, one = np.ones((len(some), len(model.start)), kind), model.move.T.astype(kind), np.ones(len(model.start), kind)
+    for t in range(len(steps) - 1, -1, -1):
+        n = steps[t]
+        out[:n] = (out[:n] * model.emit.take(p.flat[starts[:n] + t], axis=0, mode="clip")) @ back
+        if t % 2 == 0:
+            out[:n] /= (out[:n] @ one)[:, None]
+    return out
+
+
 def pieces(model: Model, texts: list[np.ndarray], size: int = PIECE) -> Pieces:
-    """Texts as pieces of at most ``size`` tokens with their end vectors; a text of one piece needs no transfer matrix."""
+    """Texts as pieces of at most ``size`` tokens with their end vectors; only pieces with others before and behind need a transfer matrix."""
     k = len(model.start)
     lengths = np.array([len(x) for x in texts], np.int64)
     many = -(-lengths // size)
@@ -342,23 +383,25 @@ def pieces(model: Model, texts: list[np.ndarray], size: int = PIECE) -> Pieces:
     rank = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     starts = (np.cumsum(lengths) - lengths)[owner] + rank * size
     p = Pieces(np.concatenate(texts), starts, np.minimum(size, lengths[owner] - rank * size), rank == 0, owner, np.zeros((len(owner), k)), np.ones((len(owner), k)))
-    cut = np.flatnonzero(many[owner] > 1)
-    if len(cut):
-        part = Pieces(p.flat, p.starts[cut], p.lengths[cut], p.first[cut], p.owner[cut], p.entry[cut], p.after[cut])
-        matrix = np.empty((len(cut), k, k))
+    first, last = rank == 0, rank == many[owner] - 1
+    found: dict[int, np.ndarray] = {}
+    for which, what in ((first & ~last, transfers), (~first & ~last, transfers), (~first & last, backwards)):
+        at = np.flatnonzero(which)
+        part = Pieces(p.flat, p.starts[at], p.lengths[at], p.first[at], p.owner[at], p.entry[at], p.after[at])
         for some in part.batches():
-            matrix[some] = transfers(model, part, some)
-        v = None
-        for i, m in zip(cut.tolist(), matrix, strict=True):
-            if p.first[i]:
-                v = m[0]
-            else:
-                p.entry[i] = v / v.sum()
-                v = p.entry[i] @ m
-        for i, m in zip(cut[::-1].tolist(), matrix[::-1], strict=True):
-            if not p.first[i]:
-                p.after[i - 1] = m @ p.after[i]
-                p.after[i - 1] /= p.after[i - 1].max()
+            found.update(zip(at[some].tolist(), what(model, part, some).astype(float), strict=True))
+    cut = np.flatnonzero(many[owner] > 1).tolist()
+    v = None
+    for i in cut:
+        if first[i]:
+            v = found[i][0]
+        else:
+            p.entry[i] = v / v.sum()
+            v = None if last[i] else p.entry[i] @ found[i]
+    for i in reversed(cut):
+        if not first[i]:
+            p.after[i - 1] = found[i] if last[i] else found[i] @ p.after[i]
+            p.after[i - 1] /= p.after[i - 1].max()
     return p
 
 
@@ -368,8 +411,8 @@ def expected(model: Model, p: Pieces, some: np.ndarray, counts: np.ndarray, move
     entry, after, move, one = p.entry[some].astype(kind), p.after[some].astype(kind), model.move.astype(kind), np.ones(len(model.start), kind)
     steps = active(p.lengths[some])
     ends = np.cumsum(steps).tolist()
-    seen = p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])]  # step by step, as all arrays below
-    emits = model.emit[seen]
+    seen = p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])].astype(np.intp)  # step by step, as all arrays below
+    emits = model.emit.take(seen, axis=0, mode="clip")  # faster than by an index, and none is beyond the table
     alphas, scales, a = np.empty_like(emits), np.empty(len(seen), kind), None
     for n, end in zip(steps, ends, strict=True):
         now = alphas[end - n : end]
@@ -409,7 +452,7 @@ def log10_likelihoods(model: Model, texts: list[np.ndarray], size: int = 4 * PIE
     p, one = pieces(model, texts, size), np.ones(len(model.start))
     for some in p.batches():
         starts, steps = p.starts[some], active(p.lengths[some])
-        alphas = model.emit[p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])]]  # step by step
+        alphas = model.emit.take(p.flat[np.concatenate([starts[:n] + t for t, n in enumerate(steps)])], axis=0, mode="clip")  # step by step
         scales, a, end = np.empty(len(alphas)), None, 0
         for n in steps:
             now, end = alphas[end : end + n], end + n
@@ -466,19 +509,19 @@ def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
 def placed(portions: DataFrame, known: DataFrame, lex: Lexicon, states: int = STATES) -> DataFrame:
     """``(portion, bucket, code, at, c, n)``, a row per portion and bucket. Holds one bucket's words at a time.
 
-    ``code`` has the symbol of each word of the portion's list, -1 for a word that has none; of those that have none ``at``
-    has the numbers in the bucket, ``c`` the counts and ``n`` the first weights.
+    ``code`` has the symbol of each word of the portion's list, of one that has none -1 less its rank among those, by number in the bucket;
+    in that order ``at`` has the numbers, ``c`` the counts and ``n`` the first weights.
     """
     sent = portions.sparkSession.sparkContext.broadcast(lex.words)
     unseen, end = lex.symbols, len(lex.mass) - 1
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = {w: i for i, w in enumerate(sent.value)}
-        now, none = None, ({}, np.zeros(0, np.int64), np.zeros(0, "<i4"), np.zeros((0, states)))
-        ids, counts, codes, first = none
+        now, empty = None, ({}, np.zeros(0, np.int64), np.zeros(0, "<i4"), np.zeros((0, states)))
+        ids, counts, codes, first = empty
         for bucket, part, portion, words, c in _rows(batches, "bucket", "part", "portion", "words", "c"):
             if bucket != now:
-                now, (ids, counts, codes, first) = bucket, none
+                now, (ids, counts, codes, first) = bucket, empty
             mine = words.split(b"\n")
             if part == 0:
                 ids, counts = {w: i for i, w in enumerate(mine)}, np.frombuffer(c, "<i8")
@@ -489,8 +532,10 @@ def placed(portions: DataFrame, known: DataFrame, lex: Lexicon, states: int = ST
             code = np.append(codes, -1).astype("<i4")[at]
             for i in np.flatnonzero(at < 0).tolist():
                 code[i] = end if mine[i] == END else unseen + class_of(mine[i])
-            at = at[code < 0]
-            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (code.tobytes(), at.tobytes(), counts[at].astype("<i8").tobytes(), packed(first[at])))], ["portion", "bucket", "code", "at", "c", "n"])
+            none = np.flatnonzero(code < 0)
+            none = none[np.argsort(at[none])]
+            at, code[none] = at[none], -1 - np.arange(len(none))
+            yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (code.tobytes(), rising(at), counts[at].astype("<i8").tobytes(), packed(first[at])))], ["portion", "bucket", "code", "at", "c", "n"])
 
     rows = _by_bucket([known.select("bucket", "words", "c"), portions.where("bucket is not null").select("bucket", "portion", "words")])
     return rows.mapInArrow(number, "portion long, bucket int, code binary, at binary, c binary, n binary")
@@ -534,10 +579,11 @@ def portion_of(own: pa.Table, counts: pa.Table, now: Model, rest: Rest, symbols:
     n = dict(zip(counts.column("bucket").to_pylist(), counts.column("n").to_pylist(), strict=True))
     buckets, code, at, c = (x.to_pylist() for x in lists.columns)
     place, c = np.frombuffer(b"".join(code), "<i4").copy(), np.frombuffer(b"".join(c), "<i8")
-    place[place < 0] = symbols + np.arange(len(c))
+    none, sizes = place < 0, np.array([len(x) // 4 for x in at], np.int64)
+    place[none] = symbols - 1 - place[none] + np.repeat(np.cumsum(sizes) - sizes, sizes)
     n = np.concatenate([unpacked(n[b], states) for b in buckets] or [np.zeros((0, states))])
     emit = (n.astype(kind) + (rest.more * (c + ADD)).astype(kind)[:, None]) / rest.total.astype(kind)
-    found = [place[from_planes(x)] for x in texts.column("symbols").to_pylist()]
+    found = [place.take(from_planes(x)) for x in texts.column("symbols").to_pylist()]
     return Portion(texts, found, buckets, at, c, Model(now.start, now.move, np.concatenate([now.emit.astype(kind), emit])))
 
 
@@ -602,12 +648,12 @@ def fit(portions: DataFrame, spread: DataFrame, known: DataFrame, lex: Lexicon,
                     c, k = np.frombuffer(mine, "<i8"), np.frombuffer(kinds, "<u2")
                     total = np.zeros((len(c), states))
                 elif part == 1 and at is not None:
-                    total[np.frombuffer(at, "<i4")] += unpacked(n, states)  # a portion has a word once
+                    total[from_rising(at)] += unpacked(n, states)  # a portion has a word once
                 elif part == 1:
                     x = np.frombuffer(n, "<f8").reshape(-1, states) if bucket == buckets + chunks else unpacked(n, states)
                     total = x.astype(float) if total is None else total + x
                 else:
-                    yield row(bucket, portion, packed(total[np.frombuffer(at, "<i4")]) if at else b"")
+                    yield row(bucket, portion, packed(total[from_rising(at)]) if at else b"")
             if total is not None:
                 yield whole()
 
@@ -652,8 +698,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         now, rest, own = sent.value
         x = portion_of(mine, words, now, rest, m)
         c = np.concatenate([own, np.zeros(m - len(own), np.int64), x.c])
-        base = np.log10((c + ADD) / (total + ADD * (distinct + 1)))
-        found = [[int((c[s] > 0).sum()) for s in x.texts], [total] * len(x.texts), [float(base[s].sum()) for s in x.texts], log10_likelihoods(x.model, x.texts)]
+        base, some = np.log10((c + ADD) / (total + ADD * (distinct + 1))), c > 0
+        found = [[int(np.count_nonzero(some.take(s))) for s in x.texts], [total] * len(x.texts), [float(base.take(s).sum()) for s in x.texts], log10_likelihoods(x.model, x.texts)]
         return pa.table([*(x.rows.column(n) for n in names[:3]), *(pa.array(v, t) for v, t in zip(found, kinds[3:], strict=True))], names=names)
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from synblock.llm import hmm
 from test_tables import EMPTY, documents
@@ -144,3 +145,50 @@ def test_hmm_without_training_texts(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
     out = hmm.score(spark.createDataFrame([(i, f"some words {i}", "en", "s") for i in held], EMPTY), states=3).toPandas()
     assert len(out) == len(held) and (out["base_score"] == 0).all() and np.isfinite(out["score"]).all()
+
+
+def test_words_are_split_as_in_bytes():
+    texts = pa.array([b"\xff A b\x0b\x1cc\xc3\x89 ", b"", None, b" \n\t ", b"\xc2\x85x \xe3\x80\x80 Y", b"\x00 x\x00 Q\x0c\rq"], pa.binary())
+    for at, n in ((0, 6), (1, 2), (3, 3), (2, 0)):
+        flat, sizes = hmm.words_in(texts.slice(at, n))
+        want = [hmm.words_of(t.as_py()) for t in texts.slice(at, n)]
+        assert flat.to_pylist() == [w for x in want for w in x] and sizes.tolist() == [len(x) for x in want]
+        assert hmm.listed(flat) == flat.to_pylist() and hmm.joined(flat) == b"\n".join(flat.to_pylist())
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_only_middle_pieces_take_a_matrix(kind, monkeypatch):
+    rng, m, rows = np.random.default_rng(4), random_model(3, 9), []
+    texts = [rng.integers(0, 9, n) for n in (300, 5, 64, 65, 128, 129, 1_000)]
+    slow = slow_expected(m, texts)
+    m.emit = m.emit.astype(kind)
+    whole = hmm.transfers
+
+    def spied(model, p, some):
+        out = whole(model, p, some)
+        rows.append((len(out), out.shape[1]))
+        return out
+
+    monkeypatch.setattr(hmm, "transfers", spied)
+    for got, want in zip(fast_expected(m, texts, 64), slow, strict=True):
+        assert np.allclose(got, want, rtol=1e-9 if kind == np.float64 else 1e-4)
+    assert sum(n for n, k in rows if k == 3) == 3 + 1 + 14  # it was all 28 pieces of cut texts
+    assert sum(n for n, k in rows if k == 1) == 5
+
+
+def test_numbers_of_rare_words_rise_and_take_little_room(spark):
+    docs = documents(spark, 300, 3)
+    rows = hmm.encoded(docs, 2, dictionary=2_000).cache()
+    known = hmm.vocabulary(rows).cache()
+    lex = hmm.lexicon(known, 3, 20)
+    names = {r.bucket: bytes(r.words).split(b"\n") for r in known.collect()}
+    lists = {(r.portion, r.bucket): bytes(r.words).split(b"\n") for r in rows.where("bucket is not null").collect()}
+    found, some = hmm.placed(rows, known, lex, 3).collect(), 0
+    assert len(found) == len(lists) > 2
+    for r in found:
+        at, code, words = hmm.from_rising(bytes(r.at)), np.frombuffer(r.code, "<i4"), lists[r.portion, r.bucket]
+        assert (np.diff(at) > 0).all() and sorted(-1 - code[code < 0]) == list(range(len(at)))
+        assert all(names[r.bucket][at[-1 - c]] == w for c, w in zip(code.tolist(), words, strict=True) if c < 0)
+        assert len(zlib.compress(r.at, 1)) < 2 * len(at) + 40
+        some += len(at)
+    assert some > 500
