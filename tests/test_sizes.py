@@ -3,7 +3,8 @@
 import random
 
 import numpy as np
-from synblock.operators import synteny
+from synblock import scratch
+from synblock.operators import spatial, synteny
 from synblock.operators.chain import chains
 
 
@@ -36,3 +37,54 @@ def test_a_pair_larger_than_a_batch_is_whole(spark, monkeypatch):
     a = synteny.chains_of(h, 5, 5).collect()
     monkeypatch.setattr(synteny, "_ROWS", 1 << 16)
     assert sorted(a) == sorted(synteny.chains_of(h, 5, 5).collect())
+
+
+def test_synteny_keeps_one_table_and_hits_that_may_not_be_anchors(spark):
+    rng = random.Random(8)
+    names = "genome1 string, genome2 string, chr1 string, chr2 string, ofID1 string, ofID2 string, ord1 long, ord2 long, bitScore double, sameOG boolean, noAnchor boolean, isArrayRep1 boolean, isArrayRep2 boolean"
+    rows = [("A", "B", "c", "d", f"a{i}", f"b{i}", i, i, 200.0, True, i % 9 == 0, True, i % 11 != 0) for i in range(200)]
+    rows += [("A", "B", f"c{rng.randrange(50)}", f"d{rng.randrange(50)}", f"a{i}", f"b{i + 1}", i, i + 1, 90.0, True, True, True, True) for i in range(300)]
+    hits = spark.createDataFrame(rows, names)
+    with scratch.recording() as made:
+        out = synteny.synteny(hits)
+    assert [scratch.exists(spark, p) for p in made].count(True) == 1  # the steps' tables went
+    found = spark.read.parquet(next(p for p in made if scratch.exists(spark, p)))
+    got = out.collect()
+    assert len(got) == 500 and found.count() == sum(r.isSyntenic for r in got) > 150
+    assert not any(r.isSyntenic or r.isAnchor or r.blkID or r.regID for r in got if r.noAnchor or not r.isArrayRep2)
+
+
+def test_few_pairs_are_listed_where_points_are_dense(monkeypatch):
+    listed, whole = [], spatial.neighbour_lists
+
+    def counted(*a):
+        p, q = whole(*a)
+        listed.append(len(p))
+        return p, q
+
+    monkeypatch.setattr(spatial, "neighbour_lists", counted)
+    x = np.arange(3000.0)
+    assert set(spatial.dbscan_kernel(x, x, 141.4, 5)) == {1} and sum(listed) < 60 * len(x)  # 201 pairs a point in all
+    listed.clear()
+    hit, nearest = synteny._near(x, x + 1, x, x, 141.4)
+    assert hit.all() and nearest.tolist() == list(range(3000))  # as near to the next one
+    assert sum(listed) < 60 * len(x)
+
+
+def test_density_clusters_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for eps in (3.0, 9.0, 40.0):
+        for _ in range(15):
+            n = int(rng.integers(1, 120))
+            x, y = rng.integers(0, 150, n).astype(float), rng.integers(0, 150, n).astype(float)
+            near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
+            core = near.sum(1) >= 4
+            label = np.where(core, np.arange(n), n)
+            while True:
+                new = np.where(core, np.where(near & core, label, n).min(1), n)
+                if (new == label).all():
+                    break
+                label = new
+            label = np.where(near & core, label, n).min(1)
+            names = np.unique(label[label < n])
+            assert spatial.dbscan_kernel(x, y, eps, 4).tolist() == np.where(label < n, np.searchsorted(names, label) + 1, 0).tolist()
