@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synblock.functions import columns as C
-from synblock.operators import ranks
+from synblock.operators import hits, ranks
 from synblock.plans.catalogue import over, query
 from synblock.plans.workload import Tables
 
@@ -236,8 +236,7 @@ def wn01_row_number(t: Tables) -> DataFrame:
 
 @query("SELECT ofID1, ofID2, dense_rank() OVER (PARTITION BY genome1, genome2 ORDER BY ord1) AS r1, dense_rank() OVER (PARTITION BY genome1, genome2 ORDER BY ord2) AS r2 FROM hits", "hits")
 def wn02_dense_rank_pair(t: Tables) -> DataFrame:
-    by = ["genome1", "genome2"]
-    return ranks.dense_rank(ranks.dense_rank(t.hits, by, "ord1", "r1"), by, "ord2", "r2").select("ofID1", "ofID2", "r1", "r2")
+    return hits.ranked_pairs(t.ranked).select("ofID1", "ofID2", "r1", "r2")
 
 
 @query("SELECT ofID1, ofID2, dense_rank() OVER (PARTITION BY ofID1 ORDER BY -round_even(bitScore, -1)) AS sr FROM hits", "hits")

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from synblock import scratch
-from synblock.operators import spatial, synteny
+from synblock.operators import blocks, hits, ranks, spatial, synteny
 from synblock.operators.chain import chains
+from synblock.sources import tables
 
 
 def pairs_of_chromosomes(seed=3):
@@ -88,3 +90,39 @@ def test_density_clusters_equal_brute_force():
             label = np.where(near & core, label, n).min(1)
             names = np.unique(label[label < n])
             assert spatial.dbscan_kernel(x, y, eps, 4).tolist() == np.where(label < n, np.searchsorted(names, label) + 1, 0).tolist()
+
+
+def given_hits(spark):
+    rows = [("A", "B", "c", "d", f"a{i % 30}", f"b{i % 17}", i % 30, i % 17, 10 * (i % 30), 10 * (i % 30) + 5, 10 * (i % 17), 10 * (i % 17) + 5, f"k{i % 3}", True, 1.0) for i in range(60)]
+    return spark.createDataFrame(rows, "genome1 string, genome2 string, chr1 string, chr2 string, ofID1 string, ofID2 string, ord1 long, ord2 long, start1 long, end1 long, start2 long, end2 long, blkID string, isAnchor boolean, bitScore double")
+
+
+def test_genes_of_a_block_are_counted_without_dealing_out_hits(spark):
+    h = given_hits(spark)
+    out = blocks.coordinates(h)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {r.blkID: (r.n1, r.n2) for r in h.groupBy("blkID").agg(F.count_distinct("ofID1").alias("n1"), F.count_distinct("ofID2").alias("n2")).collect()}
+    assert {r.blkID: (r.nHits1, r.nHits2) for r in out.collect()} == want
+
+
+def test_ranks_of_pairs_are_those_of_genes(spark):
+    genes = spark.createDataFrame([(g, f"{g}{i}", i, f"o{i * (3 + k) % 23}") for k, g in enumerate("ABC") for i in range(40 - 9 * k)], "genome string, ofID string, ord long, og string")
+    a, b = (genes.select("og", *(F.col(c).alias(f"{c}{n}") for c in ("genome", "ofID", "ord"))) for n in (1, 2))
+    pairs = a.join(b, "og").where("genome1 < genome2")
+    want = ranks.dense_rank(ranks.dense_rank(pairs, ["genome1", "genome2"], "ord1", "r1"), ["genome1", "genome2"], "ord2", "r2").select("ofID1", "ofID2", "r1", "r2").collect()
+    out = hits.ranked_pairs(genes).select("ofID1", "ofID2", "r1", "r2")
+    assert "denserank" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(out.collect()) == sorted(want) and len(want) > 60
+
+
+def test_small_blocks_go_before_phases_are_joined(spark):
+    h = given_hits(spark).withColumn("blkID", F.when(F.col("ofID1") == "a3", F.concat(F.lit("alone"), "ofID2")).otherwise(F.col("blkID")))
+    out = blocks.phased(h, "A", 5, 1e6).where("genome1 = 'A'").collect()
+    assert {r.blkID for r in out} == {"k0_1", "k1_1", "k2_1"}
+
+
+def test_compressed_csv_reads_the_same(spark, tmp_path):
+    h = given_hits(spark)
+    tables.write_csv(h, str(tmp_path / "t"), compress=True)
+    assert list((tmp_path / "t").glob("*.csv.gz"))
+    assert spark.read.csv(str(tmp_path / "t"), header=True).count() == 60
